@@ -13,7 +13,6 @@ from .text import (
     after_last,
     contains_all,
     contains_any,
-    last_segment,
     let,
     lines,
     ordered_distinct,
@@ -116,7 +115,9 @@ def frame_methods(content: Column, class_fqn: Column) -> Column:
 
 
 def frame_lines(content: Column, class_fqn: Column) -> Column:
-    return ordered_distinct(F.transform(_frames(content, class_fqn), frame_line))
+    return ordered_distinct(
+        F.transform(_frames(content, class_fqn), lambda x: frame_line(x))
+    )
 
 
 def is_compile_failure(content: Column) -> Column:
@@ -155,7 +156,7 @@ def report_dir(line: Column) -> Column:
 
 def report_dirs(content: Column) -> Column:
     hits = F.filter(lines(content), lambda x: F.contains(x, F.lit(rules.REPORT_DIR_START)))
-    return ordered_distinct(F.transform(hits, report_dir))
+    return ordered_distinct(F.transform(hits, lambda x: report_dir(x)))
 
 
 def log_evidence(content: Column, fqn: Column) -> Column:
@@ -165,6 +166,7 @@ def log_evidence(content: Column, fqn: Column) -> Column:
     compiles = is_compile_failure(content)
     return F.struct(
         verdict(content).alias("summary"),
+        compiles.alias("is_compile_failure"),
         F.when(compiles, compile_messages(content, file_name))
         .otherwise(F.array().cast("array<string>"))
         .alias("compile_messages"),
@@ -178,7 +180,3 @@ def log_evidence(content: Column, fqn: Column) -> Column:
 
 def build_lines(content: Column, marker: str = rules.BUILD_MARKER) -> Column:
     return F.filter(lines(content), lambda x: F.contains(x, F.lit(marker)))
-
-
-def short_name(path: Column) -> Column:
-    return last_segment(path, "/")

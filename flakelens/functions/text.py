@@ -118,9 +118,8 @@ def span_slice(text: Column, start_line: Column, end_line: Column) -> Column:
     start gives an empty string.  No end means up to the end of the text, cut
     before the last ``}`` if there is exactly one more ``}`` than ``{``.
     """
-    all_lines = lines(text)
 
-    def cut(start: Column, count: Column) -> Column:
+    def cut(all_lines: Column, start: Column, count: Column) -> Column:
         picked = F.array_join(F.slice(all_lines, start, count), "\n")
         at_end = start + count > F.size(all_lines)
         return F.concat(picked, F.when(at_end, F.lit("")).otherwise(F.lit("\n")))
@@ -130,15 +129,20 @@ def span_slice(text: Column, start_line: Column, end_line: Column) -> Column:
         keep = F.length(piece) - F.length(F.substring_index(piece, "}", -1)) - 1
         return F.when(surplus == 1, F.substring(piece, F.lit(1), keep)).otherwise(piece)
 
-    begin = F.greatest(start_line, F.lit(1))
-    closed = cut(begin, F.greatest(end_line - begin + 1, F.lit(0)))
-    to_eof = let(cut(begin, F.size(all_lines)), open_end)
-    return (
-        F.when(start_line.isNull(), F.lit(""))
-        .when(begin > F.size(all_lines), F.lit(""))
-        .when(end_line.isNull(), to_eof)
-        .otherwise(closed)
+    def pick(s: Column) -> Column:
+        begin = F.greatest(s["start"], F.lit(1))
+        return (
+            F.when(s["start"].isNull(), F.lit(""))
+            .when(begin > F.size(s["lines"]), F.lit(""))
+            .when(s["end"].isNull(), let(cut(s["lines"], begin, F.size(s["lines"])), open_end))
+            .otherwise(cut(s["lines"], begin, F.greatest(s["end"] - begin + 1, F.lit(0))))
+        )
+
+    # bound once: callers pass computed positions
+    bound = F.struct(
+        lines(text).alias("lines"), start_line.alias("start"), end_line.alias("end")
     )
+    return let(bound, pick)
 
 
 def line_at(text_lines: Column, number: Column) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("scalars", "loglines", "evidence", "code", "patching")
+MODULES = ("scalars", "loglines", "evidence", "code", "patching", "loop", "storage")
 
 CATALOG = {}
 for _name in MODULES:

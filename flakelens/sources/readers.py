@@ -24,18 +24,21 @@ def _csv_fields(record: Column) -> Column:
     )
 
 
-def read_test_manifest(spark: SparkSession, path: str) -> DataFrame:
+def read_test_manifest(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
     """Test manifest: CSV with a header, eight columns taken by position.
 
     All values are strings.  Empty fields stay empty strings; fields a short
     row lacks are null; fields beyond the eighth are kept in ``surplus``.
-    Adds ``repo`` and ``test_id``.
+    Adds ``repo`` and ``test_id``.  ``multi_line`` admits line breaks in quoted
+    fields, at the price of one task per file.
     """
     schema = T.StructType(list(schemas.MANIFEST.fields)).add(_CORRUPT, "string")
     raw = (
         spark.read.schema(schema)
         .option("header", True)
         .option("enforceSchema", True)
+        .option("escape", '"')
+        .option("multiLine", multi_line)
         .option("columnNameOfCorruptRecord", _CORRUPT)
         .csv(path)
     )

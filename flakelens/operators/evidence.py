@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .. import rules, schemas
 from ..functions import fqn as names
 from ..functions import logs, text
-from .lines import line_table
+from .lines import generate, line_table
 
 
 def line_lookup(requests: DataFrame, sources: DataFrame, keys: Sequence[str],
@@ -51,7 +51,7 @@ def enclosing_methods(points: DataFrame, methods: DataFrame, keys: Sequence[str]
 def report_cases(reports: DataFrame, keys: Sequence[str], xml: str = "xml") -> DataFrame:
     """Test cases of JUnit-style reports, one row each, with their problem text."""
     suite = F.from_xml(F.col(xml), schemas.TESTSUITE)
-    cases = reports.select(*keys, F.explode(suite["testcase"]).alias("case"))
+    cases = generate(reports, keys, suite["testcase"], "case")
 
     def first(kind: str):
         problem = F.try_element_at(F.col("case")[kind], F.lit(1))
@@ -116,8 +116,8 @@ def report_failures(tests: DataFrame, reports: DataFrame, keys: Sequence[str] =
     if class_scope:
         failed = failed.drop("name")
     rows = failed.withColumn(
-        "message", F.explode(F.array_compact(F.array("error_message", "failure_message")))
-    ).drop("error_message", "failure_message")
+        "message", F.explode_outer(F.array_compact(F.array("error_message", "failure_message")))
+    ).filter("message is not null").drop("error_message", "failure_message")
     return tests.join(rows, on)
 
 
@@ -135,7 +135,7 @@ def reports_of_runs(runs: DataFrame, reports: DataFrame) -> DataFrame:
     )
     listed = reports.filter(F.endswith(F.col("path"), F.lit(rules.REPORT_SUFFIX))).filter(
         F.size(parts) > 1
-    ).withColumn("report_dir", F.explode(above))
+    ).withColumn("report_dir", F.explode_outer(above))
     wanted = runs.withColumn("report_dir", F.rtrim(F.col("report_dir"), F.lit("/")))
     return wanted.join(listed, "report_dir").filter(
         F.contains(

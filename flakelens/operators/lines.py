@@ -11,6 +11,15 @@ from .. import rules
 from ..functions import logs, text
 
 
+def generate(df: DataFrame, keys: Sequence[str], values: Column, name: str) -> DataFrame:
+    """One row per array element.
+
+    The outer form plus a null test: a plain ``explode`` makes the optimizer add
+    a filter on the array's size, which evaluates a costly ``values`` twice.
+    """
+    return df.select(*keys, F.explode_outer(values).alias(name)).filter(F.col(name).isNotNull())
+
+
 def line_table(df: DataFrame, keys: Sequence[str], content: str = "content") -> DataFrame:
     """``(keys..., line_no, line)``, 1-based.  A generator, so no shuffle."""
     return df.select(*keys, F.posexplode(text.lines(F.col(content))).alias("pos", "line")).select(

@@ -34,7 +34,9 @@ def _stem_suffixes(files: DataFrame, suffix: str, only_path_parts: bool) -> Data
     )
     if only_path_parts:
         ends = F.filter(ends, lambda s: F.contains(F.col("path"), F.concat(F.lit("/"), s)))
-    return files.withColumn("_short", F.explode(F.array_distinct(ends)))
+    return files.withColumn("_short", F.explode_outer(F.array_distinct(ends))).filter(
+        F.col("_short").isNotNull()
+    )
 
 
 def candidates(manifest: DataFrame, files: DataFrame, suffix: str = rules.SOURCE_SUFFIX,

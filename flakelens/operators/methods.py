@@ -13,9 +13,14 @@ from ..functions.text import let
 
 
 def method_table(sources: DataFrame, keys: Sequence[str], content: str = "content") -> DataFrame:
-    """One row per method or constructor with its lines and annotations."""
+    """One row per method or constructor with its lines and annotations.
+
+    Outer generators here and below keep the scan from being evaluated a second
+    time in an inferred size filter.
+    """
     found = sources.select(*keys, content, javacode.methods(F.col(content)).alias("_found"))
-    return found.select(*keys, content, F.inline("_found")).select(
+    rows = found.select(*keys, content, F.inline_outer("_found")).filter("name is not null")
+    return rows.select(
         *keys,
         F.col("start.line").alias("start_line"),
         F.col("start.column").alias("start_column"),
@@ -31,7 +36,8 @@ def method_table(sources: DataFrame, keys: Sequence[str], content: str = "conten
 def field_table(sources: DataFrame, keys: Sequence[str], content: str = "content") -> DataFrame:
     """One row per field declaration; of several names the first counts."""
     found = sources.select(*keys, content, javacode.fields(F.col(content)).alias("_found"))
-    return found.select(*keys, content, F.inline("_found")).select(
+    rows = found.select(*keys, content, F.inline_outer("_found")).filter("name is not null")
+    return rows.select(
         *keys, "name", F.col("start_line").alias("line_no"),
         text.span_slice(F.col(content), F.col("start_line"), F.col("end_line")).alias("declaration"),
     )
@@ -55,7 +61,7 @@ def helper_rows(methods: DataFrame, keys: Sequence[str],
                 before: Sequence[str] = rules.BEFORE_ANNOTATIONS,
                 after: Sequence[str] = rules.AFTER_ANNOTATIONS) -> DataFrame:
     """Lifecycle methods, first per (phase, name)."""
-    tagged = methods.withColumn("_a", F.explode(F.array_distinct("annotations"))).withColumn(
+    tagged = methods.withColumn("_a", F.explode_outer(F.array_distinct("annotations"))).withColumn(
         "phase",
         F.when(F.col("_a").isin(*before), F.lit("before"))
         .when(F.col("_a").isin(*after), F.lit("after")),

@@ -11,27 +11,62 @@ from .. import rules
 from ..functions import builds, javacode, patches, responses
 from ..functions import fqn as names
 from ..functions.text import let
+from .lines import generate
 
 
-def parse_responses(df: DataFrame, response: str = "response", method: str = "method_name",
-                    content: str = "content") -> DataFrame:
-    """Add ``patch`` to rows that hold a response and the test's source."""
-    return df.withColumn(
-        "patch", responses.patch(F.col(response), F.col(method), F.col(content))
-    )
-
+def prepare_tests(tests: DataFrame, method: str = "method_name",
+                  content: str = "content") -> DataFrame:
+    """Add ``method_code`` and ``original_imports`` of each test's source.
 
-def apply_patches(df: DataFrame, method: str = "method_name", content: str = "content",
-                  build: str | None = None) -> DataFrame:
-    """Add ``patched_content`` and, with a build file column, ``patched_build``."""
+    Done once per test, before any join with attempts: a source is scanned once
+    however many responses there are for it.
+    """
     source = F.col(content)
-    old = let(
+    code = let(
         javacode.last_named(javacode.methods(source), F.col(method)),
         lambda m: F.when(m.isNotNull(), javacode.code_of(source, m)),
     )
-    out = df.withColumn(
+    return tests.withColumns(
+        {"method_code": code, "original_imports": responses.import_statements(source)}
+    )
+
+
+def parse_responses(answers: DataFrame, tests: DataFrame, key: str = "test_id",
+                    response: str = "response", method: str = "method_name") -> DataFrame:
+    """Answers with a ``patch`` struct.
+
+    ``tests`` has ``key`` and ``original_imports``.  Responses are reduced to
+    their parts first, so neither response nor source text meets the join.
+    """
+    text = F.col(response)
+    kept = [c for c in answers.columns if c != response]
+    parts = answers.select(
+        *kept,
+        responses.test_code(text, F.col(method)).alias("_code"),
+        responses.import_statements(text).alias("_wanted"),
+        responses.build_block(text).alias("_pom"),
+    )
+    joined = parts.join(tests.select(key, "original_imports"), key)
+    return joined.select(
+        *kept,
+        F.struct(
+            F.col("_code").alias("test_code"),
+            responses.new_imports(F.col("_wanted"), F.col("original_imports")).alias("imports"),
+            F.col("_pom").alias("pom"),
+        ).alias("patch"),
+    )
+
+
+def apply_patches(parsed: DataFrame, tests: DataFrame, key: str = "test_id",
+                  content: str = "content", build: str | None = None) -> DataFrame:
+    """Add ``patched_content`` and, with a build file column, ``patched_build``.
+
+    ``tests`` comes from ``prepare_tests``.
+    """
+    columns = [key, content, "method_code"] + ([build] if build else [])
+    out = parsed.join(tests.select(*columns), key).withColumn(
         "patched_content",
-        let(old, lambda code: patches.apply_to_source(source, code, F.col("patch"))),
+        patches.apply_to_source(F.col(content), F.col("method_code"), F.col("patch")),
     )
     if build is None:
         return out
@@ -47,7 +82,8 @@ def build_paths(df: DataFrame, path: str = "path") -> DataFrame:
 def import_rows(df: DataFrame, keys: Sequence[str], content: str) -> DataFrame:
     """Import statements in row form with their short names."""
     found = responses.import_statements(F.col(content))
-    return df.select(*keys, F.posexplode(found).alias("pos", "statement")).select(
+    rows = df.select(*keys, F.posexplode_outer(found).alias("pos", "statement"))
+    return rows.filter("statement is not null").select(
         *keys, (F.col("pos") + 1).alias("import_no"), "statement",
         responses.short_import(F.col("statement")).alias("short_name"),
     )
@@ -80,7 +116,7 @@ def new_import_rows(wanted: DataFrame, originals: DataFrame, keys: Sequence[str]
 def dependency_rows(df: DataFrame, keys: Sequence[str], pom: str = "pom") -> DataFrame:
     """Dependency fragments of a text in row form."""
     found = builds.dependencies(builds.unwrap(F.col(pom)))
-    return df.select(*keys, F.inline(found))
+    return df.select(*keys, F.inline_outer(found)).filter("artifact_id is not null")
 
 
 def missing_dependency_rows(wanted: DataFrame, present: DataFrame,
@@ -97,7 +133,7 @@ def artifact_rows(df: DataFrame, keys: Sequence[str], content: str = "content")
     found = F.regexp_extract_all(
         F.col(content), F.lit("<artifactId>([^<\n]*)</artifactId>"), F.lit(1)
     )
-    return df.select(*keys, F.explode(F.array_distinct(found)).alias("artifact_id"))
+    return generate(df, keys, F.array_distinct(found), "artifact_id")
 
 
 def jdk_by_project(lines: DataFrame, keys: Sequence[str], url: str = "project_url",

@@ -47,6 +47,17 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Distribute narrow rows by a unique key before each grows into a text.
+
+    A row of a few bytes becomes a text of a kilobyte that is expensive to
+    parse.  Moving the row costs little; parsing a whole input split of such
+    rows in one task would not scale with the cluster.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(parts, key)
+
+
 # ------------------------------------------------------------------ run logs
 LOGS = {
     "error": (
@@ -103,8 +114,10 @@ def run_logs(spark: SparkSession, sf: str) -> DataFrame:
     content = F
     for kind, template in LOGS.items():
         content = content.when(F.col("event_type") == kind, spark_text(template, slots))
-    events = table(spark, sf, "events").withColumn("k", event_line())
-    return events.select(
+    events = table(spark, sf, "events").select(
+        "event_id", "user_id", "event_type", "ts", event_line().alias("k")
+    )
+    return spread(events, "event_id").select(
         F.col("event_id").alias("run_id"),
         F.col("user_id").alias("test_id"),
         F.concat(F.lit("org.shop.User"), F.col("user_id").cast("string"), F.lit("Test.check"))
@@ -216,7 +229,8 @@ def sources(spark: SparkSession, sf: str) -> DataFrame:
     """``test_id, path, content``; one Java class per customer."""
     gap = F.repeat(F.lit("\n"), (F.col("c_custkey") % 7).cast("int"))
     slots = {"u": F.col("c_custkey"), "seg": F.col("c_mktsegment"), "gap": gap}
-    return table(spark, sf, "customer").select(
+    rows = table(spark, sf, "customer").select("c_custkey", "c_mktsegment")
+    return spread(rows, "c_custkey").select(
         F.col("c_custkey").alias("test_id"),
         spark_text(SOURCE_PATH, slots).alias("path"),
         spark_text(SOURCE, slots).alias("content"),
@@ -323,7 +337,8 @@ def responses(spark: SparkSession, sf: str) -> DataFrame:
     text = F
     for i, template in enumerate(RESPONSES):
         text = text.when(F.col("o_orderkey") % len(RESPONSES) == i, spark_text(template, slots))
-    return table(spark, sf, "orders").select(
+    rows = table(spark, sf, "orders").select("o_orderkey", "o_custkey")
+    return spread(rows, "o_orderkey").select(
         F.col("o_orderkey").alias("attempt_id"),
         F.col("o_custkey").alias("test_id"),
         F.lit("check").alias("method_name"),

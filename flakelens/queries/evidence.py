@@ -8,6 +8,7 @@ from .. import rules
 from ..functions import fqn as names
 from ..functions import logs
 from ..operators import evidence, localize, methods
+from ..operators.lines import generate
 from . import derived as d
 
 
@@ -57,7 +58,7 @@ def localize_status(spark, sf):
 def _line_requests(spark, sf):
     content = F.col("content")
     numbers = logs.line_numbers(content, names.class_file(F.col("test_fqn")))
-    return d.run_logs(spark, sf).select("path", F.explode(numbers).alias("line_no"))
+    return generate(d.run_logs(spark, sf), ["path"], numbers, "line_no")
 
 
 def line_lookup(spark, sf):
@@ -69,8 +70,8 @@ def _run_reports(spark, sf):
         "run_id", "test_id",
         names.class_fqn(F.col("test_fqn")).alias("class_fqn"),
         names.method_name(F.col("test_fqn")).alias("name"),
-        F.explode(logs.report_dirs(F.col("content"))).alias("report_dir"),
-    )
+        F.explode_outer(logs.report_dirs(F.col("content"))).alias("report_dir"),
+    ).filter("report_dir is not null")
     return evidence.reports_of_runs(runs, d.reports(spark, sf))
 
 

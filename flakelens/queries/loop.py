@@ -113,7 +113,7 @@ def merge_maps(spark, sf):
 def attempt_stream(spark, sf):
     """The loop as a stream over the events file, checked against the batch form."""
     schema = _events(spark, sf).schema
-    stream = spark.readStream.schema(schema).parquet(f"{sf}/events.parquet")
+    stream = spark.readStream.schema(schema).parquet(f"{sf}/events.parquet*")
     progress = live.track_attempts(
         stream, F.col("user_id"), F.col("ts"), F.col("event_id"), _passed(), F.col("props")
     )

@@ -20,9 +20,12 @@ def import_list(spark, sf):
 def link_list(spark, sf):
     """The same extraction with links of web pages in place of imports."""
     found = F.regexp_extract_all("html", F.lit(HREF), F.lit(1))
-    return d.table(spark, sf, "pages").select(
-        "page_id", F.posexplode(found).alias("pos", "link")
-    ).select("page_id", (F.col("pos") + 1).alias("link_no"), "link")
+    rows = d.table(spark, sf, "pages").select(
+        "page_id", F.posexplode_outer(found).alias("pos", "link")
+    )
+    return rows.filter("link is not null").select(
+        "page_id", (F.col("pos") + 1).alias("link_no"), "link"
+    )
 
 
 def new_imports(spark, sf):
@@ -96,15 +99,14 @@ def response_regions(spark, sf):
     return d.responses(spark, sf).select("attempt_id", cut.alias("r")).select("attempt_id", "r.*")
 
 
-def _parsed(spark, sf):
-    answers = d.responses(spark, sf).join(
-        d.sources(spark, sf).select("test_id", "path", "content"), "test_id"
-    )
-    return patches.parse_responses(answers)
+def _tests(spark, sf):
+    tests = d.sources(spark, sf).withColumn("method_name", F.lit("check"))
+    return patches.prepare_tests(tests)
 
 
 def response_patch(spark, sf):
-    return _parsed(spark, sf).select(
+    parsed = patches.parse_responses(d.responses(spark, sf), _tests(spark, sf))
+    return parsed.select(
         "attempt_id",
         F.col("patch.test_code").alias("test_code"),
         F.array_join("patch.imports", "|").alias("imports"),
@@ -114,11 +116,12 @@ def response_patch(spark, sf):
 
 def text_patch(spark, sf):
     """Answers parsed, applied to source and build file of their test."""
-    parsed = _parsed(spark, sf).join(
-        d.build_files(spark, sf).select("test_id", "build_content"), "test_id"
-    )
-    done = patches.apply_patches(parsed, build="build_content")
-    return patches.build_paths(done).select(
+    builds_ = d.build_files(spark, sf).select("test_id", "build_content")
+    tests = _tests(spark, sf).join(builds_, "test_id")
+    parsed = patches.parse_responses(d.responses(spark, sf), tests)
+    done = patches.apply_patches(parsed, tests.drop("original_imports"), build="build_content")
+    paths = done.withColumn("path", d.spark_text(d.SOURCE_PATH, {"u": F.col("test_id")}))
+    return patches.build_paths(paths).select(
         "attempt_id", "build_path", "patched_content", "patched_build"
     )
 

@@ -126,7 +126,8 @@ def reports_of_runs(runs: DataFrame, reports: DataFrame) -> DataFrame:
 
     ``runs`` has ``run_id, class_fqn, report_dir``; ``reports`` has ``path``.
     Each report is listed under all directories above it, so the walk below a
-    directory is an equi join.
+    directory is an equi join.  Only paths are listed; the report text joins the
+    matches by path and moves once.
     """
     parts = F.split(F.col("path"), "/")
     above = F.transform(
@@ -135,14 +136,15 @@ def reports_of_runs(runs: DataFrame, reports: DataFrame) -> DataFrame:
     )
     listed = reports.filter(F.endswith(F.col("path"), F.lit(rules.REPORT_SUFFIX))).filter(
         F.size(parts) > 1
-    ).withColumn("report_dir", F.explode_outer(above))
+    ).select("path", F.explode_outer(above).alias("report_dir"))
     wanted = runs.withColumn("report_dir", F.rtrim(F.col("report_dir"), F.lit("/")))
-    return wanted.join(listed, "report_dir").filter(
+    found = wanted.join(listed, "report_dir").filter(
         F.contains(
             text.last_segment(F.col("path")),
             F.concat(F.lit(rules.REPORT_NAME_PREFIX), F.col("class_fqn")),
         )
     )
+    return found.join(reports.hint("merge"), "path")
 
 
 def evidence_bundle(run_logs: DataFrame, sources: DataFrame,
@@ -158,7 +160,8 @@ def evidence_bundle(run_logs: DataFrame, sources: DataFrame,
         "run_id", "path", logs.log_evidence(F.col("content"), F.col("test_fqn")).alias("_e")
     ).select("run_id", "path", "_e.*")
     code = sources.select("path", F.col("content").alias("_source"))
-    joined = found.join(code, "path", "left")
+    # texts are large whatever the planner estimates: no broadcast of them
+    joined = found.join(code.hint("merge"), "path", "left")
     source_lines = text.lines(F.col("_source"))
     err_code = F.transform("line_numbers", lambda n: text.line_at(source_lines, n))
     none = F.array().cast("array<string>")

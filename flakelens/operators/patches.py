@@ -64,7 +64,8 @@ def apply_patches(parsed: DataFrame, tests: DataFrame, key: str = "test_id",
     ``tests`` comes from ``prepare_tests``.
     """
     columns = [key, content, "method_code"] + ([build] if build else [])
-    out = parsed.join(tests.select(*columns), key).withColumn(
+    # texts are large whatever the planner estimates: no broadcast of them
+    out = parsed.join(tests.select(*columns).hint("merge"), key).withColumn(
         "patched_content",
         patches.apply_to_source(F.col(content), F.col("method_code"), F.col("patch")),
     )

@@ -14,8 +14,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-_CHUNK = "_chunk"
 Order = Sequence[str]
+# Keys and chunk as structs: never null themselves, and equal when their null
+# fields agree, so windows, totals and the join share one hash partitioning.
+_KEY, _CHUNK = "_key", "_chunk"
 
 
 def time_chunk(ts: str, unit: str = "hour") -> Column:
@@ -23,63 +25,67 @@ def time_chunk(ts: str, unit: str = "hour") -> Column:
     return F.date_trunc(unit, F.col(ts))
 
 
-def _null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
-    renamed = right.select(*[F.col(k).alias(f"_r_{k}") for k in keys],
-                           *[c for c in right.columns if c not in keys])
-    cond = None
-    for k in keys:
-        c = left[k].eqNullSafe(renamed[f"_r_{k}"])
-        cond = c if cond is None else cond & c
-    return left.join(renamed, cond, "left").drop(*[f"_r_{k}" for k in keys])
+def _chunked(df: DataFrame, keys: Sequence[str], chunk: Column,
+             values: dict[str, Column]) -> DataFrame:
+    return df.withColumns(
+        {
+            _KEY: F.struct(*keys),
+            _CHUNK: F.struct(chunk.alias("c")),
+            **{f"_v_{name}": value for name, value in values.items()},
+        }
+    )
+
+
+def _inside(order: Order, upper: int):
+    by = Window.partitionBy(_KEY, _CHUNK).orderBy(*order)
+    return by.rowsBetween(Window.unboundedPreceding, upper)
+
+
+def _before():
+    by = Window.partitionBy(_KEY).orderBy(_CHUNK)
+    return by.rowsBetween(Window.unboundedPreceding, -1)
+
+
+def _finish(local: DataFrame, starts: DataFrame, values: dict[str, Column], combine) -> DataFrame:
+    out = local.join(starts, [_KEY, _CHUNK])
+    out = out.withColumns({n: combine(F.col(f"_s_{n}"), F.col(f"_l_{n}")) for n in values})
+    return out.drop(_KEY, _CHUNK, *[f"_{p}_{n}" for n in values for p in "vsl"])
 
 
 def running_sums(df: DataFrame, keys: Sequence[str], order: Order, chunk: Column,
                  values: dict[str, Column]) -> DataFrame:
     """Add inclusive running sums of ``values`` per key in the given order."""
-    rows = df.withColumn(_CHUNK, chunk)
-    for name, value in values.items():
-        rows = rows.withColumn(f"_v_{name}", value)
-    by = [*keys, _CHUNK]
-    inside = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    before = Window.partitionBy(*keys).orderBy(_CHUNK).rowsBetween(Window.unboundedPreceding, -1)
-    totals = rows.groupBy(*by).agg(*[F.sum(f"_v_{n}").alias(f"_t_{n}") for n in values])
+    rows = _chunked(df, keys, chunk, values)
+    totals = rows.groupBy(_KEY, _CHUNK).agg(*[F.sum(f"_v_{n}").alias(f"_t_{n}") for n in values])
     starts = totals.select(
-        *by, *[F.coalesce(F.sum(f"_t_{n}").over(before), F.lit(0)).alias(f"_s_{n}") for n in values]
+        _KEY, _CHUNK,
+        *[F.coalesce(F.sum(f"_t_{n}").over(_before()), F.lit(0)).alias(f"_s_{n}") for n in values],
+    )
+    local = rows.withColumns(
+        {f"_l_{n}": F.sum(f"_v_{n}").over(_inside(order, 0)) for n in values}
     )
-    local = rows.withColumns({f"_l_{n}": F.sum(f"_v_{n}").over(inside) for n in values})
-    out = _null_safe(local, starts, by)
-    for n in values:
-        out = out.withColumn(n, F.col(f"_s_{n}") + F.col(f"_l_{n}"))
-    drop = [f"_{p}_{n}" for n in values for p in "vsl"]
-    return out.drop(_CHUNK, *drop)
+    return _finish(local, starts, values, lambda start, inside: start + inside)
 
 
 def last_known(df: DataFrame, keys: Sequence[str], order: Order, chunk: Column,
                values: dict[str, Column], include_current: bool = True) -> DataFrame:
     """Add the last non-null value so far (with or without the current row)."""
-    rows = df.withColumn(_CHUNK, chunk)
-    for name, value in values.items():
-        rows = rows.withColumn(f"_v_{name}", value)
-    by = [*keys, _CHUNK]
-    upper = 0 if include_current else -1
-    inside = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, upper)
-    before = Window.partitionBy(*keys).orderBy(_CHUNK).rowsBetween(Window.unboundedPreceding, -1)
+    rows = _chunked(df, keys, chunk, values)
     position = F.struct(*order)
-    totals = rows.groupBy(*by).agg(
+    totals = rows.groupBy(_KEY, _CHUNK).agg(
         *[F.max_by(f"_v_{n}", F.when(F.col(f"_v_{n}").isNotNull(), position)).alias(f"_t_{n}")
           for n in values]
     )
     starts = totals.select(
-        *by, *[F.last(f"_t_{n}", ignorenulls=True).over(before).alias(f"_s_{n}") for n in values]
+        _KEY, _CHUNK,
+        *[F.last(f"_t_{n}", ignorenulls=True).over(_before()).alias(f"_s_{n}") for n in values],
     )
+    upper = 0 if include_current else -1
     local = rows.withColumns(
-        {f"_l_{n}": F.last(f"_v_{n}", ignorenulls=True).over(inside) for n in values}
+        {f"_l_{n}": F.last(f"_v_{n}", ignorenulls=True).over(_inside(order, upper))
+         for n in values}
     )
-    out = _null_safe(local, starts, by)
-    for n in values:
-        out = out.withColumn(n, F.coalesce(F.col(f"_l_{n}"), F.col(f"_s_{n}")))
-    drop = [f"_{p}_{n}" for n in values for p in "vsl"]
-    return out.drop(_CHUNK, *drop)
+    return _finish(local, starts, values, lambda start, inside: F.coalesce(inside, start))
 
 
 def balanced_regions(df: DataFrame, keys: Sequence[str], order: Order, chunk: Column,

@@ -11,6 +11,13 @@ from .. import rules
 from . import javacode
 from .text import count_of, delimited_block, let, lines, swap_all, trim_ws
 
+# a line that starts a method header: a modifier, or a type and a name with "("
+_HEADER_START = (
+    r"^\s*(?:(?:public|protected|private|static|final|abstract|synchronized|void)\b"
+    r"|[\w$.<>\[\],?]+\s+[\w$]+\s*\([^()]*\)\s*(?:throws\b.*|\{.*)?$)"
+)
+# blank and comment lines, and lines that carry on a parameter or throws list
+_HEADER_REST = r"^$|^(?://|/\*|\*)|^throws\b|[,)]$"
 _REGIONS = "array<struct<start_line:int,end_line:int>>"
 _STATE = f"struct<line:int,opened:int,closed:int,start:int,header:int,negative:boolean,regions:{_REGIONS}>"
 
@@ -35,14 +42,16 @@ def regions(text_lines: Column, skip: str = "public class ",
     def step(s: Column, line: Column) -> Column:
         number = s["line"] + 1
         text = trim_ws(line)
-        skipped = F.contains(line, F.lit(skip))
         opens, closes = count_of(line, "{"), count_of(line, "}")
         opened, closed = s["opened"] + opens, s["closed"] + closes
         inside = s["start"].isNotNull()
-        header = F.coalesce(s["header"], number)
-        looks_like_header = (text.startswith("@") | F.contains(line, F.lit("("))) & ~F.rlike(
-            text, F.lit(r"[;}]$")
-        )
+        # header: first line directly before a region, negative once it holds
+        # more than annotations
+        began = F.abs(s["header"])
+        only_annotations = F.coalesce(s["header"] > 0, F.lit(True))
+        first = F.when(only_annotations, F.coalesce(began, number)).otherwise(number)
+        own_line = F.rlike(line, F.lit(_HEADER_START))
+        start = F.coalesce(s["start"], F.when(own_line, first).otherwise(F.coalesce(began, number)))
 
         def state(start, head, regions=s["regions"], opened=opened, closed=closed):
             return F.struct(
@@ -52,17 +61,21 @@ def regions(text_lines: Column, skip: str = "public class ",
             )
 
         none, zero = F.lit(None).cast("int"), F.lit(0)
-        region = F.struct(
-            F.coalesce(s["start"], header).alias("start_line"), number.alias("end_line")
-        )
+        region = F.struct(start.alias("start_line"), number.alias("end_line"))
         ends = (opened == closed) & (closed > 0) & (inside | (opens > 0))
+        outside = ~inside & (opens + closes == 0)
+        continued = s["header"].isNotNull() & F.rlike(text, F.lit(_HEADER_REST))
         return (
-            F.when(skipped, state(s["start"], s["header"], opened=s["opened"], closed=s["closed"]))
+            F.when(
+                F.contains(line, F.lit(skip)),
+                state(s["start"], none, opened=s["opened"], closed=s["closed"]),
+            )
             .when(ends, state(none, none, F.concat(s["regions"], F.array(region)), zero, zero))
-            .when(opened > closed, state(F.coalesce(s["start"], header), none))
-            .when(text.isin(*marks), state(F.coalesce(s["start"], header), none))
-            .when(~inside & looks_like_header & (opens + closes == 0), state(none, header))
-            .when(~inside & F.rlike(text, F.lit(r"^(?:$|//|/\*|\*)")), state(none, s["header"]))
+            .when(opened > closed, state(start, none))
+            .when(text.isin(*marks), state(F.coalesce(s["start"], first), none))
+            .when(outside & text.startswith("@"), state(none, first))
+            .when(outside & own_line, state(none, -first))
+            .when(outside & continued, state(none, s["header"]))
             .otherwise(state(s["start"], none))
         )
 

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import rules
+from ..functions.fqn import elapsed_seconds
 
 
 def number_attempts(df: DataFrame, keys: Sequence[str], order: Sequence[str],
@@ -83,13 +84,16 @@ def loop_outcome(attempts: DataFrame, keys: Sequence[str], passed: Column,
 
 
 def repair_outcomes(initial: DataFrame, attempts: DataFrame, order: Sequence[str],
-                    key: str = "test_id", limit: int = rules.MAX_ATTEMPTS) -> DataFrame:
+                    key: str = "test_id", limit: int = rules.MAX_ATTEMPTS,
+                    started: str | None = None, ended: str | None = None) -> DataFrame:
     """Outcome of every test.
 
     ``initial`` has ``test_id, initial_summary``; ``attempts`` has ``test_id,
     applied, summary, patch, ts``.  Tests whose initial run passes are skipped,
     those whose initial run is not a failure keep that verdict as their status,
-    the others are fixed or unresolved.
+    the others are fixed or unresolved.  With the names of the initial run's
+    ``started`` and ``ended`` columns the time counts from its start, also for
+    tests without attempts.
     """
     failing = initial.filter(F.col("initial_summary") == rules.FAILURE).select(key)
     tried = number_attempts(
@@ -97,18 +101,26 @@ def repair_outcomes(initial: DataFrame, attempts: DataFrame, order: Sequence[str
     )
     passed = F.col("applied") & (F.col("summary") == rules.PASS)
     done = loop_outcome(tried, [key], passed, F.col("patch"), "ts", limit)
+    if started and ended:
+        at_pass = F.min_by("ts", F.when(passed, F.col("iter")))
+        finish = tried.groupBy(key).agg(F.coalesce(at_pass, F.max("ts")).alias("_finished"))
+        done = done.join(finish, key)
     status = (
         F.when(F.col("initial_summary") == rules.PASS, F.lit(rules.SKIPPED))
         .when(F.col("initial_summary") != rules.FAILURE, F.col("initial_summary"))
         .when(F.col("is_fixed"), F.lit(rules.FIXED))
         .otherwise(F.lit(rules.UNRESOLVED))
     )
-    return (
+    out = (
         initial.join(done, key, "left")
         .withColumn("status", status)
         .withColumn("attempts_used", F.coalesce("attempts_used", F.lit(0)))
         .drop("is_fixed")
     )
+    if started and ended:
+        finish = F.coalesce(F.col("_finished"), F.col(ended))
+        out = out.withColumn("elapsed_s", elapsed_seconds(F.col(started), finish))
+    return out.drop("_finished")
 
 
 def attempt_log(attempts: DataFrame, keys: Sequence[str], *values: str) -> DataFrame:

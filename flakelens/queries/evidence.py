@@ -9,6 +9,7 @@ from ..functions import fqn as names
 from ..functions import logs
 from ..operators import evidence, localize, methods
 from ..operators.lines import generate
+from ..plans import triage
 from . import derived as d
 
 
@@ -95,11 +96,42 @@ def interval_hits(spark, sf):
 
 
 def evidence_bundle(spark, sf):
-    messages = evidence.messages_of_runs(_run_reports(spark, sf))
-    found = evidence.evidence_bundle(d.run_logs(spark, sf), d.sources(spark, sf), messages)
+    found = triage.run_evidence(
+        d.run_logs(spark, sf), d.sources(spark, sf), d.reports(spark, sf)
+    )
     return found.withColumn("err_methods", F.array_join("err_methods", ","))
 
 
+def triage_report(spark, sf):
+    """Manifest, sources, first runs and reports in; statuses, evidence and prompts out."""
+    sources = d.sources(spark, sf)
+    key = F.col("c_custkey")
+    manifest = d.table(spark, sf, "customer").select(
+        key.alias("test_id"),
+        F.concat(F.lit("User"), key).alias("repo"),
+        F.lit("work").alias("sha"),
+        F.lit(".").alias("module"),
+        F.concat(
+            F.lit("org.shop."), F.when(key % 10 == 3, "Lost").otherwise("User"), key,
+            F.lit("Test.check"),
+        ).alias("test_fqn"),
+    )
+    files = sources.select(
+        F.concat(F.lit("User"), "test_id").alias("repo"), F.lit("work").alias("sha"), "path", "content"
+    )
+    tests = triage.cut_tests(manifest, files)
+    runs = triage.first_runs(d.run_logs(spark, sf))
+    found = triage.run_evidence(
+        runs, sources.select("path", "content"), d.reports(spark, sf)
+    )
+    initial = runs.select("run_id", "test_id").join(found, "run_id").drop("run_id")
+    out = triage.initial_prompts(tests, initial, "%1$s|%2$s|%3$s|%4$s|%5$s")
+    return out.select(
+        "test_id", "localization_status", "summary", F.col("start.line").alias("start_line"),
+        F.col("end.line").alias("end_line"), "prompt",
+    )
+
+
 _PLACES = """SELECT c_custkey, lower(n_name) AS repo, sha1(n_name) AS sha, lower(c_mktsegment) AS module,
 'r' || n_regionkey AS package, 'C' || c_custkey || 'Test' AS class
 FROM customer JOIN nation ON c_nationkey = n_nationkey"""
@@ -120,6 +152,24 @@ WHERE event_type = 'error' AND event_id % 4 IN (1, 3)
 UNION ALL SELECT event_id, user_id, 'failure', 'run ' || event_id || ' failed twice' FROM events
 WHERE event_type = 'error' AND event_id % 4 IN (0, 3))"""
 
+_BUNDLE = f"""SELECT e.event_id AS run_id,
+        CASE event_type WHEN 'error' THEN 'FAILURE' WHEN 'signup' THEN 'FAILURE' WHEN 'purchase' THEN 'PASS'
+          WHEN 'click' THEN 'COMPILATION_ERROR' ELSE 'UNRECOGNIZED' END AS summary,
+        CASE event_type WHEN 'click' THEN ' cannot find symbol' || chr(10) || 'symbol: method run' || e.event_id
+          || '()' || chr(10) || ' bad line' || chr(10) ELSE coalesce(m.err_msg, '') END AS err_msg,
+        CASE WHEN event_type = 'error' THEN concat_ws(chr(10), trim(l[k]),
+            CASE WHEN trim(l[k]) IS DISTINCT FROM trim(l[28]) THEN trim(l[28]) END)
+          WHEN event_type = 'click' THEN coalesce(trim(l[k]), '') ELSE '' END AS err_code,
+        CASE event_type WHEN 'error' THEN 'check,run' WHEN 'signup' THEN 'setUp' ELSE '' END AS err_methods
+        FROM (SELECT *, {d.K_SQL} AS k FROM events) e
+        LEFT JOIN ({_SOURCE_LINES}) s ON s.test_id = e.user_id
+        LEFT JOIN (SELECT event_id, string_agg(message, chr(10) ORDER BY kind) AS err_msg
+          FROM ({_MESSAGES}) GROUP BY event_id) m ON m.event_id = e.event_id"""
+_CONTEXT = " || chr(10) || ".join(
+    d.slice_sql("content", f"gap + {a}", f"gap + {b}")
+    for a, b in ((15, 18), (19, 19), (9, 9), (10, 11), (12, 12), (42, 42), (36, 39))
+)
+
 QUERIES = {
     "localize_status": (
         localize_status,
@@ -148,20 +198,17 @@ QUERIES = {
         JOIN ({d.methods_sql()}) m ON m.test_id = w.user_id AND m.name = 'check'
           AND w.line_no BETWEEN m.start_line AND m.end_line""",
     ),
-    "evidence_bundle": (
-        evidence_bundle,
-        f"""SELECT e.event_id AS run_id,
-        CASE event_type WHEN 'error' THEN 'FAILURE' WHEN 'signup' THEN 'FAILURE' WHEN 'purchase' THEN 'PASS'
-          WHEN 'click' THEN 'COMPILATION_ERROR' ELSE 'UNRECOGNIZED' END AS summary,
-        CASE event_type WHEN 'click' THEN ' cannot find symbol' || chr(10) || 'symbol: method run' || e.event_id
-          || '()' || chr(10) || ' bad line' || chr(10) ELSE coalesce(m.err_msg, '') END AS err_msg,
-        CASE WHEN event_type = 'error' THEN concat_ws(chr(10), trim(l[k]),
-            CASE WHEN trim(l[k]) IS DISTINCT FROM trim(l[28]) THEN trim(l[28]) END)
-          WHEN event_type = 'click' THEN coalesce(trim(l[k]), '') ELSE '' END AS err_code,
-        CASE event_type WHEN 'error' THEN 'check,run' WHEN 'signup' THEN 'setUp' ELSE '' END AS err_methods
-        FROM (SELECT *, {d.K_SQL} AS k FROM events) e
-        LEFT JOIN ({_SOURCE_LINES}) s ON s.test_id = e.user_id
-        LEFT JOIN (SELECT event_id, string_agg(message, chr(10) ORDER BY kind) AS err_msg
-          FROM ({_MESSAGES}) GROUP BY event_id) m ON m.event_id = e.event_id""",
+    "evidence_bundle": (evidence_bundle, _BUNDLE),
+    "triage_report": (
+        triage_report,
+        f"""SELECT t.test_id, CASE WHEN lost THEN '{rules.NOT_LOCALIZED}' ELSE '{rules.LOCALIZED}' END
+          AS localization_status, r.summary,
+        CASE WHEN NOT lost THEN gap + 36 END AS start_line, CASE WHEN NOT lost THEN gap + 39 END AS end_line,
+        CASE WHEN NOT lost AND r.summary = 'FAILURE' THEN 'check|' || {_CONTEXT} || '|' || r.err_msg || '|'
+          || r.err_code || '|' || replace(r.err_methods, ',', ', ') END AS prompt
+        FROM (SELECT *, test_id % 10 = 3 AS lost FROM ({d.sources_sql()})) t
+        LEFT JOIN (SELECT e.user_id, b.* FROM (SELECT user_id, arg_min(event_id, (ts, event_id)) AS event_id
+            FROM events GROUP BY user_id) e JOIN ({_BUNDLE}) b ON b.run_id = e.event_id) r
+          ON r.user_id = t.test_id""",
     ),
 }

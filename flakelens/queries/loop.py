@@ -122,15 +122,15 @@ def attempt_stream(spark, sf):
     return live.latest_outcomes(stored).drop("is_final")
 
 
-_NUMBERED = """SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS iter FROM events
-QUALIFY iter < 5"""
+_NUMBERED = """SELECT *, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS INTEGER) AS iter
+FROM events QUALIFY iter < 5"""
 _FIRST = "min(CASE WHEN {p} THEN iter END)"
 
 
 def _outcome_sql(passed: str) -> str:
     first = _FIRST.format(p=passed)
     return f"""SELECT user_id, {first} AS fixed_at,
-    coalesce({first} + 1, least(count(*), 5)) AS attempts_used,
+    CAST(coalesce({first} + 1, least(count(*), 5)) AS INTEGER) AS attempts_used,
     arg_min(props, iter) FILTER (WHERE {passed}) AS final_patch,
     round((coalesce(min(epoch_us(ts)) FILTER (WHERE {passed}), max(epoch_us(ts))) - min(epoch_us(ts))) / 1e6, 2)
       AS elapsed_s FROM ({_NUMBERED}) GROUP BY user_id"""
@@ -161,7 +161,7 @@ QUERIES = {
     ),
     "balanced_regions": (
         balanced_regions,
-        f"""SELECT user_id, region_id, min(position) AS start_pos, max(position) AS end_pos, count(*) AS n_rows,
+        f"""SELECT user_id, CAST(region_id AS BIGINT) AS region_id, min(position) AS start_pos, max(position) AS end_pos, count(*) AS n_rows,
         bool_or(is_close) AS is_closed, min(depth) < 0 AS is_negative FROM (
         SELECT *, sum(CAST(is_close AS INTEGER)) OVER (PARTITION BY user_id ORDER BY position)
           - CAST(is_close AS INTEGER) AS region_id
@@ -173,7 +173,7 @@ QUERIES = {
         f"""SELECT c_custkey AS test_id, initial_summary,
         CASE initial_summary WHEN 'PASS' THEN 'skipped' WHEN 'COMPILATION_ERROR' THEN 'COMPILATION_ERROR'
           ELSE CASE WHEN fixed_at IS NULL THEN 'unresolved' ELSE 'fixed' END END AS status,
-        fixed_at, coalesce(attempts_used, 0) AS attempts_used, final_patch, elapsed_s
+        fixed_at, CAST(coalesce(attempts_used, 0) AS INTEGER) AS attempts_used, final_patch, elapsed_s
         FROM (SELECT c_custkey, CASE c_mktsegment WHEN 'MACHINERY' THEN 'PASS' WHEN 'FURNITURE'
           THEN 'COMPILATION_ERROR' ELSE 'FAILURE' END AS initial_summary FROM customer)
         LEFT JOIN ({_outcome_sql("event_type = 'purchase'")}) ON user_id = c_custkey AND initial_summary = 'FAILURE'""",

@@ -183,7 +183,7 @@ QUERIES = {
     ),
     "missing_dependencies": (
         missing_dependencies,
-        """SELECT o_orderkey AS attempt_id, 'new' || o_orderkey AS artifact_id, 2 AS n_asked
+        """SELECT o_orderkey AS attempt_id, 'new' || o_orderkey AS artifact_id, CAST(2 AS BIGINT) AS n_asked
         FROM orders WHERE o_orderkey % 4 < 3""",
     ),
     "list_patch": (

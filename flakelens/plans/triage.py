@@ -10,6 +10,7 @@ from ..functions import fqn as names
 from ..functions import javacode, logs, prompts
 from ..operators import evidence, localize, methods
 from ..operators.lines import first_wins
+from ..session import spread
 
 
 def cut_tests(manifest: DataFrame, sources: DataFrame) -> DataFrame:
@@ -22,7 +23,8 @@ def cut_tests(manifest: DataFrame, sources: DataFrame) -> DataFrame:
     """
     located = localize.localize(manifest, sources.select("repo", "sha", "path"))
     wanted = located.filter("path is not null").select("path").distinct()
-    structures = sources.join(wanted, "path", "left_semi").select(
+    tested = sources.select("path", "content").join(wanted, "path", "left_semi")
+    structures = spread(tested, "path").select(
         "path", "content", methods.source_structure(F.col("content")).alias("_s")
     )
     # texts are large whatever the planner estimates: no broadcast of them

@@ -3,7 +3,8 @@
 The given tables hold no Java, logs or model answers.  Each row of ``events``,
 ``customer`` or ``orders`` therefore becomes one text of that kind, built from
 the row's own columns: the number of texts grows with the table and no rows are
-grouped to make one.  The same template gives the Spark column and the SQL
+grouped to make one.  Rows are spread while they are narrow, before each grows
+into a text that is expensive to parse.  The same template gives the Spark column and the SQL
 expression.
 """
 
@@ -14,6 +15,8 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import spread
+
 _SLOT = re.compile(r"<<(\w+)>>")
 
 
@@ -47,17 +50,6 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Distribute narrow rows by a unique key before each grows into a text.
-
-    A row of a few bytes becomes a text of a kilobyte that is expensive to
-    parse.  Moving the row costs little; parsing a whole input split of such
-    rows in one task would not scale with the cluster.
-    """
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartition(parts, key)
-
-
 # ------------------------------------------------------------------ run logs
 LOGS = {
     "error": (

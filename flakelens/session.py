@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 # Settings the operators are designed for; a cluster's own values win.
 DEFAULTS = {
@@ -25,6 +26,19 @@ def build_session(app: str = "flakelens", master: str | None = None, **conf: str
     return builder.getOrCreate()
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Distribute rows ahead of costly per-row work.
+
+    The number of partitions is fixed: sized by bytes, adaptive execution would
+    join rows that are small on the wire but expensive to parse into few tasks.
+    Rows go by a hash of the keys, not the keys, so that joins before and after
+    keep their own exchange, which adaptive execution can split where one key
+    is hot.
+    """
+    shuffle = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(shuffle, F.xxhash64(*keys))
+
+
 def scratch_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder for intermediate tables.
 

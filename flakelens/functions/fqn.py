@@ -75,4 +75,4 @@ def elapsed_seconds(start: Column, end: Column) -> Column:
 
 def elapsed_text(seconds: Column) -> Column:
     """The form used in result documents, for example ``7.01s``."""
-    return F.format_string("%.2fs", F.bround(seconds, 2))
+    return F.when(seconds.isNotNull(), F.format_string("%.2fs", F.bround(seconds, 2)))

@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from .. import rules, schemas
 from ..functions import fqn as names
+from ..operators.scans import running_sums
 
 _CORRUPT = "_corrupt_record"
 _CSV_FIELDS = r'(?:^|,)("(?:[^"]|"")*"|[^,]*)'
@@ -93,6 +94,28 @@ def read_tree(spark: SparkSession, path: str, glob: str = "*" + rules.SOURCE_SUF
     )
 
 
+def read_log_lines(spark: SparkSession, path: str, glob: str = "*.log") -> DataFrame:
+    """Lines of logs of any size as ``(path, line_no, line)``.
+
+    Nothing is read whole: a large file is split over tasks.  Inside a split the
+    row order is the file order; the counts per split, summed over the splits
+    before it, give the line numbers.
+    """
+    rows = (
+        spark.read.option("recursiveFileLookup", True)
+        .option("pathGlobFilter", glob)
+        .text(path)
+        .select(
+            F.col("_metadata.file_path").alias("path"),
+            F.col("_metadata.file_block_start").alias("_block"),
+            F.monotonically_increasing_id().alias("_row"),
+            F.col("value").alias("line"),
+        )
+    )
+    numbered = running_sums(rows, ["path"], ["_row"], F.col("_block"), {"line_no": F.lit(1)})
+    return numbered.select("path", F.col("line_no").cast("int").alias("line_no"), "line")
+
+
 def read_build_files(spark: SparkSession, path: str, glob: str = rules.BUILD_FILE) -> DataFrame:
     return read_tree(spark, path, glob)
 

@@ -74,3 +74,20 @@ def test_document_text(spark):
     df = spark.sql("select 1 a, cast(null as string) b, array(1, 2) c")
     assert df.select(sinks.document(df).alias("d")).first().d == '{"a":1,"c":[1,2]}'
     assert df.select(sinks.document(df, False).alias("d")).first().d == '{"a":1,"b":null,"c":[1,2]}'
+
+
+def test_log_lines_of_split_files(spark, tmp_path):
+    for name, n in (("a.log", 3000), ("b.log", 10), ("c.txt", 5)):
+        (tmp_path / name).write_text("".join(f"{name} {i}\n" for i in range(1, n + 1)))
+    key = "spark.sql.files.maxPartitionBytes"
+    old = spark.conf.get(key)
+    spark.conf.set(key, "4096")
+    try:
+        raw = spark.read.text(str(tmp_path / "a.log"))
+        assert raw.select("_metadata.file_block_start").distinct().count() > 3
+        got = readers.read_log_lines(spark, str(tmp_path))
+        assert got.count() == 3010
+        want = F.concat_ws(" ", F.substring_index("path", "/", -1), "line_no")
+        assert got.filter(F.col("line") != want).isEmpty()
+    finally:
+        spark.conf.set(key, old)

@@ -22,7 +22,9 @@ def line_lookup(requests: DataFrame, sources: DataFrame, keys: Sequence[str],
     """
     wanted = requests.select(*keys, line).distinct()
     table = line_table(sources, keys, content).withColumnRenamed("line_no", line)
-    return wanted.join(table, [*keys, line], "left").withColumn("line", text.trim_ws(F.col("line")))
+    # texts are large whatever the planner estimates: no broadcast of them
+    found = wanted.join(table.hint("merge"), [*keys, line], "left")
+    return found.withColumn("line", text.trim_ws(F.col("line")))
 
 
 def enclosing_methods(points: DataFrame, methods: DataFrame, keys: Sequence[str],

@@ -154,7 +154,8 @@ def reports(spark: SparkSession, sf: str) -> DataFrame:
     for i, template in enumerate(REPORTS):
         xml = xml.when(F.col("event_id") % len(REPORTS) == i, spark_text(template, slots))
     path = "/work/User<<u>>/run<<e>>/reports/sub/TEST-org.shop.User<<u>>Test.xml"
-    return table(spark, sf, "events").select(
+    rows = table(spark, sf, "events").select("user_id", "event_id")
+    return spread(rows, "event_id").select(
         spark_text(path, slots).alias("path"), xml.alias("xml")
     )
 

@@ -112,7 +112,7 @@ def read_log_lines(spark: SparkSession, path: str, glob: str = "*.log") -> DataF
             F.col("value").alias("line"),
         )
     )
-    numbered = running_sums(rows, ["path"], ["_row"], F.col("_block"), {"line_no": F.lit(1)})
+    numbered = running_sums(rows, ["path"], ["_row"], F.col("_block"), {"line_no": F.lit(1)}, None)
     return numbered.select("path", F.col("line_no").cast("int").alias("line_no"), "line")
 
 

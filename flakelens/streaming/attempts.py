@@ -37,14 +37,14 @@ def _reducer(limit: int):
     return earliest
 
 
-def _processor(limit: int):
+def _processor(limit: int, ttl_ms: int | None):
     # defined in a function so that workers get the class by value
     import pandas as pd
     from pyspark.sql.streaming import StatefulProcessor
 
     class Tracker(StatefulProcessor):
         def init(self, handle):
-            self.state = handle.getValueState("attempts", _STATE)
+            self.state = handle.getValueState("attempts", _STATE, ttl_ms)
 
         def handleInputRows(self, key, rows, timerValues):
             seen = []
@@ -88,8 +88,13 @@ def _processor(limit: int):
 
 
 def track_attempts(stream: DataFrame, test_id: Column, ts: Column, number: Column,
-                   is_pass: Column, patch: Column, limit: int = rules.MAX_ATTEMPTS) -> DataFrame:
-    """Stream of attempts to a stream of progress rows per test."""
+                   is_pass: Column, patch: Column, limit: int = rules.MAX_ATTEMPTS,
+                   ttl_ms: int | None = None) -> DataFrame:
+    """Stream of attempts to a stream of progress rows per test.
+
+    ``ttl_ms`` drops the state of tests that have been idle that long; an attempt
+    after that starts the test anew.
+    """
     rows = stream.select(
         test_id.cast("long").alias("test_id"),
         F.unix_micros(ts.cast("timestamp")).alias("attempt_ts"),
@@ -101,8 +106,8 @@ def track_attempts(stream: DataFrame, test_id: Column, ts: Column, number: Colum
         rows.mapInPandas(_reducer(limit), INPUT)
         .groupBy("test_id")
         .transformWithStateInPandas(
-            statefulProcessor=_processor(limit), outputStructType=OUTPUT,
-            outputMode="Append", timeMode="None",
+            statefulProcessor=_processor(limit, ttl_ms), outputStructType=OUTPUT,
+            outputMode="Append", timeMode="ProcessingTime" if ttl_ms else "None",
         )
     )
 

@@ -95,9 +95,12 @@ def test_running_sums_and_last_known_equal_brute_force(spark):
     rows = skewed(random.Random(1))
     df = spark.createDataFrame(rows, SEQ)
     chunk = F.floor(F.col("t") / 50)
-    sums = scans.running_sums(df, ["k"], ["t", "i"], chunk, {"s": F.col("delta"), "n": F.lit(1)})
-    last = scans.last_known(df, ["k"], ["t", "i"], chunk, {"w": F.col("v")})
-    prev = scans.last_known(df, ["k"], ["t", "i"], chunk, {"w": F.col("v")}, include_current=False)
+    hot = 100  # only the large key and the null key are chunked
+    sums = scans.running_sums(
+        df, ["k"], ["t", "i"], chunk, {"s": F.col("delta"), "n": F.lit(1)}, hot)
+    last = scans.last_known(df, ["k"], ["t", "i"], chunk, {"w": F.col("v")}, hot_rows=hot)
+    prev = scans.last_known(
+        df, ["k"], ["t", "i"], chunk, {"w": F.col("v")}, include_current=False, hot_rows=None)
     want = {}
     for seq in by_key(rows).values():
         total, known = 0, None
@@ -114,8 +117,10 @@ def test_running_sums_and_last_known_equal_brute_force(spark):
 def test_chunking_does_not_change_the_result(spark):
     df = spark.createDataFrame(skewed(random.Random(2)), SEQ)
     one = scans.running_sums(df, ["k"], ["t", "i"], F.lit(0), {"s": F.col("delta")})
-    many = scans.running_sums(df, ["k"], ["t", "i"], F.floor(F.col("t") / 3), {"s": F.col("delta")})
-    assert one.exceptAll(many).isEmpty() and many.exceptAll(one).isEmpty()
+    for hot in (None, 1, 50, 10_000):
+        many = scans.running_sums(
+            df, ["k"], ["t", "i"], F.floor(F.col("t") / 3), {"s": F.col("delta")}, hot)
+        assert one.exceptAll(many).isEmpty() and many.exceptAll(one).isEmpty()
 
 
 def test_balanced_regions_equal_brute_force(spark):
@@ -124,7 +129,7 @@ def test_balanced_regions_equal_brute_force(spark):
     got = scans.region_summary(
         scans.balanced_regions(
             df, ["k"], ["t", "i"], F.floor(F.col("t") / 40),
-            (F.col("delta") == 1).cast("int"), (F.col("delta") == -1).cast("int"),
+            (F.col("delta") == 1).cast("int"), (F.col("delta") == -1).cast("int"), 100,
         ),
         ["k"],
     )

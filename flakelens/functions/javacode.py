@@ -240,7 +240,11 @@ def _advance(state: Column, text: Column, delimiter: Column) -> Column:
 
 
 def scan(content: Column) -> Column:
-    """``struct<methods: array<method>, fields: array<field>>`` of a source."""
+    """``struct<methods: array<method>, fields: array<field>, unclosed: boolean>``.
+
+    ``unclosed`` says that blocks were still open at the end: a cut or broken
+    source, whose later spans are not to be trusted.
+    """
     # bound once per row: inside the fold it would be evaluated per statement
     return let(
         F.regexp_extract_all(content, F.lit(_CLASS_NAME), F.lit(1)),
@@ -264,7 +268,11 @@ def _fold(content: Column, class_names: Column) -> Column:
         F.lit(1).alias("line"), F.lit(1).alias("column"), F.lit("").alias("head"),
         F.lit(1).alias("head_column"), *[F.lit("").alias(n) for n in _STATE[4:]],
     )
-    clean = F.translate(content, _BLOCK_SEP + _PART_SEP + _FIELD_SEP, "   ")
+    # the added delimiter ends a rest without one; searching for it again from
+    # every position of that rest would take quadratic time
+    clean = F.concat(
+        F.translate(content, _BLOCK_SEP + _PART_SEP + _FIELD_SEP, "   "), F.lit("\n;")
+    )
     return F.aggregate(
         F.regexp_extract_all(clean, F.lit(_STATEMENTS), F.lit(0)), zero, step,
         lambda s: F.struct(
@@ -274,6 +282,7 @@ def _fold(content: Column, class_names: Column) -> Column:
                 .when(a["start"] > b["start"], 1).otherwise(0),
             ).alias("methods"),
             _rows(s["fields"], _field_row).alias("fields"),
+            (s["open"] != "").alias("unclosed"),
         ),
     )
 

@@ -123,14 +123,15 @@ def repair_outcomes(initial: DataFrame, attempts: DataFrame, order: Sequence[str
     return out.drop("_finished")
 
 
-def attempt_log(attempts: DataFrame, keys: Sequence[str], *values: str) -> DataFrame:
+def attempt_log(attempts: DataFrame, keys: Sequence[str], *values: str,
+                limit: int = rules.MAX_ATTEMPTS) -> DataFrame:
     """Nested log: map from iteration (text) to its values.
 
-    Needs numbered attempts, so the list per test is bounded.
+    Needs numbered attempts; the list per test holds at most ``limit`` entries.
     """
     entry = F.struct(F.col("iter"), F.struct(*values).alias("value"))
     sorted_entries = F.array_sort(F.collect_list(entry))
-    return attempts.groupBy(*keys).agg(
+    return attempts.filter(F.col("iter") < limit).groupBy(*keys).agg(
         F.map_from_entries(
             F.transform(
                 sorted_entries,

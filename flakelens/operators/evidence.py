@@ -90,18 +90,20 @@ def reported_messages(xml, class_fqn, name):
 
 
 def messages_of_runs(run_reports: DataFrame) -> DataFrame:
-    """Messages per run over its own report files, in path order.
+    """Distinct messages per run over its own report files, in path order.
 
-    ``run_reports`` has ``run_id, class_fqn, name, path, xml``.
+    ``run_reports`` has ``run_id, class_fqn, name, path, xml``.  Messages are
+    made distinct before they are listed, so a run with many reports of one
+    failure lists it once.
     """
+    messages = reported_messages(F.col("xml"), F.col("class_fqn"), F.col("name"))
     found = run_reports.select(
-        "run_id", "path",
-        reported_messages(F.col("xml"), F.col("class_fqn"), F.col("name")).alias("messages"),
-    )
-    listed = F.array_sort(F.collect_list(F.struct("path", "messages")))
-    return found.groupBy("run_id").agg(
-        text.ordered_distinct(F.flatten(F.transform(listed, lambda r: r["messages"])))
-        .alias("messages")
+        "run_id", "path", F.posexplode_outer(messages).alias("pos", "message")
+    ).filter("message is not null")
+    first = found.groupBy("run_id", "message").agg(F.min(F.struct("path", "pos")).alias("at"))
+    listed = F.array_sort(F.collect_list(F.struct("at", "message")))
+    return first.groupBy("run_id").agg(
+        F.transform(listed, lambda r: r["message"]).alias("messages")
     )
 
 

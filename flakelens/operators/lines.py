@@ -90,6 +90,15 @@ def build_outcome_lines(table: DataFrame, line: str = "line",
     return table.filter(F.contains(F.col(line), F.lit(marker)))
 
 
+def build_results(df: DataFrame, keys: Sequence[str], content: str = "content",
+                  marker: str = rules.BUILD_MARKER) -> DataFrame:
+    """One summary per build log: its keys and its outcome lines on one line."""
+    outcome = text.squeeze(F.array_join(logs.build_lines(F.col(content), marker), " "))
+    return df.select(
+        *keys, F.concat_ws(" ", F.lit("build-result:"), *keys, outcome).alias("build_result")
+    )
+
+
 def merge_update(base: DataFrame, update: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Left join where the update's non-null values win; new columns are added."""
     shared = [c for c in update.columns if c in base.columns and c not in keys]

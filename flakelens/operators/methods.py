@@ -80,7 +80,8 @@ def source_structure(content, before: Sequence[str] = rules.BEFORE_ANNOTATIONS,
                      after: Sequence[str] = rules.AFTER_ANNOTATIONS):
     """Everything a prompt needs from a source, per row and without a shuffle.
 
-    ``struct<before, after, earliest_line, helper_method_names, global_vars, methods>``
+    ``struct<before, after, earliest_line, helper_method_names, global_vars,
+    methods, unclosed>``
     """
 
     def first_wins(found, wanted):
@@ -125,6 +126,7 @@ def source_structure(content, before: Sequence[str] = rules.BEFORE_ANNOTATIONS,
             .alias("helper_method_names"),
             F.map_from_entries(last_wins(s["fields"])).alias("global_vars"),
             s["methods"].alias("methods"),
+            s["unclosed"].alias("unclosed"),
         )
 
     return let(javacode.scan(content), build)

@@ -138,8 +138,12 @@ def artifact_rows(df: DataFrame, keys: Sequence[str], content: str = "content")
 
 
 def jdk_by_project(lines: DataFrame, keys: Sequence[str], url: str = "project_url",
-                   project: str = "project", line: str = "line") -> DataFrame:
-    """JDK per project from a table of build-file lines; one map-side aggregate."""
+                   project: str = "project", line: str = "line", **lists) -> DataFrame:
+    """JDK per project from a table of build-file lines; one map-side aggregate.
+
+    ``lists`` goes to ``builds.jdk_class``: with empty ``by_url`` and
+    ``by_project`` no project is decided by name.
+    """
     text = F.col(line)
     is_jdk = F.rlike(text, F.lit(rules.JDK_LINE_PATTERN))
     flags = lines.groupBy(*keys).agg(
@@ -147,4 +151,4 @@ def jdk_by_project(lines: DataFrame, keys: Sequence[str], url: str = "project_ur
           for t, _ in rules.JDK_TEXT_RULES]
     )
     has = {t: F.col(f"_has_{t}") for t, _ in rules.JDK_TEXT_RULES}
-    return flags.select(*keys, builds.jdk_class(has, F.col(url), F.col(project)).alias("jdk"))
+    return flags.select(*keys, builds.jdk_class(has, F.col(url), F.col(project), **lists).alias("jdk"))

@@ -38,7 +38,7 @@ def result_documents(tests: DataFrame, initial: DataFrame, tries: DataFrame,
     ).filter("applied")
     log = loop.attempt_log(
         kept.withColumn("result", F.struct(*_EVIDENCE)), ["test_id"],
-        "result", "patch", "prompt", "response",
+        "result", "patch", "prompt", "response", limit=limit,
     )
     last = kept.groupBy("test_id").agg(
         F.max_by(F.struct(*_EVIDENCE), F.col("iter")).alias("_last")

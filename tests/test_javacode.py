@@ -117,3 +117,21 @@ def test_table_forms_agree_with_row_form(spark):
         assert rows[h.test_id][h.phase][h.name] == h.code
     for r in methods.earliest_lines(table, ["test_id"]).collect():
         assert rows[r.test_id].earliest_line == r.earliest_line
+
+
+def test_unclosed_flag(one):
+    assert one(lambda c: javacode.scan(c)["unclosed"], "class A { void a() { }") is True
+    assert one(lambda c: javacode.scan(c)["unclosed"], "class A { void a() { } }") is False
+
+
+def test_long_texts_take_linear_time(one):
+    import time
+
+    prose = "words without any delimiter (and more) " * 20_000
+    comment = "class A {\n/*" + " x {\n" * 100_000 + "*/\n void a() { }\n}\n"
+    literal = 'class A { String s = "' + "\\n{" * 100_000 + '"; void a() { } }'
+    one(javacode.methods, "class A { void a() { } }")
+    for text, names in ((prose, []), (comment, ["a"]), (literal, ["a"])):
+        start = time.time()
+        assert [m.name for m in one(javacode.methods, text)] == names
+        assert time.time() - start < 20

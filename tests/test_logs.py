@@ -92,3 +92,9 @@ def test_log_evidence_routes(spark):
     assert compile_run.compile_messages == [" x"] and compile_run.report_dirs == []
     assert failed_run.compile_messages == [] and failed_run.report_dirs == ["d"]
     assert compile_run.line_numbers == [2] and failed_run.line_numbers == [3]
+
+
+def test_build_results(spark):
+    df = spark.createDataFrame([("p", "s", "m", "x\n[INFO] BUILD   SUCCESS\n[INFO] BUILD FAILURE")], "project string, sha string, module string, content string")
+    row = lines.build_results(df, ["project", "sha", "module"]).first()
+    assert row.build_result == "build-result: p s m [INFO] BUILD SUCCESS [INFO] BUILD FAILURE"

@@ -84,13 +84,26 @@ def read_module_manifest(spark: SparkSession, path: str) -> DataFrame:
     ).withColumn("repo", names.repo_name(F.col("project_url")))
 
 
+def _as_text(value: Column) -> Column:
+    """Drop bytes that are not UTF-8 and use ``\\n`` for every line end."""
+    valid = F.when(F.is_valid_utf8(value), value).otherwise(
+        F.replace(F.make_valid_utf8(value), F.lit("\ufffd"), F.lit(""))
+    )
+    return F.when(
+        F.contains(valid, F.lit("\r")), F.regexp_replace(valid, r"\r\n?", "\n")
+    ).otherwise(valid)
+
+
 def read_tree(spark: SparkSession, path: str, glob: str = "*" + rules.SOURCE_SUFFIX) -> DataFrame:
-    """Every matching file below a folder as ``(path, content)``."""
+    """Every matching file below a folder as ``(path, content)``.
+
+    Undecodable bytes are ignored and line ends are unified.
+    """
     return (
         spark.read.option("recursiveFileLookup", True)
         .option("pathGlobFilter", glob)
         .text(path, wholetext=True)
-        .select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("content"))
+        .select(F.col("_metadata.file_path").alias("path"), _as_text(F.col("value")).alias("content"))
     )
 
 

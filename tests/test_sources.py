@@ -38,11 +38,12 @@ def test_tree_scan_reads_whole_files(spark, tmp_path):
     (deep / "A.java").write_text("class A {\n}\n")
     (deep / "B.txt").write_text("no")
     (tmp_path / "sha1" / "repo" / "pom.xml").write_text("<project>\n</project>")
-    (deep / "Bad.java").write_bytes(b"x \xff y")
+    (deep / "Bad.java").write_bytes(b"x \xff y\r\n\xc3\xa9\rz\n")
     files = readers.split_clone_path(readers.read_tree(spark, str(tmp_path)), str(tmp_path))
     got = {os.path.basename(r.path): r for r in files.collect()}
     assert set(got) == {"A.java", "Bad.java"}
     assert got["A.java"].content == "class A {\n}\n"
+    assert got["Bad.java"].content == "x  y\n\u00e9\nz\n"
     assert (got["A.java"].sha, got["A.java"].repo) == ("sha1", "repo")
     (pom,) = readers.read_build_files(spark, str(tmp_path)).collect()
     assert pom.content == "<project>\n</project>"

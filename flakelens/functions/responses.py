@@ -113,13 +113,17 @@ def response_class(response: Column) -> Column:
 
 def test_code(response: Column, method_name: Column) -> Column:
     """Code of the last method with the name in a response."""
-    return let(
+    found = let(
         response_class(response),
         lambda code: let(
             javacode.last_named(javacode.methods(code), method_name),
             lambda m: F.when(m.isNotNull(), javacode.code_of(code, m)),
         ),
     )
+    # no fold for answers that cannot hold the method
+    return F.when(
+        F.contains(response, F.lit("{")) & F.contains(response, method_name), found
+    )
 
 
 def build_block(response: Column) -> Column:

@@ -27,7 +27,8 @@ def lines(text: Column) -> Column:
 def count_of(text: Column, literal: str) -> Column:
     """How often ``literal`` occurs."""
     gone = F.replace(text, F.lit(literal), F.lit(""))
-    return ((F.length(text) - F.length(gone)) / F.lit(len(literal))).cast("int")
+    removed = F.length(text) - F.length(gone)
+    return removed if len(literal) == 1 else F.floor(removed / F.lit(len(literal))).cast("int")
 
 
 def contains_all(text: Column, markers: Sequence[str]) -> Column:

@@ -94,9 +94,8 @@ def build_results(df: DataFrame, keys: Sequence[str], content: str = "content",
                   marker: str = rules.BUILD_MARKER) -> DataFrame:
     """One summary per build log: its keys and its outcome lines on one line."""
     outcome = text.squeeze(F.array_join(logs.build_lines(F.col(content), marker), " "))
-    return df.select(
-        *keys, F.concat_ws(" ", F.lit("build-result:"), *keys, outcome).alias("build_result")
-    )
+    result = F.concat_ws(" ", F.lit("build-result:"), *keys, F.nullif(outcome, F.lit("")))
+    return df.select(*keys, result.alias("build_result"))
 
 
 def merge_update(base: DataFrame, update: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 from .. import rules
 from ..functions import fqn as names
 from ..functions import logs
-from ..operators import evidence, localize, methods
+from ..operators import evidence, localize, methods, patches
 from ..operators.lines import generate
-from ..plans import triage
+from ..plans import repair, triage
 from . import derived as d
 
 
@@ -102,8 +102,7 @@ def evidence_bundle(spark, sf):
     return found.withColumn("err_methods", F.array_join("err_methods", ","))
 
 
-def triage_report(spark, sf):
-    """Manifest, sources, first runs and reports in; statuses, evidence and prompts out."""
+def _cut_tests(spark, sf):
     sources = d.sources(spark, sf)
     key = F.col("c_custkey")
     manifest = d.table(spark, sf, "customer").select(
@@ -119,7 +118,13 @@ def triage_report(spark, sf):
     files = sources.select(
         F.concat(F.lit("User"), "test_id").alias("repo"), F.lit("work").alias("sha"), "path", "content"
     )
-    tests = triage.cut_tests(manifest, files)
+    return triage.cut_tests(manifest, files)
+
+
+def triage_report(spark, sf):
+    """Manifest, sources, first runs and reports in; statuses, evidence and prompts out."""
+    sources = d.sources(spark, sf)
+    tests = _cut_tests(spark, sf)
     runs = triage.first_runs(d.run_logs(spark, sf))
     found = triage.run_evidence(
         runs, sources.select("path", "content"), d.reports(spark, sf)
@@ -132,6 +137,40 @@ def triage_report(spark, sf):
     )
 
 
+def repair_report(spark, sf):
+    """Result documents: tests, first runs and parsed answers as attempts."""
+    sources = d.sources(spark, sf)
+    runs = triage.first_runs(d.run_logs(spark, sf))
+    found = triage.run_evidence(runs, sources.select("path", "content"))
+    initial = runs.select(
+        "run_id", "test_id", F.col("ts").alias("started"), F.col("ts").alias("ended")
+    ).join(found, "run_id").drop("run_id")
+    parsed = patches.parse_responses(
+        d.responses(spark, sf), patches.prepare_tests(sources.withColumn("method_name", F.lit("check")))
+    )
+    outcomes = d.table(spark, sf, "orders").select(
+        F.col("o_orderkey").alias("attempt_id"),
+        F.col("o_orderdate").alias("ts"),
+        (F.col("o_orderstatus") != "P").alias("applied"),
+        F.when(F.col("o_orderpriority") == "1-URGENT", rules.PASS).otherwise(rules.FAILURE).alias("summary"),
+        F.col("o_orderpriority").alias("err_msg"),
+        F.lit("").alias("err_code"),
+        F.array().cast("array<string>").alias("err_methods"),
+        F.lit("ask").alias("prompt"),
+        F.lit("answer").alias("response"),
+    )
+    tries = parsed.drop("method_name").join(outcomes, "attempt_id")
+    docs = repair.result_documents(
+        _cut_tests(spark, sf), initial, tries, "clone", "out", ("ts", "attempt_id")
+    )
+    return docs.select(
+        "test_id", "status", "initial_summary", "fixed_at", "attempts_used",
+        F.col("final_patch.test_code").alias("final_code"),
+        F.array_join(F.map_keys("intermediate_log"), ",").alias("logged"),
+        "prev_summary", "result_json",
+    )
+
+
 _PLACES = """SELECT c_custkey, lower(n_name) AS repo, sha1(n_name) AS sha, lower(c_mktsegment) AS module,
 'r' || n_regionkey AS package, 'C' || c_custkey || 'Test' AS class
 FROM customer JOIN nation ON c_nationkey = n_nationkey"""
@@ -170,6 +209,21 @@ _CONTEXT = " || chr(10) || ".join(
     for a, b in ((15, 18), (19, 19), (9, 9), (10, 11), (12, 12), (42, 42), (36, 39))
 )
 
+_FIRST_RUN = """SELECT user_id, CASE arg_min(event_type, (ts, event_id)) WHEN 'error' THEN 'FAILURE'
+WHEN 'signup' THEN 'FAILURE' WHEN 'purchase' THEN 'PASS' WHEN 'click' THEN 'COMPILATION_ERROR'
+ELSE 'UNRECOGNIZED' END AS summary FROM events GROUP BY user_id"""
+_TRIES = f"""SELECT o.*, applied AND o_orderpriority = '1-URGENT' AS passed FROM (
+SELECT *, o_orderstatus <> 'P' AS applied, CAST(row_number() OVER (PARTITION BY o_custkey
+  ORDER BY o_orderdate, o_orderkey) - 1 AS INTEGER) AS iter FROM orders QUALIFY iter < 5) o
+JOIN ({_FIRST_RUN}) f ON f.user_id = o_custkey AND f.summary = 'FAILURE'"""
+_DONE = f"""SELECT o_custkey, min(iter) FILTER (WHERE passed) AS fixed_at, count(*) AS n,
+arg_min_null({d.response_part_sql(d.PATCH_CODE)}, iter) FILTER (WHERE passed) AS final_code FROM ({_TRIES})
+GROUP BY o_custkey"""
+_KEPT = f"""SELECT t.o_custkey, string_agg(CAST(iter AS VARCHAR), ',' ORDER BY iter) AS logged,
+arg_max(CASE WHEN o_orderpriority = '1-URGENT' THEN 'PASS' ELSE 'FAILURE' END, iter) AS prev_summary
+FROM ({_TRIES}) t JOIN ({_DONE}) d ON d.o_custkey = t.o_custkey
+WHERE applied AND iter <= coalesce(fixed_at, 5) GROUP BY t.o_custkey"""
+
 QUERIES = {
     "localize_status": (
         localize_status,
@@ -199,6 +253,18 @@ QUERIES = {
           AND w.line_no BETWEEN m.start_line AND m.end_line""",
     ),
     "evidence_bundle": (evidence_bundle, _BUNDLE),
+    "repair_report": (
+        repair_report,
+        f"""SELECT c_custkey AS test_id, CASE summary WHEN 'PASS' THEN '{rules.SKIPPED}' WHEN 'FAILURE' THEN
+          CASE WHEN fixed_at IS NULL THEN '{rules.UNRESOLVED}' ELSE '{rules.FIXED}' END
+          ELSE coalesce(summary, CASE WHEN c_custkey % 10 = 3 THEN '{rules.NOT_LOCALIZED}'
+            ELSE '{rules.LOCALIZED}' END) END AS status, summary AS initial_summary, fixed_at,
+        CASE WHEN summary IS NOT NULL THEN CAST(coalesce(fixed_at + 1, n, 0) AS INTEGER) END AS attempts_used,
+        final_code, logged, prev_summary, 'out/User' || c_custkey || '/work/org.shop.'
+          || CASE WHEN c_custkey % 10 = 3 THEN 'Lost' ELSE 'User' END || c_custkey || 'Test.check.json' AS result_json
+        FROM customer c LEFT JOIN ({_FIRST_RUN}) f ON f.user_id = c_custkey
+        LEFT JOIN ({_DONE}) d ON d.o_custkey = c_custkey LEFT JOIN ({_KEPT}) k ON k.o_custkey = c_custkey""",
+    ),
     "triage_report": (
         triage_report,
         f"""SELECT t.test_id, CASE WHEN lost THEN '{rules.NOT_LOCALIZED}' ELSE '{rules.LOCALIZED}' END

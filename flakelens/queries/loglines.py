@@ -98,6 +98,10 @@ def build_lines(spark, sf):
     )
 
 
+def build_results(spark, sf):
+    return lines.build_results(d.run_logs(spark, sf), ["run_id", "test_id"])
+
+
 def jdk_class(spark, sf):
     """JDK per brand from the lines of its parts; some brands are on the lists."""
     part = d.table(spark, sf, "part")
@@ -218,6 +222,12 @@ QUERIES = {
         f"""SELECT run_id, line_no, CAST(test_id AS VARCHAR) || ' ' || line AS result
         FROM ({_RUN_LINES}) WHERE contains(line, 'BUILD ')""",
     ),
+    "build_results": (
+        build_results,
+        """SELECT event_id AS run_id, user_id AS test_id, 'build-result: ' || event_id || ' ' || user_id
+        || CASE event_type WHEN 'view' THEN '' WHEN 'click' THEN ' [INFO] BUILD FAILURE'
+          ELSE ' [INFO] BUILD SUCCESS' END AS build_result FROM events""",
+    ),
     "jdk_class": (
         jdk_class,
         """SELECT CASE p_brand WHEN 'Brand#2' THEN 'https://github.com/INRIA/spoon'

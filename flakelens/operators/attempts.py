@@ -29,14 +29,15 @@ def number_attempts(df: DataFrame, keys: Sequence[str], order: Sequence[str],
     )
 
 
+def mark_kept(attempts: DataFrame, keys: Sequence[str], passed: Column) -> DataFrame:
+    """Add ``kept``: no earlier attempt of the test has passed."""
+    before = Window.partitionBy(*keys).orderBy("iter").rowsBetween(Window.unboundedPreceding, -1)
+    return attempts.withColumn("kept", ~F.coalesce(F.bool_or(passed).over(before), F.lit(False)))
+
+
 def until_pass(attempts: DataFrame, keys: Sequence[str], passed: Column) -> DataFrame:
     """Attempts up to and including the first that passes."""
-    before = Window.partitionBy(*keys).orderBy("iter").rowsBetween(Window.unboundedPreceding, -1)
-    return (
-        attempts.withColumn("_done", F.coalesce(F.bool_or(passed).over(before), F.lit(False)))
-        .filter(~F.col("_done"))
-        .drop("_done")
-    )
+    return mark_kept(attempts, keys, passed).filter("kept").drop("kept")
 
 
 def previous_evidence(attempts: DataFrame, keys: Sequence[str], evidence: Column,
@@ -56,10 +57,9 @@ def carry_forward(attempts: DataFrame, keys: Sequence[str], values: dict[str, Co
     )
 
 
-def loop_outcome(attempts: DataFrame, keys: Sequence[str], passed: Column,
-                 patch: Column | None = None, ts: str | None = None,
-                 limit: int = rules.MAX_ATTEMPTS) -> DataFrame:
-    """Outcome of numbered attempts per test in one aggregate.
+def outcome_columns(passed: Column, patch: Column | None = None, ts: str | None = None,
+                    limit: int = rules.MAX_ATTEMPTS) -> list[Column]:
+    """Aggregates over the numbered attempts of a test.
 
     ``is_fixed``, ``fixed_at``, ``attempts_used``, the patch of the first pass,
     and the seconds from the first to the last attempt used.
@@ -74,18 +74,26 @@ def loop_outcome(attempts: DataFrame, keys: Sequence[str], passed: Column,
     if patch is not None:
         aggs.append(F.min_by(patch, F.when(passed, F.col("iter"))).alias("final_patch"))
     if ts is not None:
-        stamp = F.unix_micros(F.col(ts).cast("timestamp"))
-        at_pass = F.min_by(stamp, F.when(passed, F.col("iter")))
-        aggs.append(
-            F.round((F.coalesce(at_pass, F.max(stamp)) - F.min(stamp)) / F.lit(1e6), 2)
-            .alias("elapsed_s")
-        )
-    return attempts.groupBy(*keys).agg(*aggs)
+        aggs.append(elapsed_seconds(F.min(ts), finish_time(passed, ts)).alias("elapsed_s"))
+    return aggs
+
+
+def finish_time(passed: Column, ts: str) -> Column:
+    """Time of the first pass, else of the last attempt (an aggregate)."""
+    return F.coalesce(F.min_by(ts, F.when(passed, F.col("iter"))), F.max(ts))
+
+
+def loop_outcome(attempts: DataFrame, keys: Sequence[str], passed: Column,
+                 patch: Column | None = None, ts: str | None = None,
+                 limit: int = rules.MAX_ATTEMPTS) -> DataFrame:
+    """Outcome of numbered attempts per test in one aggregate."""
+    return attempts.groupBy(*keys).agg(*outcome_columns(passed, patch, ts, limit))
 
 
 def repair_outcomes(initial: DataFrame, attempts: DataFrame, order: Sequence[str],
                     key: str = "test_id", limit: int = rules.MAX_ATTEMPTS,
-                    started: str | None = None, ended: str | None = None) -> DataFrame:
+                    started: str | None = None, ended: str | None = None,
+                    extra: Sequence[Column] = ()) -> DataFrame:
     """Outcome of every test.
 
     ``initial`` has ``test_id, initial_summary``; ``attempts`` has ``test_id,
@@ -93,18 +101,20 @@ def repair_outcomes(initial: DataFrame, attempts: DataFrame, order: Sequence[str
     those whose initial run is not a failure keep that verdict as their status,
     the others are fixed or unresolved.  With the names of the initial run's
     ``started`` and ``ended`` columns the time counts from its start, also for
-    tests without attempts.
+    tests without attempts.  ``extra`` aggregates join the one pass over the
+    attempts and may use the flag ``kept``.
     """
     failing = initial.filter(F.col("initial_summary") == rules.FAILURE).select(key)
     tried = number_attempts(
         attempts.join(failing, key, "left_semi"), [key], order, limit
     )
     passed = F.col("applied") & (F.col("summary") == rules.PASS)
-    done = loop_outcome(tried, [key], passed, F.col("patch"), "ts", limit)
+    aggs = [*outcome_columns(passed, F.col("patch"), "ts", limit), *extra]
     if started and ended:
-        at_pass = F.min_by("ts", F.when(passed, F.col("iter")))
-        finish = tried.groupBy(key).agg(F.coalesce(at_pass, F.max("ts")).alias("_finished"))
-        done = done.join(finish, key)
+        aggs.append(finish_time(passed, "ts").alias("_finished"))
+    if extra:
+        tried = mark_kept(tried, [key], passed)
+    done = tried.groupBy(key).agg(*aggs)
     status = (
         F.when(F.col("initial_summary") == rules.PASS, F.lit(rules.SKIPPED))
         .when(F.col("initial_summary") != rules.FAILURE, F.col("initial_summary"))
@@ -123,19 +133,22 @@ def repair_outcomes(initial: DataFrame, attempts: DataFrame, order: Sequence[str
     return out.drop("_finished")
 
 
+def log_column(values: Sequence[str], logged: Column | None = None) -> Column:
+    """Aggregate of numbered attempts: map from iteration (text) to its values."""
+    entry = F.struct(F.col("iter"), F.struct(*values).alias("value"))
+    listed = F.array_sort(F.collect_list(entry if logged is None else F.when(logged, entry)))
+    return F.map_from_entries(
+        F.transform(
+            listed,
+            lambda e: F.struct(e["iter"].cast("string").alias("key"), e["value"].alias("value")),
+        )
+    ).alias("intermediate_log")
+
+
 def attempt_log(attempts: DataFrame, keys: Sequence[str], *values: str,
                 limit: int = rules.MAX_ATTEMPTS) -> DataFrame:
     """Nested log: map from iteration (text) to its values.
 
     Needs numbered attempts; the list per test holds at most ``limit`` entries.
     """
-    entry = F.struct(F.col("iter"), F.struct(*values).alias("value"))
-    sorted_entries = F.array_sort(F.collect_list(entry))
-    return attempts.filter(F.col("iter") < limit).groupBy(*keys).agg(
-        F.map_from_entries(
-            F.transform(
-                sorted_entries,
-                lambda e: F.struct(e["iter"].cast("string").alias("key"), e["value"].alias("value")),
-            )
-        ).alias("intermediate_log")
-    )
+    return attempts.filter(F.col("iter") < limit).groupBy(*keys).agg(log_column(values))

@@ -20,34 +20,28 @@ def result_documents(tests: DataFrame, initial: DataFrame, tries: DataFrame,
     ``tests`` comes from ``plans.triage.cut_tests``; ``initial`` has ``test_id,
     started, ended`` and the evidence columns; ``tries`` has ``test_id, ts,
     applied, prompt, response, patch`` and the evidence columns.  Only tests
-    whose initial run fails have attempts; only applied attempts are logged.
+    whose initial run fails have attempts; only applied attempts are logged.  One
+    pass over the attempts gives outcome, log and last evidence.
     """
     first = initial.select(
         "test_id", "started", "ended", *[F.col(c).alias(f"initial_{c}") for c in _EVIDENCE]
     )
+    logged = F.col("kept") & F.col("applied")
+    last = F.max_by(F.struct(*_EVIDENCE), F.when(logged, F.col("iter"))).alias("_last")
     outcome = loop.repair_outcomes(
-        first.select("test_id", "initial_summary", "started", "ended"), tries, order,
-        limit=limit, started="started", ended="ended",
+        first.select("test_id", "initial_summary", "started", "ended"),
+        tries.withColumn("result", F.struct(*_EVIDENCE)), order, limit=limit,
+        started="started", ended="ended",
+        extra=[loop.log_column(("result", "patch", "prompt", "response"), logged), last],
     ).drop("initial_summary", "started", "ended")
-    failing = first.filter(F.col("initial_summary") == rules.FAILURE).select("test_id")
-    numbered = loop.number_attempts(
-        tries.join(failing, "test_id", "left_semi"), ["test_id"], order, limit
+    # no log rather than an empty one where nothing was applied
+    outcome = outcome.select(
+        *[c for c in outcome.columns if c not in ("_last", "intermediate_log")],
+        F.when(F.size("intermediate_log") > 0, F.col("intermediate_log")).alias("intermediate_log"),
+        *[F.col(f"_last.{c}").alias(f"prev_{c}") for c in _EVIDENCE],
     )
-    kept = loop.until_pass(
-        numbered, ["test_id"], F.col("applied") & (F.col("summary") == rules.PASS)
-    ).filter("applied")
-    log = loop.attempt_log(
-        kept.withColumn("result", F.struct(*_EVIDENCE)), ["test_id"],
-        "result", "patch", "prompt", "response", limit=limit,
-    )
-    last = kept.groupBy("test_id").agg(
-        F.max_by(F.struct(*_EVIDENCE), F.col("iter")).alias("_last")
-    ).select("test_id", *[F.col(f"_last.{c}").alias(f"prev_{c}") for c in _EVIDENCE])
-    docs = (
-        tests.join(first.drop("started", "ended"), "test_id", "left")
-        .join(outcome, "test_id", "left")
-        .join(log, "test_id", "left")
-        .join(last, "test_id", "left")
+    docs = tests.join(first.drop("started", "ended"), "test_id", "left").join(
+        outcome, "test_id", "left"
     )
 
     def position(name: str):

@@ -26,8 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flakelens.llm.common import fresh, stored
-from flakelens.llm.words import NOT_ALNUM, U, inside, sequence_hashes, slices
+from flakelens.llm.common import stored
+from flakelens.llm.words import NOT_ALNUM, U, Words, inside, sequence_hashes, slices
 
 WINDOW = 10
 SHINGLE = 3
@@ -120,32 +120,37 @@ class _Index:
                 self.by_size[k] = (keys, rows[first], count)
 
 
+def _places(words: Words, index: _Index) -> tuple[list[list], list[set]]:
+    """Where windows occur in each document, and of which items."""
+    places, who = [[] for _ in range(words.n_docs)], [set() for _ in range(words.n_docs)]
+    h = words.hashes()
+    for k, (keys, first, count) in index.by_size.items():
+        hit, at = _find(keys, sequence_hashes(h, k))
+        many = count[at]
+        entry = np.repeat(first[at] - np.cumsum(many) + many, many) + np.arange(many.sum())
+        window = index.window[entry]
+        start = np.repeat(hit, many) - index.offset[entry]
+        length = index.length[window]
+        doc = np.searchsorted(words.first, np.repeat(hit, many), "right") - 1
+        fits = (start >= words.first[doc]) & (start + length <= words.first[doc + 1])
+        start, window, length, doc = (x[fits] for x in (start, window, length, doc))
+        for n in np.unique(length):
+            all_of_n = sequence_hashes(h, int(n))
+            rows = np.flatnonzero(length == n)
+            for r in rows[all_of_n[start[rows]] == index.whash[window[rows]]]:
+                s, w, d = int(start[r]), int(window[r]), int(doc[r])
+                if b" ".join(words.texts(s, s + int(n))) == index.words[w]:
+                    base = int(words.first[d])
+                    places[d].append((s - base, s - base + int(n)))
+                    who[d].add(index.items[w])
+    return places, who
+
+
 def _hits(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = shared.value
         for batch in batches:
             for words in slices(batch.column("text"), NOT_ALNUM, True):
-                places, who = [[] for _ in range(words.n_docs)], [set() for _ in range(words.n_docs)]
-                h = words.hashes()
-                for k, (keys, first, count) in index.by_size.items():
-                    hit, at = _find(keys, sequence_hashes(h, k))
-                    many = count[at]
-                    entry = np.repeat(first[at] - np.cumsum(many) + many, many) + np.arange(many.sum())
-                    window = index.window[entry]
-                    start = np.repeat(hit, many) - index.offset[entry]
-                    length = index.length[window]
-                    doc = np.searchsorted(words.first, np.repeat(hit, many), "right") - 1
-                    fits = (start >= words.first[doc]) & (start + length <= words.first[doc + 1])
-                    start, window, length, doc = (x[fits] for x in (start, window, length, doc))
-                    for n in np.unique(length):
-                        all_of_n = sequence_hashes(h, int(n))
-                        rows = np.flatnonzero(length == n)
-                        for r in rows[all_of_n[start[rows]] == index.whash[window[rows]]]:
-                            s, w, d = int(start[r]), int(window[r]), int(doc[r])
-                            if b" ".join(words.texts(s, s + int(n))) == index.words[w]:
-                                base = int(words.first[d])
-                                places[d].append((s - base, s - base + int(n)))
-                                who[d].add(index.items[w])
+                places, who = _places(words, shared.value)
                 rows = slice(words.row, words.row + words.n_docs)
                 spots = [[{"a": a, "b": b} for a, b in _union(p)] for p in places]
                 yield pa.RecordBatch.from_arrays(
@@ -158,6 +163,16 @@ def _hits(shared):
     return run
 
 
+def _clean(shared, text_col: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            clean = []
+            for words in slices(batch.column(batch.schema.get_field_index(text_col)), NOT_ALNUM, True):
+                clean += [not p for p in _places(words, shared.value)[0]]
+            yield batch.filter(pa.array(clean, pa.bool_()))
+    return run
+
+
 def _union(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     out: list[tuple[int, int]] = []
     for a, b in sorted(spans):
@@ -173,9 +188,8 @@ _COVERED = """aggregate(array_sort(spots), named_struct('n', 0L, 'end', 0L),
     s -> s.n)"""
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                  item_col: str = "item_id", window: int = WINDOW, part: int = PART) -> DataFrame:
-    """Per document: id, n_words, n_hit, n_items, items_sha256, contaminated."""
+def _indexes(docs: DataFrame, benchmark: DataFrame, text_col: str, item_col: str, window: int, part: int):
+    """The window table in parts, each as a broadcast index."""
     context = docs.sparkSession.sparkContext
     windows = stored(
         benchmark.select(
@@ -188,25 +202,33 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     # rows by a hash of item and window: a part is bounded even if one item or window is most of them
     parts = max(1, -(-windows.count() // part))
     numbered = windows.withColumn("part", F.pmod(F.xxhash64("item", "whash", "length"), F.lit(parts)))
-    texts = docs.select(
-        F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("row"), F.col(text_col).alias("text")
-    )
-    id_type = texts.schema["id"].dataType.simpleString()
-    found = None
     for p in range(parts):
         rows = numbered.filter(F.col("part") == p).collect()
         tokens: dict[int, set] = {}
         for w in rows:
             tokens.setdefault(min(SHINGLE, w.length), set()).update(w["keys"])
         known = {k: np.sort(np.array(list(v), np.int64).view(U)) for k, v in tokens.items()}
-        counts = texts.select("text").mapInArrow(_counts(context.broadcast(known)), "token long, n long")
+        texts = docs.select(F.col(text_col).alias("text"))
+        counts = texts.mapInArrow(_counts(context.broadcast(known)), "token long, n long")
         # at most one row for each shingle of the part
         total = {r.token: r.n for r in counts.groupBy("token").agg(F.sum("n").alias("n")).collect()}
-        index = context.broadcast(_Index(rows, total))
-        schema = f"id {id_type}, row long, n_words long, spots array<struct<a:long,b:long>>, items array<string>"
-        one = texts.mapInArrow(_hits(index), schema)
-        found = one if found is None else found.unionByName(one)
-    if parts > 1:
+        yield context.broadcast(_Index(rows, total))
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+                  item_col: str = "item_id", window: int = WINDOW, part: int = PART) -> DataFrame:
+    """Per document: id, n_words, n_hit, n_items, items_sha256, contaminated."""
+    texts = docs.select(
+        F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("row"), F.col(text_col).alias("text")
+    )
+    id_type = texts.schema["id"].dataType.simpleString()
+    schema = f"id {id_type}, row long, n_words long, spots array<struct<a:long,b:long>>, items array<string>"
+    parts = [texts.mapInArrow(_hits(i), schema)
+             for i in _indexes(docs, benchmark, text_col, item_col, window, part)]
+    found = parts[0]
+    for one in parts[1:]:
+        found = found.unionByName(one)
+    if len(parts) > 1:
         found = found.groupBy("row").agg(
             F.first("id").alias("id"), F.first("n_words").alias("n_words"),
             F.flatten(F.collect_list("spots")).alias("spots"),
@@ -221,17 +243,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     )
 
 
-def without_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
-                         text_col: str = "text", part: int = PART) -> DataFrame:
+def without_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
+                         item_col: str = "item_id", window: int = WINDOW, part: int = PART) -> DataFrame:
     """The documents, with all their columns, that contain no window of an item."""
-    from flakelens.llm.common import small
-
-    dirty = stored(
-        contamination(docs, benchmark, id_col, text_col, part=part).filter("contaminated")
-        .select(F.col(id_col).alias("dirty_id"))
-        .distinct(),
-        "dirty",
-    )
-    name, = fresh(docs, "_dirty")
-    dirty = dirty.withColumnRenamed("dirty_id", name)
-    return docs.join(small(dirty), docs[id_col].eqNullSafe(dirty[name]), "left_anti")
+    out = docs
+    for index in _indexes(docs, benchmark, text_col, item_col, window, part):
+        out = out.mapInArrow(_clean(index, text_col), docs.schema)
+    return out

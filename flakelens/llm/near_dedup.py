@@ -29,8 +29,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from flakelens.llm.common import small, stored
+from flakelens.llm.common import fresh, small, stored
 from flakelens.llm.words import SPACES, U, Words, inside, mix, sequence_hashes, slices
 
 BANDS, WIDTH = 36, 5
@@ -136,6 +137,19 @@ def _sets(k: int):
     return run
 
 
+def _printed(k: int, text_col: str, one: str, two: str):
+    """The rows with the prints of their sets; both are 0 for an empty set."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            prints = [
+                _prints(s) for words in slices(batch.column(batch.schema.get_field_index(text_col)), SPACES, True)
+                for s in shingle_sets(words, k)
+            ]
+            a, b = (pa.array([p[i] for p in prints], pa.int64()) for i in (0, 1))
+            yield pa.RecordBatch.from_arrays([*batch.columns, a, b], names=[*batch.schema.names, one, two])
+    return run
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component) of an edge table (a, b); the component is its smallest node.
 
@@ -219,6 +233,45 @@ def _pair(x: str, y: str) -> list:
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     shingle: int = 5, per_cent: int = 80) -> DataFrame:
     """Per document: id, n_shingles, component_id, kept (the smallest id stays)."""
+    return _components(docs, id_col, text_col, shingle, per_cent).select(
+        F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id",
+        F.col("id").eqNullSafe(F.col("component_id")).alias("kept"),
+    )
+
+
+def distinct_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+                       shingle: int = 5, per_cent: int = 80) -> DataFrame:
+    """One document of each component, with all its columns: the one with the smallest id.
+
+    Of rows that repeat this id the one with the least set prints stays; of those
+    whose sets are equal too, any one.  Documents without words all stay.
+    """
+    rows = stored(_components(docs, id_col, text_col, shingle, per_cent), "components")
+    again = rows.groupBy("id").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1 or id is null")
+    one, two, drop = fresh(docs, "_one", "_two", "_drop")
+    if again.isEmpty():
+        gone = rows.filter("id <> component_id").select(F.col("id").alias(drop))
+        gone = small(stored(gone, "gone"))
+        return docs.join(gone, docs[id_col] == gone[drop], "left_anti")
+    stays = stored(
+        rows.filter("n > 0").groupBy("component")
+        .agg(F.min(F.struct(F.col("id").isNull(), "id", "one", "two")).alias("s"))
+        .select(F.col("s.id").alias(drop), F.col("s.one").alias("one_"), F.col("s.two").alias("two_")),
+        "stays",
+    )
+    schema = StructType([*docs.schema.fields, StructField(one, LongType()), StructField(two, LongType())])
+    printed = docs.mapInArrow(_printed(shingle, text_col, one, two), schema)
+    full = printed.join(
+        small(stays),
+        printed[id_col].eqNullSafe(F.col(drop)) & (F.col(one) == F.col("one_")) & (F.col(two) == F.col("two_")),
+        "left_semi",
+    ).dropDuplicates([id_col, one, two])
+    empty = printed.filter((F.col(one) == 0) & (F.col(two) == 0))
+    return full.unionByName(empty).drop(one, two)
+
+
+def _components(docs: DataFrame, id_col: str, text_col: str, shingle: int, per_cent: int) -> DataFrame:
+    """Per document: id, n, prints of its set, component and its smallest id."""
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     rows = stored(
         texts.mapInArrow(_signatures(shingle), "id long, n long, one long, two long, bands array<long>"),
@@ -272,7 +325,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         tested = tested.unionByName(confirm(new))
     else:
         components = connected_components(tested.filter("linked"))
-    return _labelled(rows, classes, components, id_col)
+    return _labelled(rows, classes, components)
 
 
 def _remaining(open_rows: DataFrame, buckets: DataFrame, tested: DataFrame, per_cent: int) -> DataFrame:
@@ -298,20 +351,17 @@ def _remaining(open_rows: DataFrame, buckets: DataFrame, tested: DataFrame, per_
     )
 
 
-def _labelled(rows: DataFrame, classes: DataFrame, components: DataFrame, id_col: str) -> DataFrame:
+def _labelled(rows: DataFrame, classes: DataFrame, components: DataFrame) -> DataFrame:
     placed = (
         classes.select("cid", "doc", "one", "two", "n")
         .join(components.withColumnRenamed("node", "cid"), "cid", "left")
         .withColumn("component", F.coalesce("component", "cid"))
     )
     least = placed.groupBy("component").agg(F.min("doc").alias("component_id"))
-    named = stored(placed.join(least, "component").select("one", "two", "n", "component_id"), "named")
-    full = rows.filter("n > 0").select("id", "n", "one", "two").join(small(named), ["one", "two", "n"])
-    empty = rows.filter("n = 0").withColumn("component_id", F.col("id"))
-    return (
-        full.select("id", "n", "component_id").unionByName(empty.select("id", "n", "component_id"))
-        .select(
-            F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id",
-            F.col("id").eqNullSafe(F.col("component_id")).alias("kept"),
-        )
+    named = stored(
+        placed.join(least, "component").select("one", "two", "n", "component", "component_id"), "named"
     )
+    narrow = rows.select("id", "n", "one", "two")
+    full = narrow.filter("n > 0").join(small(named), ["one", "two", "n"])
+    empty = narrow.filter("n = 0").withColumns({"component": F.lit(None).cast("long"), "component_id": F.col("id")})
+    return full.unionByName(empty)

@@ -2,9 +2,20 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from flakelens.llm import decontamination, exact_dedup, near_dedup, sharding, substring_dedup, url_filter
+from flakelens.llm import (
+    decontamination,
+    exact_dedup,
+    near_dedup,
+    packing,
+    quality,
+    sharding,
+    substring_dedup,
+    token_counts,
+    url_filter,
+)
 from flakelens.llm.common import table
 
 SHARDS = 8
@@ -16,6 +27,12 @@ RULES = [  # host, path, action
 ]
 
 
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(
+        table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model")
+    )
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
 
@@ -24,6 +41,10 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(table(spark, sf_dir, "documents"), [1.0] * SHARDS)
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_scores(table(spark, sf_dir, "documents"))
+
+
 def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, per_cent=85)
 
@@ -41,6 +62,10 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.repeated_windows(table(spark, sf_dir, "documents"))
 
 
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 OP2_SQL = """
 with d as (
   select doc_id, sha256(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
@@ -76,10 +101,13 @@ from best
 """
 
 QUERIES = {
+    "op1_token_counts": (op1_token_counts, None),
     "op2_exact_dedup": (op2_exact_dedup, OP2_SQL),
     "op3_sharding": (op3_sharding, None),
+    "op4_quality": (op4_quality, None),
     "op5_minhash": (op5_minhash, None),
     "op7_decontamination": (op7_decontamination, None),
     "op8_url_filter": (op8_url_filter, OP8_SQL),
     "op9_substring_dedup": (op9_substring_dedup, None),
+    "op10_packing": (op10_packing, None),
 }

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from flakelens.llm import (
     decontamination,
     exact_dedup,
+    html_text,
     near_dedup,
     packing,
     quality,
@@ -49,6 +50,10 @@ def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, per_cent=85)
 
 
+def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.main_text(table(spark, sf_dir, "pages"))
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -106,6 +111,7 @@ QUERIES = {
     "op3_sharding": (op3_sharding, None),
     "op4_quality": (op4_quality, None),
     "op5_minhash": (op5_minhash, None),
+    "op6_html_text": (op6_html_text, None),
     "op7_decontamination": (op7_decontamination, None),
     "op8_url_filter": (op8_url_filter, OP8_SQL),
     "op9_substring_dedup": (op9_substring_dedup, None),

@@ -166,7 +166,7 @@ def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     key_schema = ", ".join(f"{k} long" for k in keys)
     runs = stored(
         columns.mapInArrow(_emit_runs(window, keys, False), f"{key_schema}, slot long, fc long, start int, n int")
-        .join(small(recurring, 4 * BROADCAST_ROWS), "slot", "left_semi"),
+        .join(small(recurring), "slot", "left_semi"),
         "runs",
     )
     firsts = stored(

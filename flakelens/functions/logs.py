@@ -16,6 +16,7 @@ from .text import (
     let,
     lines,
     ordered_distinct,
+    plain_path,
     region_between,
     strip_marker,
     trim_ws,
@@ -151,7 +152,7 @@ def report_dir(line: Column) -> Column:
         line, F.lit(rules.REPORT_DIR_END)
     )
     tail = after_last(line, rules.REPORT_DIR_START)
-    return F.when(named, trim_ws(F.substring_index(tail, "for", 1)))
+    return F.when(named, trim_ws(plain_path(trim_ws(F.substring_index(tail, rules.REPORT_DIR_END, 1)))))
 
 
 def report_dirs(content: Column) -> Column:

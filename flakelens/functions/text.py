@@ -162,3 +162,10 @@ def union_messages(first: Column, second: Column) -> Column:
 
 def joined(values: Column) -> Column:
     return F.array_join(values, "\n")
+
+
+def plain_path(path: Column) -> Column:
+    """A path without scheme and authority, percent-decoded if it was a URI."""
+    bare = F.regexp_replace(path, r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?(?=/)", "")
+    decoded = F.try_url_decode(F.replace(bare, F.lit("+"), F.lit("%2B")))
+    return F.when(bare != path, F.coalesce(decoded, bare)).otherwise(path)

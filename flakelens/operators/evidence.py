@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .. import rules, schemas
 from ..functions import fqn as names
@@ -50,10 +51,25 @@ def enclosing_methods(points: DataFrame, methods: DataFrame, keys: Sequence[str]
     )
 
 
+def _cases(suite, depth: int = schemas.SUITE_DEPTH):
+    """All cases of a suite and the suites below it."""
+    own = F.coalesce(suite["testcase"], F.array().cast(T.ArrayType(schemas.TESTCASE)))
+    if not depth:
+        return own
+    below = F.flatten(F.transform(suite["testsuite"], lambda s: _cases(s, depth - 1)))
+    return F.concat(own, F.coalesce(below, F.array().cast(T.ArrayType(schemas.TESTCASE))))
+
+
+def is_unreadable(xml):
+    """Is a report no well-formed XML?"""
+    suite = F.from_xml(xml, schemas.TESTSUITE)
+    return suite.isNull() | suite["_corrupt_record"].isNotNull()
+
+
 def report_cases(reports: DataFrame, keys: Sequence[str], xml: str = "xml") -> DataFrame:
     """Test cases of JUnit-style reports, one row each, with their problem text."""
     suite = F.from_xml(F.col(xml), schemas.TESTSUITE)
-    cases = generate(reports, keys, suite["testcase"], "case")
+    cases = generate(reports, keys, text.let(suite, lambda s: _cases(s)), "case")
 
     def first(kind: str):
         problem = F.try_element_at(F.col("case")[kind], F.lit(1))
@@ -82,7 +98,7 @@ def reported_messages(xml, class_fqn, name):
 
     def own(suite):
         cases = F.filter(
-            suite["testcase"], lambda c: (c["_classname"] == class_fqn) & (c["_name"] == name)
+            _cases(suite), lambda c: (c["_classname"] == class_fqn) & (c["_name"] == name)
         )
         return text.ordered_distinct(F.flatten(F.transform(cases, messages)))
 
@@ -111,11 +127,12 @@ def report_failures(tests: DataFrame, reports: DataFrame, keys: Sequence[str] =
                     class_scope: bool = False) -> DataFrame:
     """Messages of the failed cases of each test.
 
-    ``tests`` has ``test_id, class_fqn, name``.  ``class_scope`` takes all cases
-    of the class, not only the test's own.
+    ``tests`` has ``test_id, class_fqn, name`` and the ``keys`` (run, or repository
+    and revision), so a report never reaches the same-named test of another project.
+    ``class_scope`` takes all cases of the class, not only the test's own.
     """
     cases = report_cases(reports, keys)
-    on = ["class_fqn"] if class_scope else ["class_fqn", "name"]
+    on = [*keys, "class_fqn"] if class_scope else [*keys, "class_fqn", "name"]
     failed = cases.filter(F.col("has_error") | F.col("has_failure"))
     if class_scope:
         failed = failed.drop("name")
@@ -125,29 +142,40 @@ def report_failures(tests: DataFrame, reports: DataFrame, keys: Sequence[str] =
     return tests.join(rows, on)
 
 
+def _class_ends(path):
+    """Class names a report file can be for: its name after the prefix, up to each end of a word."""
+    stem = F.regexp_replace(
+        F.substring_index(text.last_segment(path), rules.REPORT_NAME_PREFIX, -1), text.quote(rules.REPORT_SUFFIX) + "$", ""
+    )
+    cuts = F.filter(
+        F.sequence(F.lit(1), F.greatest(F.length(stem), F.lit(1))),
+        lambda i: (i == F.length(stem)) | ~F.substring(stem, i + 1, F.lit(1)).rlike(r"\w"),
+    )
+    return F.transform(cuts, lambda i: F.substring(stem, F.lit(1), i))
+
+
 def reports_of_runs(runs: DataFrame, reports: DataFrame) -> DataFrame:
-    """Reports in the directories the logs refer to.
+    """Reports of a run's class in the directories its log refers to.
 
     ``runs`` has ``run_id, class_fqn, report_dir``; ``reports`` has ``path``.
-    Each report is listed under all directories above it, so the walk below a
-    directory is an equi join.  Only paths are listed; the report text joins the
-    matches by path and moves once.
+    Each report is listed under all directories above it and the class its name
+    holds, so the walk below a directory is an equi join, and a folder that all
+    tests of a module share pairs each of them with its own reports only.  Only
+    paths are listed; the report text joins the matches by path and moves once.
     """
     parts = F.split(F.col("path"), "/")
     above = F.transform(
         F.sequence(F.lit(1), F.size(parts) - 1),
         lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"),
     )
-    listed = reports.filter(F.endswith(F.col("path"), F.lit(rules.REPORT_SUFFIX))).filter(
-        F.size(parts) > 1
-    ).select("path", F.explode_outer(above).alias("report_dir"))
-    wanted = runs.withColumn("report_dir", F.rtrim(F.col("report_dir"), F.lit("/")))
-    found = wanted.join(listed, "report_dir").filter(
-        F.contains(
-            text.last_segment(F.col("path")),
-            F.concat(F.lit(rules.REPORT_NAME_PREFIX), F.col("class_fqn")),
-        )
+    listed = (
+        reports.filter(F.endswith(F.col("path"), F.lit(rules.REPORT_SUFFIX)))
+        .filter((F.size(parts) > 1) & F.contains(text.last_segment(F.col("path")), F.lit(rules.REPORT_NAME_PREFIX)))
+        .select("path", F.explode_outer(_class_ends(F.col("path"))).alias("class_fqn"))
+        .select("path", "class_fqn", F.explode_outer(above).alias("report_dir"))
     )
+    wanted = runs.withColumn("report_dir", F.rtrim(F.col("report_dir"), F.lit("/")))
+    found = wanted.join(listed, ["report_dir", "class_fqn"])
     return found.join(reports.hint("merge"), "path")
 
 
@@ -166,8 +194,10 @@ def evidence_bundle(run_logs: DataFrame, sources: DataFrame,
     code = sources.select("path", F.col("content").alias("_source"))
     # texts are large whatever the planner estimates: no broadcast of them
     joined = found.join(code.hint("merge"), "path", "left")
-    source_lines = text.lines(F.col("_source"))
-    err_code = F.transform("line_numbers", lambda n: text.line_at(source_lines, n))
+    err_code = text.let(
+        text.lines(F.col("_source")),
+        lambda all_lines: F.transform("line_numbers", lambda n: text.line_at(all_lines, n)),
+    )
     none = F.array().cast("array<string>")
     messages = F.col("compile_messages")
     if report_messages is not None:

@@ -46,13 +46,14 @@ def candidates(manifest: DataFrame, files: DataFrame, suffix: str = rules.SOURCE
     ``manifest`` needs ``test_id, repo, sha, module, test_fqn``; ``files`` needs
     ``repo, sha, path``.  The class name is part of the join key, so a large
     repository is not paired with all its tests; the path conditions are the
-    residual.
+    residual.  A test that the manifest lists more than once (in several
+    categories, say) is looked for once.
     """
     tests = manifest.select(
         "test_id", "repo", "sha", "module",
         names.short_class(F.col("test_fqn")).alias("_short"),
         names.class_path(F.col("test_fqn")).alias("_class_path"),
-    ).filter(F.col("_short").isNotNull())
+    ).filter(F.col("_short").isNotNull()).distinct()
     paths = files.select("repo", "sha", "path").filter(
         F.endswith(F.col("path"), F.lit(suffix)) & F.contains(F.lower("path"), F.lit(test_dir))
     )

@@ -120,13 +120,18 @@ def dependency_rows(df: DataFrame, keys: Sequence[str], pom: str = "pom") -> Dat
     return df.select(*keys, F.inline_outer(found)).filter("artifact_id is not null")
 
 
-def missing_dependency_rows(wanted: DataFrame, present: DataFrame,
-                            keys: Sequence[str]) -> DataFrame:
-    """Wanted artifacts the build file lacks, each once, no placeholders."""
+def missing_dependency_rows(wanted: DataFrame, present: DataFrame, keys: Sequence[str],
+                            by: Sequence[str] = ()) -> DataFrame:
+    """Wanted artifacts the build file lacks, each once, no placeholders.
+
+    ``keys`` name the build file; ``by`` names who asks, if that is not the same.
+    """
     absent = wanted.filter(~F.col("is_placeholder")).join(
         present.select(*keys, "artifact_id"), [*keys, "artifact_id"], "left_anti"
     )
-    return absent.groupBy(*keys, "artifact_id").agg(F.min("xml").alias("xml"))
+    return absent.groupBy(*(by or keys), "artifact_id").agg(
+        F.min("xml").alias("xml"), F.count(F.lit(1)).alias("n_asked")
+    )
 
 
 def artifact_rows(df: DataFrame, keys: Sequence[str], content: str = "content") -> DataFrame:

@@ -1,11 +1,10 @@
 """Running values over ordered sequences of unbounded length.
 
-A window partitioned by a key puts all rows of the key into one task.  Here the
-sequence of a hot key is cut into chunks that follow its order (for example
-hours): values run inside each chunk, a small table of chunk totals gives every
-chunk its start value, and both are joined on (key, chunk).  The rows are
-shuffled once, by (key, chunk), so a key with a third of all rows is spread over
-its chunks, while all other keys are one chunk each.
+A window partitioned by a key puts all rows of the key into one task.  Here every
+sequence is cut into chunks that follow its order (for example hours): values run
+inside each chunk, a small table of chunk totals gives every chunk its start value,
+and both are joined on (key, chunk).  The rows are shuffled once, by (key, chunk), so
+a key with a third of all rows is spread over its chunks.
 """
 
 from __future__ import annotations
@@ -16,7 +15,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 Order = Sequence[str]
-HOT_ROWS = 1_000_000
 # Keys and chunk as structs: never null themselves, and equal when their null
 # fields agree, so windows, totals and the join share one hash partitioning.
 _KEY, _CHUNK = "_key", "_chunk"
@@ -27,28 +25,12 @@ def time_chunk(ts: str, unit: str = "hour") -> Column:
     return F.date_trunc(unit, F.col(ts))
 
 
-def _chunked(df: DataFrame, keys: Sequence[str], chunk: Column,
-             values: dict[str, Column], hot_rows: int | None) -> DataFrame:
-    """Add key, chunk and value columns.
-
-    Keys with more than ``hot_rows`` rows are chunked, all keys if it is None.
-    The broadcast is bounded by construction: of n rows at most
-    n / ``hot_rows`` keys are hot.  Counts are exact, so every evaluation of
-    the plan finds the same hot keys.
-    """
-    rows = df.withColumns(
-        {_KEY: F.struct(*keys), **{f"_v_{name}": value for name, value in values.items()}}
-    )
-    if hot_rows is None:
-        return rows.withColumn(_CHUNK, F.struct(chunk.alias("c")))
-    hot = (
-        df.select(F.struct(*keys).alias(_KEY))
-        .groupBy(_KEY).agg(F.count(F.lit(1)).alias("_n"))
-        .filter(F.col("_n") > hot_rows)
-        .select(_KEY, F.lit(True).alias("_hot"))
-    )
-    marked = rows.join(F.broadcast(hot), _KEY, "left")
-    return marked.withColumn(_CHUNK, F.struct(F.when(F.col("_hot"), chunk).alias("c"))).drop("_hot")
+def _chunked(df: DataFrame, keys: Sequence[str], chunk: Column, values: dict[str, Column]) -> DataFrame:
+    """Add key, chunk and value columns."""
+    return df.withColumns({
+        _KEY: F.struct(*keys), _CHUNK: F.struct(chunk.alias("c")),
+        **{f"_v_{name}": value for name, value in values.items()},
+    })
 
 
 def _inside(order: Order, upper: int):
@@ -68,9 +50,9 @@ def _finish(local: DataFrame, starts: DataFrame, values: dict[str, Column], comb
 
 
 def running_sums(df: DataFrame, keys: Sequence[str], order: Order, chunk: Column,
-                 values: dict[str, Column], hot_rows: int | None = HOT_ROWS) -> DataFrame:
+                 values: dict[str, Column]) -> DataFrame:
     """Add inclusive running sums of ``values`` per key in the given order."""
-    rows = _chunked(df, keys, chunk, values, hot_rows)
+    rows = _chunked(df, keys, chunk, values)
     totals = rows.groupBy(_KEY, _CHUNK).agg(*[F.sum(f"_v_{n}").alias(f"_t_{n}") for n in values])
     starts = totals.select(
         _KEY, _CHUNK,
@@ -83,10 +65,9 @@ def running_sums(df: DataFrame, keys: Sequence[str], order: Order, chunk: Column
 
 
 def last_known(df: DataFrame, keys: Sequence[str], order: Order, chunk: Column,
-               values: dict[str, Column], include_current: bool = True,
-               hot_rows: int | None = HOT_ROWS) -> DataFrame:
+               values: dict[str, Column], include_current: bool = True) -> DataFrame:
     """Add the last non-null value so far (with or without the current row)."""
-    rows = _chunked(df, keys, chunk, values, hot_rows)
+    rows = _chunked(df, keys, chunk, values)
     position = F.struct(*order)
     totals = rows.groupBy(_KEY, _CHUNK).agg(
         *[F.max_by(f"_v_{n}", F.when(F.col(f"_v_{n}").isNotNull(), position)).alias(f"_t_{n}")
@@ -105,8 +86,7 @@ def last_known(df: DataFrame, keys: Sequence[str], order: Order, chunk: Column,
 
 
 def balanced_regions(df: DataFrame, keys: Sequence[str], order: Order, chunk: Column,
-                     opens: Column, closes: Column,
-                     hot_rows: int | None = HOT_ROWS) -> DataFrame:
+                     opens: Column, closes: Column) -> DataFrame:
     """Balanced regions of an ordered row sequence.
 
     Depth is the running ``opens - closes``.  A region ends where the depth
@@ -116,12 +96,12 @@ def balanced_regions(df: DataFrame, keys: Sequence[str], order: Order, chunk: Co
     delta = opens - closes
     depth = running_sums(
         df.withColumn("_delta", delta), keys, order, chunk,
-        {"depth": F.col("_delta"), "position": F.lit(1)}, hot_rows,
+        {"depth": F.col("_delta"), "position": F.lit(1)},
     )
     ends = (F.col("depth") == 0) & (F.col("_delta") < 0)
     closed = running_sums(
         depth.withColumn("is_close", ends), keys, order, chunk,
-        {"_ends": F.col("is_close").cast("int")}, hot_rows,
+        {"_ends": F.col("is_close").cast("int")},
     )
     return closed.withColumn(
         "region_id", F.col("_ends") - F.col("is_close").cast("int")

@@ -51,7 +51,10 @@ def _files(spark, sf):
 
 
 def localize_status(spark, sf):
-    return localize.localize(_manifest(spark, sf), _files(spark, sf)).select(
+    """Every fifth test is listed in two categories."""
+    manifest = _manifest(spark, sf)
+    listed = manifest.unionByName(manifest.filter("test_id % 5 = 0"))
+    return localize.localize(listed, _files(spark, sf)).select(
         "test_id", "n_candidates", "localization_status", "path"
     )
 
@@ -80,7 +83,7 @@ def report_failures(spark, sf):
     """Logs name a report folder, its reports give the cases, the cases meet their tests."""
     reports = _run_reports(spark, sf).select("run_id", "xml")
     tests = evidence.class_names_of(
-        d.run_logs(spark, sf).select("test_id", "test_fqn").distinct()
+        d.run_logs(spark, sf).select("run_id", "test_id", "test_fqn")
     ).drop("test_fqn")
     return evidence.report_failures(tests, reports, ["run_id"]).select(
         "test_id", "run_id", "has_error", "has_failure", "message"
@@ -227,14 +230,14 @@ WHERE applied AND iter <= coalesce(fixed_at, 5) GROUP BY t.o_custkey"""
 QUERIES = {
     "localize_status": (
         localize_status,
-        f"""SELECT m.c_custkey AS test_id, count(f.path) AS n_candidates,
+        f"""WITH r AS (SELECT m.c_custkey AS test_id, count(f.path) AS n_candidates,
         CASE count(f.path) WHEN 0 THEN '{rules.NOT_LOCALIZED}' WHEN 1 THEN '{rules.LOCALIZED}'
           ELSE '{rules.AMBIGUOUS}' END AS localization_status,
         CASE WHEN count(f.path) = 1 THEN min(f.path) END AS path
         FROM ({_MANIFEST}) m LEFT JOIN ({_FILES}) f ON m.repo = f.repo AND m.sha = f.sha
           AND ends_with(f.path, m.class || '.java') AND contains(f.path, m.class_path)
           AND contains(f.path, m.module) AND contains(lower(f.path), '/test/')
-        GROUP BY m.c_custkey""",
+        GROUP BY m.c_custkey) SELECT * FROM r UNION ALL SELECT * FROM r WHERE test_id % 5 = 0""",
     ),
     "line_lookup": (
         line_lookup,

@@ -66,10 +66,9 @@ def missing_dependencies(spark, sf):
     )
     wanted = patches.dependency_rows(poms, ["attempt_id", "test_id"])
     present = patches.artifact_rows(d.build_files(spark, sf), ["test_id"], "build_content")
-    absent = wanted.filter(~F.col("is_placeholder")).join(
-        present, ["test_id", "artifact_id"], "left_anti"
+    return patches.missing_dependency_rows(wanted, present, ["test_id"], ["attempt_id"]).select(
+        "attempt_id", "artifact_id", "n_asked"
     )
-    return absent.groupBy("attempt_id", "artifact_id").agg(F.count(F.lit(1)).alias("n_asked"))
 
 
 def list_patch(spark, sf):

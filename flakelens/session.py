@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -29,26 +28,21 @@ def build_session(app: str = "flakelens", master: str | None = None, **conf: str
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Distribute rows ahead of costly per-row work.
 
-    The number of partitions is fixed: sized by bytes, adaptive execution would
-    join rows that are small on the wire but expensive to parse into few tasks.
-    Rows go by a hash of the keys, not the keys, so that joins before and after
-    keep their own exchange, which adaptive execution can split where one key
-    is hot.
+    Adaptive execution sizes the partitions by bytes, splits large ones and keeps
+    at least the default parallelism.  Rows go by a hash of the keys, not the keys,
+    so that joins before and after keep their own exchange, which adaptive execution
+    can split where one key is hot.
     """
-    shuffle = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartition(shuffle, F.xxhash64(*keys))
+    return df.withColumn("_spread", F.xxhash64(*keys)).hint("rebalance", "_spread").drop("_spread")
 
 
 def scratch_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder for intermediate tables.
 
-    It lies under ``spark.checkpoint.dir``, which every executor of a cluster
-    can reach.  Only where that is unset (tests, local mode) is a local
-    temporary folder used.
+    It lies under ``spark.checkpoint.dir``, or where that is unset under the
+    warehouse: both are shared by the executors of a cluster.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        root = tempfile.mkdtemp(prefix="flakelens-")
+        root = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"

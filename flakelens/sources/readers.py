@@ -4,18 +4,21 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .. import rules, schemas
 from ..functions import fqn as names
+from ..functions.text import plain_path
 from ..operators.scans import running_sums
 
-_CORRUPT = "_corrupt_record"
-_CSV_FIELDS = r'(?:^|,)("(?:[^"]|"")*"|[^,]*)'
+# Every field follows a comma (one is put before the record).  The quantifiers are
+# possessive: nothing is tried twice, and long quoted fields need no deep stack.
+_CSV_FIELDS = r',("(?:[^"]++|"")*+"|[^,]*)'
+_CSV_RECORDS = r'(?:^|\n)((?:"(?:[^"]++|"")*+"|[^"\n]++)*+)'
+_NO_CHARACTER = "\u0001"  # separates the fields of no record
 
 
 def _csv_fields(record: Column) -> Column:
-    raw = F.regexp_extract_all(record, F.lit(_CSV_FIELDS), F.lit(1))
+    raw = F.regexp_extract_all(F.concat(F.lit(","), record), F.lit(_CSV_FIELDS), F.lit(1))
     return F.transform(
         raw,
         lambda f: F.when(
@@ -25,36 +28,42 @@ def _csv_fields(record: Column) -> Column:
     )
 
 
+def _csv_records(spark: SparkSession, path: str, multi_line: bool) -> DataFrame:
+    """Records without the header of each file."""
+    if not multi_line:
+        return (
+            spark.read.schema("record string").option("header", True).option("enforceSchema", True)
+            .option("sep", _NO_CHARACTER).option("quote", "").option("escape", "")
+            .csv(path)
+        )
+    whole = spark.read.text(path, wholetext=True).select(_as_text(F.col("value")).alias("text"))
+    records = F.filter(
+        F.regexp_extract_all("text", F.lit(_CSV_RECORDS), F.lit(1)), lambda r: r != ""
+    )
+    return whole.select(F.explode_outer(F.slice(records, F.lit(2), F.size(records))).alias("record")).filter(
+        "record is not null"
+    )
+
+
 def read_test_manifest(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
     """Test manifest: CSV with a header, eight columns taken by position.
 
     All values are strings.  Empty fields stay empty strings; fields a short
     row lacks are null; fields beyond the eighth are kept in ``surplus``.
     Adds ``repo`` and ``test_id``.  ``multi_line`` admits line breaks in quoted
-    fields, at the price of one task per file.
+    fields, at the price of one task per file.  Records are read whole and split
+    here, so rows do not depend on the columns that are selected.
     """
-    schema = T.StructType(list(schemas.MANIFEST.fields)).add(_CORRUPT, "string")
-    raw = (
-        spark.read.schema(schema)
-        .option("header", True)
-        .option("enforceSchema", True)
-        .option("escape", '"')
-        .option("multiLine", multi_line)
-        .option("columnNameOfCorruptRecord", _CORRUPT)
-        .csv(path)
-    )
-    fields = _csv_fields(F.col(_CORRUPT))
+    rows = _csv_records(spark, path, multi_line).select(_csv_fields(F.col("record")).alias("_f"))
     width = len(schemas.MANIFEST_COLUMNS)
-    filled = [
-        F.when(
-            F.col(_CORRUPT).isNull() | (F.size(fields) > i), F.coalesce(F.col(c), F.lit(""))
-        ).alias(c)
-        for i, c in enumerate(schemas.MANIFEST_COLUMNS)
-    ]
+    fields = F.col("_f")
     surplus = F.when(
         F.size(fields) > width, F.slice(fields, F.lit(width + 1), F.size(fields) - width)
     )
-    return raw.select(*filled, surplus.alias("surplus")).withColumns(
+    return rows.select(
+        *[F.try_element_at(fields, F.lit(i + 1)).alias(c) for i, c in enumerate(schemas.MANIFEST_COLUMNS)],
+        surplus.alias("surplus"),
+    ).withColumns(
         {
             "repo": names.repo_name(F.col("project_url")),
             "test_id": names.test_id(
@@ -97,13 +106,14 @@ def _as_text(value: Column) -> Column:
 def read_tree(spark: SparkSession, path: str, glob: str = "*" + rules.SOURCE_SUFFIX) -> DataFrame:
     """Every matching file below a folder as ``(path, content)``.
 
-    Undecodable bytes are ignored and line ends are unified.
+    Undecodable bytes are ignored and line ends are unified.  Paths have no scheme
+    and no percent signs, as logs name them.
     """
     return (
         spark.read.option("recursiveFileLookup", True)
         .option("pathGlobFilter", glob)
         .text(path, wholetext=True)
-        .select(F.col("_metadata.file_path").alias("path"), _as_text(F.col("value")).alias("content"))
+        .select(plain_path(F.col("_metadata.file_path")).alias("path"), _as_text(F.col("value")).alias("content"))
     )
 
 
@@ -119,13 +129,13 @@ def read_log_lines(spark: SparkSession, path: str, glob: str = "*.log") -> DataF
         .option("pathGlobFilter", glob)
         .text(path)
         .select(
-            F.col("_metadata.file_path").alias("path"),
+            plain_path(F.col("_metadata.file_path")).alias("path"),
             F.col("_metadata.file_block_start").alias("_block"),
             F.monotonically_increasing_id().alias("_row"),
             F.col("value").alias("line"),
         )
     )
-    numbered = running_sums(rows, ["path"], ["_row"], F.col("_block"), {"line_no": F.lit(1)}, None)
+    numbered = running_sums(rows, ["path"], ["_row"], F.col("_block"), {"line_no": F.lit(1)})
     return numbered.select("path", F.col("line_no").cast("int").alias("line_no"), "line")
 
 
@@ -134,6 +144,7 @@ def read_build_files(spark: SparkSession, path: str, glob: str = rules.BUILD_FIL
 
 
 def read_reports(spark: SparkSession, path: str, glob: str = "*" + rules.REPORT_SUFFIX) -> DataFrame:
+    """Test reports as ``(path, xml)``."""
     return read_tree(spark, path, glob).withColumnRenamed("content", "xml")
 
 

@@ -95,12 +95,11 @@ def test_running_sums_and_last_known_equal_brute_force(spark):
     rows = skewed(random.Random(1))
     df = spark.createDataFrame(rows, SEQ)
     chunk = F.floor(F.col("t") / 50)
-    hot = 100  # only the large key and the null key are chunked
     sums = scans.running_sums(
-        df, ["k"], ["t", "i"], chunk, {"s": F.col("delta"), "n": F.lit(1)}, hot)
-    last = scans.last_known(df, ["k"], ["t", "i"], chunk, {"w": F.col("v")}, hot_rows=hot)
+        df, ["k"], ["t", "i"], chunk, {"s": F.col("delta"), "n": F.lit(1)})
+    last = scans.last_known(df, ["k"], ["t", "i"], chunk, {"w": F.col("v")})
     prev = scans.last_known(
-        df, ["k"], ["t", "i"], chunk, {"w": F.col("v")}, include_current=False, hot_rows=None)
+        df, ["k"], ["t", "i"], chunk, {"w": F.col("v")}, include_current=False)
     want = {}
     for seq in by_key(rows).values():
         total, known = 0, None
@@ -117,9 +116,9 @@ def test_running_sums_and_last_known_equal_brute_force(spark):
 def test_chunking_does_not_change_the_result(spark):
     df = spark.createDataFrame(skewed(random.Random(2)), SEQ)
     one = scans.running_sums(df, ["k"], ["t", "i"], F.lit(0), {"s": F.col("delta")})
-    for hot in (None, 1, 50, 10_000):
+    for width in (1, 3, 50, 10_000):
         many = scans.running_sums(
-            df, ["k"], ["t", "i"], F.floor(F.col("t") / 3), {"s": F.col("delta")}, hot)
+            df, ["k"], ["t", "i"], F.floor(F.col("t") / width), {"s": F.col("delta")})
         assert one.exceptAll(many).isEmpty() and many.exceptAll(one).isEmpty()
 
 
@@ -129,7 +128,7 @@ def test_balanced_regions_equal_brute_force(spark):
     got = scans.region_summary(
         scans.balanced_regions(
             df, ["k"], ["t", "i"], F.floor(F.col("t") / 40),
-            (F.col("delta") == 1).cast("int"), (F.col("delta") == -1).cast("int"), 100,
+            (F.col("delta") == 1).cast("int"), (F.col("delta") == -1).cast("int"),
         ),
         ["k"],
     )
@@ -203,7 +202,8 @@ REPORT = """<testsuite name="s">
 
 
 def test_report_failures(spark):
-    tests = spark.createDataFrame([("1", "a.B", "t"), ("2", "a.B", "fine")], "test_id string, class_fqn string, name string")
+    tests = spark.createDataFrame([("1", "a.B", "t", "r"), ("2", "a.B", "fine", "r"), ("3", "a.B", "t", "other")],
+                                  "test_id string, class_fqn string, name string, run string")
     reports = spark.createDataFrame([("r", REPORT), ("bad", "<oops"), ("empty", "<testsuite/>")], "run string, xml string")
     own = evidence.report_failures(tests, reports, ["run"])
     assert sorted((r.test_id, r.message) for r in own.collect()) == [("1", "E1"), ("1", "m 1")]

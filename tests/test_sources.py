@@ -92,3 +92,75 @@ def test_log_lines_of_split_files(spark, tmp_path):
         assert got.filter(F.col("line") != want).isEmpty()
     finally:
         spark.conf.set(key, old)
+
+
+def test_manifest_rows_do_not_depend_on_the_selection(spark, tmp_path):
+    long = "x" * 100_000
+    (tmp_path / "m.csv").write_text(
+        HEADER
+        + "https://h/o/nine,s1,m,a.B.t,ID,,,,extra\n"
+        + f'https://h/o/long,s2,m,a.B.u,ID,,,"{long}","{"a" * 50_000}""{"b" * 50_000}"\n'
+        + f'https://h/o/pairs,s2,m,a.B.u,ID,,,,"{chr(34) * 40_000}"\n'
+        + ",s3,m,a.B.w,ID,,,,more\n"
+        + "https://h/o/short,s4\n"
+    )
+    full = readers.read_test_manifest(spark, str(tmp_path / "m.csv"))
+    rows = full.collect()
+    assert len(rows) == 5
+    by_sha = {(r.sha, r.repo): r for r in rows}
+    assert by_sha["s1", "nine"].surplus == ["extra"]
+    assert by_sha["s2", "long"].notes == long and len(by_sha["s2", "long"].surplus[0]) == 100_001
+    assert len(by_sha["s2", "pairs"].surplus[0]) == 20_000
+    empty = next(r for r in rows if r.sha == "s3")
+    assert empty.project_url == "" and empty.surplus == ["more"]
+    assert by_sha["s4", "short"].module is None and by_sha["s4", "short"].notes is None
+    for name in full.columns:
+        assert sorted(map(repr, (r[name] for r in rows))) == sorted(map(repr, (r[0] for r in full.select(name).collect())))
+    assert full.count() == 5
+
+
+def test_manifest_with_line_breaks_in_fields(spark, tmp_path):
+    (tmp_path / "m.csv").write_text(HEADER + 'https://h/o/a,s1,m,a.B.t,ID,"two\nlines",,\n\n' + "https://h/o/b,s2,m,a.B.u,ID,,,z\n")
+    got = {r.repo: r for r in readers.read_test_manifest(spark, str(tmp_path), multi_line=True).collect()}
+    assert got["a"].status == "two\nlines" and got["b"].notes == "z" and len(got) == 2
+
+
+SUITE = (
+    '<testsuite name="s"><testcase classname="{c}" name="check"><failure message="{m}" type="T"/></testcase>'
+    '<testcase classname="{c}" name="fine"/></testsuite>'
+)
+
+
+def test_reports_reach_the_runs_whose_logs_name_their_folder(spark, tmp_path):
+    """One shared folder for the tests of a module, in a path with spaces and the word 'platform'."""
+    from flakelens.plans import triage
+
+    logs, tests = [], {}
+    for project in ("one", "two"):
+        folder = tmp_path / "my platform" / project / "target" / "surefire-reports"
+        folder.mkdir(parents=True)
+        for i in range(4):
+            name = f"a.b.C{i}Test"
+            suite = SUITE.format(c=name, m=f"{project} {i}")
+            xml = suite if i % 2 else f"<testsuites>{suite}<testsuite><testsuite>{suite}</testsuite></testsuite></testsuites>"
+            (folder / f"TEST-{name}.xml").write_text(xml)
+            (folder / f"TEST-{name}More.xml").write_text(SUITE.format(c=name + "More", m="not asked"))
+            text = f"[ERROR] There are test failures.\n[ERROR] Please refer to {folder} for the individual test results.\n"
+            logs.append((f"{project}{i}", f"{name}.check", f"{project}/C{i}Test.java", text))
+            tests[f"{project}{i}"] = f"{project} {i}"
+        (folder / "TEST-a.b.Broken.xml").write_text("<testsuite><testcase")
+    runs = spark.createDataFrame(logs, "run_id string, test_fqn string, path string, content string")
+    sources = spark.createDataFrame([(r[2], "class X {}\n") for r in logs], "path string, content string")
+    reports = readers.read_reports(spark, str(tmp_path))
+    assert all(r.path.startswith("/") and "my platform" in r.path for r in reports.collect())
+    got = {r.run_id: r.err_msg.strip() for r in triage.run_evidence(runs, sources, reports).collect()}
+    assert {k: " ".join(v.split()[:2]) for k, v in got.items()} == tests
+
+    from flakelens.operators import evidence
+
+    assert reports.filter(evidence.is_unreadable(F.col("xml"))).count() == 2
+    named = evidence.class_names_of(runs.select("run_id", F.col("run_id").alias("test_id"), "test_fqn")).drop("test_fqn")
+    dirs = named.withColumn("report_dir", F.concat(F.lit(f"{tmp_path}/my platform/"), F.substring("run_id", 1, 3), F.lit("/target/surefire-reports")))
+    found = evidence.reports_of_runs(dirs, reports).select("run_id", "xml")
+    failures = evidence.report_failures(named, found, ["run_id"]).select("test_id", "message").distinct().collect()
+    assert {(r.test_id, " ".join(r.message.split()[:2])) for r in failures} == set(tests.items())

@@ -6,10 +6,13 @@
 2. A bucket of classes yields a star: its smallest class is linked to each other
    one, so a bucket of m classes gives m - 1 pairs.
 3. Pairs are confirmed on the full sets.
-4. Classes that no star connects to their bucket's centre get further stars from
-   other centres, among classes still apart.  After ``STAR_ROUNDS`` rounds the
-   rest is compared with what its bucket holds, unless the confirmed distances to
-   the centre already exclude a link (Jaccard distance is a metric).
+4. Buckets whose other classes are still in several components form groups, each
+   with the shingles that more than half of it holds (its base).  The class nearest
+   to the base is the centre of one more star.  For what is still apart, a class is
+   described by the shingles it gained and lost against the base.  Two classes
+   without a common gain can be linked only if the counts allow it; others share one
+   of their rarest gains (prefix filter).  Both conditions are exact, so no link is
+   lost, and a large group of edited copies gives few pairs.
 5. Components of the links by repeated minimum and pointer jumping.
 
 Candidates come from the bands alone: with 36 bands of 5 bins a pair of
@@ -27,7 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
@@ -36,7 +39,6 @@ from flakelens.llm.words import SPACES, U, Words, inside, mix, sequence_hashes,
 
 BANDS, WIDTH = 36, 5
 BINS = BANDS * WIDTH
-STAR_ROUNDS = 3
 _TRIES = 64
 _BAND_SEEDS = mix(np.arange(1, BANDS + 1, dtype=U) * U(0x632BE59BD9B4E019))
 _WEIGHTS = mix(np.arange(101, 101 + WIDTH, dtype=U)) | U(1)
@@ -187,8 +189,8 @@ class _Confirmer:
         self.texts, self.classes, self.k, self.per_cent = texts, classes, k, per_cent
         self.sets: DataFrame | None = None
 
-    def _fetch(self, pairs: DataFrame) -> DataFrame:
-        wanted = pairs.select(F.col("a").alias("cid")).union(pairs.select("b")).distinct()
+    def sets_of(self, wanted: DataFrame) -> DataFrame:
+        """(cid, hashes) of at least the wanted classes."""
         if self.sets is not None:
             wanted = wanted.join(self.sets.select("cid"), "cid", "left_anti")
         wanted = stored(wanted.join(self.classes.select("cid", "doc", "one", "two"), "cid"), "wanted")
@@ -207,8 +209,8 @@ class _Confirmer:
         return self.sets
 
     def __call__(self, pairs: DataFrame) -> DataFrame:
-        """Pairs with their distance and whether they are linked."""
-        sets = self._fetch(pairs)
+        """Pairs and whether they are linked."""
+        sets = self.sets_of(pairs.select(F.col("a").alias("cid")).union(pairs.select("b")).distinct())
         a = sets.select(F.col("cid").alias("a"), F.col("hashes").alias("set_a"))
         b = sets.select(F.col("cid").alias("b"), F.col("hashes").alias("set_b"))
         common = F.size(F.array_intersect("set_a", "set_b"))
@@ -219,8 +221,7 @@ class _Confirmer:
         )
         return stored(
             measured.select(
-                "a", "b", (1 - F.col("common") / F.col("union")).alias("distance"),
-                (100 * F.col("common") >= self.per_cent * F.col("union")).alias("linked"),
+                "a", "b", (100 * F.col("common") >= self.per_cent * F.col("union")).alias("linked"),
             ),
             "pairs",
         )
@@ -293,60 +294,140 @@ def _components(docs: DataFrame, id_col: str, text_col: str, shingle: int, per_c
     confirm = _Confirmer(texts, classes, shingle, per_cent)
     pairs = members.filter("cid <> centre").select(*_pair("centre", "cid")).distinct()
     tested = confirm(stored(pairs, "candidates"))
-    centres = buckets
-    for turn in range(STAR_ROUNDS + 1):
-        components = connected_components(tested.filter("linked"))
-        placed = (
-            members.select("key", "cid")
-            .join(centres.select("key", F.col("centre").alias("cid")), ["key", "cid"], "left_anti")
-            .join(components.withColumnRenamed("node", "cid"), "cid", "left")
-            .withColumn("component", F.coalesce("component", "cid"))
-        )
-        active = (
-            placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"))
-            .filter("low < high")
-        )
-        open_rows = stored(placed.join(active.select("key", "low"), "key"), "open")
-        if open_rows.isEmpty():
-            break
-        if turn < STAR_ROUNDS:
-            # the next centre is the least class outside the least component
-            chosen = stored(
-                open_rows.filter("component <> low").groupBy("key")
-                .agg(F.min(F.struct("cid", "component")).alias("c"))
-                .select("key", F.col("c.cid").alias("centre"), F.col("c.component").alias("own")),
-                "centres",
-            )
-            found = open_rows.join(chosen, "key").filter("component <> own").select(*_pair("centre", "cid"))
-            centres = centres.unionByName(chosen.select("key", "centre"))
-        else:
-            found = _remaining(open_rows, buckets, tested, per_cent)
-        new = stored(found.distinct().join(tested.select("a", "b"), ["a", "b"], "left_anti"), "candidates")
-        tested = tested.unionByName(confirm(new))
-    else:
+    components = connected_components(tested.filter("linked"))
+    groups = _groups(members, buckets, components)
+    if not groups.isEmpty():
+        apart = _differences(groups, confirm.sets_of(groups.select("cid").distinct()))
+        star = _medoid_star(apart)
+        tested = tested.unionByName(confirm(_untested(star, tested)))
+        apart = _regrouped(apart, connected_components(tested.filter("linked")))
+        found = _sharing_gains(apart, per_cent).unionByName(_near_base(apart, per_cent))
+        tested = tested.unionByName(confirm(_untested(found, tested)))
         components = connected_components(tested.filter("linked"))
     return _labelled(rows, classes, components)
 
 
-def _remaining(open_rows: DataFrame, buckets: DataFrame, tested: DataFrame, per_cent: int) -> DataFrame:
-    """What is left: classes outside a bucket's least component against its others.
+def _untested(pairs: DataFrame, tested: DataFrame) -> DataFrame:
+    return stored(pairs.distinct().join(tested.select("a", "b"), ["a", "b"], "left_anti"), "candidates")
+
 
-    Pairs are left out where the triangle inequality over the first centre excludes a
-    link; both distances to it are confirmed values.
+def _placed(classes: DataFrame, components: DataFrame) -> DataFrame:
+    return classes.join(components.withColumnRenamed("node", "cid"), "cid", "left").withColumn(
+        "component", F.coalesce("component", "cid")
+    )
+
+
+def _groups(members: DataFrame, buckets: DataFrame, components: DataFrame) -> DataFrame:
+    """(g, cid, component) of buckets that hold, beside their centre, more than one component.
+
+    A bucket belongs to the group of its most frequent component.
     """
-    reach = 1 - per_cent / 100 + 1e-9
-    far = tested.select("a", "b", "distance")
-    placed = (
-        open_rows.join(buckets, "key")
-        .withColumns({"a": F.least("centre", "cid"), "b": F.greatest("centre", "cid")})
-        .join(far, ["a", "b"], "left").select("key", "cid", "component", "low", "distance")
+    placed = stored(_placed(members.select("key", "cid"), components), "placed")
+    others = placed.join(buckets.select("key", F.col("centre").alias("cid")), ["key", "cid"], "left_anti")
+    active = (
+        others.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"))
+        .filter("low < high").select("key")
+    )
+    counted = placed.join(active, "key").groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
+    group = stored(
+        counted.groupBy("key").agg(F.max_by("component", F.struct("n", -F.col("component"))).alias("g")), "group"
+    )
+    return stored(placed.join(group, "key").select("g", "cid", "component").distinct(), "groups")
+
+
+def _differences(groups: DataFrame, sets: DataFrame) -> DataFrame:
+    """Each class of a group against the base: its gains, the count of its losses, the base's size."""
+    held = stored(groups.join(sets, "cid"), "held")
+    size = groups.groupBy("g").agg(F.count(F.lit(1)).alias("size"))
+    often = (
+        held.select("g", F.explode("hashes").alias("hash")).groupBy("g", "hash").agg(F.count(F.lit(1)).alias("n"))
+        .join(size, "g").filter("2 * n > size")
+    )
+    # at most twice as many shingles as the classes have on average
+    base = stored(often.groupBy("g").agg(F.collect_list("hash").alias("base")), "base")
+    none = F.array().cast("array<long>")
+    joined = held.join(small(base), "g", "left").withColumn("base", F.coalesce("base", none))
+    return stored(
+        joined.select("g", "cid", "component", F.array_except("hashes", "base").alias("gains"),
+                      F.size(F.array_except("base", "hashes")).alias("lost"), F.size("base").alias("base_size")),
+        "differences",
+    )
+
+
+def _medoid_star(apart: DataFrame) -> DataFrame:
+    nearest = stored(
+        apart.groupBy("g").agg(F.min(F.struct(F.size("gains") + F.col("lost"), "cid", "component")).alias("m"))
+        .select("g", F.col("m.cid").alias("centre"), F.col("m.component").alias("own")),
+        "medoids",
+    )
+    return apart.select("g", "cid", "component").join(small(nearest), "g").filter("component <> own").select(
+        *_pair("centre", "cid")
+    )
+
+
+def _regrouped(apart: DataFrame, components: DataFrame) -> DataFrame:
+    """Groups that still hold several components, with the present ones."""
+    placed = _placed(apart.drop("component"), components)
+    active = placed.groupBy("g").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high")
+    return stored(placed.join(active.select("g"), "g"), "apart")
+
+
+def _least_common(per_cent: int) -> Column:
+    """Gains that a class must share with any class it is linked to; 0 or less: none.
+
+    With base size p, losses l and gains x, the intersection of two sets is at most
+    p - max(l) plus the common gains, and their union is at least p plus both gains
+    minus min(l) minus the common gains.
+    """
+    return F.ceil(
+        (per_cent * F.size("gains") + (100 - per_cent) * (F.col("lost") - F.col("base_size"))) / F.lit(100)
+    )
+
+
+def _sharing_gains(apart: DataFrame, per_cent: int) -> DataFrame:
+    """Pairs of different components that share one of their rarest gains."""
+    gains = stored(
+        apart.select("g", "cid", "component", (F.size("gains") - F.greatest(_least_common(per_cent), F.lit(1)) + 1).alias("prefix"),
+                     F.explode("gains").alias("hash")).filter("prefix > 0"),
+        "gains",
+    )
+    often = gains.groupBy("g", "hash").agg(
+        F.count(F.lit(1)).alias("n"), F.min("component").alias("low"), F.max("component").alias("high")
+    )
+    # a gain that only one class or component has makes no pair, but keeps its place in the order
+    own = often.select("g", "hash", "n", (F.col("low") < F.col("high")).alias("crosses"))
+    order = Window.partitionBy("g", "cid").orderBy("n", "hash")
+    rare = stored(
+        gains.join(own, ["g", "hash"]).withColumn("place", F.row_number().over(order))
+        .filter("place <= prefix and crosses").select("g", "cid", "component", "hash"),
+        "rare_gains",
+    )
+    x, y = rare.alias("x"), rare.alias("y")
+    return (
+        x.join(y, (F.col("x.g") == F.col("y.g")) & (F.col("x.hash") == F.col("y.hash")) & (F.col("x.cid") < F.col("y.cid"))
+               & (F.col("x.component") != F.col("y.component")))
+        .select(F.col("x.cid").alias("a"), F.col("y.cid").alias("b"))
+    )
+
+
+def _near_base(apart: DataFrame, per_cent: int) -> DataFrame:
+    """Pairs of different components whose counts allow a link without common gains."""
+    near = stored(
+        apart.filter(_least_common(per_cent) <= 0)
+        .select("g", "cid", "component", F.size("gains").alias("gained"), "lost", "base_size"),
+        "near",
+    )
+    counted = near.groupBy("g", "component").agg(F.count(F.lit(1)).alias("n"))
+    main = counted.groupBy("g").agg(F.max_by("component", F.struct("n", -F.col("component"))).alias("main"))
+    placed = near.join(main, "g")
+    x, y = placed.filter("component <> main").alias("x"), placed.alias("y")
+    fits = (
+        100 * (F.col("x.base_size") - F.greatest("x.lost", "y.lost"))
+        >= per_cent * (F.col("x.base_size") + F.col("x.gained") + F.col("y.gained") - F.least("x.lost", "y.lost"))
     )
-    outer = placed.filter("component <> low").alias("x")
-    inner = placed.alias("y")
     return (
-        outer.join(inner, F.col("x.key") == F.col("y.key"))
-        .filter("x.component <> y.component and (y.component = y.low or x.cid < y.cid)")
-        .filter(F.coalesce(F.abs(F.col("x.distance") - F.col("y.distance")) <= reach, F.lit(True)))
+        x.join(y, F.col("x.g") == F.col("y.g"))
+        .filter((F.col("x.component") != F.col("y.component")) & ((F.col("y.component") == F.col("y.main")) | (F.col("x.cid") < F.col("y.cid"))) & fits)
         .select(F.least("x.cid", "y.cid").alias("a"), F.greatest("x.cid", "y.cid").alias("b"))
     )
 

@@ -25,14 +25,15 @@ matter.
 from __future__ import annotations
 
 import re
+import sys
 import zlib
+from array import array
 from collections import deque
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,59 +43,60 @@ CAPACITY = 1024
 SMALL = 8
 GROUPS = 256
 END_ID = 2
-MEMO = 300_000  # remembered chunks, some 200 bytes each
+PART = 200_000  # characters encoded at once
 # The pattern of the byte-level vocabulary that splits text before merges.
-PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 _BREAK = re.compile(r" (?=\S)")
-_ODD = re.compile(r" (?!\S)")
-_PLAIN = "ɐ"  # below it the letters and digits of all Unicode versions agree
+# Other characters than these may be letters in one Unicode version only.
+_UNSURE = re.compile(
+    "[^\x00-\u024f\u2010-\u2027\u2030-\u205e\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fa5\uac00-\ud7a3]"
+)
 
 
-class _Memo(dict):
-    """A bounded memory of a function; it forgets all when full."""
-
-    def __init__(self, function, longest: int):
-        super().__init__()
-        self.function, self.longest = function, longest
-
-    def __missing__(self, key):
-        value = self.function(key)
-        if len(key) <= self.longest:
-            if len(self) >= MEMO:
-                self.clear()
-            self[key] = value
-        return value
+def _bytes_of() -> dict[str, int]:
+    """Characters that stand for bytes in a byte-level vocabulary: printable bytes for
+    themselves, the others in order from code point 256 on."""
+    printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = [b for b in range(256) if b not in printable]
+    return {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(others)}
 
 
 class Encoder:
     """Token ids of texts as little-endian 32-bit bytes.
 
-    A space before a non-space always starts a new pre-token, so a text is the
-    concatenation of its chunks at such places, and chunks repeat.
+    The vocabulary's merges are in the order of its ids, so the same vocabulary as
+    ranks gives the same ids, faster.  Texts with characters that the two libraries
+    may classify differently go through the tokenizer itself.
     """
 
     def __init__(self, path: str):
+        import tiktoken
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.pretoken = _Memo(self._direct, 64)
-        self.led = _Memo(lambda chunk: self._chunk(" " + chunk), 64)
-
-    def _direct(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def _chunk(self, chunk: str) -> bytes:
-        if len(chunk) > 4096 or max(chunk, default="") >= _PLAIN:
-            return self._direct(chunk)
-        return b"".join([self.pretoken[t] for t in PATTERN.findall(chunk)])
+        byte = _bytes_of()
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
+        special = {t.content for t in self.tokenizer.get_added_tokens_decoder().values()}
+        ranks = {bytes(byte[c] for c in token): i for token, i in vocabulary.items() if token not in special}
+        self.ranked = tiktoken.Encoding("vocabulary", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def __call__(self, text: str) -> bytes:
-        parts = _BREAK.split(text) if _ODD.search(text) else text.split(" ")
-        head = parts[0]
-        if head == "" and len(parts) > 1:
-            return b"".join(map(self.led.__getitem__, parts[1:]))
-        return self._chunk(head) + b"".join(map(self.led.__getitem__, parts[1:]))
+        if _UNSURE.search(text):
+            ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+        elif len(text) <= PART:
+            ids = self.ranked.encode_ordinary(text)
+        else:  # a space before a non-space always starts a new pre-token
+            ids, at = [], 0
+            while at < len(text):
+                end = _BREAK.search(text, at + PART)
+                stop = end.start() if end else len(text)
+                ids += self.ranked.encode_ordinary(text[at:stop])
+                at = stop
+        out = array("I", ids)
+        if sys.byteorder == "big":
+            out.byteswap()
+        return out.tobytes()
 
 
 @lru_cache(2)

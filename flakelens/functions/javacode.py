@@ -18,7 +18,8 @@ from pyspark.sql import functions as F
 from .text import count_of, let, lines, span_slice
 
 _OPAQUE = (
-    r'"[^"\\\n]*+(?:\\.[^"\\\n]*+)*+"'
+    r'"""(?:[^"\\]++|\\.|"(?!""))*+"""'
+    r'|"[^"\\\n]*+(?:\\.[^"\\\n]*+)*+"'
     r"|'(?:\\[^\n]{1,6}?|[^'\\\n])'"
     r"|/\*.*?\*/"
     r"|//[^\n]*+"

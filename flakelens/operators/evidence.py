@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -11,21 +12,29 @@ from pyspark.sql import types as T
 from .. import rules, schemas
 from ..functions import fqn as names
 from ..functions import logs, text
-from .lines import generate, line_table
+from .lines import first_occurrences, generate
 
 
 def line_lookup(requests: DataFrame, sources: DataFrame, keys: Sequence[str],
                 line: str = "line_no", content: str = "content") -> DataFrame:
     """Distinct requested lines with their trimmed source text, null outside.
 
-    The requests are made distinct first, so a file that fails in most runs
-    sends each line number once.
+    The numbers of a file are listed first (at most one for each of its lines), so a
+    source moves once, whole, and only the requested lines leave it.
     """
-    wanted = requests.select(*keys, line).distinct()
-    table = line_table(sources, keys, content).withColumnRenamed("line_no", line)
+    numbers = requests.select(*keys, line).distinct().groupBy(*keys).agg(
+        F.collect_list(line).alias("_numbers")
+    )
     # texts are large whatever the planner estimates: no broadcast of them
-    found = wanted.join(table.hint("merge"), [*keys, line], "left")
-    return found.withColumn("line", text.trim_ws(F.col("line")))
+    joined = numbers.join(sources.select(*keys, content).hint("merge"), list(keys), "left")
+    found = text.let(
+        text.lines(F.col(content)),
+        lambda all_lines: F.transform(
+            "_numbers", lambda n: F.struct(n.alias(line), text.line_at(all_lines, n).alias("line"))
+        ),
+    )
+    none = F.transform("_numbers", lambda n: F.struct(n.alias(line), F.lit(None).cast("string").alias("line")))
+    return joined.select(*keys, F.inline(F.coalesce(found, none)))
 
 
 def enclosing_methods(points: DataFrame, methods: DataFrame, keys: Sequence[str],
@@ -179,25 +188,38 @@ def reports_of_runs(runs: DataFrame, reports: DataFrame) -> DataFrame:
     return found.join(reports.hint("merge"), "path")
 
 
-def evidence_bundle(run_logs: DataFrame, sources: DataFrame,
-                    report_messages: DataFrame | None = None) -> DataFrame:
+def mined_logs(run_logs: DataFrame, *keep: str) -> DataFrame:
+    """Runs with the evidence of their logs: narrow rows from one pass over the texts.
+
+    ``run_logs`` has ``run_id, test_fqn, path, content`` and the columns to keep.
+    """
+    return run_logs.select(
+        "run_id", "test_fqn", "path", *keep,
+        logs.log_evidence(F.col("content"), F.col("test_fqn")).alias("_e"),
+    ).select("run_id", "test_fqn", "path", *keep, "_e.*")
+
+
+def report_folders(mined: DataFrame) -> DataFrame:
+    """``run_id, class_fqn, name, report_dir`` of mined logs."""
+    return mined.select(
+        "run_id", names.class_fqn(F.col("test_fqn")).alias("class_fqn"),
+        names.method_name(F.col("test_fqn")).alias("name"), F.explode_outer("report_dirs").alias("report_dir"),
+    ).filter("report_dir is not null")
+
+
+def evidence_of_mined(mined: DataFrame, sources: DataFrame, report_messages: DataFrame | None = None,
+                      *keep: str) -> DataFrame:
     """Verdict, joined messages, joined source lines and method names per run.
 
-    ``run_logs`` has ``run_id, test_fqn, path, content``; ``sources`` has
-    ``path, content``; ``report_messages`` has ``run_id, messages array<string>``.
-    The log is reduced to its evidence before the join, so log text is never
-    shuffled.
+    ``sources`` has ``path, content``; ``report_messages`` has ``run_id, messages
+    array<string>``.  Source lines are looked up once for all runs of a source.
     """
-    found = run_logs.select(
-        "run_id", "path", logs.log_evidence(F.col("content"), F.col("test_fqn")).alias("_e")
-    ).select("run_id", "path", "_e.*")
-    code = sources.select("path", F.col("content").alias("_source"))
-    # texts are large whatever the planner estimates: no broadcast of them
-    joined = found.join(code.hint("merge"), "path", "left")
-    err_code = text.let(
-        text.lines(F.col("_source")),
-        lambda all_lines: F.transform("line_numbers", lambda n: text.line_at(all_lines, n)),
+    asked = mined.select("path", F.explode_outer("line_numbers").alias("line_no")).filter("line_no is not null")
+    code = line_lookup(asked, sources, ["path"]).groupBy("path").agg(
+        F.map_from_entries(F.collect_list(F.struct("line_no", "line"))).alias("_lines")
     )
+    joined = mined.join(code, "path", "left")
+    err_code = F.transform("line_numbers", lambda n: F.col("_lines")[n])
     none = F.array().cast("array<string>")
     messages = F.col("compile_messages")
     if report_messages is not None:
@@ -210,7 +232,7 @@ def evidence_bundle(run_logs: DataFrame, sources: DataFrame,
         )
         messages = text.union_messages(messages, reported)
     return joined.select(
-        "run_id",
+        "run_id", *keep,
         "summary",
         text.joined(messages).alias("err_msg"),
         text.joined(text.ordered_distinct(F.coalesce(err_code, none))).alias("err_code"),
@@ -218,6 +240,88 @@ def evidence_bundle(run_logs: DataFrame, sources: DataFrame,
     )
 
 
+def evidence_bundle(run_logs: DataFrame, sources: DataFrame,
+                    report_messages: DataFrame | None = None) -> DataFrame:
+    """Evidence of runs whose logs are held whole; log text is never shuffled."""
+    return evidence_of_mined(mined_logs(run_logs), sources, report_messages)
+
+
+def mined_lines(runs: DataFrame, lines: DataFrame, line: str = "line") -> DataFrame:
+    """The rows of ``mined_logs`` from a line table, for logs of any size.
+
+    ``runs`` has ``run_id, test_fqn, path``; ``lines`` has ``run_id, line_no, line``.
+    Only lines that name the run's file or class, or hold a marker, are shuffled;
+    lists are of distinct values, first occurrences first.
+    """
+    text_of = F.col(line)
+    markers = list(dict.fromkeys(
+        [m for _, ms in rules.VERDICT_RULES for m in ms]
+        + [rules.COMPILE_MARKER, rules.REGION_START, rules.REGION_END, rules.REPORT_DIR_START, rules.ERROR_PREFIX]
+    ))
+    frame = F.contains(text_of, F.lit(rules.FRAME_PREFIX))
+    named = F.contains(text_of, F.lit(rules.SOURCE_SUFFIX + ":"))
+    rows = lines.filter(text.contains_any(text_of, markers) | frame | named).select("run_id", "line_no", line)
+    names_of = runs.select(
+        "run_id", names.class_file(F.col("test_fqn")).alias("_file"), names.class_fqn(F.col("test_fqn")).alias("_class")
+    )
+    joined = rows.join(names_of, "run_id")
+    at = F.col("line_no")
+
+    def has(marker: str):
+        return F.contains(text_of, F.lit(marker))
+
+    marks = joined.groupBy("run_id").agg(
+        *[F.bool_or(has(m)).alias(f"_m{i}") for i, m in enumerate(markers)],
+        F.max(F.when(has(rules.REGION_START), at)).alias("_from"),
+    )
+    ends = joined.join(marks.select("run_id", "_from"), "run_id").filter(
+        F.contains(F.when(at == F.col("_from"), text.after_last(text_of, rules.REGION_START)).otherwise(text_of), F.lit(rules.REGION_END))
+        & (at >= F.coalesce("_from", F.lit(0)))
+    ).groupBy("run_id").agg(F.min("line_no").alias("_to"))
+
+    def listed(value, rows_of, name: str) -> DataFrame:
+        found = rows_of.select("run_id", "line_no", value.alias("_v")).filter("_v is not null")
+        first = first_occurrences(found, ["run_id"], "_v")
+        ordered = F.array_sort(F.collect_list(F.struct("line_no", "_v")))
+        return first.groupBy("run_id").agg(F.transform(ordered, lambda r: r["_v"]).alias(name))
+
+    flag = {m: F.col(f"_m{i}") for i, m in enumerate(markers)}
+    summary = F
+    for name, needed in rules.VERDICT_RULES:
+        summary = summary.when(reduce(lambda a, b: a & b, [flag[m] for m in needed]), F.lit(name))
+    # the region begins and ends inside the lines of its markers
+    cut = F.when(at == F.col("_from"), text.after_last(text_of, rules.REGION_START)).otherwise(text_of)
+    cut = F.when(at == F.col("_to"), F.substring_index(cut, rules.REGION_END, 1)).otherwise(cut)
+    region = (
+        joined.join(marks.select("run_id", "_from"), "run_id").join(ends, "run_id", "left")
+        .filter((at >= F.coalesce("_from", F.lit(0))) & (at <= F.coalesce("_to", at)))
+        .withColumn(line, cut)
+        .filter(F.startswith(text_of, F.lit(rules.ERROR_PREFIX)) & ~has(rules.GOAL_FAILED))
+    )
+    bare = text.strip_marker(F.replace(text_of, F.lit(rules.REGION_NOISE), F.lit("")), rules.ERROR_PREFIX)
+    message = F.when(F.contains(bare, F.col("_file")), text.after_last(bare, "]")).otherwise(bare)
+    in_class = joined.filter(logs.is_frame(text_of, F.col("_class")))
+    parts = [
+        listed(message, region, "_messages"),
+        listed(logs.line_number(text_of, F.col("_file")), joined.filter(F.contains(text_of, F.col("_file"))), "_numbers"),
+        listed(logs.frame_method(text_of, F.col("_class")), in_class, "_methods"),
+        listed(logs.report_dir(text_of), joined.filter(has(rules.REPORT_DIR_START)), "_dirs"),
+    ]
+    out = runs.select("run_id", "test_fqn", "path").join(marks, "run_id", "left")
+    for part in parts:
+        out = out.join(part, "run_id", "left")
+    compiles = F.coalesce(flag[rules.COMPILE_MARKER], F.lit(False))
+    none = F.array().cast("array<string>")
+    return out.select(
+        "run_id", "test_fqn", "path", summary.otherwise(F.lit(rules.UNRECOGNIZED)).alias("summary"),
+        compiles.alias("is_compile_failure"),
+        F.when(compiles, F.coalesce("_messages", none)).otherwise(none).alias("compile_messages"),
+        F.coalesce("_numbers", F.array().cast("array<int>")).alias("line_numbers"),
+        F.coalesce("_methods", none).alias("err_methods"),
+        F.when(compiles, none).otherwise(F.coalesce("_dirs", none)).alias("report_dirs"),
+    )
+
+
 def class_names_of(tests: DataFrame) -> DataFrame:
     """Add ``class_fqn`` and ``name`` to tests with ``test_fqn``."""
     return tests.withColumn("class_fqn", names.class_fqn(F.col("test_fqn"))).withColumn(

@@ -15,11 +15,14 @@ from ..functions.text import let
 def method_table(sources: DataFrame, keys: Sequence[str], content: str = "content") -> DataFrame:
     """One row per method or constructor with its lines and annotations.
 
-    Outer generators here and below keep the scan from being evaluated a second
+    ``is_unclosed`` marks sources whose braces do not match: their spans are not to
+    be trusted.  Outer generators here and below keep the scan from being evaluated a second
     time in an inferred size filter.
     """
-    found = sources.select(*keys, content, javacode.methods(F.col(content)).alias("_found"))
-    rows = found.select(*keys, content, F.inline_outer("_found")).filter("name is not null")
+    found = sources.select(*keys, content, javacode.scan(F.col(content)).alias("_scan"))
+    rows = found.select(
+        *keys, content, F.col("_scan.unclosed").alias("is_unclosed"), F.inline_outer("_scan.methods")
+    ).filter("name is not null")
     return rows.select(
         *keys,
         F.col("start.line").alias("start_line"),
@@ -30,16 +33,20 @@ def method_table(sources: DataFrame, keys: Sequence[str], content: str = "conten
         text.span_slice(F.col(content), F.col("start.line"), F.col("end.line")).alias("code"),
         "annotations",
         "is_constructor",
+        "is_unclosed",
     )
 
 
 def field_table(sources: DataFrame, keys: Sequence[str], content: str = "content") -> DataFrame:
     """One row per field declaration; of several names the first counts."""
-    found = sources.select(*keys, content, javacode.fields(F.col(content)).alias("_found"))
-    rows = found.select(*keys, content, F.inline_outer("_found")).filter("name is not null")
+    found = sources.select(*keys, content, javacode.scan(F.col(content)).alias("_scan"))
+    rows = found.select(
+        *keys, content, F.col("_scan.unclosed").alias("is_unclosed"), F.inline_outer("_scan.fields")
+    ).filter("name is not null")
     return rows.select(
         *keys, "name", F.col("start_line").alias("line_no"),
         text.span_slice(F.col(content), F.col("start_line"), F.col("end_line")).alias("declaration"),
+        "is_unclosed",
     )
 
 

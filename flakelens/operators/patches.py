@@ -19,11 +19,12 @@ def prepare_tests(tests: DataFrame, method: str = "method_name",
     """Add ``method_code`` and ``original_imports`` of each test's source.
 
     Done once per test, before any join with attempts: a source is scanned once
-    however many responses there are for it.
+    however many responses there are for it.  A source whose braces do not match has
+    no trusted spans, so no method is cut from it and no patch is applied to it.
     """
     source = F.col(content)
     code = let(
-        javacode.last_named(javacode.methods(source), F.col(method)),
+        let(javacode.scan(source), lambda s: F.when(~s["unclosed"], javacode.last_named(s["methods"], F.col(method)))),
         lambda m: F.when(m.isNotNull(), javacode.code_of(source, m)),
     )
     return tests.withColumns(

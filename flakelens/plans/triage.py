@@ -7,10 +7,9 @@ from pyspark.sql import functions as F
 
 from .. import rules
 from ..functions import fqn as names
-from ..functions import javacode, logs, prompts
+from ..functions import javacode, prompts
 from ..operators import evidence, localize, methods
-from ..operators.lines import first_wins
-from ..session import spread
+from ..session import stored
 
 
 def cut_tests(manifest: DataFrame, sources: DataFrame) -> DataFrame:
@@ -19,17 +18,20 @@ def cut_tests(manifest: DataFrame, sources: DataFrame) -> DataFrame:
     ``manifest`` has ``test_id, repo, sha, module, test_fqn``; ``sources`` has
     ``repo, sha, path, content``.  Rows that are not localised are kept with
     their status.  Localising moves paths only; a source is parsed once and
-    only if a test lies in it.
+    only if a test lies in it, and its text moves once, by path.  Nothing is cut
+    from a source whose braces do not match.
     """
     located = localize.localize(manifest, sources.select("repo", "sha", "path"))
     wanted = located.filter("path is not null").select("path").distinct()
-    tested = sources.select("path", "content").join(wanted, "path", "left_semi")
-    structures = spread(tested, "path").select(
+    # texts are large whatever the planner estimates: no broadcast of them
+    tested = sources.select("path", "content").hint("merge").join(wanted, "path", "left_semi")
+    structures = tested.select(
         "path", "content", methods.source_structure(F.col("content")).alias("_s")
     )
-    # texts are large whatever the planner estimates: no broadcast of them
     joined = located.join(structures.hint("merge"), "path", "left")
-    method = javacode.last_named(F.col("_s.methods"), F.col("method_name"))
+    method = F.when(
+        ~F.col("_s.unclosed"), javacode.last_named(F.col("_s.methods"), F.col("method_name"))
+    )
     named = joined.withColumn("method_name", names.method_name(F.col("test_fqn")))
     cut = named.withColumn("_m", method)
     return cut.select(
@@ -45,32 +47,41 @@ def cut_tests(manifest: DataFrame, sources: DataFrame) -> DataFrame:
     )
 
 
-def first_runs(run_logs: DataFrame, order: tuple[str, ...] = ("ts", "run_id")) -> DataFrame:
-    """Logs of the first run of each test.
-
-    The run is chosen on narrow columns; only the chosen logs are joined.
-    """
-    chosen = first_wins(run_logs.select("test_id", *order), ["test_id"], order, "run_id")
-    return run_logs.join(chosen.select("run_id"), "run_id", "left_semi")
+def _bundle(mined: DataFrame, sources: DataFrame, reports: DataFrame | None, *keep: str) -> DataFrame:
+    mined = stored(mined, "mined")
+    messages = None
+    if reports is not None:
+        messages = evidence.messages_of_runs(evidence.reports_of_runs(evidence.report_folders(mined), reports))
+    return evidence.evidence_of_mined(mined, sources, messages, *keep)
 
 
 def run_evidence(run_logs: DataFrame, sources: DataFrame,
                  reports: DataFrame | None = None) -> DataFrame:
-    """Evidence per run, with the messages of the reports its log refers to."""
-    if reports is None:
-        return evidence.evidence_bundle(run_logs, sources)
-    runs = run_logs.select(
-        "run_id",
-        names.class_fqn(F.col("test_fqn")).alias("class_fqn"),
-        names.method_name(F.col("test_fqn")).alias("name"),
-        F.explode_outer(
-            F.when(
-                ~logs.is_compile_failure(F.col("content")), logs.report_dirs(F.col("content"))
-            )
-        ).alias("report_dir"),
-    ).filter("report_dir is not null")
-    messages = evidence.messages_of_runs(evidence.reports_of_runs(runs, reports))
-    return evidence.evidence_bundle(run_logs, sources, messages)
+    """Evidence per run, with the messages of the reports its log refers to.
+
+    The logs are read once, into a narrow table that everything else uses.
+    """
+    return _bundle(evidence.mined_logs(run_logs), sources, reports)
+
+
+def line_evidence(runs: DataFrame, lines: DataFrame, sources: DataFrame,
+                  reports: DataFrame | None = None) -> DataFrame:
+    """``run_evidence`` for logs that are held as lines, of any size."""
+    return _bundle(evidence.mined_lines(runs, lines), sources, reports)
+
+
+def first_run_evidence(run_logs: DataFrame, sources: DataFrame, reports: DataFrame | None = None,
+                       order: tuple[str, ...] = ("ts", "run_id")) -> DataFrame:
+    """Evidence of the first run of each test, with ``test_id`` and the order's columns.
+
+    Logs are reduced to their evidence before the first is chosen, so log text is
+    never shuffled.
+    """
+    keep = [c for c in order if c != "run_id"]
+    mined = evidence.mined_logs(run_logs, "test_id", *keep)
+    columns = [c for c in mined.columns if c != "test_id"]
+    chosen = mined.groupBy("test_id").agg(F.min_by(F.struct(*columns), F.struct(*order)).alias("_r"))
+    return _bundle(chosen.select("test_id", "_r.*"), sources, reports, "test_id", *keep)
 
 
 def initial_prompts(tests: DataFrame, initial: DataFrame,

@@ -8,7 +8,7 @@ from .. import rules
 from ..functions import fqn as names
 from ..functions import logs
 from ..operators import evidence, localize, methods, patches
-from ..operators.lines import generate
+from ..operators.lines import generate, line_table
 from ..plans import repair, triage
 from . import derived as d
 
@@ -105,6 +105,16 @@ def evidence_bundle(spark, sf):
     return found.withColumn("err_methods", F.array_join("err_methods", ","))
 
 
+def line_evidence(spark, sf):
+    """The same evidence from logs held as lines."""
+    logs_ = d.run_logs(spark, sf)
+    found = triage.line_evidence(
+        logs_.select("run_id", "test_fqn", "path"), line_table(logs_, ["run_id"]),
+        d.sources(spark, sf), d.reports(spark, sf),
+    )
+    return found.withColumn("err_methods", F.array_join("err_methods", ","))
+
+
 def _cut_tests(spark, sf):
     sources = d.sources(spark, sf)
     key = F.col("c_custkey")
@@ -128,11 +138,9 @@ def triage_report(spark, sf):
     """Manifest, sources, first runs and reports in; statuses, evidence and prompts out."""
     sources = d.sources(spark, sf)
     tests = _cut_tests(spark, sf)
-    runs = triage.first_runs(d.run_logs(spark, sf))
-    found = triage.run_evidence(
-        runs, sources.select("path", "content"), d.reports(spark, sf)
-    )
-    initial = runs.select("run_id", "test_id").join(found, "run_id").drop("run_id")
+    initial = triage.first_run_evidence(
+        d.run_logs(spark, sf), sources.select("path", "content"), d.reports(spark, sf)
+    ).drop("run_id", "ts")
     out = triage.initial_prompts(tests, initial, "%1$s|%2$s|%3$s|%4$s|%5$s")
     return out.select(
         "test_id", "localization_status", "summary", F.col("start.line").alias("start_line"),
@@ -143,11 +151,8 @@ def triage_report(spark, sf):
 def repair_report(spark, sf):
     """Result documents: tests, first runs and parsed answers as attempts."""
     sources = d.sources(spark, sf)
-    runs = triage.first_runs(d.run_logs(spark, sf))
-    found = triage.run_evidence(runs, sources.select("path", "content"))
-    initial = runs.select(
-        "run_id", "test_id", F.col("ts").alias("started"), F.col("ts").alias("ended")
-    ).join(found, "run_id").drop("run_id")
+    found = triage.first_run_evidence(d.run_logs(spark, sf), sources.select("path", "content"))
+    initial = found.withColumns({"started": F.col("ts"), "ended": F.col("ts")}).drop("run_id", "ts")
     parsed = patches.parse_responses(
         d.responses(spark, sf), patches.prepare_tests(sources.withColumn("method_name", F.lit("check")))
     )
@@ -256,6 +261,7 @@ QUERIES = {
           AND w.line_no BETWEEN m.start_line AND m.end_line""",
     ),
     "evidence_bundle": (evidence_bundle, _BUNDLE),
+    "line_evidence": (line_evidence, _BUNDLE),
     "repair_report": (
         repair_report,
         f"""SELECT c_custkey AS test_id, CASE summary WHEN 'PASS' THEN '{rules.SKIPPED}' WHEN 'FAILURE' THEN

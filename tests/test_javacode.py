@@ -135,3 +135,39 @@ def test_long_texts_take_linear_time(one):
         start = time.time()
         assert [m.name for m in one(javacode.methods, text)] == names
         assert time.time() - start < 20
+
+
+TEXT_BLOCK = (
+    'class A {\n  String q = """\n    { not a \\""" brace { "x" \n    """;\n  void a() {\n    b();\n  }\n}\n'
+)
+RECORDS = (
+    "package p;\npublic record Pair(int a, String b) implements Q {\n  static int n = 0;\n  Pair {\n    n++;\n  }\n"
+    "  public int sum(int c) {\n    return a + c;\n  }\n}\n"
+)
+
+
+def scanned(one, code):
+    from flakelens.functions import javacode
+
+    found = one(javacode.scan, code)
+    return [(m.name, m.start.line, m.end.line) for m in found.methods], [f.name for f in found.fields], found.unclosed
+
+
+def test_text_blocks_do_not_open_blocks(one):
+    assert scanned(one, TEXT_BLOCK) == ([("a", 5, 7)], ["q"], False)
+
+
+def test_records_are_classes(one):
+    methods, fields, unclosed = scanned(one, RECORDS)
+    assert ("sum", 7, 9) in methods and fields == ["n"] and not unclosed
+
+
+def test_sources_with_unmatched_braces_are_marked_and_not_patched(spark):
+    from flakelens.operators import methods, patches
+
+    rows = [("good", "class A {\n  void a() {\n  }\n}\n"), ("bad", "class A {\n  void a() {\n    {\n  }\n}\n")]
+    df = spark.createDataFrame(rows, "k string, content string").withColumn("method_name", F.lit("a"))
+    flags = {r.k: r.is_unclosed for r in methods.method_table(df, ["k"]).select("k", "is_unclosed").distinct().collect()}
+    assert flags.get("good") is False and flags.get("bad", True) is True
+    code = {r.k: r.method_code for r in patches.prepare_tests(df).collect()}
+    assert code["good"] is not None and code["bad"] is None

@@ -42,12 +42,11 @@ def test_triage(spark):
     logs = spark.createDataFrame(
         [("x", "1", T0, "a.b.CTest.flaky", PATH, FAIL_LOG), ("y", "1", T0 + dt.timedelta(1), "a.b.CTest.flaky", PATH, "BUILD SUCCESS")],
         "run_id string, test_id string, ts timestamp, test_fqn string, path string, content string")
-    runs = triage.first_runs(logs)
     reports = spark.createDataFrame([("/w/reports/TEST-a.b.CTest.xml", XML)], "path string, xml string")
-    found = triage.run_evidence(runs, sources.select("path", "content"), reports)
-    (row,) = found.collect()
+    found = triage.first_run_evidence(logs, sources.select("path", "content"), reports)
+    (row,) = found.drop("test_id", "ts").collect()
     assert tuple(row) == ("x", rules.FAILURE, "no luck", "check(n);", ["flaky"])
-    initial = runs.select("run_id", "test_id").join(found, "run_id").drop("run_id")
+    initial = found.drop("run_id", "ts")
     asked = {r.test_id: r.prompt for r in triage.initial_prompts(tests, initial).collect()}
     assert "no luck" in asked["1"] and "setUp" in asked["1"] and asked["2"] is None and asked["3"] is None
 

@@ -113,9 +113,10 @@ def merge_maps(spark, sf):
 def attempt_stream(spark, sf):
     """The loop as a stream over the events file, checked against the batch form."""
     schema = _events(spark, sf).schema
-    stream = spark.readStream.schema(schema).parquet(f"{sf}/events.parquet*")
+    stream = live.stateful_session(spark).readStream.schema(schema).parquet(f"{sf}/events.parquet*")
     progress = live.track_attempts(
-        stream, F.col("user_id"), F.col("ts"), F.col("event_id"), _passed(), F.col("props")
+        stream, F.col("user_id"), F.col("ts"), F.col("event_id"), _passed(), F.col("props"),
+        applied=F.col("event_id") % 4 != 0, evidence=F.col("event_type"),
     )
     base = scratch_dir(spark, "attempt-stream")
     stored = live.run_to_table(progress, f"{base}/out", f"{base}/checkpoint")
@@ -136,6 +137,7 @@ def _outcome_sql(passed: str) -> str:
       AS elapsed_s FROM ({_NUMBERED}) GROUP BY user_id"""
 
 
+_APPLIED_PASS = "event_type = 'purchase' AND event_id % 4 <> 0"
 _DEPTH = """SELECT *, sum(delta) OVER w AS depth, row_number() OVER w AS position FROM (
 SELECT user_id, ts, event_id, CASE event_type WHEN 'click' THEN 1 WHEN 'error' THEN -1 ELSE 0 END AS delta
 FROM events) WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)"""
@@ -195,7 +197,10 @@ QUERIES = {
     ),
     "attempt_stream": (
         attempt_stream,
-        f"""SELECT user_id AS test_id, fixed_at IS NOT NULL AS is_fixed, fixed_at, attempts_used, final_patch,
-        elapsed_s FROM ({_outcome_sql("event_type = 'purchase'")})""",
+        f"""SELECT o.user_id AS test_id, fixed_at IS NOT NULL AS is_fixed, fixed_at, attempts_used, final_patch,
+        elapsed_s, last_evidence FROM ({_outcome_sql(_APPLIED_PASS)}) o
+        JOIN (SELECT n.user_id, arg_max(event_type, iter) FILTER (WHERE event_id % 4 <> 0 AND iter < u) AS last_evidence
+          FROM ({_NUMBERED}) n JOIN (SELECT user_id, attempts_used AS u FROM ({_outcome_sql(_APPLIED_PASS)})) a
+          ON a.user_id = n.user_id GROUP BY n.user_id) e ON e.user_id = o.user_id""",
     ),
 }

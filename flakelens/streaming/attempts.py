@@ -1,9 +1,12 @@
 """Live tracker of repair attempts.
 
-State per test: the attempts seen so far (at most the allowed number) and a
-done flag.  A progress row is emitted whenever a test's outcome changes; it is
-final at the first pass or at the last allowed attempt, and attempts after that
-are ignored.
+State per test: its earliest attempts by event time, at most the allowed number,
+with their evidence.  The outcome depends on these alone, and the earliest of two
+sets are among the earliest of each, so it does not matter in which order attempts
+arrive or how they fall into batches.  A progress row is emitted whenever the
+outcome changes; ``is_final`` says that a pass or the last allowed attempt is
+reached.  An attempt that arrives late with an earlier time revises the outcome
+and is emitted with a higher ``version``.
 
 Before the state operator each map task reduces a batch to the earliest few
 attempts per test.  A test that sends most of a batch therefore reaches its
@@ -12,20 +15,30 @@ state task as a handful of rows per map-side Arrow batch.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import rules
 
-INPUT = "test_id long, attempt_ts long, attempt_no long, is_pass boolean, patch string"
+INPUT = (
+    "test_id long, attempt_ts long, attempt_no long, is_pass boolean, applied boolean, patch string, evidence string"
+)
 OUTPUT = (
     "test_id long, is_fixed boolean, fixed_at int, attempts_used int, final_patch string, "
-    "elapsed_s double, is_final boolean"
+    "last_evidence string, elapsed_s double, is_final boolean, version long"
 )
 _STATE = (
-    "stamps array<bigint>, numbers array<bigint>, passes array<boolean>, patches array<string>, "
-    "done boolean"
+    "stamps array<bigint>, numbers array<bigint>, passes array<boolean>, applied array<boolean>, "
+    "patches array<string>, evidence array<string>, version bigint"
 )
+_PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def stateful_session(spark: SparkSession) -> SparkSession:
+    """A session of its own with the state store that the tracker needs."""
+    own = spark.newSession()
+    own.conf.set("spark.sql.streaming.stateStore.providerClass", _PROVIDER)
+    return own
 
 
 def _reducer(limit: int):
@@ -42,43 +55,42 @@ def _processor(limit: int, ttl_ms: int | None):
     import pandas as pd
     from pyspark.sql.streaming import StatefulProcessor
 
+    COLUMNS = ("attempt_ts", "attempt_no", "is_pass", "applied", "patch", "evidence")
+
     class Tracker(StatefulProcessor):
         def init(self, handle):
             self.state = handle.getValueState("attempts", _STATE, ttl_ms)
 
         def handleInputRows(self, key, rows, timerValues):
-            seen = []
+            before, version = [], 0
             if self.state.exists():
-                stamps, numbers, passes, patches, done = self.state.get()
-                if done:
-                    return
-                seen = list(zip(stamps, numbers, passes, patches))
-            before = list(seen)
+                *columns, version = self.state.get()
+                before = list(zip(*columns, strict=True))
+            seen = list(before)
             for pdf in rows:
-                new = zip(
-                    pdf["attempt_ts"].tolist(), pdf["attempt_no"].tolist(),
-                    pdf["is_pass"].tolist(), pdf["patch"].tolist(),
-                )
-                # attempts already counted keep their place, new ones follow in order
-                later = sorted([*seen[len(before):], *new], key=lambda a: a[:2])
-                seen = (before + later)[:limit]
-            at = next((i for i, a in enumerate(seen) if a[2]), None)
-            used = len(seen) if at is None else at + 1
-            done = at is not None or used >= limit
-            kept = seen[:used]
+                new = zip(*[pdf[c].tolist() for c in COLUMNS], strict=True)
+                seen = sorted([*seen, *new], key=lambda a: a[:2])[:limit]
+            if seen == before:
+                return
             self.state.update((
-                [int(a[0]) for a in kept], [int(a[1]) for a in kept],
-                [bool(a[2]) for a in kept], [a[3] for a in kept], bool(done),
+                [int(a[0]) for a in seen], [int(a[1]) for a in seen],
+                [bool(a[2]) for a in seen], [bool(a[3]) for a in seen],
+                [a[4] for a in seen], [a[5] for a in seen], version + 1,
             ))
+            at = next((i for i, a in enumerate(seen) if a[2] and a[3]), None)
+            used = len(seen) if at is None else at + 1
+            kept = seen[:used]
             stamps = [a[0] for a in kept]
             yield pd.DataFrame({
                 "test_id": [key[0]],
                 "is_fixed": [at is not None],
                 "fixed_at": pd.array([at], dtype="Int32"),
                 "attempts_used": pd.array([used], dtype="Int32"),
-                "final_patch": [None if at is None else kept[at][3]],
+                "final_patch": [None if at is None else kept[at][4]],
+                "last_evidence": [next((a[5] for a in reversed(kept) if a[3]), None)],
                 "elapsed_s": [round((stamps[-1] - min(stamps)) / 1e6, 2)],
-                "is_final": [done],
+                "is_final": [at is not None or used >= limit],
+                "version": [version + 1],
             })
 
         def close(self):
@@ -89,9 +101,12 @@ def _processor(limit: int, ttl_ms: int | None):
 
 def track_attempts(stream: DataFrame, test_id: Column, ts: Column, number: Column,
                    is_pass: Column, patch: Column, limit: int = rules.MAX_ATTEMPTS,
-                   ttl_ms: int | None = None) -> DataFrame:
+                   ttl_ms: int | None = None, applied: Column | None = None,
+                   evidence: Column | None = None) -> DataFrame:
     """Stream of attempts to a stream of progress rows per test.
 
+    Only applied attempts (by default all) can pass and leave evidence (text).
+    The stream's session must come from ``stateful_session``.
     ``ttl_ms`` drops the state of tests that have been idle that long; an attempt
     after that starts the test anew.
     """
@@ -100,7 +115,9 @@ def track_attempts(stream: DataFrame, test_id: Column, ts: Column, number: Colum
         F.unix_micros(ts.cast("timestamp")).alias("attempt_ts"),
         number.cast("long").alias("attempt_no"),
         is_pass.alias("is_pass"),
+        (F.lit(True) if applied is None else applied).alias("applied"),
         patch.alias("patch"),
+        (F.lit(None) if evidence is None else evidence).cast("string").alias("evidence"),
     )
     return (
         rows.mapInPandas(_reducer(limit), INPUT)
@@ -114,31 +131,19 @@ def track_attempts(stream: DataFrame, test_id: Column, ts: Column, number: Colum
 
 def latest_outcomes(progress: DataFrame) -> DataFrame:
     """Last progress row per test of a stored tracker output."""
-    values = [c for c in progress.columns if c != "test_id"]
+    values = [c for c in progress.columns if c not in ("test_id", "version")]
     picked = progress.groupBy("test_id").agg(
-        F.max_by(F.struct(*values), F.col("attempts_used")).alias("_p")
+        F.max_by(F.struct(*values), F.col("version")).alias("_p")
     )
     return picked.select("test_id", "_p.*")
 
 
 def run_to_table(progress: DataFrame, out_dir: str, checkpoint_dir: str) -> DataFrame:
     """Process what is available, store the progress rows and read them back."""
-    spark = progress.sparkSession
-    provider = "spark.sql.streaming.stateStore.providerClass"
-    old = spark.conf.get(provider, None)
-    spark.conf.set(
-        provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    query = (
+        progress.writeStream.format("parquet").outputMode("append")
+        .option("path", out_dir).option("checkpointLocation", checkpoint_dir)
+        .trigger(availableNow=True).start()
     )
-    try:
-        query = (
-            progress.writeStream.format("parquet").outputMode("append")
-            .option("path", out_dir).option("checkpointLocation", checkpoint_dir)
-            .trigger(availableNow=True).start()
-        )
-        query.awaitTermination()
-    finally:
-        if old is None:
-            spark.conf.unset(provider)
-        else:
-            spark.conf.set(provider, old)
-    return spark.read.schema(progress.schema).parquet(out_dir)
+    query.awaitTermination()
+    return progress.sparkSession.read.schema(progress.schema).parquet(out_dir)

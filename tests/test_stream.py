@@ -2,24 +2,26 @@
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from flakelens.operators import attempts
 from flakelens.streaming import attempts as live
 
 
-def test_stream_over_batches_equals_batch(spark, tmp_path):
+@pytest.mark.parametrize("backwards", [False, True])
+def test_stream_over_batches_equals_batch(spark, tmp_path, backwards):
     rng = random.Random(11)
     rows = []
     for i in range(600):
         user = 0 if rng.random() < 0.4 else rng.randint(1, 60)
         rows.append((user, i * 1_000_000, i, rng.random() < 0.15, f"p{i}"))
     schema = "user int, at long, i long, ok boolean, patch string"
-    for part in range(3):
+    for part in range(3)[::-1] if backwards else range(3):
         chunk = rows[part * 200:(part + 1) * 200]
         rng.shuffle(chunk)
         spark.createDataFrame(chunk, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    stream = live.stateful_session(spark).readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
     progress = live.track_attempts(
         stream, F.col("user"), F.timestamp_micros("at"), F.col("i"), F.col("ok"), F.col("patch"))
     stored = live.run_to_table(progress, str(tmp_path / "out"), str(tmp_path / "cp"))
@@ -30,6 +32,24 @@ def test_stream_over_batches_equals_batch(spark, tmp_path):
         ["user"], F.col("ok"), F.col("patch"), "ts")
     key = lambda r: (r[0], r.is_fixed, r.fixed_at, r.attempts_used, r.final_patch, r.elapsed_s)
     assert sorted(map(key, got.collect())) == sorted(map(key, batch.collect()))
-    # nothing is emitted for a test after its final row
-    finals = stored.groupBy("test_id").agg(F.sum(F.col("is_final").cast("int")).alias("n"))
-    assert finals.filter("n > 1").isEmpty()
+    # versions of a test are distinct, and only late attempts change a final outcome
+    assert stored.groupBy("test_id", "version").count().filter("count > 1").isEmpty()
+    if not backwards:
+        revised = stored.groupBy("test_id").agg(F.sum(F.col("is_final").cast("int")).alias("n")).filter("n > 1")
+        last = stored.filter("is_final").select("test_id", "is_fixed", "fixed_at", "attempts_used", "final_patch").distinct()
+        assert last.join(revised, "test_id").groupBy("test_id").count().filter("count > 1").isEmpty()
+
+
+def test_only_applied_attempts_pass_and_leave_evidence(spark, tmp_path):
+    rows = [(1, 10, 1, False, True, "p1", "e1"), (1, 20, 2, True, False, "p2", "e2"), (1, 30, 3, True, True, "p3", "e3"),
+            (2, 10, 4, True, False, "p4", "e4"), (3, 10, 5, False, True, "p5", "e5"), (3, 20, 6, False, False, "p6", "e6")]
+    schema = "user int, at long, i long, ok boolean, used boolean, patch string, seen string"
+    for row in reversed(rows):
+        spark.createDataFrame([row], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = live.stateful_session(spark).readStream.schema(schema).option("maxFilesPerTrigger", 2).parquet(str(tmp_path / "in"))
+    progress = live.track_attempts(
+        stream, F.col("user"), F.timestamp_micros("at"), F.col("i"), F.col("ok"), F.col("patch"),
+        applied=F.col("used"), evidence=F.col("seen"))
+    got = live.latest_outcomes(live.run_to_table(progress, str(tmp_path / "out"), str(tmp_path / "cp"))).collect()
+    assert {(r.test_id, r.is_fixed, r.attempts_used, r.final_patch, r.last_evidence) for r in got} == {
+        (1, True, 3, "p3", "e3"), (2, False, 1, None, None), (3, False, 2, None, "e5")}

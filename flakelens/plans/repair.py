@@ -7,11 +7,63 @@ from pyspark.sql import functions as F
 
 from .. import rules
 from ..functions import fqn as names
+from ..functions import javacode, prompts
 from ..operators import attempts as loop
+from ..operators import methods
 
 _EVIDENCE = ("summary", "err_msg", "err_code", "err_methods")
 
 
+def attempt_prompts(tests: DataFrame, initial: DataFrame, tries: DataFrame,
+                    order: tuple[str, ...] = ("ts",), limit: int = rules.MAX_ATTEMPTS,
+                    template: str = prompts.TEMPLATE) -> DataFrame:
+    """Numbered attempts with the prompt of each and the code related to its patch.
+
+    ``tests`` comes from ``plans.triage.cut_tests``; ``initial`` has ``test_id`` and
+    the evidence columns; ``tries`` has ``test_id, ts, applied, patched_content`` and
+    the evidence columns.  Attempt 0 sees the initial run and the original code, a
+    later one the evidence and code of the last applied attempt before it.
+    ``related_code`` is cut again from the patched source of an applied attempt; a
+    source without the method, or with unmatched braces, keeps the code shown before.
+    A patched source is parsed where it lies; windows hold ``limit`` rows per test.
+    """
+    columns = [F.col(c) for c in _EVIDENCE]
+    first_code = prompts.context_code(
+        F.col("before"), F.col("after"), F.col("global_vars"), F.col("method_code")
+    )
+    begun = tests.select("test_id", "method_name", first_code.alias("_code")).join(
+        initial.filter(F.col("summary") == rules.FAILURE).select("test_id", F.struct(*columns).alias("_first")),
+        "test_id",
+    )
+    numbered = loop.number_attempts(tries, ["test_id"], order, limit).join(begun, "test_id")
+    parsed = numbered.withColumn(
+        "_s", F.when(F.col("applied"), methods.source_structure(F.col("patched_content")))
+    ).withColumn(
+        "_m", F.when(~F.col("_s.unclosed"), javacode.last_named(F.col("_s.methods"), F.col("method_name")))
+    )
+    related = F.when(
+        F.col("_m").isNotNull(),
+        prompts.context_code(
+            F.col("_s.before"), F.col("_s.after"), F.col("_s.global_vars"),
+            javacode.code_of(F.col("patched_content"), F.col("_m")),
+        ),
+    )
+    cut = parsed.withColumn("related_code", related).drop("_s", "_m", "patched_content")
+    seen = loop.previous_evidence(
+        cut, ["test_id"], F.struct(*columns), F.col("_first"), F.col("applied"), "_seen"
+    )
+    seen = loop.previous_evidence(
+        seen, ["test_id"], F.col("related_code"), F.col("_code"), F.col("related_code").isNotNull(), "_shown"
+    )
+    ask = prompts.prompt(
+        F.col("method_name"), F.col("_shown"), F.col("_seen.err_msg"), F.col("_seen.err_code"),
+        F.col("_seen.err_methods"), template,
+    )
+    return seen.withColumn("prompt", ask).withColumn(
+        "related_code", F.when(F.col("applied"), F.coalesce("related_code", "_shown"))
+    ).drop("_code", "_first", "_seen", "_shown", "method_name")
+
+
 def result_documents(tests: DataFrame, initial: DataFrame, tries: DataFrame,
                      clone_dir: str, out_dir: str, order: tuple[str, ...] = ("ts",),
                      limit: int = rules.MAX_ATTEMPTS) -> DataFrame:
@@ -19,7 +71,8 @@ def result_documents(tests: DataFrame, initial: DataFrame, tries: DataFrame,
 
     ``tests`` comes from ``plans.triage.cut_tests``; ``initial`` has ``test_id,
     started, ended`` and the evidence columns; ``tries`` has ``test_id, ts,
-    applied, prompt, response, patch`` and the evidence columns.  Only tests
+    applied, prompt, response, patch``, the evidence columns and, if it is to be
+    logged, ``related_code``.  Only tests
     whose initial run fails have attempts; only applied attempts are logged.  One
     pass over the attempts gives outcome, log and last evidence.
     """
@@ -28,11 +81,12 @@ def result_documents(tests: DataFrame, initial: DataFrame, tries: DataFrame,
     )
     logged = F.col("kept") & F.col("applied")
     last = F.max_by(F.struct(*_EVIDENCE), F.when(logged, F.col("iter"))).alias("_last")
+    values = ["result", *(["related_code"] if "related_code" in tries.columns else []), "patch", "prompt", "response"]
     outcome = loop.repair_outcomes(
         first.select("test_id", "initial_summary", "started", "ended"),
         tries.withColumn("result", F.struct(*_EVIDENCE)), order, limit=limit,
         started="started", ended="ended",
-        extra=[loop.log_column(("result", "patch", "prompt", "response"), logged), last],
+        extra=[loop.log_column(values, logged), last],
     ).drop("initial_summary", "started", "ended")
     # no log rather than an empty one where nothing was applied
     outcome = outcome.select(

@@ -75,3 +75,32 @@ def test_result_documents(spark, tmp_path):
     sinks.write_results(docs, str(tmp_path), "run")
     back = sinks.read_results(spark, str(tmp_path), sinks.serializable(docs).schema)
     assert {r.test_id: r.status for r in back.collect()} == {k: v.status for k, v in got.items()}
+
+
+def test_prompts_of_later_attempts_show_the_last_applied_one(spark):
+    manifest, sources = inputs(spark)
+    tests = triage.cut_tests(manifest, sources)
+    initial = spark.createDataFrame(
+        [("1", rules.FAILURE, "m-first", "c-first", ["flaky"]), ("2", rules.PASS, "", "", [])],
+        "test_id string, summary string, err_msg string, err_code string, err_methods array<string>")
+
+    def patched(word):
+        return CODE.replace("check(n);", f"check({word});")
+
+    rows = [
+        ("1", T0 + dt.timedelta(seconds=i), applied, text, rules.FAILURE, f"m{i}", f"c{i}", ["flaky"])
+        for i, (applied, text) in enumerate(
+            [(True, patched("one")), (False, patched("two")), (True, patched("three") + "{"), (True, patched("four")),
+             (True, patched("five")), (True, patched("six"))])
+    ] + [("2", T0, True, patched("other"), rules.PASS, "m", "c", [])]
+    tries = spark.createDataFrame(
+        rows, "test_id string, ts timestamp, applied boolean, patched_content string, summary string, err_msg string, "
+              "err_code string, err_methods array<string>")
+    got = {r.iter: r for r in repair.attempt_prompts(tests, initial, tries, template="%1$s|%2$s|%3$s|%4$s|%5$s").collect()}
+    assert sorted(got) == [0, 1, 2, 3, 4] and {r.test_id for r in got.values()} == {"1"}
+    shown = [r.prompt.split("|") for _, r in sorted(got.items())]
+    assert [s[2] for s in shown] == ["m-first", "m0", "m0", "m2", "m3"]
+    assert ["check(n)" in shown[0][1]] + [f"check({w})" in s[1] for w, s in zip(("one", "one", "one", "four"), shown[1:], strict=True)] == [True] * 5
+    related = {i: r.related_code for i, r in got.items()}
+    assert related[1] is None and "check(one)" in related[0] and "check(one)" in related[2] and "check(five)" in related[4]
+    assert all("setUp" in c for i, c in related.items() if i != 1)

@@ -3,12 +3,10 @@
 from __future__ import annotations
 
 import string
-from collections.abc import Sequence
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flakelens.session import scratch_dir
+from flakelens.session import stored  # noqa: F401  (operators import it from here)
 
 # A broadcast side of a few narrow columns stays under some 100 MB per executor.
 BROADCAST_ROWS = 1_000_000
@@ -33,13 +31,6 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write to the shared folder and read back: cuts lineage, survives lost executors."""
-    path = scratch_dir(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def small(table: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """Mark a stored table for broadcast if its counted rows allow it.
 
@@ -48,12 +39,5 @@ def small(table: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(table) if table.count() <= limit else table
 
 
-def null_safe(left: DataFrame, right: DataFrame, pairs: Sequence[tuple[str, str]]) -> Column:
-    condition = F.lit(True)
-    for a, b in pairs:
-        condition = condition & left[a].eqNullSafe(right[b])
-    return condition
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

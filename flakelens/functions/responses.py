@@ -98,11 +98,11 @@ def region_text(text_lines: Column, region: Column, skip: str = "public class ")
 
 
 def response_class(response: Column) -> Column:
-    """All regions of a response wrapped as one class."""
+    """All regions of a response inside one block, so that surplus ends close nothing else."""
     return let(
         plain_lines(response),
         lambda ls: F.concat(
-            F.lit("public class Lambda {\n"),
+            F.lit("class Answer {\n"),
             F.array_join(
                 F.transform(regions(ls)["regions"], lambda r: region_text(ls, r)), "\n"
             ),

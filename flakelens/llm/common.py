@@ -10,6 +10,7 @@ from flakelens.session import stored  # noqa: F401  (operators import it from he
 
 # A broadcast side of a few narrow columns stays under some 100 MB per executor.
 BROADCAST_ROWS = 1_000_000
+ARROW_ROWS = 500
 
 
 def ascii_lower(text: Column) -> Column:
@@ -31,6 +32,14 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Hand rows to Python 500 at a time: with long texts, Spark's default of 10,000 rows
+    takes tens of megabytes on both sides of every task.  A lower setting is kept."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= ARROW_ROWS:
+        spark.conf.set(key, str(ARROW_ROWS))
+
+
 def small(table: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """Mark a stored table for broadcast if its counted rows allow it.
 

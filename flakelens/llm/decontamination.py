@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flakelens.llm.common import stored
+from flakelens.llm.common import small_batches, stored
 from flakelens.llm.words import NOT_ALNUM, U, Words, inside, sequence_hashes, slices
 
 WINDOW = 10
@@ -190,6 +190,7 @@ _COVERED = """aggregate(array_sort(spots), named_struct('n', 0L, 'end', 0L),
 
 def _indexes(docs: DataFrame, benchmark: DataFrame, text_col: str, item_col: str, window: int, part: int):
     """The window table in parts, each as a broadcast index."""
+    small_batches(docs.sparkSession)
     context = docs.sparkSession.sparkContext
     windows = stored(
         benchmark.select(

@@ -34,6 +34,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from flakelens.llm.common import small_batches
+
 SAMPLE_PAGES = 300  # bound of the training sample
 SAMPLE_CHARS, SAMPLE_BLOCKS = 100_000, 200  # larger pages are not used to train
 LAID_OUT = 1200
@@ -471,6 +473,7 @@ def _extract(shared):
 def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html",
               labeller: Labeller | None = None) -> DataFrame:
     """Per page: id, url, the main text and its length in code points."""
+    small_batches(pages.sparkSession)
     labeller = labeller or train(pages, html_col)
     shared = pages.sparkSession.sparkContext.broadcast(labeller)
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))

@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from flakelens.llm.common import fresh, small, stored
+from flakelens.llm.common import fresh, small, small_batches, stored
 from flakelens.llm.words import SPACES, U, Words, inside, mix, sequence_hashes, slices
 
 BANDS, WIDTH = 36, 5
@@ -273,6 +273,7 @@ def distinct_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 def _components(docs: DataFrame, id_col: str, text_col: str, shingle: int, per_cent: int) -> DataFrame:
     """Per document: id, n, prints of its set, component and its smallest id."""
+    small_batches(docs.sparkSession)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     rows = stored(
         texts.mapInArrow(_signatures(shingle), "id long, n long, one long, two long, bands array<long>"),

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from flakelens.llm.common import small, stored
+from flakelens.llm.common import small, small_batches, stored
 
 CAPACITY = 1024
 SMALL = 8
@@ -284,6 +284,7 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
          capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
     """Per piece: id, piece, start, length, ids_crc32, sequence_id, offset."""
     spark = docs.sparkSession
+    small_batches(spark)
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     id_type = texts.schema["id"].dataType.simpleString()
     pieces = stored(

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flakelens.llm.common import stored
+from flakelens.llm.common import small_batches, stored
 from flakelens.llm.words import SPACES, U, Words, byte_class, mix, slices
 
 BUCKETS = 1 << 14
@@ -237,6 +237,7 @@ class Model:
 
 
 def fit(docs: DataFrame, text_col: str = "text", train_rows: int = TRAIN_ROWS) -> Model:
+    small_batches(docs.sparkSession)
     texts = docs.select(F.col(text_col).alias("text"))
     votes = stored(texts.mapInArrow(_patterns, "pattern long, n long"), "votes")
     # at most 3 ** LABELLERS rows

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flakelens.llm.common import BROADCAST_ROWS, small, stored
+from flakelens.llm.common import BROADCAST_ROWS, small, small_batches, stored
 from flakelens.llm.words import _STEP, SPACES, U, Words, inside, rolling, sequence_hashes, slices, spans
 
 WINDOW = 20
@@ -156,6 +156,7 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, list
 def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                      window: int = WINDOW) -> DataFrame:
     """Per document: id, n_words, n_removed, kept_sha256."""
+    small_batches(docs.sparkSession)
     texts, keys = _keyed(docs, id_col, text_col)
     order = keys[-1]
     columns = texts.select(*keys, "text")

@@ -30,6 +30,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from flakelens.llm.common import small_batches
+
 MARK = "▁"  # fixed value: stands for a space in the pieces
 UNKNOWN_PENALTY = 10.0
 MEMO = 300_000
@@ -115,6 +117,7 @@ def counter(path: str) -> Counter:
 
 def token_counts(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document: id, n_tokens and the score of the best path."""
+    small_batches(docs.sparkSession)
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -30,7 +30,7 @@ from flakelens.llm.words import SPACES, U, Words, byte_class, mix, slices
 BUCKETS = 1 << 14
 TRAIN_ROWS = 8_000  # bound of the training sample
 THRESHOLD = 0.5
-PRIOR_WORDS = 8  # neutral words added to each text, so that a few words decide little
+PRIOR_WORDS = 4  # neutral words added to each text, so that a few words decide little
 LOW, NONE, GOOD = 0, 1, 2
 
 _UPPER = byte_class(lambda b: 0x41 <= b <= 0x5A)

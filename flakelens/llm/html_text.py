@@ -1,8 +1,8 @@
 """Main text of web pages by a recurrent block labeller.
 
 1. A page is read into blocks: the text between block-level tags, with the tags,
-   classes and ids of its open elements.  Scripts, styles, comments and the head
-   never become blocks.
+   classes and ids of its open elements.  Titles, scripts, styles, comments and
+   embedded elements never become blocks.
 2. A bidirectional LSTM (numpy) reads the blocks of a page in order.  Its input are
    hashed tag-path tokens, hashed words and a few numbers; its output is, for each
    block, whether it belongs to the main text.
@@ -14,8 +14,9 @@ anew from their texts with other containers, orders and class names, so that the
 labeller does not hang on one template.
 
 Defined cases: null html is empty; pages without main blocks give an empty text;
-unclosed tags, comments and quotes end with the page or at the next tag; repeated
-rows are judged alike; an empty table gives an empty table; other columns never
+unclosed tags, comments and quotes end with the page or at the next tag; scripts and
+styles without an end tag end with the page, of other elements without text the tag
+alone is skipped; a head needs no end tag; repeated rows are judged alike; an empty table gives an empty table; other columns never
 matter.
 """
 
@@ -46,7 +47,7 @@ PAGES = 256  # pages parsed at once
 
 # Elements by their role in HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style title noscript template svg math iframe object canvas audio video head".split())
+RAW = frozenset("script style title noscript template svg math iframe object canvas audio video".split())
 BLOCK = frozenset(
     "address article aside blockquote body br button caption center dd details dialog div dl dt fieldset figcaption "
     "figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search "
@@ -60,6 +61,11 @@ _TAG = re.compile(
     r"<!--(?:.*?-->|>|.*\Z)|<(/?)([a-zA-Z][^\s/>]*)((?>[^>\"']+|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?/][^>]*>|<[!?/a-zA-Z][^>]*\Z",
     re.S,
 )
+_RAW = re.compile(
+    r"<!--(?:.*?-->|>|.*\Z)|<(script|style)(?=[\s/>]).*?(?:</\1(?=[\s/>]|\Z)|\Z)"
+    rf"|<(/?)({'|'.join(sorted(RAW - {'script', 'style', 'title'}))})(?=[\s/>]|\Z)([^>]*)>?",
+    re.S | re.I,
+)
 _NAMED = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)", re.I)
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|/|$)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
 _SPLIT = re.compile(r"[^a-z0-9]+")
@@ -101,6 +107,22 @@ class Block:
         return [word_bucket(w) for w in words], numbers
 
 
+def _raw_ends(page: str) -> dict[int, int]:
+    """Where the elements without text that have an end tag begin and end."""
+    ends: dict[int, int] = {}
+    opened: dict[str, list[int]] = {}
+    for m in _RAW.finditer(page):
+        if not m[3]:
+            continue
+        begun = opened.setdefault(m[3].lower(), [])
+        if not m[2]:
+            if not m[4].endswith("/"):
+                begun.append(m.start())
+        elif begun:
+            ends[begun.pop()] = m.end()
+    return ends
+
+
 def blocks_of(page: str | None) -> list[Block]:
     """The text blocks of a page in order."""
     page = page or ""
@@ -110,6 +132,7 @@ def blocks_of(page: str | None) -> list[Block]:
     links = [0, 0]
     path: tuple[str, ...] = ()
     opened = [0]  # open links
+    raw_ends: dict[int, int] | None = None
 
     def flush() -> None:
         if texts:
@@ -155,9 +178,20 @@ def blocks_of(page: str | None) -> list[Block]:
                 pop_to(i)
             continue
         if tag in RAW:
-            if not attributes.endswith("/"):
+            if attributes.endswith("/"):
+                continue
+            if tag in ("script", "style", "title"):
                 end = re.compile(rf"</{tag}\b[^>]*>?", re.I).search(page, at)
-                at = end.end() if end else len(page)
+                if end is None and tag == "title" and (following := _TAG.search(page, at)):
+                    at = following.start()
+                else:
+                    at = end.end() if end else len(page)
+                continue
+            if raw_ends is None:
+                raw_ends = _raw_ends(page)
+            at = max(at, raw_ends.get(m.start(), at))
+            continue
+        if tag == "head":  # holds no text but that of other elements, and ends where it likes
             continue
         if tag in CLOSES_P:
             i = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == "p" or stack[i][0] in CLOSES_P), None)

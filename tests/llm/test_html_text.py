@@ -27,6 +27,22 @@ def test_blocks():
     assert texts("<P CLASS=X>A</P><SCRIPT>s</SCRIPT>B") == ["A", "B"]
 
 
+def test_elements_without_end_tag():
+    rest = "<body><article><p>a<p>b</article>"
+    assert texts("<html><head><title>x</title>" + rest) == ["a", "b"]
+    assert texts("<head><meta charset=utf-8><title>x</title><script>'</head>'</script><link rel=x><p>a") == ["a"]
+    assert texts("<head><title>x</title>plain text") == ["plain text"]
+    assert texts("<head><title>x<style>p{}</style></head>" + rest) == ["a", "b"]
+    assert "<head" not in ht.blocks_of("<head><title>x</title><p>a")[0].path
+    for tag in "iframe object canvas svg math video audio noscript template".split():
+        assert texts(f"<{tag} class=x>" + rest) == ["a", "b"]
+        assert texts(f"<{tag}>" + rest + f"<{tag}>gone</{tag}><p>c") == ["a", "b", "c"]
+        assert texts(f"<p>a<{tag}>gone<!-- </{tag}> --><{tag}>gone</{tag}>gone</{tag}><p>b") == ["a", "b"]
+        assert texts(f"<{tag}-x>a</{tag}-x>") == ["a"]
+    assert texts("<title>x" * 20_000 + "<svg>" * 20_000 + "<p>a") == ["a"]
+    assert texts("<svg>" * 20_000 + "</svg><p>a") == ["a"]
+
+
 def test_paths():
     page = "<article class='post-body'><p>a<p>b</article><nav id=top><a href=x>c</a></nav>d"
     a, b, c, d = ht.blocks_of(page)

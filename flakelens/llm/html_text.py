@@ -8,7 +8,8 @@
    block, whether it belongs to the main text.
 3. Main blocks are joined in page order.
 
-The labeller is trained on a bounded sample of the pages themselves.  Pages whose
+The labeller is trained on a bounded sample of the pages themselves, of large pages on
+blocks spread over them.  Pages whose
 markup tells article and surroundings apart give labels; more examples are laid out
 anew from their texts with other containers, orders and class names, so that the
 labeller does not hang on one template.
@@ -16,8 +17,8 @@ labeller does not hang on one template.
 Defined cases: null html is empty; pages without main blocks give an empty text;
 unclosed tags, comments and quotes end with the page or at the next tag; scripts and
 styles without an end tag end with the page, of other elements without text the tag
-alone is skipped; a head needs no end tag; repeated rows are judged alike; an empty table gives an empty table; other columns never
-matter.
+alone is skipped; a head needs no end tag; repeated rows are judged alike; an empty table gives an empty table; a labeller
+trained where no page has a block knows fixed texts only; other columns never matter.
 """
 
 from __future__ import annotations
@@ -25,6 +26,7 @@ from __future__ import annotations
 import html as htmllib
 import random
 import re
+import sys
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -35,10 +37,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flakelens.llm.common import small_batches
+from flakelens.llm.common import small_batches, stored
 
 SAMPLE_PAGES = 300  # bound of the training sample
-SAMPLE_CHARS, SAMPLE_BLOCKS = 100_000, 200  # larger pages are not used to train
+SAMPLE_CHARS, SAMPLE_BLOCKS, BLOCK_CHARS = 100_000, 200, 2_000  # bounds of what one page gives to train
 LAID_OUT = 1200
 PATHS, WORDS, NUMBERS, HIDDEN = 4096, 128, 5, 12
 INPUTS = PATHS + WORDS + NUMBERS
@@ -362,6 +364,19 @@ AROUND = {
     "comments": ("section", "comments comment comment-list discussion replies responses reader-comments respond disqus".split()),
     "footer": ("footer", "footer site-footer copyright legal bottom colophon page-footer credits".split()),
 }
+# What pages are laid out from where a table has no text.
+SHORTS = (
+    "Read more", "Home", "A short headline", "Accept all", "About us", "Subscribe to the letter", "All rights reserved",
+    "Share this page", "Three answers", "Search", "News of the week", "Contact",
+)
+PARAGRAPHS = (
+    "The town council met on Tuesday evening and, after some hours of talk, agreed to repair the old bridge before the winter begins.",
+    "Bread needs little more than flour, water and salt; the rest is time, and a warm place where the dough can rise undisturbed.",
+    "In the second half the visitors had more of the ball, but it was the home side that scored, late and from a long distance.",
+    "We compared both machines for a month. The first was faster on paper, while the second did its work without a single failure.",
+    "Thank you for this text, I have read it twice and passed it on to friends who have been asking about the matter for years.",
+    "This site stores some data on your device so that pages load sooner; you can change what is stored at any time in the settings.",
+)
 _INSIDE = frozenset({"<article", "<main"})
 _OUTSIDE = frozenset(
     {"<nav", "<footer", "<aside", "<form", "hidden"}
@@ -457,34 +472,81 @@ def lay_out(rnd: random.Random, paragraphs: list[str], shorts: list[str],
     return [b for b, _ in page], [label for _, label in page]
 
 
-def examples(pages: list[str], seed: int = 3, laid_out: int = LAID_OUT) -> list[tuple[list[Block], list[int]]]:
+def sample_of(page: str | None) -> tuple[list[Block], list[int] | None]:
+    """At most ``SAMPLE_BLOCKS`` blocks spread over a page, of bounded texts, and their weak labels."""
+    blocks = blocks_of(page)
+    labels = weak_labels(blocks)
+    texts = [b.text[:BLOCK_CHARS] for b in blocks]
+    n = min(len(blocks), SAMPLE_BLOCKS)
+    chars = sum(map(len, texts)) * n // max(len(blocks), 1)
+    if chars > SAMPLE_CHARS:
+        n = max(1, n * SAMPLE_CHARS // chars)
+    keep = range(len(blocks)) if n == len(blocks) else [i * len(blocks) // n for i in range(n)]
+    return [Block(texts[i], blocks[i].path, blocks[i].linked) for i in keep], labels and [labels[i] for i in keep]
+
+
+def examples(pages: list[tuple[list[Block], list[int] | None]], seed: int = 3,
+             laid_out: int = LAID_OUT) -> list[tuple[list[Block], list[int]]]:
+    """Labelled pages of the sample, and pages laid out from its texts; without any text, from fixed ones."""
     rnd = random.Random(seed)
     out, paragraphs, shorts = [], [], []
-    for page in pages:
-        blocks = blocks_of(page)
+    for blocks, labels in pages:
         for b in blocks:
             (paragraphs if len(b.text) > 120 else shorts).append(b.text)
-        labels = weak_labels(blocks) if 0 < len(blocks) <= SAMPLE_BLOCKS else None
         if labels:
             out.append((blocks, labels))
-    if shorts or paragraphs:
-        paragraphs, shorts = paragraphs or shorts, shorts or paragraphs
-        inner = [(kind, name) for kind, (_, names) in AROUND.items() for name in names if kind not in ("header", "menu")]
-        out += [lay_out(rnd, paragraphs, shorts, inner[i % len(inner)]) for i in range(laid_out)]
-    return out
+    if not shorts and not paragraphs:
+        paragraphs, shorts = list(PARAGRAPHS), list(SHORTS)
+    paragraphs, shorts = paragraphs or shorts, shorts or paragraphs
+    inner = [(kind, name) for kind, (_, names) in AROUND.items() for name in names if kind not in ("header", "menu")]
+    return out + [lay_out(rnd, paragraphs, shorts, inner[i % len(inner)]) for i in range(laid_out)]
+
+
+def _samples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each different page with blocks: its key, texts, paths as text, shares of links, labels."""
+    seen: set[int] = set()
+    for batch in batches:
+        for key, page in zip(batch.column("key"), batch.column("html"), strict=True):
+            if (k := key.as_py()) in seen:
+                continue
+            seen.add(k)
+            blocks, labels = sample_of(page.as_py())
+            if blocks:
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([k], pa.int64()), pa.array([[b.text for b in blocks]], pa.list_(pa.string())),
+                     pa.array([[" ".join(sorted(b.path)) for b in blocks]], pa.list_(pa.string())),
+                     pa.array([[b.linked for b in blocks]], pa.list_(pa.float64())),
+                     pa.array([labels], pa.list_(pa.int32()))],
+                    names=["key", "texts", "paths", "linked", "labels"],
+                )
 
 
 def train(pages: DataFrame, html_col: str = "html", sample_pages: int = SAMPLE_PAGES) -> Labeller:
-    """A labeller from at most about ``sample_pages`` different pages, chosen by their hash."""
-    share = min(1.0, sample_pages / max(pages.count(), 1))
-    pick = F.xxhash64(html_col)
-    chosen = (
-        pages.filter(F.length(html_col) <= SAMPLE_CHARS)
-        .filter(pick.bitwiseAND(F.lit((1 << 40) - 1)) < F.lit(int(share * (1 << 40))))
-        .select(pick.alias("pick"), F.col(html_col).alias("html"))
-        .dropDuplicates(["pick"]).orderBy("pick").limit(2 * sample_pages)
-    )
-    return Labeller().fit(examples([r.html for r in chosen.collect()]))
+    """A labeller from the ``sample_pages`` different pages with blocks whose hashes are smallest.
+
+    Pages are read until there are so many, or no more: a table with any text gives a sample.
+    """
+    small_batches(pages.sparkSession)
+    rows = pages.select(
+        F.xxhash64(html_col).bitwiseAND(F.lit((1 << 62) - 1)).alias("key"), F.col(html_col).alias("html")
+    ).filter("html is not null")
+    keys = stored(rows.select("key").distinct(), "page_keys")
+    found, after, size = [], -1, sample_pages
+    while len(found) < sample_pages:
+        last = keys.filter(F.col("key") > after).orderBy("key").limit(size).agg(F.max("key")).first()[0]
+        if last is None:
+            break
+        found += (
+            rows.filter((F.col("key") > after) & (F.col("key") <= last))
+            .mapInArrow(_samples, "key long, texts array<string>, paths array<string>, linked array<double>, labels array<int>")
+            .dropDuplicates(["key"]).orderBy("key").limit(sample_pages - len(found)).collect()
+        )
+        after, size = last, 4 * size
+    sample = [
+        ([Block(t, tuple(map(sys.intern, p.split())), x) for t, p, x in zip(r.texts, r.paths, r.linked, strict=True)], r.labels)
+        for r in found
+    ]
+    return Labeller().fit(examples(sample))
 
 
 def _extract(shared):

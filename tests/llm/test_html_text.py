@@ -136,3 +136,31 @@ def test_awkward_rows(spark, labeller):
     assert long == [" ".join(["T", *PROSE * 500])] * 2
     assert ht.main_text(df.filter("page_id = 9")).count() == 0
     assert ht.main_text(df.filter("page_id = 1")).count() == 2
+
+
+def test_training_on_large_pages(spark):
+    long = [f"Paragraph {i} goes on. {PROSE[i % 2]}" for i in range(1500)]
+    page = f"<body>{''.join(AROUND)}<article><h1>A title</h1>{''.join(f'<p>{p}</p>' for p in long)}</article>{AROUND[-1]}"
+    assert len(page) > 150_000
+    blocks, labels = ht.sample_of(page)
+    assert len(blocks) == len(labels) == ht.SAMPLE_BLOCKS and set(labels) == {0, 1}
+    assert [len(b.text) for b in ht.sample_of("<p>" + "word " * 50_000)[0]] == [ht.BLOCK_CHARS]
+    assert sum(len(b.text) for b in ht.sample_of(("<p>" + "word " * 1000) * 300)[0]) <= ht.SAMPLE_CHARS
+    df = spark.createDataFrame([(1, "u", page)], "page_id long, url string, html string")
+    assert ht.main_text(df).first().text == " ".join(["A title", *long])
+
+
+def test_sample_of_few_usable_pages(spark, monkeypatch):
+    """Copies and pages without text do not shrink the sample."""
+    seen = []
+    monkeypatch.setattr(ht, "examples", lambda pages: seen.extend(pages) or [])
+    rows = [(f"<script>{i}</script>",) for i in range(400)] + [(f"<p>text {i % 5}",) for i in range(50)] + [(None,), ("",)]
+    ht.train(spark.createDataFrame(rows, "html string"), sample_pages=4)
+    assert len(seen) == 4 == len({blocks[0].text for blocks, _ in seen})
+
+
+def test_no_page_to_train_on(spark):
+    """Fixed texts teach the labeller where the table has none."""
+    empty = spark.createDataFrame([(None,), ("<script>x</script>",)], "html string")
+    page = f"<html><body>{AROUND[1]}<article><h1>A title</h1>{P}</article>{AROUND[-1]}"
+    assert main(ht.train(empty), page) == " ".join(["A title", *PROSE])

@@ -11,8 +11,10 @@ size of the corpus:
 3. Actual lengths are substituted for the rounded ones, which frees room.
 4. Small lengths go best-fit into the least room that holds them.
 
-The same count-level best fit over all lengths in falling order is computed as
-well, and the plan with fewer sequences is used.  A plan consists of runs: the
+Where a plan needs more sequences than the tokens fill, finer groups are tried, up to
+one for each length, and at most half of its sequences, the emptiest, are taken apart
+after step 3 and go best-fit into the room of the others.  The plan with the fewest
+sequences is used; each comes from linear grouping.  A plan consists of runs: the
 pieces of one length with ranks from a to b go to consecutive sequences at one
 offset.  Ranks come from per-partition counts, so no task sees all pieces of a
 common length.
@@ -42,6 +44,8 @@ from flakelens.llm.common import small, small_batches, stored
 CAPACITY = 1024
 SMALL = 8
 GROUPS = 256
+FINER = (1, 4, 16, 0)  # times ``GROUPS``; 0: every length is a group
+AGAIN = (0.0, 0.25, 0.5)  # shares of the sequences that are taken apart
 END_ID = 2
 PART = 200_000  # characters encoded at once
 # The pattern of the byte-level vocabulary that splits text before merges.
@@ -246,22 +250,45 @@ def _substituted(uses: int, chosen: list[int], groups: list[tuple[int, deque]])
     return sets
 
 
+def _planned(rest: dict[int, int], large: dict[int, int], dealt: list[tuple[int, deque]], capacity: int,
+             again: float) -> list[tuple[int, tuple]]:
+    """Sets by one grouping; the share ``again`` of its sequences, the emptiest, is taken apart
+    and goes best-fit into the room of the others, before the small lengths."""
+    sets: list[tuple[int, tuple]] = []
+    for uses, chosen in _configurations([s for s, _ in dealt], [sum(c for _, c in m) for _, m in dealt], capacity):
+        sets += _substituted(uses, chosen, dealt)
+    left = {n: c for n, c in rest.items() if n not in large}
+    apart = int(sum(count for count, _ in sets) * again)
+    bins = _Bins(capacity)
+    for count, lengths in sorted(sets, key=lambda s: sum(s[1])):
+        taken = min(apart, count)
+        apart -= taken
+        for n in lengths if taken else ():
+            left[n] = left.get(n, 0) + taken
+        bins.add(count - taken, lengths)
+    for n in sorted(left, reverse=True):
+        bins.best_fit(n, left[n])
+    return bins.sets()
+
+
 def plan_sets(counts: dict[int, int], capacity: int = CAPACITY, groups: int = GROUPS) -> list[tuple[int, tuple]]:
     """Sets of equal sequences that hold all counted lengths."""
     full = [(counts[capacity], (capacity,))] if counts.get(capacity) else []
     rest = {n: c for n, c in counts.items() if n < capacity and c}
     large = {n: c for n, c in rest.items() if n * SMALL > capacity}
-    dealt = _grouped(large, groups)
-    configured = _Bins(capacity)
-    for uses, chosen in _configurations([s for s, _ in dealt], [sum(c for _, c in m) for _, m in dealt], capacity):
-        for count, lengths in _substituted(uses, chosen, dealt):
-            configured.add(count, lengths)
-    for n in sorted(rest.keys() - large.keys(), reverse=True):
-        configured.best_fit(n, rest[n])
-    plain = _Bins(capacity)
-    for n in sorted(rest, reverse=True):
-        plain.best_fit(n, rest[n])
-    best = min(configured.sets(), plain.sets(), key=lambda sets: sum(c for c, _ in sets))
+    least = -(-sum(n * c for n, c in rest.items()) // capacity)
+    best: list[tuple[int, tuple]] | None = None
+    fewest = 0
+    for finer in FINER:
+        for again in AGAIN:
+            if best is not None and fewest <= least:
+                return full + best
+            # the finest grouping has one length a group
+            dealt = _grouped(large, groups * finer) if finer else [(n, deque([(n, large[n])])) for n in sorted(large, reverse=True)]
+            sets = _planned(rest, large, dealt, capacity, again)
+            n = sum(c for c, _ in sets)
+            if best is None or n < fewest:
+                best, fewest = sets, n
     return full + best
 
 

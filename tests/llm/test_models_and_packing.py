@@ -127,6 +127,33 @@ def test_plans_hold_every_length(counts, groups):
     assert sum(n for n, _ in sets) <= len(room) * 1.05 + 1
 
 
+@pytest.mark.parametrize("groups", [1, 16, 256])
+def test_plans_come_from_groups(monkeypatch, groups):
+    """No plan is a best fit of all lengths, and none needs more sequences than that."""
+    placed: list[Counter] = []
+    made, fit = packing._Bins.__init__, packing._Bins.best_fit
+
+    def init(self, capacity):
+        made(self, capacity)
+        self.placed = Counter()
+        placed.append(self.placed)
+
+    def best_fit(self, length, count):
+        self.placed[length] += count
+        fit(self, length, count)
+
+    rnd = random.Random(groups)
+    counts = {n: rnd.randint(1, 20) for n in range(130, 1024)}
+    plain = packing._Bins(1024)
+    for n in sorted(counts, reverse=True):
+        plain.best_fit(n, counts[n])
+    monkeypatch.setattr(packing._Bins, "__init__", init)
+    monkeypatch.setattr(packing._Bins, "best_fit", best_fit)
+    sets = packing.plan_sets(counts, 1024, groups)
+    assert placed and all(p.total() < 0.8 * sum(counts.values()) for p in placed)
+    assert sum(n for n, _ in sets) <= sum(n for n, _ in plain.sets())
+
+
 def test_quality_on_held_out_labels(spark):
     """No label is used to train, so all of them are held out."""
     sf = "/root/testdata/sf0.01"

@@ -60,13 +60,13 @@ def enclosing_methods(points: DataFrame, methods: DataFrame, keys: Sequence[str]
     )
 
 
-def _cases(suite, depth: int = schemas.SUITE_DEPTH):
-    """All cases of a suite and the suites below it."""
-    own = F.coalesce(suite["testcase"], F.array().cast(T.ArrayType(schemas.TESTCASE)))
-    if not depth:
-        return own
-    below = F.flatten(F.transform(suite["testsuite"], lambda s: _cases(s, depth - 1)))
-    return F.concat(own, F.coalesce(below, F.array().cast(T.ArrayType(schemas.TESTCASE))))
+# Cases of a report, whatever they are nested in; comments and raw text hold none.
+# Every repetition is possessive: long cases need no deep stack.
+_CASES = (
+    r"(?s)<!--.*?-->|<!\[CDATA\[.*?\]\]>"
+    r"|(<testcase(?=[\s/>])(?:\"[^\"]*+\"|'[^']*+'|[^>\"'/]|/(?!>))*+"
+    r"(?:/>|>(?:[^<]++|<!--.*?-->|<!\[CDATA\[.*?\]\]>|<(?!/testcase[\s>]))*+</testcase\s*+>))"
+)
 
 
 def is_unreadable(xml):
@@ -75,10 +75,17 @@ def is_unreadable(xml):
     return suite.isNull() | suite["_corrupt_record"].isNotNull()
 
 
+def cases_of(xml):
+    """All cases of a readable report in its order."""
+    found = F.array_join(F.regexp_extract_all(xml, F.lit(_CASES), F.lit(1)), "")
+    suite = F.from_xml(F.concat(F.lit("<testsuite>"), found, F.lit("</testsuite>")), schemas.TESTSUITE)
+    none = F.array().cast(T.ArrayType(schemas.TESTCASE))
+    return F.coalesce(F.when(~is_unreadable(xml), suite["testcase"]), none)
+
+
 def report_cases(reports: DataFrame, keys: Sequence[str], xml: str = "xml") -> DataFrame:
     """Test cases of JUnit-style reports, one row each, with their problem text."""
-    suite = F.from_xml(F.col(xml), schemas.TESTSUITE)
-    cases = generate(reports, keys, text.let(suite, lambda s: _cases(s)), "case")
+    cases = generate(reports, keys, cases_of(F.col(xml)), "case")
 
     def first(kind: str):
         problem = F.try_element_at(F.col("case")[kind], F.lit(1))
@@ -105,13 +112,11 @@ def reported_messages(xml, class_fqn, name):
 
         return F.array(first("error"), first("failure"))
 
-    def own(suite):
-        cases = F.filter(
-            _cases(suite), lambda c: (c["_classname"] == class_fqn) & (c["_name"] == name)
-        )
+    def own(all_cases):
+        cases = F.filter(all_cases, lambda c: (c["_classname"] == class_fqn) & (c["_name"] == name))
         return text.ordered_distinct(F.flatten(F.transform(cases, messages)))
 
-    return text.let(F.from_xml(xml, schemas.TESTSUITE), own)
+    return text.let(cases_of(xml), own)
 
 
 def messages_of_runs(run_reports: DataFrame) -> DataFrame:

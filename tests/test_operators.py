@@ -211,6 +211,24 @@ def test_report_failures(spark):
     assert sorted(r.message for r in scope.collect()) == ["E1", "F2", "m 1"]
 
 
+def test_cases_at_any_depth(spark):
+    def case(name, body):
+        return f'<testcase classname="a.B" name="{name}" note="1 > 0"\n>{body}</testcase >'
+
+    raw = "<![CDATA[</testcase><testcase classname='a.B' name='raw'/>]]><!-- <testcase name='c'/> -->"
+    inner = case("t", f'<failure message="deep &amp; found" type="T">{raw}{"long <b/> " * 20_000}</failure>') + "<testcase classname='a.B' name='fine'/>"
+    deep = '<?xml version="1.0"?><testsuites>' + "<testsuite name='s'>" * 12 + f"<group><system-out>{raw}</system-out>{inner}</group>"
+    closed = "</testsuite>" * 12 + "</testsuites>"
+    reports = spark.createDataFrame(
+        [("deep", deep + closed), ("mixed", f"<testsuite><testsuite>{inner}</testsuite>{case('u', '<error type=\"E\"/>')}</testsuite>"),
+         ("cut", deep), ("crossed", deep + "</testsuites>"), ("none", None)], "run string, xml string")
+    got = [(r.run, r.name, r.failure_message or r.error_message) for r in evidence.report_cases(reports, ["run"]).collect() if r.name]
+    assert got == [("deep", "t", "deep & found"), ("deep", "fine", None), ("mixed", "t", "deep & found"), ("mixed", "fine", None), ("mixed", "u", "E")]
+    mine = evidence.reported_messages(F.col("xml"), F.lit("a.B"), F.lit("t")).alias("m")
+    assert {r.run: list(r.m or []) for r in reports.select("run", mine).collect()} == {
+        "deep": ["deep & found"], "mixed": ["deep & found"], "cut": [], "crossed": [], "none": []}
+
+
 def test_reports_of_runs_walks_below_the_directory(spark):
     runs = spark.createDataFrame([("r1", "a.B", "/w/x/"), ("r2", "a.B", "/w/xx")], "run_id string, class_fqn string, report_dir string")
     reports = spark.createDataFrame(

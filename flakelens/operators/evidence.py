@@ -264,7 +264,7 @@ def mined_lines(runs: DataFrame, lines: DataFrame, line: str = "line") -> DataFr
         + [rules.COMPILE_MARKER, rules.REGION_START, rules.REGION_END, rules.REPORT_DIR_START, rules.ERROR_PREFIX]
     ))
     frame = F.contains(text_of, F.lit(rules.FRAME_PREFIX))
-    named = F.contains(text_of, F.lit(rules.SOURCE_SUFFIX + ":"))
+    named = F.contains(text_of, F.lit(rules.SOURCE_SUFFIX))
     rows = lines.filter(text.contains_any(text_of, markers) | frame | named).select("run_id", "line_no", line)
     names_of = runs.select(
         "run_id", names.class_file(F.col("test_fqn")).alias("_file"), names.class_fqn(F.col("test_fqn")).alias("_class")

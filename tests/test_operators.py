@@ -249,6 +249,19 @@ def test_evidence_bundle_joins_messages_and_code(spark):
     assert got == {"1": (rules.FAILURE, "boom\nbang", "y();", ["t", "u"]), "2": (rules.PASS, "", "", [])}
 
 
+def test_line_form_reads_every_line_with_the_file_name(spark):
+    logs = spark.createDataFrame(
+        [("1", "w.CTest.t", "/w/CTest.java", "[INFO] x\n[WARNING] /w/CTest.java [12,5] unchecked\nin CTest.java line 3\n/w/CTest.java:[7,1] x\n\tat w.CTest.t(CTest.java:9)\n[WARNING] /w/Other.java [1,1]"),
+         ("2", "w.CTest.t", "/w/CTest.java", "There are test failures\n[WARNING] /w/DTest.java [12,5] x")],
+        "run_id string, test_fqn string, path string, content string")
+    whole = evidence.mined_logs(logs)
+    table = lines.line_table(logs, ["run_id"], "content").select("run_id", "line_no", "line")
+    by_line = evidence.mined_lines(logs.drop("content"), table).select(whole.columns)
+    want = sorted(map(tuple, whole.collect()))
+    assert 12 in want[0][whole.columns.index("line_numbers")]
+    assert sorted(map(tuple, by_line.collect())) == want
+
+
 def test_method_join_keeps_tests_without_method(spark):
     src = spark.createDataFrame([("p", "class A {\n void t() { }\n void t(int i) { }\n}")], "path string, content string")
     tests = spark.createDataFrame([("p", "t"), ("p", "z")], "path string, name string")

@@ -9,10 +9,12 @@ from flakelens.llm import (
     decontamination,
     exact_dedup,
     html_text,
+    lexical_search,
     near_dedup,
     packing,
     quality,
     sharding,
+    simhash,
     substring_dedup,
     token_counts,
     url_filter,
@@ -71,6 +73,14 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=50)
+
+
+def op13_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.simhash_components(table(spark, sf_dir, "documents"), shingle=3, radius=2)
+
+
 OP2_SQL = """
 with d as (
   select doc_id, sha256(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
@@ -105,6 +115,32 @@ select page_id, host, path, case when b is not null then split_part(b, '|', 2) e
 from best
 """
 
+OP12_SQL = r"""
+with lowered as (
+  select doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') as terms
+  from documents),
+postings as (
+  select doc_id, term, count(*) as tf from (select doc_id, unnest(terms) as term from lowered) group by all),
+lengths as (select doc_id, len(terms)::bigint as n from lowered where len(terms) > 0),
+totals as (select count(*)::bigint as docs, sum(n)::bigint as words from lengths),
+asked as (
+  select distinct item_id, unnest(regexp_extract_all(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as term
+  from benchmark),
+weights as (
+  select term, floor(1000 * ln((2 * docs + 2)::double / (2 * df + 1)::double))::bigint as w
+  from (select term, count(*) as df from postings group by term), totals),
+scored as (
+  select item_id, doc_id,
+         sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * docs) // words))))::bigint as score
+  from asked join weights using (term) join postings using (term) join lengths using (doc_id), totals
+  group by all)
+select item_id, (row_number() over (partition by item_id order by score desc, doc_id))::int as rank, doc_id, score
+from scored where score > 0 qualify rank <= 50
+"""
+
 QUERIES = {
     "op1_token_counts": (op1_token_counts, None),
     "op2_exact_dedup": (op2_exact_dedup, OP2_SQL),
@@ -116,4 +152,6 @@ QUERIES = {
     "op8_url_filter": (op8_url_filter, OP8_SQL),
     "op9_substring_dedup": (op9_substring_dedup, None),
     "op10_packing": (op10_packing, None),
+    "op12_lexical_search": (op12_lexical_search, OP12_SQL),
+    "op13_simhash": (op13_simhash, None),
 }

@@ -160,13 +160,13 @@ class Postings:
         self.keys = np.repeat(np.arange(len(sizes)), sizes) * self.width + docs
         # impact above, place below, so that a maximum tells its leftmost place too
         level = (impacts << np.int64(32)) | (_ORDER - np.arange(len(docs)))
-        self.levels, step = [level], 1
+        levels, step = [level], 1
         while 2 * step <= (int(sizes.max()) if len(sizes) else 0):
             longer = level.copy()
             longer[: len(level) - step] = np.maximum(level[:-step], level[step:])
-            self.levels.append(longer)
+            levels.append(longer)
             level, step = longer, 2 * step
-        self.table = np.stack(self.levels)
+        self.table = np.stack(levels)
 
     def best(self, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
         """Packed maximum of each range; 0 for an empty one."""

@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from flakelens.llm import (
+    collocations,
     decontamination,
     exact_dedup,
     html_text,
@@ -73,6 +74,10 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"), top=2000, least=100)
+
+
 def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical_search.ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=50)
 
@@ -115,6 +120,43 @@ select page_id, host, path, case when b is not null then split_part(b, '|', 2) e
 from best
 """
 
+OP11_SQL = r"""
+with pieces as (
+  select coalesce(lang, 'und') as lang,
+         unnest(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                      '[.,;:!?\x0A-\x0D]')) as piece
+  from documents),
+cut as (select lang, regexp_extract_all(piece, '[^\x20\x09]+') as ws from pieces),
+totals as (select lang, sum(len(ws))::bigint as n from cut group by lang),
+grams as (
+  select lang, k, array_to_string(ws[i:i + k - 1], ' ') as phrase
+  from (select lang, ws, k, unnest(range(1, len(ws) - k + 2)) as i
+        from cut, (select unnest(range(1, 6)) as k))),
+often as (
+  select lang, k, phrase, string_split(phrase, ' ') as ws, count(*) as f
+  from grams group by all having count(*) >= 100),
+cuts as (
+  select o.lang, o.phrase, o.f as a, o.c, x.f as l, y.f as r,
+         (1000::hugeint * o.f * n // (x.f::hugeint * y.f))::bigint as score, n
+  from (select *, unnest(range(1, k)) as c from often where k > 1) o
+  join totals using (lang)
+  join often x on x.lang = o.lang and x.k = o.c and x.phrase = array_to_string(o.ws[1:o.c], ' ')
+  join often y on y.lang = o.lang and y.k = o.k - o.c and y.phrase = array_to_string(o.ws[o.c + 1:], ' ')),
+scored as (
+  select lang, phrase, a, n, min(score) as score, arg_min(struct_pack(l := l, r := r), (score, c)) as lr
+  from cuts group by lang, phrase, a, n),
+inner_parts as (
+  select lang, max(f) as longer, part
+  from (select lang, f, unnest([array_to_string(ws[1:k - 1], ' '), array_to_string(ws[2:], ' ')]) as part
+        from often where k > 2)
+  group by lang, part)
+select s.lang, (row_number() over (partition by s.lang order by score desc, a desc, s.phrase))::int as rank,
+       s.phrase, a, lr.l as l, lr.r as r, n, score
+from scored s left join inner_parts i on i.lang = s.lang and i.part = s.phrase
+where longer is null or longer < a
+qualify rank <= 2000
+"""
+
 OP12_SQL = r"""
 with lowered as (
   select doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
@@ -152,6 +194,7 @@ QUERIES = {
     "op8_url_filter": (op8_url_filter, OP8_SQL),
     "op9_substring_dedup": (op9_substring_dedup, None),
     "op10_packing": (op10_packing, None),
+    "op11_collocations": (op11_collocations, OP11_SQL),
     "op12_lexical_search": (op12_lexical_search, OP12_SQL),
     "op13_simhash": (op13_simhash, None),
 }

@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 import string
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
+
+import xxhash
 
 LOWER = str.maketrans(string.ascii_uppercase, string.ascii_lowercase)
 BLANKS = re.compile(r"[^\x20\x09-\x0D]+")
@@ -118,3 +121,93 @@ def repeats(docs, window=20):
         kept = [w for k, w in enumerate(words) if k not in gone]
         out.append((i, len(words), len(gone), sha(" ".join(kept))))
     return out
+
+
+PIECES = re.compile(r"[.,;:!?\x0A-\x0D]")
+PIECE_WORDS = re.compile(r"[^\x20\x09]+")
+
+
+def collocate(docs, top, least, longest=5):
+    """(lang, text) rows -> ranked phrases of each language."""
+    counts, totals = defaultdict(int), defaultdict(int)
+    for lang, text in docs:
+        lang = "und" if lang is None else lang
+        for piece in PIECES.split((text or "").translate(LOWER)):
+            words = PIECE_WORDS.findall(piece)
+            totals[lang] += len(words)
+            for k in range(1, longest + 1):
+                for i in range(len(words) - k + 1):
+                    counts[lang, tuple(words[i : i + k])] += 1
+    often = {p: f for p, f in counts.items() if f >= least and len(p[1]) > 1}
+    gone = {(lang, part) for (lang, p), f in often.items()
+            for size in range(2, len(p)) for i in range(len(p) - size + 1)
+            for part in [p[i : i + size]] if f >= counts[lang, part]}
+    out, by_lang = [], defaultdict(list)
+    for (lang, p), a in often.items():
+        if (lang, p) in gone:
+            continue
+        n, cuts = totals[lang], []
+        for k in range(1, len(p)):
+            left, right = counts[lang, p[:k]], counts[lang, p[k:]]
+            cuts.append((1000 * a * n // (left * right), k, left, right))
+        score, _, left, right = min(cuts)
+        by_lang[lang].append((-score, -a, " ".join(p).encode(), left, right, n))
+    for lang, rows in by_lang.items():
+        for rank, (score, a, p, left, right, n) in enumerate(sorted(rows)[:top], 1):
+            out.append((lang, rank, p.decode(), -a, left, right, n, -score))
+    return out
+
+
+def ranked(docs, items, k=50):
+    """(item, rank, doc, score) for distinct ids; null document ids last."""
+    cut = [(i, ALNUM.findall((t or "").translate(LOWER))) for i, t in docs]
+    cut = [(i, w) for i, w in cut if w]
+    total = sum(len(w) for _, w in cut)
+    df = defaultdict(int)
+    for _, w in cut:
+        for term in set(w):
+            df[term] += 1
+    asked = defaultdict(set)
+    for i, t in items:
+        asked[i] |= set(ALNUM.findall((t or "").translate(LOWER)))
+    out = []
+    for item, terms in asked.items():
+        weights = {t: math.floor(1000 * math.log((2 * len(cut) + 2) / (2 * df[t] + 1))) for t in terms if df[t]}
+        rows = []
+        for i, words in cut:
+            m = 50 + (50 * len(words) * len(cut)) // total
+            tf = Counter(w for w in words if w in weights)
+            score = sum(weights[t] * ((1_000_000_000 * n) // (1000 * n + 20 * m)) for t, n in tf.items())
+            if score > 0:
+                rows.append((-score, i is None, i or 0, i))
+        rows.sort()
+        out += [(item, rank, i, -s) for rank, (s, _, _, i) in enumerate(rows[:k], 1)]
+    return out
+
+
+def simhashes(docs, shingle=3, radius=2):
+    """(id, fingerprint, component id) by comparing all pairs."""
+    prints = []
+    for _, t in docs:
+        words = BLANKS.findall((t or "").translate(LOWER))
+        k = min(shingle, len(words))
+        parts = [" ".join(words[i : i + k]) for i in range(len(words) - k + 1)] if words else []
+        digests = [xxhash.xxh64(p.encode(), seed=42).intdigest() for p in parts]
+        prints.append(sum(1 << b for b in range(64) if 2 * sum(d >> b & 1 for d in digests) > len(digests)))
+    distinct = sorted(set(prints))
+    parent = {p: p for p in distinct}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a in range(len(distinct)):
+        for b in range(a):
+            if (distinct[a] ^ distinct[b]).bit_count() <= radius:
+                parent[root(distinct[a])] = root(distinct[b])
+    least = defaultdict(list)
+    for (i, _), p in zip(docs, prints, strict=True):
+        if i is not None:
+            least[root(p)].append(i)
+    return [(i, f"{p:016x}", min(least[root(p)], default=None)) for (i, _), p in zip(docs, prints, strict=True)]

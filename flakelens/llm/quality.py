@@ -5,12 +5,16 @@
 2. Expectation-maximisation on the pattern counts estimates how each labeller votes
    on good and low documents, and from that a posterior for every pattern.
 3. A bounded sample of documents with their posteriors trains a logistic scorer on
-   hashed features: shapes of words, pairs of shapes and repeated words.
+   hashed features: words, shapes of words, pairs of shapes and repeated words.  The
+   sample is the ``TRAIN_ROWS`` different texts with the smallest hashes, or all texts
+   where there are fewer: copies do not crowd others out.
 4. The scorer judges every document by its whole text.
 
 Labels given by people are not used; they serve to measure the result.
 
-Defined cases: texts without words (null, empty, blank) score 0 and are rejected;
+Defined cases: texts without words (null, empty, blank) score 0 and are rejected, so a
+table that has no others keeps nothing; a sample whose labels all agree keeps or rejects
+every text like it;
 repeated rows are judged alike; an empty table gives an empty table; other columns
 never matter and are kept by ``good_documents``.
 """
@@ -27,9 +31,11 @@ from pyspark.sql import functions as F
 from flakelens.llm.common import small_batches, stored
 from flakelens.llm.words import SPACES, U, Words, byte_class, mix, slices
 
-BUCKETS = 1 << 14
+SHAPES, WORDS = 1 << 14, 1 << 16  # buckets of shapes and of words
+BUCKETS = SHAPES + WORDS
 TRAIN_ROWS = 8_000  # bound of the training sample
 THRESHOLD = 0.5
+FEATURES = 4  # of each word
 PRIOR_WORDS = 4  # neutral words added to each text, so that a few words decide little
 LOW, NONE, GOOD = 0, 1, 2
 
@@ -111,14 +117,18 @@ class Signals:
 
 
 LABELLERS = 9
+BELIEF = 0.02
+# of an imagined low and good document: the share of labellers that vote low, abstain, vote good
+_MEANT = np.array([[0.3, 0.7, 0.0], [0.0, 0.7, 0.3]])
 _CODES = 3 ** np.arange(LABELLERS)
+_PICKS = 1 << 62  # texts are sampled by a hash below it
 
 
 def features(words: Words, signals: Signals) -> tuple[np.ndarray, np.ndarray]:
     """Hashed features (bucket of each) and the first one of every document.
 
-    For every word: its shape (runs of one kind of character count once), its shape
-    with the one before, and whether it repeats the one before.
+    For every word: the word, its shape (runs of one kind of character count once), its
+    shape with the one before, and whether it repeats the one before.
     """
     kinds = _SHAPE[words.data]
     keep = np.ones(len(kinds), bool)
@@ -130,8 +140,9 @@ def features(words: Words, signals: Signals) -> tuple[np.ndarray, np.ndarray]:
     pairs[1:] += mix(shapes[:-1])
     pairs[words.first[:-1][words.counts() > 0]] = U(0)
     same = np.where(signals.same, U(1), U(2))
-    each = np.stack([mix(shapes), mix(pairs + U(3)), mix(same + U(77))], axis=1).reshape(-1)
-    return (each % U(BUCKETS)).astype(np.int64), 3 * words.first
+    each = np.stack([mix(shapes), mix(pairs + U(3)), mix(same + U(77))], axis=1) % U(SHAPES)
+    each = np.column_stack([mix(signals.hash + U(5)) % U(WORDS) + U(SHAPES), each])
+    return each.reshape(-1).astype(np.int64), FEATURES * words.first
 
 
 def _patterns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -148,15 +159,18 @@ def posteriors(patterns: np.ndarray, counts: np.ndarray, rounds: int = 100) -> t
     """P(good) of every vote pattern, and each labeller's accuracy where it votes.
 
     Labellers are taken as independent given the class; the first guess is that a
-    document is low where any labeller says so.
+    document is low where any labeller says so.  A share of ``BELIEF`` imagined documents
+    of each class, on which labellers mean what they say, keeps the classes from trading
+    places where there are few patterns.
     """
     votes = patterns[:, None] // _CODES[None, :] % 3
     good = np.where((votes == LOW).any(axis=1), 0.1, 0.9)
     table = np.zeros((2, LABELLERS, 3))
+    belief = BELIEF * counts.sum() * _MEANT
     for _ in range(rounds):
         for c, weight in enumerate((counts * (1 - good), counts * good)):
             for v in (LOW, NONE, GOOD):
-                table[c, :, v] = ((votes == v) * weight[:, None]).sum(axis=0) + 1.0
+                table[c, :, v] = ((votes == v) * weight[:, None]).sum(axis=0) + 1.0 + belief[c, v]
         table /= table.sum(axis=2, keepdims=True)
         prior = np.clip((counts * good).sum() / max(counts.sum(), 1), 0.01, 0.99)
         logs = np.log(table)
@@ -185,7 +199,7 @@ def _sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 i, c = np.unique(bucket[first[d] : first[d + 1]], return_counts=True)
                 pattern.append(int(codes[d]))
                 index.append(i)
-                value.append(c / (c.sum() + 3 * PRIOR_WORDS))
+                value.append(c / (c.sum() + FEATURES * PRIOR_WORDS))
                 pick.append(int(d) + words.row)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("pick").take(pa.array(pick, pa.int64())), pa.array(pattern, pa.int64()),
@@ -223,7 +237,7 @@ def _scores(texts: pa.Array, weights: np.ndarray) -> tuple[np.ndarray, np.ndarra
         signals = Signals(words)
         bucket, first = features(words, signals)
         total = np.concatenate([[0.0], np.cumsum(weights[bucket])])
-        z = weights[-1] + (total[first[1:]] - total[first[:-1]]) / (3 * (words.counts() + PRIOR_WORDS))
+        z = weights[-1] + (total[first[1:]] - total[first[:-1]]) / (FEATURES * (words.counts() + PRIOR_WORDS))
         some = words.counts() > 0
         rows = slice(words.row, words.row + words.n_docs)
         score[rows] = np.where(some, 1 / (1 + np.exp(-np.clip(z, -40, 40))), 0.0)
@@ -245,19 +259,19 @@ def fit(docs: DataFrame, text_col: str = "text", train_rows: int = TRAIN_ROWS) -
     patterns = np.array([r.pattern for r in rows], np.int64)
     counts = np.array([r.n for r in rows], np.int64)
     good, accuracy = posteriors(patterns, counts)
-    # texts whose hash is in the share that gives ``train_rows``; equal texts count once
-    share = min(1.0, train_rows / max(int(counts.sum()), 1))
-    pick = F.xxhash64("text")
-    limit = int(share * (1 << 40))
-    chosen = texts.withColumn("pick", pick).filter(
-        F.col("text").isNotNull() & (F.col("pick").bitwiseAND(F.lit((1 << 40) - 1)) < F.lit(limit))
+    # the smallest hashes of different texts lie in a share that an estimate of their number
+    # gives with room to spare; copies meet before the texts are read
+    picked = texts.filter(F.col("text").isNotNull()).withColumn(
+        "pick", F.xxhash64("text").bitwiseAND(F.lit(_PICKS - 1))
     )
-    schema = "pick long, pattern long, index array<long>, value array<double>"
-    sample = (
-        chosen.mapInArrow(_sample, schema)
-        .groupBy("pick").agg(*[F.any_value(c).alias(c) for c in ("pattern", "index", "value")])
-        .orderBy("pick").limit(2 * train_rows).collect()
+    different = picked.agg(F.approx_count_distinct("pick")).first()[0]
+    limit = int(min(1.0, 1.5 * train_rows / max(different, 1)) * _PICKS)
+    chosen = (
+        picked.filter(F.col("pick") < F.lit(limit)).groupBy("pick").agg(F.any_value("text").alias("text"))
+        .orderBy("pick").limit(train_rows)
     )
+    schema = "pick long, pattern long, index array<long>, value array<double>"
+    sample = chosen.mapInArrow(_sample, schema).orderBy("pick").limit(train_rows).collect()
     return Model(train(sample, good), good, accuracy)
 
 

@@ -211,3 +211,28 @@ def simhashes(docs, shingle=3, radius=2):
         if i is not None:
             least[root(p)].append(i)
     return [(i, f"{p:016x}", min(least[root(p)], default=None)) for (i, _), p in zip(docs, prints, strict=True)]
+
+
+def posteriors(patterns, counts, belief, meant, labellers=9, low=0, good=2, rounds=100):
+    """Expectation-maximisation over vote patterns, one number at a time."""
+    votes = {p: [p // 3**j % 3 for j in range(labellers)] for p in patterns}
+    total = sum(counts)
+    chance = {p: 0.1 if low in votes[p] else 0.9 for p in patterns}
+    for _ in range(rounds):
+        table = [[[1.0 + belief * total * meant[c][v] for v in range(3)] for _ in range(labellers)] for c in (0, 1)]
+        for p, n in zip(patterns, counts, strict=True):
+            for j, v in enumerate(votes[p]):
+                table[1][j][v] += n * chance[p]
+                table[0][j][v] += n * (1 - chance[p])
+        prior = min(0.99, max(0.01, sum(n * chance[p] for p, n in zip(patterns, counts, strict=True)) / total))
+        new = {}
+        for p in patterns:
+            odds = math.log(prior / (1 - prior))
+            for j, v in enumerate(votes[p]):
+                odds += math.log(table[1][j][v] / sum(table[1][j])) - math.log(table[0][j][v] / sum(table[0][j]))
+            new[p] = 1 / (1 + math.exp(-max(-50, min(50, odds))))
+        moved = max(abs(new[p] - chance[p]) for p in patterns)
+        chance = new
+        if moved < 1e-9:
+            break
+    return chance

@@ -175,6 +175,39 @@ def test_quality_of_awkward_rows(spark):
     assert Counter(r.doc_id for r in kept.collect()) == Counter(r.doc_id for r in scored.filter("kept").collect())
 
 
+JUNK = ["### $$$ BUY NOW!!! >>> <<< $$$ ###", "AAAA BBBB!!! CCCC!!! $$$ $$$ $$$ %%% !!!", "| | | | == == == ## ## ## || |"]
+
+
+@pytest.mark.parametrize("copies", [1, 1000, 20_000])
+def test_quality_of_a_few_texts_of_many_copies(spark, copies):
+    """The sample is of different texts, however many copies there are."""
+    junk = spark.createDataFrame(list(enumerate(JUNK)), "doc_id long, text string").repartition(3)
+    rows = junk.withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(copies))))
+    assert quality.quality_scores(rows).filter("kept").isEmpty()
+    assert quality.good_documents(rows).isEmpty()
+
+
+def test_quality_of_one_class_and_of_none(spark):
+    sf = "/root/testdata/sf0.001"
+    good = (
+        spark.read.parquet(f"{sf}/documents.parquet")
+        .join(spark.read.parquet(f"{sf}/labels.parquet").filter("quality = 1"), "doc_id").select("doc_id", "text")
+    )
+    assert quality.quality_scores(good).filter("not kept").count() <= 1
+    blank = frame(spark, [(1, None), (2, ""), (3, " \n"), (None, None)])
+    assert [(r.score, r.kept) for r in quality.quality_scores(blank).collect()] == [(0.0, False)] * 4
+    assert quality.good_documents(blank).isEmpty()
+
+
+def test_the_sample_is_of_the_smallest_hashes(spark):
+    """A bound on the sample changes the scores little and not at all where it is not reached."""
+    rows = spark.read.parquet(f"{SF}/documents.parquet")
+    whole = {r.doc_id: r.score for r in quality.quality_scores(rows).collect()}
+    assert whole == {r.doc_id: r.score for r in quality.quality_scores(rows.unionByName(rows), train_rows=5000).collect()}
+    part = {r.doc_id: r.score for r in quality.quality_scores(rows, train_rows=120).collect()}
+    assert np.mean([(part[i] >= 0.5) == (whole[i] >= 0.5) for i in whole]) > 0.9
+
+
 def test_em_finds_accuracies():
     rnd = np.random.default_rng(3)
     truth = rnd.random(60_000) < 0.8
@@ -183,6 +216,8 @@ def test_em_finds_accuracies():
     votes[rnd.random(votes.shape) < 0.2] = quality.NONE
     patterns, counts = np.unique(votes @ quality._CODES, return_counts=True)
     good, accuracy = quality.posteriors(patterns, counts)
+    plain = brute.posteriors(patterns.tolist(), counts.tolist(), quality.BELIEF, quality._MEANT.tolist())
+    assert all(abs(good[p] - plain[p]) < 1e-6 for p in plain)
     found = np.array([good[p] > 0.5 for p in votes @ quality._CODES])
     assert (found == truth).mean() > 0.97
     assert np.abs(accuracy - right).max() < 0.03

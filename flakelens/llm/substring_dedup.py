@@ -5,7 +5,10 @@ six-word phrases with the least hash), and equal windows choose equal phrases.
 Consecutive windows with one phrase occurrence are a run of at most 15.
 
 1. Phrases are counted over all documents, hashes only.  A phrase that occurs once
-   belongs to no repeated window; everything below concerns recurring phrases.
+   belongs to no repeated window; everything below concerns recurring phrases.  Their
+   hashes fill a bit table of bounded size, and runs of other phrases never leave the
+   task that reads the document.  The few that pass by chance are texts that occur once,
+   which the next step leaves alone.
 2. Runs of equal text are grouped: all windows of a run that is not the first of
    its text are repeated.  This settles whole copies and the inside of passages
    with one row for each run.
@@ -33,6 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from flakelens.llm.bits import bit_table, maybe_in
 from flakelens.llm.common import BROADCAST_ROWS, small, small_batches, stored
 from flakelens.llm.words import _STEP, SPACES, U, Words, inside, rolling, sequence_hashes, slices, spans
 
@@ -75,14 +79,30 @@ def _runs(words: Words, window: int):
     return phrases[chosen[first]] & SLOT, text + count.astype(U), doc[first], begin - words.first[doc[first]], count
 
 
-def _emit_runs(window: int, keys: list[str], slots_only: bool):
+def _spread_out(slot):
+    """A slot of 40 bits (array or column) as a hash of 64: all of it above, its low part below."""
+    if isinstance(slot, np.ndarray):
+        return (slot << U(24)) | (slot & U((1 << 24) - 1))
+    return F.shiftleft(slot, 24).bitwiseOR(slot.bitwiseAND(F.lit((1 << 24) - 1)))
+
+
+def _emit_slots(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for words in slices(batch.column("text"), SPACES, False):
-                slot, text, doc, start, count = _runs(words, window)
-                if slots_only:
-                    yield pa.RecordBatch.from_arrays([pa.array(slot.view(np.int64))], names=["slot"])
-                    continue
+                slot = _runs(words, window)[0]
+                yield pa.RecordBatch.from_arrays([pa.array(slot.view(np.int64))], names=["slot"])
+    return run
+
+
+def _emit_runs(window: int, keys: list[str], recurring):
+    """Runs whose phrase may recur, by the bit table ``recurring``."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for words in slices(batch.column("text"), SPACES, False):
+                found = _runs(words, window)
+                kept = maybe_in(recurring.value, _spread_out(found[0]))
+                slot, text, doc, start, count = (column[kept] for column in found)
                 rows = pa.array(doc + words.row)
                 yield pa.RecordBatch.from_arrays(
                     [*[batch.column(k).take(rows) for k in keys], pa.array(slot.view(np.int64)),
@@ -160,14 +180,18 @@ def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     texts, keys = _keyed(docs, id_col, text_col)
     order = keys[-1]
     columns = texts.select(*keys, "text")
-    slots = texts.select("text").mapInArrow(_emit_runs(window, [], True), "slot long")
-    recurring = stored(
-        slots.groupBy("slot").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("slot"), "phrases"
+    slots = texts.select("text").mapInArrow(_emit_slots(window), "slot long")
+    phrases = stored(
+        slots.groupBy("slot").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+        .select(_spread_out(F.col("slot")).alias("hash")),
+        "phrases",
     )
+    recurring = docs.sparkSession.sparkContext.broadcast(bit_table(phrases, "hash"))
     key_schema = ", ".join(f"{k} long" for k in keys)
     runs = stored(
-        columns.mapInArrow(_emit_runs(window, keys, False), f"{key_schema}, slot long, fc long, start int, n int")
-        .join(small(recurring), "slot", "left_semi"),
+        columns.mapInArrow(
+            _emit_runs(window, keys, recurring), f"{key_schema}, slot long, fc long, start int, n int"
+        ),
         "runs",
     )
     firsts = stored(

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from ..session import spread
 
+TEXT_GROWTH = 60.0  # bytes of derived text for each byte of the table it is made from
 _SLOT = re.compile(r"<<(\w+)>>")
 
 
@@ -109,7 +110,7 @@ def run_logs(spark: SparkSession, sf: str) -> DataFrame:
     events = table(spark, sf, "events").select(
         "event_id", "user_id", "event_type", "ts", event_line().alias("k")
     )
-    return spread(events, "event_id").select(
+    return spread(events, "event_id", growth=TEXT_GROWTH).select(
         F.col("event_id").alias("run_id"),
         F.col("user_id").alias("test_id"),
         F.concat(F.lit("org.shop.User"), F.col("user_id").cast("string"), F.lit("Test.check"))
@@ -155,7 +156,7 @@ def reports(spark: SparkSession, sf: str) -> DataFrame:
         xml = xml.when(F.col("event_id") % len(REPORTS) == i, spark_text(template, slots))
     path = "/work/User<<u>>/run<<e>>/reports/sub/TEST-org.shop.User<<u>>Test.xml"
     rows = table(spark, sf, "events").select("user_id", "event_id")
-    return spread(rows, "event_id").select(
+    return spread(rows, "event_id", growth=TEXT_GROWTH).select(
         spark_text(path, slots).alias("path"), xml.alias("xml")
     )
 
@@ -223,7 +224,7 @@ def sources(spark: SparkSession, sf: str) -> DataFrame:
     gap = F.repeat(F.lit("\n"), (F.col("c_custkey") % 7).cast("int"))
     slots = {"u": F.col("c_custkey"), "seg": F.col("c_mktsegment"), "gap": gap}
     rows = table(spark, sf, "customer").select("c_custkey", "c_mktsegment")
-    return spread(rows, "c_custkey").select(
+    return spread(rows, "c_custkey", growth=TEXT_GROWTH).select(
         F.col("c_custkey").alias("test_id"),
         spark_text(SOURCE_PATH, slots).alias("path"),
         spark_text(SOURCE, slots).alias("content"),
@@ -331,7 +332,7 @@ def responses(spark: SparkSession, sf: str) -> DataFrame:
     for i, template in enumerate(RESPONSES):
         text = text.when(F.col("o_orderkey") % len(RESPONSES) == i, spark_text(template, slots))
     rows = table(spark, sf, "orders").select("o_orderkey", "o_custkey")
-    return spread(rows, "o_orderkey").select(
+    return spread(rows, "o_orderkey", growth=TEXT_GROWTH).select(
         F.col("o_orderkey").alias("attempt_id"),
         F.col("o_custkey").alias("test_id"),
         F.lit("check").alias("method_name"),

@@ -77,10 +77,8 @@ def tree_scan(spark, sf):
     )
 
 
-def result_roundtrip(spark, sf):
-    """Result documents partitioned by run, repository and revision."""
-    base = _manifest(spark, sf)
-    results = base.select(
+def _results(spark, sf):
+    return _manifest(spark, sf).select(
         names.repo_name(F.col("Project URL")).alias("repo"),
         F.col("SHA Detected").alias("sha"),
         F.col("Test").alias("test_fqn"),
@@ -92,12 +90,21 @@ def result_roundtrip(spark, sf):
         names.elapsed_text(F.length("Test") / 8).alias("time"),
         F.lit("2024-01-01 00:00:00").cast("timestamp").alias("started"),
     )
-    out = scratch_dir(spark, "results")
-    sinks.write_results(results, out, "r1")
-    schema = T.StructType(
+
+
+def _result_schema(results):
+    return T.StructType(
         [T.StructField(f.name, T.StringType() if f.name == "started" else f.dataType)
          for f in results.schema.fields]
     )
+
+
+def result_roundtrip(spark, sf):
+    """Result documents partitioned by run, repository and revision."""
+    results = _results(spark, sf)
+    out = scratch_dir(spark, "results")
+    sinks.write_results(results, out, "r1")
+    schema = _result_schema(results)
     back = sinks.read_results(spark, out, schema)
     return back.select(
         "run_id", "repo", "sha", "test_fqn", F.col("final_patch.test_code").alias("test_code"),
@@ -106,6 +113,30 @@ def result_roundtrip(spark, sf):
     )
 
 
+def result_update(spark, sf):
+    """A tenth of the tests is written again, one in twenty under a new name: the others stay.
+
+    The new documents have a field more; some tests come twice and the later one counts.
+    """
+    results = _results(spark, sf)
+    out = scratch_dir(spark, "results")
+    sinks.write_results(results, out, "r1")
+    number = F.regexp_extract("test_fqn", r"\d+", 0).cast("long")
+    again = results.filter(number % 10 == 3).withColumn("attempt", F.lit(1)).unionByName(
+        results.filter(number % 20 == 3).withColumn("attempt", F.lit(2))
+    )
+    renamed = results.filter(number % 20 == 7).withColumns(
+        {"attempt": F.lit(1), "test_fqn": F.concat("test_fqn", F.lit("Again"))}
+    )
+    update = again.unionByName(renamed).withColumn("time", F.concat(F.lit("again "), "time"))
+    sinks.replace_results(update, out, "r1", order=F.col("attempt"))
+    schema = _result_schema(results).add("attempt", "int")
+    return sinks.read_results(spark, out, schema).select(
+        "run_id", "repo", "sha", "test_fqn", F.col("final_patch.test_code").alias("test_code"),
+        F.array_join("final_patch.imports", ",").alias("imports"), "time", "started", "attempt",
+    )
+
+
 def patched_sink(spark, sf):
     docs = d.table(spark, sf, "documents").select(
         F.col("doc_id").alias("path"),
@@ -146,6 +177,17 @@ QUERIES = {
         module AS helper, printf('%.2fs', length(test_fqn) / 8.0) AS time, '2024-01-01 00:00:00' AS started
         FROM ({_MANIFEST})""",
     ),
+    "result_update": (
+        result_update,
+        f"""WITH m AS (SELECT *, CAST(regexp_extract(test_fqn, '[0-9]+') AS BIGINT) AS number,
+          printf('%.2fs', length(test_fqn) / 8.0) AS took FROM ({_MANIFEST})),
+        rows AS (
+          SELECT repo, sha, test_fqn, status, module, CASE WHEN number % 10 = 3 THEN 'again ' || took ELSE took END AS took,
+            CASE WHEN number % 20 = 3 THEN 2 WHEN number % 10 = 3 THEN 1 END AS attempt FROM m
+          UNION ALL SELECT repo, sha, test_fqn || 'Again', status, module, 'again ' || took, 1 FROM m WHERE number % 20 = 7)
+        SELECT 'r1' AS run_id, repo, sha, test_fqn, status AS test_code, 'NOD,' || module AS imports, took AS time,
+          '2024-01-01 00:00:00' AS started, CAST(attempt AS INTEGER) AS attempt FROM rows""",
+    ),
     "patched_sink": (
         patched_sink,
         """SELECT doc_id AS path, replace(text, 'License', chr(10) || 'Licence' || chr(10)) AS patched_content

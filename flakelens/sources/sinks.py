@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import stored
+
+_PLACE = ("repo", "sha")  # partitions of a run
 _PLAIN = (T.StringType, T.NumericType, T.BooleanType, T.ArrayType, T.MapType, T.StructType)
 
 
@@ -34,6 +38,64 @@ def write_results(df: DataFrame, out_dir: str, run_id: str, mode: str = "overwri
     return target
 
 
+def replace_results(df: DataFrame, out_dir: str, run_id: str, key: str = "test_fqn",
+                    order: Column | None = None) -> str:
+    """Put the documents of some tests in place of those the run already has.
+
+    ``write_results`` replaces a whole run; this replaces tests.  Only the partitions
+    (repository, revision) that the new documents belong to are read and written anew:
+    what they hold of other tests stays as the very text that was written, whatever
+    its fields, and files of other partitions are not touched.  Of several new documents
+    of a test the one with the largest ``order`` counts, by default the largest text.
+    A run that does not exist yet is begun; no documents change nothing.
+
+    The merged partitions are stored under the scratch folder first and then swapped in
+    by dynamic partition overwrite, so a swap that is cut short can be repeated from there.
+    Writers of one partition must not run at the same time.
+    """
+    spark = df.sparkSession
+    target = f"{out_dir.rstrip('/')}/run_id={run_id}"
+    plain = serializable(df)
+    body = [c for c in plain.columns if c not in _PLACE]
+    new = plain.withColumn("_value", F.to_json(F.struct(*body)))
+    new = new.withColumn("_order", F.col("_value") if order is None else order).select(
+        *_PLACE, F.col(key).cast("string").alias("_key"), F.col("_value").alias("value"), "_order"
+    )
+    new = new.groupBy(*_PLACE, "_key").agg(F.max_by("value", "_order").alias("value"))
+    new = stored(new, "new_results")
+    merged = new.drop("_key")
+    old = _written(spark, target)
+    if old is not None:
+        touched = new.select(*[F.col(c).alias(f"_{c}") for c in _PLACE]).distinct()
+        same_place = F.lit(True)
+        for c in _PLACE:
+            same_place &= F.col(c).eqNullSafe(F.col(f"_{c}"))
+        of_test = F.from_json("value", f"`{key}` string")[key]
+        held = old.join(touched, same_place, "left_semi").withColumn("_key", of_test)
+        kept = held.alias("held").join(
+            new.alias("new"),
+            F.col("held.repo").eqNullSafe(F.col("new.repo")) & F.col("held.sha").eqNullSafe(F.col("new.sha"))
+            & F.col("held._key").eqNullSafe(F.col("new._key")),
+            "left_anti",
+        )
+        merged = stored(merged.unionByName(kept.select(*merged.columns)), "merged_results")
+    (
+        merged.hint("rebalance", *_PLACE)
+        .write.partitionBy(*_PLACE).option("partitionOverwriteMode", "dynamic").mode("overwrite").text(target)
+    )
+    return target
+
+
+def _written(spark: SparkSession, target: str) -> DataFrame | None:
+    """Documents of a run as ``(value, repo, sha)``, or nothing if there is no such run."""
+    try:
+        return spark.read.schema("value string, repo string, sha string").text(target)
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
 def read_results(spark: SparkSession, out_dir: str, schema: T.StructType) -> DataFrame:
     """Read result documents; ``run_id``, ``repo`` and ``sha`` come from the path."""
     columns = {f.name for f in schema.fields}

@@ -164,3 +164,55 @@ def test_reports_reach_the_runs_whose_logs_name_their_folder(spark, tmp_path):
     found = evidence.reports_of_runs(dirs, reports).select("run_id", "xml")
     failures = evidence.report_failures(named, found, ["run_id"]).select("test_id", "message").distinct().collect()
     assert {(r.test_id, " ".join(r.message.split()[:2])) for r in failures} == set(tests.items())
+
+
+def files_of(folder):
+    return {str(p.relative_to(folder)): p.stat().st_mtime_ns for p in folder.rglob("part-*")}
+
+
+def documents_of(spark, target):
+    rows = spark.read.schema("value string, repo string, sha string").text(target).collect()
+    return sorted((r.repo, r.sha, r.value) for r in rows)
+
+
+RESULT = "repo string, sha string, test_fqn string, status string, notes map<string,string>"
+
+
+def results(spark, rows):
+    return spark.createDataFrame([(*r, {"n": r[2]}) for r in rows], RESULT)
+
+
+def test_results_of_some_tests_are_replaced(spark, tmp_path):
+    first = [("r1", "0012", "a.T.x", "old"), ("r1", "0012", "a.T.y", "old"), ("r2", "ab", "a.T.x", "old"), ("r3", "cd", "z", "old")]
+    target = sinks.write_results(results(spark, first), str(tmp_path), "run")
+    before, was = files_of(tmp_path / "run_id=run"), documents_of(spark, target)
+    new = [("r1", "0012", "a.T.x", "new"), ("r2", "ab", "a.T.q", "new"), ("r4", "ef", "a.T.x", "new")]
+    assert sinks.replace_results(results(spark, new), str(tmp_path), "run") == target
+    now = {(r.repo, r.sha, r.test_fqn): r.status for r in spark.read.schema(RESULT).json(target).collect()}
+    assert now == {
+        ("r1", "0012", "a.T.x"): "new", ("r1", "0012", "a.T.y"): "old", ("r2", "ab", "a.T.x"): "old",
+        ("r2", "ab", "a.T.q"): "new", ("r3", "cd", "z"): "old", ("r4", "ef", "a.T.x"): "new",
+    }
+    # kept documents are the very text, and partitions without a new document the very files
+    assert set(was) - set(documents_of(spark, target)) == {w for w in was if w[0] == "r1" and "a.T.x" in w[2]}
+    untouched = {f: t for f, t in before.items() if f.startswith("repo=r3")}
+    assert untouched and untouched.items() <= files_of(tmp_path / "run_id=run").items()
+
+
+def test_replacing_begins_a_run_and_keeps_unknown_fields(spark, tmp_path):
+    rows = [("r", "s", "a", "one"), ("r", "s", "a", "two"), (None, "s", None, "three")]
+    order = F.when(F.col("status") == "one", 2).otherwise(1)
+    target = sinks.replace_results(results(spark, rows), str(tmp_path), "run", order=order)
+    got = {(r.repo, r.test_fqn, r.status) for r in spark.read.schema(RESULT).json(target).collect()}
+    assert got == {("r", "a", "one"), (None, None, "three")}
+    other = spark.createDataFrame([("r", "s", "b", 7)], "repo string, sha string, test_fqn string, version int")
+    sinks.replace_results(other, str(tmp_path), "run")
+    sinks.replace_results(results(spark, [("r", "s", "a", "last")]), str(tmp_path), "run")
+    sinks.replace_results(results(spark, []), str(tmp_path), "run")
+    back = spark.read.schema(RESULT + ", version int").json(target)
+    assert {(r.repo, r.test_fqn, r.status, r.version) for r in back.collect()} == {
+        ("r", "a", "last", None), ("r", "b", None, 7), (None, None, "three", None)}
+    # a null place and a null name are one test too
+    sinks.replace_results(results(spark, [(None, "s", None, "four")]), str(tmp_path), "run")
+    again = spark.read.schema(RESULT).json(target)
+    assert {r.status for r in again.filter("repo is null").collect()} == {"four"}

@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from .. import rules, schemas
 from ..functions import fqn as names
 from ..functions import logs, text
+from ..session import stored
 from .lines import first_occurrences, generate
 
 
@@ -69,18 +70,34 @@ _CASES = (
 )
 
 
+def _is_broken(suite):
+    return suite.isNull() | suite["_corrupt_record"].isNotNull()
+
+
 def is_unreadable(xml):
     """Is a report no well-formed XML?"""
-    suite = F.from_xml(xml, schemas.TESTSUITE)
-    return suite.isNull() | suite["_corrupt_record"].isNotNull()
+    return text.let(F.from_xml(xml, schemas.TESTSUITE), _is_broken)
 
 
 def cases_of(xml):
-    """All cases of a readable report in its order."""
-    found = F.array_join(F.regexp_extract_all(xml, F.lit(_CASES), F.lit(1)), "")
-    suite = F.from_xml(F.concat(F.lit("<testsuite>"), found, F.lit("</testsuite>")), schemas.TESTSUITE)
+    """All cases of a report in its order; none if it is no well-formed XML.
+
+    The report is parsed once; only where it holds cases below nested suites are they
+    cut out and parsed by themselves.
+    """
     none = F.array().cast(T.ArrayType(schemas.TESTCASE))
-    return F.coalesce(F.when(~is_unreadable(xml), suite["testcase"]), none)
+
+    def below(suite):
+        """Cases directly below the root, or of all depths where there are more."""
+        deep = F.array_join(F.regexp_extract_all(xml, F.lit(_CASES), F.lit(1)), "")
+        brought = F.from_xml(F.concat(F.lit("<testsuite>"), deep, F.lit("</testsuite>")), schemas.TESTSUITE)
+        named = F.regexp_count(xml, F.lit(r"<testcase(?=[\s/>])"))
+        direct = F.coalesce(suite["testcase"], none)
+        return F.when(_is_broken(suite), none).when(
+            F.size(direct) == named, direct
+        ).otherwise(F.coalesce(brought["testcase"], none))
+
+    return text.let(F.from_xml(xml, schemas.TESTSUITE), below)
 
 
 def report_cases(reports: DataFrame, keys: Sequence[str], xml: str = "xml") -> DataFrame:
@@ -251,67 +268,117 @@ def evidence_bundle(run_logs: DataFrame, sources: DataFrame,
     return evidence_of_mined(mined_logs(run_logs), sources, report_messages)
 
 
-def mined_lines(runs: DataFrame, lines: DataFrame, line: str = "line") -> DataFrame:
-    """The rows of ``mined_logs`` from a line table, for logs of any size.
+BLOCK_LINES = 10_000
 
-    ``runs`` has ``run_id, test_fqn, path``; ``lines`` has ``run_id, line_no, line``.
-    Only lines that name the run's file or class, or hold a marker, are shuffled;
-    lists are of distinct values, first occurrences first.
+
+def _has(marker: str):
+    return F.contains(F.col("line"), F.lit(marker))
+
+
+def marked_lines(runs: DataFrame, lines: DataFrame, line: str = "line", block: int = BLOCK_LINES) -> DataFrame:
+    """Lines that can be evidence, with what each says about its run.
+
+    Columns: ``run_id, block, line_no, line, number, method, dir, _m0...`` (one flag for
+    each of ``_markers()``).  A run is cut into blocks of lines; what is known of a run
+    reaches its lines by run and block, so a run with most of the lines is spread over
+    the tasks that hold its blocks.
     """
-    text_of = F.col(line)
-    markers = list(dict.fromkeys(
-        [m for _, ms in rules.VERDICT_RULES for m in ms]
-        + [rules.COMPILE_MARKER, rules.REGION_START, rules.REGION_END, rules.REPORT_DIR_START, rules.ERROR_PREFIX]
-    ))
+    text_of = F.col("line")
+    markers = _markers()
     frame = F.contains(text_of, F.lit(rules.FRAME_PREFIX))
     named = F.contains(text_of, F.lit(rules.SOURCE_SUFFIX))
-    rows = lines.filter(text.contains_any(text_of, markers) | frame | named).select("run_id", "line_no", line)
+    kept = stored(
+        lines.select("run_id", "line_no", F.col(line).alias("line"))
+        .filter(text.contains_any(text_of, markers) | frame | named)
+        .withColumn("block", F.floor(F.col("line_no") / block)),
+        "kept_lines",
+    )
     names_of = runs.select(
         "run_id", names.class_file(F.col("test_fqn")).alias("_file"), names.class_fqn(F.col("test_fqn")).alias("_class")
     )
-    joined = rows.join(names_of, "run_id")
-    at = F.col("line_no")
+    places = kept.select("run_id", "block").distinct().join(names_of, "run_id")
+    joined = kept.join(places, ["run_id", "block"])
+    return joined.select(
+        "run_id", "block", "line_no", "_file",
+        F.when(_has(rules.ERROR_PREFIX) | _has(rules.REGION_START) | _has(rules.REGION_END), text_of).alias("line"),
+        F.when(F.contains(text_of, F.col("_file")), logs.line_number(text_of, F.col("_file"))).alias("number"),
+        F.when(logs.is_frame(text_of, F.col("_class")), logs.frame_method(text_of, F.col("_class"))).alias("method"),
+        F.when(_has(rules.REPORT_DIR_START), logs.report_dir(text_of)).alias("dir"),
+        *[_has(m).alias(f"_m{i}") for i, m in enumerate(markers)],
+    )
 
-    def has(marker: str):
-        return F.contains(text_of, F.lit(marker))
 
-    marks = joined.groupBy("run_id").agg(
-        *[F.bool_or(has(m)).alias(f"_m{i}") for i, m in enumerate(markers)],
-        F.max(F.when(has(rules.REGION_START), at)).alias("_from"),
-    )
-    ends = joined.join(marks.select("run_id", "_from"), "run_id").filter(
-        F.contains(F.when(at == F.col("_from"), text.after_last(text_of, rules.REGION_START)).otherwise(text_of), F.lit(rules.REGION_END))
-        & (at >= F.coalesce("_from", F.lit(0)))
-    ).groupBy("run_id").agg(F.min("line_no").alias("_to"))
+def _markers() -> list[str]:
+    return list(dict.fromkeys(
+        [m for _, ms in rules.VERDICT_RULES for m in ms]
+        + [rules.COMPILE_MARKER, rules.REGION_START, rules.REGION_END, rules.REPORT_DIR_START, rules.ERROR_PREFIX]
+    ))
 
-    def listed(value, rows_of, name: str) -> DataFrame:
-        found = rows_of.select("run_id", "line_no", value.alias("_v")).filter("_v is not null")
-        first = first_occurrences(found, ["run_id"], "_v")
-        ordered = F.array_sort(F.collect_list(F.struct("line_no", "_v")))
-        return first.groupBy("run_id").agg(F.transform(ordered, lambda r: r["_v"]).alias(name))
 
+def mined_lines(runs: DataFrame, lines: DataFrame, line: str = "line", block: int = BLOCK_LINES) -> DataFrame:
+    """The rows of ``mined_logs`` from a line table, for logs of any size.
+
+    ``runs`` has ``run_id, test_fqn, path``; ``lines`` has ``run_id, line_no, line``.
+    Lines are read and shuffled once, into a stored narrow table.  Blocks of a run give
+    partial evidence that merges: flags, the last region start, the first region end
+    after it, first occurrences of values.  No run is the key of more than one row for
+    each of its blocks and different values.
+    """
+    markers = _markers()
+    marked = stored(marked_lines(runs, lines, line, block), "marked_lines")
+    at, text_of = F.col("line_no"), F.col("line")
     flag = {m: F.col(f"_m{i}") for i, m in enumerate(markers)}
-    summary = F
-    for name, needed in rules.VERDICT_RULES:
-        summary = summary.when(reduce(lambda a, b: a & b, [flag[m] for m in needed]), F.lit(name))
+    partial = stored(
+        marked.groupBy("run_id", "block").agg(
+            *[F.bool_or(c).alias(f"_m{i}") for i, c in enumerate(flag.values())],
+            F.max(F.when(flag[rules.REGION_START], at)).alias("_from"),
+        ),
+        "block_evidence",
+    )
+    marks = partial.groupBy("run_id").agg(
+        *[F.bool_or(f"_m{i}").alias(f"_m{i}") for i in range(len(markers))], F.max("_from").alias("_from")
+    )
+
+    def in_blocks(of_runs: DataFrame) -> DataFrame:
+        """What is known of runs, for each of their blocks."""
+        return partial.select("run_id", "block").join(of_runs, "run_id")
+
     # the region begins and ends inside the lines of its markers
-    cut = F.when(at == F.col("_from"), text.after_last(text_of, rules.REGION_START)).otherwise(text_of)
-    cut = F.when(at == F.col("_to"), F.substring_index(cut, rules.REGION_END, 1)).otherwise(cut)
+    begun = F.when(at == F.col("_from"), text.after_last(text_of, rules.REGION_START)).otherwise(text_of)
+    after = at >= F.coalesce("_from", F.lit(0))
+    ends = (
+        marked.filter(flag[rules.REGION_END]).select("run_id", "block", "line_no", "line")
+        .join(in_blocks(marks.select("run_id", "_from")), ["run_id", "block"])
+        .filter(after & F.contains(begun, F.lit(rules.REGION_END)))
+        .groupBy("run_id").agg(F.min("line_no").alias("_to"))
+    )
+    bounds = stored(marks.select("run_id", "_from").join(ends, "run_id", "left"), "regions")
+    cut = F.when(at == F.col("_to"), F.substring_index(begun, rules.REGION_END, 1)).otherwise(begun)
     region = (
-        joined.join(marks.select("run_id", "_from"), "run_id").join(ends, "run_id", "left")
-        .filter((at >= F.coalesce("_from", F.lit(0))) & (at <= F.coalesce("_to", at)))
-        .withColumn(line, cut)
-        .filter(F.startswith(text_of, F.lit(rules.ERROR_PREFIX)) & ~has(rules.GOAL_FAILED))
+        marked.filter(flag[rules.ERROR_PREFIX]).select("run_id", "block", "line_no", "line", "_file")
+        .join(in_blocks(bounds), ["run_id", "block"])
+        .filter(after & (at <= F.coalesce("_to", at)))
+        .withColumn("line", cut)
+        .filter(F.startswith(text_of, F.lit(rules.ERROR_PREFIX)) & ~_has(rules.GOAL_FAILED))
     )
     bare = text.strip_marker(F.replace(text_of, F.lit(rules.REGION_NOISE), F.lit("")), rules.ERROR_PREFIX)
     message = F.when(F.contains(bare, F.col("_file")), text.after_last(bare, "]")).otherwise(bare)
-    in_class = joined.filter(logs.is_frame(text_of, F.col("_class")))
+
+    def listed(value, rows_of: DataFrame, name: str) -> DataFrame:
+        found = rows_of.select("run_id", "line_no", value.alias("_v")).filter("_v is not null")
+        first = first_occurrences(found, ["run_id"], "_v")
+        ordered = F.array_sort(F.collect_list(F.struct("line_no", "_v")))
+        return first.groupBy("run_id").agg(F.transform(ordered, lambda r: r["_v"]).alias(name))
+
     parts = [
         listed(message, region, "_messages"),
-        listed(logs.line_number(text_of, F.col("_file")), joined.filter(F.contains(text_of, F.col("_file"))), "_numbers"),
-        listed(logs.frame_method(text_of, F.col("_class")), in_class, "_methods"),
-        listed(logs.report_dir(text_of), joined.filter(has(rules.REPORT_DIR_START)), "_dirs"),
+        listed(F.col("number"), marked, "_numbers"),
+        listed(F.col("method"), marked, "_methods"),
+        listed(F.col("dir"), marked, "_dirs"),
     ]
+    summary = F
+    for name, needed in rules.VERDICT_RULES:
+        summary = summary.when(reduce(lambda a, b: a & b, [flag[m] for m in needed]), F.lit(name))
     out = runs.select("run_id", "test_fqn", "path").join(marks, "run_id", "left")
     for part in parts:
         out = out.join(part, "run_id", "left")

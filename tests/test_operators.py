@@ -262,6 +262,41 @@ def test_line_form_reads_every_line_with_the_file_name(spark):
     assert sorted(map(tuple, by_line.collect())) == want
 
 
+def noisy_logs(seed=7):
+    """(run, text) rows; run 0 has more than half of all lines."""
+    rnd = random.Random(seed)
+    pool = [
+        "[ERROR] There are test failures.", "[INFO] BUILD SUCCESS", "[INFO] No Test Failed with this configuration",
+        "[ERROR] COMPILATION ERROR :", "[INFO] BUILD FAILURE", "[INFO] Finished at: now", "x [INFO] Finished at: y [ERROR] z",
+        "[INFO] Finished at: a To see the full stack trace of the errors", "[ERROR] To see the full stack trace of the errors, use -e",
+        "[ERROR] Failed to execute goal x", "[ERROR] /w/CTest.java:[{n},1] no symbol -> [Help 1]", "[ERROR] plain {n}",
+        "\tat w.CTest.m{n}(CTest.java:{n})", "\tat w.Other.m(Other.java:{n})", "[WARNING] /w/CTest.java [{n},5] unchecked",
+        "Please refer to /w/r{n}/reports for the individual test results.", "nothing {n}", "nothing else", "",
+    ]
+    line = lambda: rnd.choice(pool).replace("{n}", str(rnd.randint(1, 40)))
+    return [(run, "\n".join(line() for _ in range(3000 if run == 0 else rnd.randint(0, 60)))) for run in range(40)]
+
+
+def test_line_form_equals_text_form_for_a_run_with_most_lines(spark):
+    logs = spark.createDataFrame(noisy_logs(), "run_id long, content string").select(
+        "run_id", F.lit("w.CTest.t").alias("test_fqn"), F.lit("/w/CTest.java").alias("path"), "content")
+    whole = evidence.mined_logs(logs)
+    table = lines.line_table(logs, ["run_id"]).select("run_id", "line_no", "line")
+    by_line = evidence.mined_lines(logs.drop("content"), table, block=100).select(whole.columns)
+    assert sorted(map(tuple, by_line.collect())) == sorted(map(tuple, whole.collect()))
+    joins = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {key: spark.conf.get(key) for key in joins}
+    try:
+        for key, value in joins.items():
+            spark.conf.set(key, value)
+        marked = evidence.marked_lines(logs.drop("content"), table, block=100)
+        hot = marked.withColumn("task", F.spark_partition_id()).filter("run_id = 0").select("task").distinct().count()
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+    assert hot == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def test_method_join_keeps_tests_without_method(spark):
     src = spark.createDataFrame([("p", "class A {\n void t() { }\n void t(int i) { }\n}")], "path string, content string")
     tests = spark.createDataFrame([("p", "t"), ("p", "z")], "path string, name string")

@@ -102,7 +102,11 @@ def cases_of(xml):
 
 def report_cases(reports: DataFrame, keys: Sequence[str], xml: str = "xml") -> DataFrame:
     """Test cases of JUnit-style reports, one row each, with their problem text."""
-    cases = generate(reports, keys, cases_of(F.col(xml)), "case")
+    return case_rows(generate(reports, keys, cases_of(F.col(xml)), "case"), keys)
+
+
+def case_rows(cases: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """What each ``case`` says, from reports held whole or read case by case."""
 
     def first(kind: str):
         problem = F.try_element_at(F.col("case")[kind], F.lit(1))
@@ -156,13 +160,18 @@ def messages_of_runs(run_reports: DataFrame) -> DataFrame:
 
 def report_failures(tests: DataFrame, reports: DataFrame, keys: Sequence[str] = (),
                     class_scope: bool = False) -> DataFrame:
+    """``case_failures`` of reports held whole, one ``xml`` each."""
+    return case_failures(tests, report_cases(reports, keys), keys, class_scope)
+
+
+def case_failures(tests: DataFrame, cases: DataFrame, keys: Sequence[str] = (),
+                  class_scope: bool = False) -> DataFrame:
     """Messages of the failed cases of each test.
 
     ``tests`` has ``test_id, class_fqn, name`` and the ``keys`` (run, or repository
     and revision), so a report never reaches the same-named test of another project.
     ``class_scope`` takes all cases of the class, not only the test's own.
     """
-    cases = report_cases(reports, keys)
     on = [*keys, "class_fqn"] if class_scope else [*keys, "class_fqn", "name"]
     failed = cases.filter(F.col("has_error") | F.col("has_failure"))
     if class_scope:

@@ -5,8 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .. import rules
 from ..functions import fqn as names
-from ..functions import patches, text
+from ..functions import builds, logs, patches, text
+from ..operators import evidence
+from ..operators import patches as patches_rows
+from ..operators.lines import line_table
 from ..session import scratch_dir
 from ..sources import readers, sinks
 from . import derived as d
@@ -77,6 +81,93 @@ def tree_scan(spark, sf):
     )
 
 
+FOLDERS = 16
+
+
+def _written_in_order(rows, order, path):
+    """``(folder, value)`` rows as one text file for each folder, in the given order."""
+    (
+        rows.repartition(FOLDERS, "folder").sortWithinPartitions("folder", *order)
+        .select("folder", "value").write.partitionBy("folder").text(path)
+    )
+
+
+def _folder(path):
+    return F.regexp_extract(path, r"/folder=(\d+)/", 1).cast("int").alias("folder")
+
+
+def log_file_lines(spark, sf):
+    """Logs of all runs, appended to a few large files and read back by lines of files.
+
+    Error lines with their numbers in the file and the place of the run's line.
+    """
+    path = scratch_dir(spark, "logs")
+    rows = line_table(d.run_logs(spark, sf).select("run_id", "content"), ["run_id"]).select(
+        (F.col("run_id") % FOLDERS).alias("folder"), "run_id", "line_no", F.col("line").alias("value")
+    )
+    _written_in_order(rows, ["run_id", "line_no"], path)
+    found = readers.read_log_lines(spark, path, "*.txt")
+    return found.filter(logs.is_error_line(F.col("line"))).select(_folder("path"), "line_no", "line")
+
+
+def report_files(spark, sf):
+    """Cases of all runs in a few large reports, nested at two depths, read case by case.
+
+    The cases meet their tests by class and method; every eighth report is cut off and
+    gives nothing.
+    """
+    path = scratch_dir(spark, "reports")
+    cases = F.regexp_extract_all("xml", F.lit(r"(?s)(<testcase.*?</testcase>)"), F.lit(1))
+    run = F.regexp_extract("path", r"/run(\d+)/", 1).cast("long")
+    folder = (run % FOLDERS).cast("int")
+    body = d.reports(spark, sf).select(
+        folder.alias("folder"), run.alias("run"), F.size(cases).alias("n"), F.posexplode(cases).alias("place", "value")
+    )
+    opening = F.when(F.col("place") == 0, "<testsuite><group>").otherwise("")
+    closing = F.when(F.col("place") == F.col("n") - 1, "</group></testsuite>").otherwise("")
+    body = body.withColumn("value", F.concat(opening, "value", closing)).drop("n")
+    ends = spark.range(FOLDERS).select(
+        F.col("id").cast("int").alias("folder"),
+        F.explode(F.array(
+            F.struct(F.lit(-1).cast("long").alias("run"), F.lit("<testsuites>").alias("value")),
+            F.struct(F.lit(1 << 62).alias("run"), F.when(F.col("id") % 8 == 7, "<testsuite>").otherwise("</testsuites>").alias("value")),
+        )).alias("e"),
+    ).select("folder", "e.run", F.lit(0).alias("place"), "e.value")
+    _written_in_order(body.unionByName(ends), ["run", "place"], path)
+    read = evidence.case_rows(readers.read_report_cases(spark, path, "*.txt"), ["path"])
+    tests = evidence.class_names_of(
+        d.run_logs(spark, sf).select("test_id", "test_fqn").distinct()
+    ).select("test_id", "class_fqn", "name")
+    return evidence.case_failures(tests, read).select(
+        "test_id", _folder("path"), "has_error", "has_failure", "message"
+    )
+
+
+def build_file_scan(spark, sf):
+    """Build files of all projects read whole: their JDK and the artifacts they name."""
+    path = scratch_dir(spark, "builds")
+    places = d.table(spark, sf, "customer").join(d.table(spark, sf, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    rows = places.select(
+        F.col("n_nationkey").alias("folder"), F.col("c_custkey").alias("at"),
+        F.concat(F.lit("<dependency>\n<artifactId>lib"), F.col("c_custkey") % 50, F.lit("</artifactId>\n</dependency>")).alias("value"),
+    )
+    nations = d.table(spark, sf, "nation").join(places.select("n_nationkey").distinct(), "n_nationkey", "left_semi")
+    jdk = F.when(F.col("n_nationkey") % 3 == 0, "11").when(F.col("n_nationkey") % 3 == 1, "17").otherwise("1.8")
+    head = F.concat(F.lit("<project>\n<jdk.version>"), jdk, F.lit("</jdk.version>\n<dependencies>"))
+    frame = nations.select(
+        F.col("n_nationkey").alias("folder"),
+        F.explode(F.array(
+            F.struct(F.lit(-1).cast("long").alias("at"), head.alias("value")),
+            F.struct(F.lit(1 << 62).alias("at"), F.lit("</dependencies>\n</project>").alias("value")),
+        )).alias("e"),
+    ).select("folder", "e.at", "e.value")
+    _written_in_order(rows.unionByName(frame), ["at"], path)
+    files = readers.read_build_files(spark, path, "*.txt")
+    url = F.lit("https://host/x")
+    known = files.select("path", builds.jdk_of_file(F.col("content"), url, F.lit("x")).alias("jdk"), "content")
+    return patches_rows.artifact_rows(known, ["path", "jdk"]).select(_folder("path"), "jdk", "artifact_id")
+
+
 def _results(spark, sf):
     return _manifest(spark, sf).select(
         names.repo_name(F.col("Project URL")).alias("repo"),
@@ -171,6 +262,27 @@ QUERIES = {
         tree_scan,
         "SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents",
     ),
+    "log_file_lines": (
+        log_file_lines,
+        f"""WITH l AS (SELECT run_id, CAST(run_id % {FOLDERS} AS INTEGER) AS folder, unnest(string_split(content, chr(10))) AS line,
+          unnest(range(len(string_split(content, chr(10))))) AS pos FROM ({d.run_logs_sql()})),
+        n AS (SELECT *, CAST(row_number() OVER (PARTITION BY folder ORDER BY run_id, pos) AS INTEGER) AS line_no FROM l)
+        SELECT folder, line_no, line FROM n WHERE starts_with(line, '{rules.ERROR_PREFIX}')
+          AND NOT ({" OR ".join(f"contains(line, '{x}')" for x in rules.ERROR_NOISE)})""",
+    ),
+    "report_files": (
+        report_files,
+        f"""SELECT user_id AS test_id, CAST(event_id % {FOLDERS} AS INTEGER) AS folder, event_id % 4 IN (1, 3) AS has_error,
+        event_id % 4 IN (0, 3) AS has_failure, message FROM (
+        SELECT event_id, user_id, 'java.lang.Error ' || event_id AS message FROM events WHERE event_id % 4 IN (1, 3)
+        UNION ALL SELECT event_id, user_id, 'run ' || event_id || ' failed twice' FROM events WHERE event_id % 4 IN (0, 3))
+        WHERE event_id % {FOLDERS} % 8 <> 7""",
+    ),
+    "build_file_scan": (
+        build_file_scan,
+        """SELECT DISTINCT n_nationkey AS folder, CASE n_nationkey % 3 WHEN 0 THEN '11' ELSE '8' END AS jdk,
+        'lib' || c_custkey % 50 AS artifact_id FROM customer JOIN nation ON c_nationkey = n_nationkey""",
+    ),
     "result_roundtrip": (
         result_roundtrip,
         f"""SELECT 'r1' AS run_id, repo, sha, test_fqn, status AS test_code, 'NOD,' || module AS imports,

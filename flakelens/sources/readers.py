@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .. import rules, schemas
 from ..functions import fqn as names
 from ..functions.text import plain_path
 from ..operators.scans import running_sums
+from ..session import stored
 
 # Every field follows a comma (one is put before the record).  The quantifiers are
 # possessive: nothing is tried twice, and long quoted fields need no deep stack.
@@ -148,6 +150,38 @@ def read_reports(spark: SparkSession, path: str, glob: str = "*" + rules.REPORT_
     return read_tree(spark, path, glob).withColumnRenamed("content", "xml")
 
 
+# How the last line of a whole report ends: its root is closed, or a comment follows.
+_REPORT_END = r"(?:</testsuites?\s*>|<testsuites?[^>]*/>|-->)\s*$"
+
+
+def read_report_cases(spark: SparkSession, path: str, glob: str = "*" + rules.REPORT_SUFFIX) -> DataFrame:
+    """Test cases of reports of any size as ``(path, case)``.
+
+    Each file is read case by case, at whatever depth the cases lie; no report is held
+    whole.  A report that is no well-formed XML, or that ends before its root does, has
+    no cases: what was read of it before the fault is dropped.
+    """
+    fields = T.StructType([*schemas.TESTCASE.fields, T.StructField("_corrupt_record", T.StringType())])
+    def files():
+        return spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob)
+
+    file = plain_path(F.col("_metadata.file_path")).alias("path")
+    # stored: the reports are parsed once
+    rows = stored(
+        files().format("xml").option("rowTag", "testcase").schema(fields).load(path)
+        .select(file, F.struct(*schemas.TESTCASE.names).alias("case"), F.col("_corrupt_record").isNotNull().alias("_broken")),
+        "cases",
+    )
+    ends = (
+        files().text(path).select(file, F.struct("_metadata.file_block_start", F.monotonically_increasing_id()).alias("_at"), "value")
+        .filter(F.trim("value") != "").groupBy("path").agg(F.max_by("value", "_at").alias("_last"))
+    )
+    faulty = rows.filter("_broken").select("path").unionByName(
+        ends.filter(~F.rlike("_last", F.lit(_REPORT_END))).select("path")
+    )
+    return rows.filter("not _broken").join(faulty.distinct(), "path", "left_anti").select("path", "case")
+
+
 def split_clone_path(df: DataFrame, clone_dir: str, path: str = "path") -> DataFrame:
     """Add ``sha`` and ``repo`` of the layout ``clone_dir/sha/repo/...``."""
     tail = F.substring_index(F.col(path), clone_dir.rstrip("/") + "/", -1)

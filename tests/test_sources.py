@@ -216,3 +216,27 @@ def test_replacing_begins_a_run_and_keeps_unknown_fields(spark, tmp_path):
     sinks.replace_results(results(spark, [(None, "s", None, "four")]), str(tmp_path), "run")
     again = spark.read.schema(RESULT).json(target)
     assert {r.status for r in again.filter("repo is null").collect()} == {"four"}
+
+
+def test_report_cases_are_read_one_by_one(spark, tmp_path):
+    case = '<testcase classname="a.B" name="{}"><failure message="m &amp; n" type="T">x <![CDATA[<testcase name="raw"/>]]></failure></testcase>'
+    whole = ('<?xml version="1.0"?>\n<testsuites><!-- <testcase name="no"/> -->\n<s><s>' + case.format("t") + "\n<testcase classname='a.B' name='u'/></s></s>"
+             + case.format("v") + "</testsuites>\n<!-- end -->\n")
+    reports = {
+        "whole": whole, "one": "<testsuite>" + case.format("w") + "</testsuite>", "empty": "", "none": "<testsuite/>",
+        "cut": whole[: whole.index("<s>")] + case.format("c"), "inside": whole[: whole.index("</failure>")],
+        "crossed": f"<testsuite><s>{case.format('x')}</testsuite></s>", "after": f"<testsuite>{case.format('y')}</testsuite><testcase",
+    }
+    for name, text in reports.items():
+        (tmp_path / f"TEST-{name}.xml").write_text(text)
+    (tmp_path / "other.txt").write_text(whole)
+    from flakelens.operators import evidence
+
+    rows = evidence.case_rows(readers.read_report_cases(spark, str(tmp_path)), ["path"]).collect()
+    got = {(os.path.basename(r.path), r.name, r.failure_message) for r in rows}
+    assert got == {
+        ("TEST-whole.xml", "t", "m & n"), ("TEST-whole.xml", "u", None), ("TEST-whole.xml", "v", "m & n"),
+        ("TEST-one.xml", "w", "m & n")}
+    # a report held whole is read up to the end of its root
+    held = evidence.report_cases(readers.read_reports(spark, str(tmp_path)), ["path"]).filter("name <> 'y'")
+    assert {(os.path.basename(r.path), r.name, r.failure_message) for r in held.collect()} == got

@@ -123,6 +123,43 @@ def attempt_stream(spark, sf):
     return live.latest_outcomes(stored).drop("is_final")
 
 
+def _stream(spark, sf):
+    return live.stateful_session(spark).readStream.schema(_events(spark, sf).schema).parquet(f"{sf}/events.parquet*")
+
+
+def _attempts(events, passed):
+    return live.attempt_rows(
+        events, F.col("user_id"), F.col("ts"), F.col("event_id"), passed, F.col("props"),
+        applied=F.col("event_id") % 4 != 0, evidence=F.col("event_type"),
+    )
+
+
+def attempt_hand_over(spark, sf):
+    """Attempts up to the 3rd are a table of history, later ones come as a stream: one batch run's outcome."""
+    first = F.lit("2024-01-03").cast("timestamp_ntz")
+    stream = _stream(spark, sf)
+    own = stream.sparkSession
+    history = _attempts(_events(own, sf).filter(F.col("ts") < first), _passed())
+    progress = live.track(_attempts(stream.filter(F.col("ts") >= first), _passed()), history=history)
+    base = scratch_dir(spark, "attempt-hand-over")
+    stored = live.run_to_table(progress, f"{base}/out", f"{base}/checkpoint")
+    return live.latest_outcomes(live.with_history(stored, history)).drop("is_final")
+
+
+IDLE_HOURS, DELAY_HOURS, MANY = 12, 1, 100_000
+
+
+def attempt_expiry(spark, sf):
+    """Tests without a pass are given up half a day after their last attempt, by event time."""
+    passed = (F.col("event_type") == "purchase") & (F.col("value") > 150)
+    progress = live.track(
+        _attempts(_stream(spark, sf), passed), MANY, idle_ms=IDLE_HOURS * 3_600_000, delay=f"{DELAY_HOURS} hours"
+    )
+    base = scratch_dir(spark, "attempt-expiry")
+    stored = live.run_to_table(progress, f"{base}/out", f"{base}/checkpoint")
+    return live.latest_outcomes(stored).select("test_id", "is_fixed", "fixed_at", "attempts_used", "is_final")
+
+
 _NUMBERED = """SELECT *, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS INTEGER) AS iter
 FROM events QUALIFY iter < 5"""
 _FIRST = "min(CASE WHEN {p} THEN iter END)"
@@ -195,6 +232,16 @@ QUERIES = {
         """SELECT d.doc_id, lang, CASE WHEN quality IS NULL THEN source ELSE 'labelled' END AS source,
         CAST(quality AS VARCHAR) AS quality FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id""",
     ),
+    "attempt_expiry": (
+        attempt_expiry,
+        f"""SELECT user_id AS test_id, fixed_at IS NOT NULL AS is_fixed, CAST(fixed_at AS INTEGER) AS fixed_at,
+        CAST(coalesce(fixed_at + 1, n) AS INTEGER) AS attempts_used, fixed_at IS NOT NULL OR last_ts
+          + INTERVAL {IDLE_HOURS} HOUR <= (SELECT max(ts) FROM events) - INTERVAL {DELAY_HOURS} HOUR AS is_final
+        FROM (SELECT user_id, count(*) AS n, max(ts) AS last_ts,
+          min(iter) FILTER (WHERE event_type = 'purchase' AND value > 150 AND event_id % 4 <> 0) AS fixed_at
+          FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS iter FROM events)
+          GROUP BY user_id)""",
+    ),
     "attempt_stream": (
         attempt_stream,
         f"""SELECT o.user_id AS test_id, fixed_at IS NOT NULL AS is_fixed, fixed_at, attempts_used, final_patch,
@@ -204,3 +251,4 @@ QUERIES = {
           ON a.user_id = n.user_id GROUP BY n.user_id) e ON e.user_id = o.user_id""",
     ),
 }
+QUERIES["attempt_hand_over"] = (attempt_hand_over, QUERIES["attempt_stream"][1])

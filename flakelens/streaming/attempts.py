@@ -8,6 +8,11 @@ outcome changes; ``is_final`` says that a pass or the last allowed attempt is
 reached.  An attempt that arrives late with an earlier time revises the outcome
 and is emitted with a higher ``version``.
 
+A test can be given up by event time: once the watermark is ``idle`` past its last
+attempt, an open test is emitted as final and unresolved and the state of any test is
+freed.  Versions go on from the watermark, so a test that begins anew after that has
+higher ones.  Earlier attempts held in a table can be handed over as the first state.
+
 Before the state operator each map task reduces a batch to the earliest few
 attempts per test.  A test that sends most of a batch therefore reaches its
 state task as a handful of rows per map-side Arrow batch.
@@ -50,7 +55,7 @@ def _reducer(limit: int):
     return earliest
 
 
-def _processor(limit: int, ttl_ms: int | None):
+def _processor(limit: int, ttl_ms: int | None, idle_ms: int | None = None):
     # defined in a function so that workers get the class by value
     import pandas as pd
     from pyspark.sql.streaming import StatefulProcessor
@@ -59,29 +64,61 @@ def _processor(limit: int, ttl_ms: int | None):
 
     class Tracker(StatefulProcessor):
         def init(self, handle):
+            self.handle = handle
             self.state = handle.getValueState("attempts", _STATE, ttl_ms)
 
+        def handleInitialState(self, key, initialState, timerValues):
+            seen, version = self._held(timerValues)
+            self._keep(sorted([*seen, *self._rows(initialState)], key=lambda a: a[:2])[:limit], version)
+
         def handleInputRows(self, key, rows, timerValues):
-            before, version = [], 0
-            if self.state.exists():
-                *columns, version = self.state.get()
-                before = list(zip(*columns, strict=True))
+            before, version = self._held(timerValues)
             seen = list(before)
             for pdf in rows:
-                new = zip(*[pdf[c].tolist() for c in COLUMNS], strict=True)
-                seen = sorted([*seen, *new], key=lambda a: a[:2])[:limit]
+                seen = sorted([*seen, *self._rows(pdf)], key=lambda a: a[:2])[:limit]
             if seen == before:
                 return
+            self._keep(seen, version + 1)
+            yield self._progress(key, seen, version + 1, False)
+
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+            seen, version = self._held(timerValues)
+            row = self._progress(key, seen, version + 1, True)
+            is_open = not self._is_settled(seen)
+            self.state.clear()
+            if is_open:
+                yield row
+
+        def _rows(self, pdf):
+            return list(zip(*[pdf[c].tolist() for c in COLUMNS], strict=True))
+
+        def _held(self, timerValues):
+            if not self.state.exists():
+                begun = timerValues.getCurrentWatermarkInMs() if idle_ms else 0
+                return [], max(int(begun), 0)
+            *columns, version = self.state.get()
+            return list(zip(*columns, strict=True)), version
+
+        def _keep(self, seen, version):
             self.state.update((
                 [int(a[0]) for a in seen], [int(a[1]) for a in seen],
                 [bool(a[2]) for a in seen], [bool(a[3]) for a in seen],
-                [a[4] for a in seen], [a[5] for a in seen], version + 1,
+                [a[4] for a in seen], [a[5] for a in seen], version,
             ))
+            if idle_ms:
+                for at in list(self.handle.listTimers()):
+                    self.handle.deleteTimer(at)
+                self.handle.registerTimer(int(seen[-1][0]) // 1000 + idle_ms)
+
+        def _is_settled(self, seen):
+            return len(seen) >= limit or any(a[2] and a[3] for a in seen)
+
+        def _progress(self, key, seen, version, is_given_up):
             at = next((i for i, a in enumerate(seen) if a[2] and a[3]), None)
             used = len(seen) if at is None else at + 1
             kept = seen[:used]
             stamps = [a[0] for a in kept]
-            yield pd.DataFrame({
+            return pd.DataFrame({
                 "test_id": [key[0]],
                 "is_fixed": [at is not None],
                 "fixed_at": pd.array([at], dtype="Int32"),
@@ -89,8 +126,8 @@ def _processor(limit: int, ttl_ms: int | None):
                 "final_patch": [None if at is None else kept[at][4]],
                 "last_evidence": [next((a[5] for a in reversed(kept) if a[3]), None)],
                 "elapsed_s": [round((stamps[-1] - min(stamps)) / 1e6, 2)],
-                "is_final": [at is not None or used >= limit],
-                "version": [version + 1],
+                "is_final": [is_given_up or self._is_settled(seen)],
+                "version": [version],
             })
 
         def close(self):
@@ -99,18 +136,11 @@ def _processor(limit: int, ttl_ms: int | None):
     return Tracker()
 
 
-def track_attempts(stream: DataFrame, test_id: Column, ts: Column, number: Column,
-                   is_pass: Column, patch: Column, limit: int = rules.MAX_ATTEMPTS,
-                   ttl_ms: int | None = None, applied: Column | None = None,
-                   evidence: Column | None = None) -> DataFrame:
-    """Stream of attempts to a stream of progress rows per test.
-
-    Only applied attempts (by default all) can pass and leave evidence (text).
-    The stream's session must come from ``stateful_session``.
-    ``ttl_ms`` drops the state of tests that have been idle that long; an attempt
-    after that starts the test anew.
-    """
-    rows = stream.select(
+def attempt_rows(df: DataFrame, test_id: Column, ts: Column, number: Column, is_pass: Column, patch: Column,
+                 applied: Column | None = None, evidence: Column | None = None) -> DataFrame:
+    """Attempts as the tracker takes them; only applied ones (by default all) can pass and
+    leave evidence (text)."""
+    return df.select(
         test_id.cast("long").alias("test_id"),
         F.unix_micros(ts.cast("timestamp")).alias("attempt_ts"),
         number.cast("long").alias("attempt_no"),
@@ -119,16 +149,51 @@ def track_attempts(stream: DataFrame, test_id: Column, ts: Column, number: Colum
         patch.alias("patch"),
         (F.lit(None) if evidence is None else evidence).cast("string").alias("evidence"),
     )
-    return (
-        rows.mapInPandas(_reducer(limit), INPUT)
-        .groupBy("test_id")
-        .transformWithStateInPandas(
-            statefulProcessor=_processor(limit, ttl_ms), outputStructType=OUTPUT,
-            outputMode="Append", timeMode="ProcessingTime" if ttl_ms else "None",
-        )
+
+
+def track(attempts: DataFrame, limit: int = rules.MAX_ATTEMPTS, ttl_ms: int | None = None,
+          idle_ms: int | None = None, delay: str = "0 seconds", history: DataFrame | None = None) -> DataFrame:
+    """Attempts (``attempt_rows`` of a stream or a table) to progress rows per test.
+
+    A stream's session must come from ``stateful_session``.  ``ttl_ms`` drops the state
+    of tests that have been idle that long by the clock; an attempt after that starts
+    the test anew.  ``idle_ms`` gives tests up by event time: attempts that are later
+    than the watermark (``delay`` behind the newest) are not seen any more.  ``history``
+    (``attempt_rows`` of a table) is what came before the stream.
+    """
+    if ttl_ms and idle_ms:
+        raise ValueError("a test is dropped either by the clock or by event time")
+    rows = attempts.mapInPandas(_reducer(limit), INPUT)
+    mode = "None"
+    if ttl_ms:
+        mode = "ProcessingTime"
+    if idle_ms:
+        mode = "EventTime"
+        rows = rows.withColumn("event_time", F.timestamp_micros("attempt_ts")).withWatermark("event_time", delay)
+    before = None if history is None else history.mapInPandas(_reducer(limit), INPUT).groupBy("test_id")
+    return rows.groupBy("test_id").transformWithStateInPandas(
+        statefulProcessor=_processor(limit, ttl_ms, idle_ms), outputStructType=OUTPUT,
+        outputMode="Append", timeMode=mode, initialState=before,
     )
 
 
+def track_attempts(stream: DataFrame, test_id: Column, ts: Column, number: Column,
+                   is_pass: Column, patch: Column, limit: int = rules.MAX_ATTEMPTS,
+                   ttl_ms: int | None = None, applied: Column | None = None,
+                   evidence: Column | None = None) -> DataFrame:
+    """``track`` of a stream given by its columns."""
+    return track(attempt_rows(stream, test_id, ts, number, is_pass, patch, applied, evidence), limit, ttl_ms)
+
+
+def with_history(progress: DataFrame, history: DataFrame, limit: int = rules.MAX_ATTEMPTS) -> DataFrame:
+    """Progress rows of a stream and of what came before it, which have version 0.
+
+    Tests that the stream says nothing of keep the outcome of their history.
+    """
+    before = track(history, limit).withColumn("version", F.lit(0).cast("long"))
+    return progress.unionByName(before)
+
+
 def latest_outcomes(progress: DataFrame) -> DataFrame:
     """Last progress row per test of a stored tracker output."""
     values = [c for c in progress.columns if c not in ("test_id", "version")]

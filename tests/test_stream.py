@@ -53,3 +53,92 @@ def test_only_applied_attempts_pass_and_leave_evidence(spark, tmp_path):
     got = live.latest_outcomes(live.run_to_table(progress, str(tmp_path / "out"), str(tmp_path / "cp"))).collect()
     assert {(r.test_id, r.is_fixed, r.attempts_used, r.final_patch, r.last_evidence) for r in got} == {
         (1, True, 3, "p3", "e3"), (2, False, 1, None, None), (3, False, 2, None, "e5")}
+
+
+HOUR = 3_600_000_000
+SCHEMA = "user int, at long, i long, ok boolean, patch string"
+
+
+def files(spark, folder, batches):
+    """One file for each batch, in the order of their times."""
+    import os
+    import time
+
+    for rows in batches:
+        before = set(os.listdir(folder)) if folder.exists() else set()
+        spark.createDataFrame(rows, SCHEMA).coalesce(1).write.mode("append").parquet(str(folder))
+        stamp = time.time()
+        for name in set(os.listdir(folder)) - before:
+            os.utime(folder / name, (stamp, stamp))
+        time.sleep(0.05)
+
+
+def tracked(spark, tmp_path, name="run", **how):
+    stream = live.stateful_session(spark).readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    rows = live.attempt_rows(stream, F.col("user"), F.timestamp_micros("at"), F.col("i"), F.col("ok"), F.col("patch"))
+    query = (
+        live.track(rows, **how).writeStream.format("parquet").option("path", str(tmp_path / name))
+        .option("checkpointLocation", str(tmp_path / f"{name}-cp")).trigger(availableNow=True).start()
+    )
+    query.awaitTermination()
+    stored = spark.read.parquet(str(tmp_path / name))
+    states = [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]]
+    return stored, states
+
+
+def test_idle_tests_are_given_up_by_event_time(spark, tmp_path):
+    batches = [
+        [(1, 1 * HOUR, 1, False, "a"), (2, 1 * HOUR, 2, True, "b"), (3, 2 * HOUR, 3, False, "c"), (4, 2 * HOUR, 4, False, "d")],
+        [(3, 9 * HOUR, 5, False, "e"), (9, 10 * HOUR, 6, False, "f")],
+        # the watermark is at 9 h
+        [(4, 9 * HOUR + 1, 8, True, "h"), (9, 30 * HOUR, 9, False, "i")],
+        # at 29 h tests 1 and 3 are given up; test 1's attempt comes too late to be seen; then 3 begins anew
+        [(1, 2 * HOUR, 7, True, "g"), (9, 60 * HOUR, 10, False, "j")],
+        [(3, 60 * HOUR, 11, True, "k"), (9, 61 * HOUR, 12, False, "l")],
+    ]
+    files(spark, tmp_path / "in", batches)
+    stored, states = tracked(spark, tmp_path, idle_ms=20 * 3_600_000, delay="1 hour")
+    got = {(r.test_id, r.is_fixed, r.attempts_used, r.final_patch, r.is_final)
+           for r in live.latest_outcomes(stored.filter("test_id <> 3")).collect()}
+    assert got == {(1, False, 1, None, True), (2, True, 1, "b", True), (4, True, 2, "h", True), (9, False, 4, None, False)}
+    third = [(r.is_fixed, r.attempts_used, r.is_final) for r in stored.filter("test_id = 3").orderBy("version").collect()]
+    assert third == [(False, 1, False), (False, 2, False), (False, 2, True), (True, 1, True)]
+    # tests 3 and 9 alone have a state in the end
+    assert max(states) > states[-1]
+
+
+def test_nothing_is_given_up_in_time(spark, tmp_path):
+    """Missing attempts leave tests open; without lateness the outcome is the batch form's."""
+    rng = random.Random(4)
+    rows = [(rng.randint(1, 25), HOUR + i * HOUR // 20, i, rng.random() < 0.1, f"p{i}") for i in range(300)]
+    files(spark, tmp_path / "in", [rows[i : i + 100] for i in range(0, 300, 100)])
+    stored, _ = tracked(spark, tmp_path, idle_ms=1000 * 3_600_000, delay="2 hours")
+    batch = spark.createDataFrame(rows, SCHEMA).withColumn("ts", F.timestamp_micros("at"))
+    want = attempts.loop_outcome(attempts.number_attempts(batch, ["user"], ["at", "i"]), ["user"], F.col("ok"), F.col("patch"), "ts")
+    key = lambda r: (r[0], r.is_fixed, r.fixed_at, r.attempts_used, r.final_patch, r.elapsed_s)
+    assert sorted(map(key, live.latest_outcomes(stored).collect())) == sorted(map(key, want.collect()))
+
+
+def test_history_and_stream_equal_one_batch(spark, tmp_path):
+    rng = random.Random(6)
+    rows = [(rng.randint(1, 40), i * HOUR, i, rng.random() < 0.1, f"p{i}") for i in range(300)]
+    old, new = rows[:120], rows[120:]
+    # tests 1 to 5 only have history, 36 to 40 only come later
+    old, new = [r for r in old if r[0] <= 35], [r for r in new if r[0] > 5]
+    files(spark, tmp_path / "in", [new[60:], new[:60]])
+    own = live.stateful_session(spark)
+    history = live.attempt_rows(
+        own.createDataFrame(old, SCHEMA), F.col("user"), F.timestamp_micros("at"), F.col("i"), F.col("ok"), F.col("patch"))
+    stream = own.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    fresh = live.attempt_rows(stream, F.col("user"), F.timestamp_micros("at"), F.col("i"), F.col("ok"), F.col("patch"))
+    stored = live.run_to_table(live.track(fresh, history=history), str(tmp_path / "out"), str(tmp_path / "cp"))
+    got = live.latest_outcomes(live.with_history(stored, history))
+    batch = spark.createDataFrame(old + new, SCHEMA).withColumn("ts", F.timestamp_micros("at"))
+    want = attempts.loop_outcome(attempts.number_attempts(batch, ["user"], ["at", "i"]), ["user"], F.col("ok"), F.col("patch"), "ts")
+    key = lambda r: (r[0], r.is_fixed, r.fixed_at, r.attempts_used, r.final_patch, r.elapsed_s)
+    assert sorted(map(key, got.collect())) == sorted(map(key, want.collect()))
+
+
+def test_one_way_of_dropping_a_test(spark, tmp_path):
+    with pytest.raises(ValueError, match="by the clock or by event time"):
+        live.track(spark.createDataFrame([], live.INPUT), ttl_ms=1, idle_ms=1)

@@ -136,7 +136,10 @@ def repair_outcomes(initial: DataFrame, attempts: DataFrame, order: Sequence[str
 def log_column(values: Sequence[str], logged: Column | None = None) -> Column:
     """Aggregate of numbered attempts: map from iteration (text) to its values."""
     entry = F.struct(F.col("iter"), F.struct(*values).alias("value"))
-    listed = F.array_sort(F.collect_list(entry if logged is None else F.when(logged, entry)))
+    # by the iteration alone: values may hold maps, which have no order
+    listed = F.array_sort(
+        F.collect_list(entry if logged is None else F.when(logged, entry)), lambda a, b: a["iter"] - b["iter"]
+    )
     return F.map_from_entries(
         F.transform(
             listed,

@@ -12,6 +12,7 @@ from ..operators import attempts as loop
 from ..operators import methods
 
 _EVIDENCE = ("summary", "err_msg", "err_code", "err_methods")
+_RELATED = ("method_code", "before", "after", "global_vars")
 
 
 def attempt_prompts(tests: DataFrame, initial: DataFrame, tries: DataFrame,
@@ -23,45 +24,49 @@ def attempt_prompts(tests: DataFrame, initial: DataFrame, tries: DataFrame,
     the evidence columns; ``tries`` has ``test_id, ts, applied, patched_content`` and
     the evidence columns.  Attempt 0 sees the initial run and the original code, a
     later one the evidence and code of the last applied attempt before it.
-    ``related_code`` is cut again from the patched source of an applied attempt; a
-    source without the method, or with unmatched braces, keeps the code shown before.
-    A patched source is parsed where it lies; windows hold ``limit`` rows per test.
+    ``related_code`` is the record ``method_code, before, after, global_vars``, cut again
+    from the patched source of an applied attempt; a source without the method, or with
+    unmatched braces, keeps the code shown before, and a source that the patch leaves as
+    it was is not parsed again.  A patched source is parsed where it lies; windows hold
+    ``limit`` rows per test.
     """
     columns = [F.col(c) for c in _EVIDENCE]
-    first_code = prompts.context_code(
-        F.col("before"), F.col("after"), F.col("global_vars"), F.col("method_code")
-    )
-    begun = tests.select("test_id", "method_name", first_code.alias("_code")).join(
+    begun = tests.select(
+        "test_id", "method_name", F.struct(*_RELATED).alias("_own"), F.sha2("content", 256).alias("_digest")
+    ).join(
         initial.filter(F.col("summary") == rules.FAILURE).select("test_id", F.struct(*columns).alias("_first")),
         "test_id",
     )
     numbered = loop.number_attempts(tries, ["test_id"], order, limit).join(begun, "test_id")
+    same = F.sha2("patched_content", 256).eqNullSafe(F.col("_digest"))
     parsed = numbered.withColumn(
-        "_s", F.when(F.col("applied"), methods.source_structure(F.col("patched_content")))
+        "_s", F.when(F.col("applied") & ~same, methods.source_structure(F.col("patched_content")))
     ).withColumn(
         "_m", F.when(~F.col("_s.unclosed"), javacode.last_named(F.col("_s.methods"), F.col("method_name")))
     )
-    related = F.when(
+    cut = F.when(
         F.col("_m").isNotNull(),
-        prompts.context_code(
-            F.col("_s.before"), F.col("_s.after"), F.col("_s.global_vars"),
-            javacode.code_of(F.col("patched_content"), F.col("_m")),
+        F.struct(
+            javacode.code_of(F.col("patched_content"), F.col("_m")).alias("method_code"),
+            *[F.col(f"_s.{c}").alias(c) for c in _RELATED[1:]],
         ),
-    )
-    cut = parsed.withColumn("related_code", related).drop("_s", "_m", "patched_content")
+    ).when(F.col("applied") & same, F.col("_own"))
+    known = parsed.withColumn("related_code", cut).drop("_s", "_m", "patched_content", "_digest")
     seen = loop.previous_evidence(
-        cut, ["test_id"], F.struct(*columns), F.col("_first"), F.col("applied"), "_seen"
+        known, ["test_id"], F.struct(*columns), F.col("_first"), F.col("applied"), "_seen"
     )
     seen = loop.previous_evidence(
-        seen, ["test_id"], F.col("related_code"), F.col("_code"), F.col("related_code").isNotNull(), "_shown"
+        seen, ["test_id"], F.col("related_code"), F.col("_own"), F.col("related_code").isNotNull(), "_shown"
     )
+    shown = F.col("_shown")
+    code = prompts.context_code(*[shown[c] for c in ("before", "after", "global_vars", "method_code")])
     ask = prompts.prompt(
-        F.col("method_name"), F.col("_shown"), F.col("_seen.err_msg"), F.col("_seen.err_code"),
+        F.col("method_name"), code, F.col("_seen.err_msg"), F.col("_seen.err_code"),
         F.col("_seen.err_methods"), template,
     )
     return seen.withColumn("prompt", ask).withColumn(
         "related_code", F.when(F.col("applied"), F.coalesce("related_code", "_shown"))
-    ).drop("_code", "_first", "_seen", "_shown", "method_name")
+    ).drop("_own", "_first", "_seen", "_shown", "method_name")
 
 
 def result_documents(tests: DataFrame, initial: DataFrame, tries: DataFrame,

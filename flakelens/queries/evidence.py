@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 from .. import rules
 from ..functions import fqn as names
 from ..functions import logs
-from ..operators import evidence, localize, methods, patches
+from ..operators import attempts, evidence, localize, methods, patches
 from ..operators.lines import generate, line_table
 from ..plans import repair, triage
+from ..session import stored
 from . import derived as d
 
 
@@ -149,33 +150,45 @@ def triage_report(spark, sf):
 
 
 def repair_report(spark, sf):
-    """Result documents: tests, first runs and parsed answers as attempts."""
+    """Result documents: tests, first runs and answers as attempts, with the prompt of each.
+
+    Answers are cut to those of the loop before their patches are applied; the patched
+    sources give the code that later prompts show.
+    """
     sources = d.sources(spark, sf)
     found = triage.first_run_evidence(d.run_logs(spark, sf), sources.select("path", "content"))
-    initial = found.withColumns({"started": F.col("ts"), "ended": F.col("ts")}).drop("run_id", "ts")
-    parsed = patches.parse_responses(
-        d.responses(spark, sf), patches.prepare_tests(sources.withColumn("method_name", F.lit("check")))
-    )
+    initial = stored(found.withColumns({"started": F.col("ts"), "ended": F.col("ts")}).drop("run_id", "ts"), "initial")
+    prepared = patches.prepare_tests(sources.withColumn("method_name", F.lit("check")))
+    answers = d.responses(spark, sf)
     outcomes = d.table(spark, sf, "orders").select(
         F.col("o_orderkey").alias("attempt_id"),
+        F.col("o_custkey").alias("test_id"),
         F.col("o_orderdate").alias("ts"),
         (F.col("o_orderstatus") != "P").alias("applied"),
         F.when(F.col("o_orderpriority") == "1-URGENT", rules.PASS).otherwise(rules.FAILURE).alias("summary"),
         F.col("o_orderpriority").alias("err_msg"),
         F.lit("").alias("err_code"),
         F.array().cast("array<string>").alias("err_methods"),
-        F.lit("ask").alias("prompt"),
-        F.lit("answer").alias("response"),
-    )
-    tries = parsed.drop("method_name").join(outcomes, "attempt_id")
-    docs = repair.result_documents(
-        _cut_tests(spark, sf), initial, tries, "clone", "out", ("ts", "attempt_id")
     )
+    failing = initial.filter(F.col("summary") == rules.FAILURE).select("test_id")
+    order = ("ts", "attempt_id")
+    cut = attempts.number_attempts(outcomes.join(failing, "test_id", "left_semi"), ["test_id"], order).drop("iter")
+    asked = answers.join(cut.select("attempt_id"), "attempt_id", "left_semi")
+    parsed = patches.parse_responses(asked.withColumn("text", F.col("response")), prepared).withColumnRenamed("text", "response")
+    tries = parsed.drop("method_name", "test_id").join(cut, "attempt_id")
+    patched = patches.apply_patches(tries, prepared.drop("original_imports")).drop("content", "method_code")
+    tests = _cut_tests(spark, sf)
+    asked = repair.attempt_prompts(tests, initial, patched, order, template="%1$s|%2$s|%3$s|%4$s|%5$s").drop("iter")
+    docs = repair.result_documents(tests, initial, asked, "clone", "out", order)
+    last = F.try_element_at(F.map_values("intermediate_log"), F.lit(-1))
     return docs.select(
         "test_id", "status", "initial_summary", "fixed_at", "attempts_used",
         F.col("final_patch.test_code").alias("final_code"),
         F.array_join(F.map_keys("intermediate_log"), ",").alias("logged"),
         "prev_summary", "result_json",
+        last["prompt"].alias("last_prompt"), last["response"].alias("last_response"),
+        last["related_code"]["method_code"].alias("last_code"),
+        F.array_join(F.map_keys(last["related_code"]["global_vars"]), ",").alias("last_fields"),
     )
 
 
@@ -212,6 +225,7 @@ _BUNDLE = f"""SELECT e.event_id AS run_id,
         LEFT JOIN ({_SOURCE_LINES}) s ON s.test_id = e.user_id
         LEFT JOIN (SELECT event_id, string_agg(message, chr(10) ORDER BY kind) AS err_msg
           FROM ({_MESSAGES}) GROUP BY event_id) m ON m.event_id = e.event_id"""
+_BUNDLE_WITHOUT_REPORTS = _BUNDLE.replace("coalesce(m.err_msg, '')", "''")
 _CONTEXT = " || chr(10) || ".join(
     d.slice_sql("content", f"gap + {a}", f"gap + {b}")
     for a, b in ((15, 18), (19, 19), (9, 9), (10, 11), (12, 12), (42, 42), (36, 39))
@@ -227,9 +241,24 @@ JOIN ({_FIRST_RUN}) f ON f.user_id = o_custkey AND f.summary = 'FAILURE'"""
 _DONE = f"""SELECT o_custkey, min(iter) FILTER (WHERE passed) AS fixed_at, count(*) AS n,
 arg_min_null({d.response_part_sql(d.PATCH_CODE)}, iter) FILTER (WHERE passed) AS final_code FROM ({_TRIES})
 GROUP BY o_custkey"""
+_AROUND = " || chr(10) || ".join(
+    d.slice_sql("content", f"gap + {a}", f"gap + {b}") for a, b in ((15, 18), (19, 19), (9, 9), (10, 11), (12, 12), (42, 42))
+)
+_OWN = d.slice_sql("content", "gap + 36", "gap + 39")
+_BEFORE = "OVER (PARTITION BY o_custkey ORDER BY iter ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+_ASKED = f"""SELECT *, last_value(CASE WHEN applied THEN method_after END IGNORE NULLS) {_BEFORE} AS shown,
+last_value(CASE WHEN applied THEN o_orderpriority END IGNORE NULLS) {_BEFORE} AS seen
+FROM (SELECT t.*, coalesce({d.response_part_sql(d.PATCH_CODE)}, {_OWN}) AS method_after, {_OWN} AS own, {_AROUND} AS around,
+  {d.response_part_sql(list(d.RESPONSES))} AS response
+  FROM ({_TRIES}) t JOIN ({d.sources_sql()}) s ON s.test_id = o_custkey)"""
 _KEPT = f"""SELECT t.o_custkey, string_agg(CAST(iter AS VARCHAR), ',' ORDER BY iter) AS logged,
-arg_max(CASE WHEN o_orderpriority = '1-URGENT' THEN 'PASS' ELSE 'FAILURE' END, iter) AS prev_summary
-FROM ({_TRIES}) t JOIN ({_DONE}) d ON d.o_custkey = t.o_custkey
+arg_max(CASE WHEN o_orderpriority = '1-URGENT' THEN 'PASS' ELSE 'FAILURE' END, iter) AS prev_summary,
+arg_max('check|' || CASE WHEN shown IS NULL AND t.o_custkey % 10 = 3 THEN '' ELSE around || chr(10) || coalesce(shown, own) END
+  || '|' || coalesce(seen || '||', r.err_msg || '|' || r.err_code || '|' || replace(r.err_methods, ',', ', ')), iter) AS last_prompt,
+arg_max(response, iter) AS last_response, arg_max(method_after, iter) AS last_code
+FROM ({_ASKED}) t JOIN ({_DONE}) d ON d.o_custkey = t.o_custkey
+JOIN (SELECT e.user_id, b.* FROM (SELECT user_id, arg_min(event_id, (ts, event_id)) AS event_id
+  FROM events GROUP BY user_id) e JOIN ({_BUNDLE_WITHOUT_REPORTS}) b ON b.run_id = e.event_id) r ON r.user_id = t.o_custkey
 WHERE applied AND iter <= coalesce(fixed_at, 5) GROUP BY t.o_custkey"""
 
 QUERIES = {
@@ -269,7 +298,8 @@ QUERIES = {
           ELSE coalesce(summary, CASE WHEN c_custkey % 10 = 3 THEN '{rules.NOT_LOCALIZED}'
             ELSE '{rules.LOCALIZED}' END) END AS status, summary AS initial_summary, fixed_at,
         CASE WHEN summary IS NOT NULL THEN CAST(coalesce(fixed_at + 1, n, 0) AS INTEGER) END AS attempts_used,
-        final_code, logged, prev_summary, 'out/User' || c_custkey || '/work/org.shop.'
+        final_code, logged, prev_summary, last_prompt, last_response, last_code,
+        CASE WHEN last_code IS NOT NULL THEN 'BRACE,sizes,balance,names' END AS last_fields, 'out/User' || c_custkey || '/work/org.shop.'
           || CASE WHEN c_custkey % 10 = 3 THEN 'Lost' ELSE 'User' END || c_custkey || 'Test.check.json' AS result_json
         FROM customer c LEFT JOIN ({_FIRST_RUN}) f ON f.user_id = c_custkey
         LEFT JOIN ({_DONE}) d ON d.o_custkey = c_custkey LEFT JOIN ({_KEPT}) k ON k.o_custkey = c_custkey""",

@@ -102,5 +102,10 @@ def test_prompts_of_later_attempts_show_the_last_applied_one(spark):
     assert [s[2] for s in shown] == ["m-first", "m0", "m0", "m2", "m3"]
     assert ["check(n)" in shown[0][1]] + [f"check({w})" in s[1] for w, s in zip(("one", "one", "one", "four"), shown[1:], strict=True)] == [True] * 5
     related = {i: r.related_code for i, r in got.items()}
-    assert related[1] is None and "check(one)" in related[0] and "check(one)" in related[2] and "check(five)" in related[4]
-    assert all("setUp" in c for i, c in related.items() if i != 1)
+    assert related[1] is None and [f"check({w})" in related[i].method_code for i, w in ((0, "one"), (2, "one"), (4, "five"))] == [True] * 3
+    assert all("setUp" in c.before and set(c.global_vars) == {"n"} and c.after == {} for i, c in related.items() if i != 1)
+    # a patch that changes nothing shows the test's own code
+    same = spark.createDataFrame([("1", T0, True, CODE, rules.FAILURE, "m", "c", ["flaky"])], tries.schema)
+    (row,) = repair.attempt_prompts(tests, initial, same).collect()
+    own = tests.filter("test_id = '1'").first()
+    assert (row.related_code.method_code, row.related_code.global_vars) == (own.method_code, own.global_vars)

@@ -221,7 +221,7 @@ def result_update(spark, sf):
     )
     update = again.unionByName(renamed).withColumn("time", F.concat(F.lit("again "), "time"))
     sinks.replace_results(update, out, "r1", order=F.col("attempt"))
-    schema = _result_schema(results).add("attempt", "int")
+    schema = _result_schema(results).add("attempt", T.IntegerType())
     return sinks.read_results(spark, out, schema).select(
         "run_id", "repo", "sha", "test_fqn", F.col("final_patch.test_code").alias("test_code"),
         F.array_join("final_patch.imports", ",").alias("imports"), "time", "started", "attempt",

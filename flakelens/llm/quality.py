@@ -203,25 +203,27 @@ def _sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 pick.append(int(d) + words.row)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("pick").take(pa.array(pick, pa.int64())), pa.array(pattern, pa.int64()),
-                 pa.array(index, pa.list_(pa.int64())), pa.array(value, pa.list_(pa.float64()))],
+                 pa.array(index, pa.list_(pa.int32())), pa.array(value, pa.list_(pa.float32()))],
                 names=["pick", "pattern", "index", "value"],
             )
 
 
-def train(rows: list, good: dict[int, float], rounds: int = 300, rate: float = 0.3,
+def train(rows: pa.Table, good: dict[int, float], rounds: int = 300, rate: float = 0.3,
           shrink: float = 1e-5) -> np.ndarray:
     """Logistic weights (the last one is the constant) on posterior labels, by Adam."""
     weights = np.zeros(BUCKETS + 1)
-    if not rows:
+    if not rows.num_rows:
         return weights
-    target = np.array([good.get(r.pattern, 0.5) for r in rows])
-    column = np.concatenate([np.array(r["index"], np.int64) for r in rows])
-    value = np.concatenate([np.array(r["value"]) for r in rows])
-    owner = np.repeat(np.arange(len(rows)), [len(r["index"]) for r in rows])
+    rows = rows.combine_chunks()
+    target = np.array([good.get(p, 0.5) for p in rows["pattern"].to_pylist()])
+    lists = [pa.chunked_array(rows[c]).combine_chunks() for c in ("index", "value")]
+    column, value = (c.flatten().to_numpy(zero_copy_only=False) for c in lists)
+    value = value.astype(np.float64)
+    owner = np.repeat(np.arange(rows.num_rows), np.diff(lists[0].offsets.to_numpy()))
     one, two = np.zeros_like(weights), np.zeros_like(weights)
     for t in range(1, rounds + 1):
-        z = weights[-1] + np.bincount(owner, value * weights[column], minlength=len(rows))
-        error = (1 / (1 + np.exp(-np.clip(z, -40, 40))) - target) / len(rows)
+        z = weights[-1] + np.bincount(owner, value * weights[column], minlength=rows.num_rows)
+        error = (1 / (1 + np.exp(-np.clip(z, -40, 40))) - target) / rows.num_rows
         step = np.append(np.bincount(column, value * error[owner], minlength=BUCKETS), error.sum())
         step += shrink * weights
         one = 0.9 * one + 0.1 * step
@@ -270,8 +272,9 @@ def fit(docs: DataFrame, text_col: str = "text", train_rows: int = TRAIN_ROWS) -
         picked.filter(F.col("pick") < F.lit(limit)).groupBy("pick").agg(F.any_value("text").alias("text"))
         .orderBy("pick").limit(train_rows)
     )
-    schema = "pick long, pattern long, index array<long>, value array<double>"
-    sample = chosen.mapInArrow(_sample, schema).orderBy("pick").limit(train_rows).collect()
+    schema = "pick long, pattern long, index array<int>, value array<float>"
+    # at most train_rows rows, as Arrow: some thousand numbers each
+    sample = chosen.mapInArrow(_sample, schema).orderBy("pick").limit(train_rows).toArrow()
     return Model(train(sample, good), good, accuracy)
 
 

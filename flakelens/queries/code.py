@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import lines, methods
+from ..operators import bigsources, lines, methods
 from . import derived as d
 
 
@@ -60,6 +61,26 @@ _METHODS = d.methods_sql()
 _CODE = d.slice_sql("content", "start_line", "end_line")
 _FIELDS = ", ".join(f"('{n}', {a}, {b})" for n, a, b in d.SOURCE_FIELDS)
 
+def _source_lines(spark, sf, file):
+    """All sources of a group one after the other as the lines of one large file."""
+    sources = d.sources(spark, sf).select("test_id", "content")
+    sizes = sources.select("test_id", F.size(F.split("content", "\n", -1)).alias("n")).join(
+        d.table(spark, sf, "customer").select(F.col("c_custkey").alias("test_id"), file.alias("file")), "test_id"
+    )
+    before = Window.partitionBy("file").orderBy("test_id").rowsBetween(Window.unboundedPreceding, -1)
+    places = sizes.select("test_id", "file", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    rows = lines.line_table(sources, ["test_id"]).join(places, "test_id")
+    return rows.select("file", (F.col("line_no") + F.col("before")).alias("line_no"), "line")
+
+
+def large_source_spans(spark, sf):
+    """Methods of one large source for each nation, lexed and matched in chunks."""
+    found, _ = bigsources.spans_of_lines(_source_lines(spark, sf, F.col("c_nationkey")), ["file"])
+    return found.select(
+        "file", "name", "start_line", "end_line", "is_unclosed", F.array_join("annotations", ",").alias("annotations"), "is_constructor"
+    )
+
+
 QUERIES = {
     "method_spans": (
         method_spans,
@@ -94,3 +115,14 @@ QUERIES = {
         'BRACE,sizes,balance,names' AS fields FROM ({d.sources_sql()})""",
     ),
 }
+_OFFSETS = f"""SELECT test_id, c_nationkey AS file, CAST(coalesce(sum(len(string_split(content, chr(10)))) OVER (
+PARTITION BY c_nationkey ORDER BY test_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS INTEGER) AS before
+FROM ({d.sources_sql()}) JOIN customer ON c_custkey = test_id"""
+QUERIES["large_source_spans"] = (
+    large_source_spans,
+    f"""SELECT file, name, start_line + before AS start_line, end_line + before AS end_line, false AS is_unclosed,
+    CASE name WHEN 'setUp' THEN 'Before' WHEN 'tearDown' THEN 'After' WHEN 'check' THEN
+      CASE WHEN end_line - start_line > 5 THEN 'Test' ELSE '' END ELSE '' END AS annotations,
+    starts_with(name, 'User') AS is_constructor
+    FROM ({d.methods_sql()}) m JOIN ({_OFFSETS}) o ON o.test_id = m.test_id""",
+)

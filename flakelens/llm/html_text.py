@@ -28,9 +28,9 @@ import random
 import re
 import sys
 import zlib
-from collections.abc import Iterator
-from dataclasses import dataclass
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +41,7 @@ from flakelens.llm.common import small_batches, stored
 
 SAMPLE_PAGES = 300  # bound of the training sample
 SAMPLE_CHARS, SAMPLE_BLOCKS, BLOCK_CHARS = 100_000, 200, 2_000  # bounds of what one page gives to train
+PATH_TOKENS = 500  # and of the innermost tokens of a block's path there
 LAID_OUT = 1200
 PATHS, WORDS, NUMBERS, HIDDEN = 4096, 128, 5, 12
 INPUTS = PATHS + WORDS + NUMBERS
@@ -96,11 +97,44 @@ def _element(tag: str, attributes: str) -> tuple[str, ...]:
     return tuple(sorted(tokens))
 
 
-@dataclass
+class Node:
+    """An open element: what its path adds to that of the element around it."""
+
+    __slots__ = ("parent", "tokens", "leaf", "inside", "outside")
+
+    def __init__(self, parent: Node | None, tokens: tuple[str, ...], leaf: str):
+        self.parent, self.tokens, self.leaf = parent, tokens, leaf
+        self.inside = bool(parent and parent.inside) or not _INSIDE.isdisjoint(tokens)
+        self.outside = bool(parent and parent.outside) or not _OUTSIDE.isdisjoint(tokens)
+
+
 class Block:
-    text: str
-    path: tuple[str, ...]
-    linked: float = 0.0
+    """A text block with its path: given as tokens, or by the innermost element around it."""
+
+    __slots__ = ("text", "linked", "node", "_path")
+
+    def __init__(self, text: str, path: tuple[str, ...] | None = None, linked: float = 0.0, node: Node | None = None):
+        self.text, self.linked, self.node, self._path = text, linked, node, path
+
+    @property
+    def path(self) -> tuple[str, ...]:
+        """All tokens, from the inside outwards."""
+        if self._path is not None:
+            return self._path
+        return tuple(self.tokens())
+
+    def tokens(self) -> Iterator[str]:
+        yield f"leaf:{self.node.leaf}"
+        node = self.node
+        while node is not None:
+            yield from node.tokens
+            node = node.parent
+
+    def sides(self) -> tuple[bool, bool]:
+        """Does the path name an article, and something around one?"""
+        if self.node is not None:
+            return self.node.inside, self.node.outside
+        return not _INSIDE.isdisjoint(self._path), not _OUTSIDE.isdisjoint(self._path)
 
     def features(self) -> tuple[list[int], list[float]]:
         words = self.text.split()
@@ -129,10 +163,13 @@ def blocks_of(page: str | None) -> list[Block]:
     """The text blocks of a page in order."""
     page = page or ""
     out: list[Block] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    root = Node(None, (), "")
+    stack: list[tuple[str, Node]] = []
+    places: dict[str, list[int]] = {}  # where in the stack each tag is open
+    held: set[str] = set()  # tokens of all open elements
     texts: list[str] = []
     links = [0, 0]
-    path: tuple[str, ...] = ()
+    node = root
     opened = [0]  # open links
     raw_ends: dict[int, int] | None = None
 
@@ -140,26 +177,41 @@ def blocks_of(page: str | None) -> list[Block]:
         if texts:
             text = " ".join("".join(texts).split())
             if text:
-                out.append(Block(text, path, links[0] / max(links[1], 1)))
+                out.append(Block(text, None, links[0] / max(links[1], 1), node))
             texts.clear()
             links[:] = [0, 0]
 
     def say(raw: str) -> None:
-        nonlocal path
+        nonlocal node
         text = htmllib.unescape(raw)
         if not texts:
             if not text.strip():
                 return
-            leaf = next((t for t, _ in reversed(stack) if t in BLOCK), "")
-            path = tuple({f"leaf:{leaf}", *(x for _, tokens in stack for x in tokens)})
+            node = stack[-1][1] if stack else root
         texts.append(text)
         links[1] += len(text)
         links[0] += len(text) if opened[0] else 0
 
+    def push(tag: str, attributes: str) -> None:
+        around = stack[-1][1] if stack else root
+        new = tuple(t for t in _element(tag, attributes) if t not in held)
+        held.update(new)
+        places.setdefault(tag, []).append(len(stack))
+        stack.append((tag, Node(around, new, tag if tag in BLOCK else around.leaf)))
+        opened[0] += tag == "a"
+
     def pop_to(i: int) -> None:
-        opened[0] -= sum(t == "a" for t, _ in stack[i:])
+        for tag, gone in stack[i:]:
+            opened[0] -= tag == "a"
+            held.difference_update(gone.tokens)
+        for tag, _ in reversed(stack[i:]):
+            places[tag].pop()
         del stack[i:]
 
+    def nearest(tags: Iterable[str]) -> int | None:
+        """Place of the innermost open element of these tags."""
+        return max((places[t][-1] for t in tags if places.get(t)), default=None)
+
     at = 0
     while True:
         m = _TAG.search(page, at)
@@ -175,7 +227,7 @@ def blocks_of(page: str | None) -> list[Block]:
         if tag in BLOCK:
             flush()
         if closing:
-            i = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None)
+            i = nearest((tag,))
             if i is not None:
                 pop_to(i)
             continue
@@ -196,16 +248,15 @@ def blocks_of(page: str | None) -> list[Block]:
         if tag == "head":  # holds no text but that of other elements, and ends where it likes
             continue
         if tag in CLOSES_P:
-            i = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == "p" or stack[i][0] in CLOSES_P), None)
+            i = nearest(CLOSES_P)  # these include the paragraph itself
             if i is not None and stack[i][0] == "p":
                 pop_to(i)
         if tag in SIBLINGS:
-            i = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] in SIBLINGS[tag] | {"ul", "ol", "dl", "table", "select"}), None)
+            i = nearest(SIBLINGS[tag] | {"ul", "ol", "dl", "table", "select"})
             if i is not None and stack[i][0] in SIBLINGS[tag]:
                 pop_to(i)
         if tag not in VOID:
-            stack.append((tag, _element(tag, attributes)))
-            opened[0] += tag == "a"
+            push(tag, attributes)
     if at < len(page):
         say(page[at:])
     flush()
@@ -225,7 +276,7 @@ class Labeller:
         for gates in (h, g + h):
             self.p["W"][PATHS + WORDS, gates : gates + h] += 1.0  # open forget gates
 
-    def _pass(self, x: np.ndarray, u: np.ndarray, mask: np.ndarray):
+    def _pass(self, x: np.ndarray, u: np.ndarray, mask: np.ndarray, keep: bool = True):
         b, t, _ = x.shape
         h, c = np.zeros((b, HIDDEN), np.float32), np.zeros((b, HIDDEN), np.float32)
         hs, trace = np.zeros((b, t, HIDDEN), np.float32), []
@@ -237,7 +288,8 @@ class Labeller:
             m = mask[:, k : k + 1]
             new = f * c + i * g
             q = np.tanh(new)
-            trace.append((h, c, i, f, o, g, q, m))
+            if keep:
+                trace.append((h, c, i, f, o, g, q, m))
             c = m * new + (1 - m) * c
             h = m * (o * q) + (1 - m) * h
             hs[:, k] = h
@@ -308,6 +360,45 @@ class Labeller:
                     self.p[k] = (self.p[k] - speed * one[k] / (np.sqrt(two[k]) + 1e-8)).astype(np.float32)
         return self
 
+    def read(self, pages: list[list[Block]]) -> np.ndarray:
+        """The outputs of ``forward``, in memory that follows the number of blocks.
+
+        A path's share of the inputs is that of the path around it and of the tokens it
+        adds, so paths are never laid out whole; words are laid out some blocks at a time.
+        """
+        w, g = self.p["W"], 4 * HIDDEN
+        shares: dict[int, np.ndarray] = {}
+
+        def added(tokens: Iterable[str]) -> np.ndarray:
+            return w[[path_bucket(t) for t in tokens]].sum(axis=0, dtype=np.float32) * np.float32(0.5)
+
+        def share_of(node: Node) -> np.ndarray:
+            chain = []
+            while node is not None and id(node) not in shares:
+                chain.append(node)
+                node = node.parent
+            for at in reversed(chain):
+                own = added(at.tokens)
+                shares[id(at)] = own if at.parent is None else shares[id(at.parent)] + own
+            return shares[id(chain[0])] if chain else shares[id(node)]
+
+        t = max(len(p) for p in pages)
+        z = np.zeros((len(pages), t, w.shape[1]), np.float32)
+        mask = np.zeros((len(pages), t), np.float32)
+        for i, page in enumerate(pages):
+            mask[i, : len(page)] = 1
+            for a in range(0, len(page), CELLS):
+                some = page[a : a + CELLS]
+                z[i, a : a + len(some)] = others(some) @ w[PATHS:]
+            for j, block in enumerate(page):
+                if block.node is None:
+                    z[i, j] += added(block.path)
+                else:
+                    z[i, j] += share_of(block.node) + added((f"leaf:{block.node.leaf}",))
+        f = self._pass(z[:, :, :g], self.p["Uf"], mask, keep=False)[0]
+        r = self._pass(z[:, ::-1, g : 2 * g], self.p["Ub"], mask[:, ::-1], keep=False)[0]
+        return np.concatenate([f, r[:, ::-1]], axis=2) @ self.p["V"] + z[:, :, 2 * g]
+
     def labels(self, pages: list[list[Block]]) -> list[np.ndarray]:
         """For each page, which blocks are main; pages of similar length go together."""
         out: list[np.ndarray] = [np.zeros(0, bool)] * len(pages)
@@ -317,12 +408,22 @@ class Labeller:
             while order and (not some or max(longest, len(pages[order[0]])) * (len(some) + 1) <= CELLS):
                 some.append(order.pop(0))
                 longest = len(pages[some[-1]])
-            z, _ = self.forward(*inputs([pages[i] for i in some]))
+            z = self.read([pages[i] for i in some])
             for k, i in enumerate(some):
                 out[i] = z[k, : len(pages[i])] > 0
         return out
 
 
+def others(blocks: list[Block]) -> np.ndarray:
+    """Word shares and numbers of blocks, a row each: the inputs beside the path."""
+    x = np.zeros((len(blocks), WORDS + NUMBERS), np.float32)
+    for row, block in zip(x, blocks, strict=True):
+        words, numbers = block.features()
+        row[:WORDS] = np.minimum(np.bincount(words, minlength=WORDS) / np.sqrt(max(len(words), 1)), 3.0)
+        row[WORDS:] = numbers
+    return x
+
+
 def inputs(pages: list[list[Block]], drop: random.Random | None = None):
     """Arrays for ``Labeller.forward``; in training, ``drop`` hides some path tokens."""
     t = max(len(p) for p in pages)
@@ -386,10 +487,10 @@ _OUTSIDE = frozenset(
 
 def weak_labels(blocks: list[Block]) -> list[int] | None:
     """Labels where the markup tells article and surroundings apart, else None."""
-    inside = [bool(_INSIDE & set(b.path)) for b in blocks]
-    if not any(inside) or all(inside):
+    sides = [b.sides() for b in blocks]
+    if not any(i for i, _ in sides) or all(i for i, _ in sides):
         return None
-    return [int(i and not _OUTSIDE & set(b.path)) for i, b in zip(inside, blocks, strict=True)]
+    return [int(inside and not outside) for inside, outside in sides]
 
 
 def lay_out(rnd: random.Random, paragraphs: list[str], shorts: list[str],
@@ -482,7 +583,8 @@ def sample_of(page: str | None) -> tuple[list[Block], list[int] | None]:
     if chars > SAMPLE_CHARS:
         n = max(1, n * SAMPLE_CHARS // chars)
     keep = range(len(blocks)) if n == len(blocks) else [i * len(blocks) // n for i in range(n)]
-    return [Block(texts[i], blocks[i].path, blocks[i].linked) for i in keep], labels and [labels[i] for i in keep]
+    paths = [tuple(islice(blocks[i].tokens(), PATH_TOKENS)) for i in keep]
+    return [Block(texts[i], p, blocks[i].linked) for i, p in zip(keep, paths, strict=True)], labels and [labels[i] for i in keep]
 
 
 def examples(pages: list[tuple[list[Block], list[int] | None]], seed: int = 3,

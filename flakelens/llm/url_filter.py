@@ -1,7 +1,9 @@
 """URL rules by hashed host-suffix and path-prefix expressions.
 
-A URL is expanded into every suffix of its host joined with the prefixes of its
-path; of these only lengths that some rule has are made.  Expressions meet rules
+A URL is expanded into the suffixes of its host joined with the prefixes of its
+path; of these only those are made that have as many labels as the host, and are as long
+as the path, of some rule.  So a URL gives no more expressions than the rules have such
+pairs, however long it is.  Expressions meet rules
 by an equi join on the first hex digits of their digest, full digests confirm the
 match, and the longest rule decides.
 
@@ -32,17 +34,21 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
     return ascii_lower(host), path
 
 
-def expressions(host: Column, path: Column, lengths: Sequence[int]) -> Column:
-    """Host suffixes x path prefixes of the given lengths."""
-    labels = F.split(host, r"\.")
-    sizes = F.filter(F.array(*[F.lit(n) for n in lengths]).cast("array<int>"), lambda n: n <= F.length(path))
-    suffixes = F.transform(
-        F.sequence(F.lit(1), F.size(labels)),
-        lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."),
+def label_count(host: Column) -> Column:
+    return F.size(F.split(host, r"\."))
+
+
+def expressions(host: Column, path: Column, shapes: Sequence[tuple[int, int]]) -> Column:
+    """Host suffixes of so many labels with path prefixes of such a length, for each shape."""
+    pairs = F.array(*[F.struct(F.lit(k).alias("labels"), F.lit(n).alias("length")) for k, n in shapes])
+    fitting = F.filter(
+        pairs.cast("array<struct<labels:int,length:int>>"),
+        lambda s: (s["labels"] <= label_count(host)) & (s["length"] <= F.length(path)),
+    )
+    made = F.transform(
+        fitting,
+        lambda s: F.concat(F.call_function("substring_index", host, F.lit("."), -s["labels"]), F.substr(path, F.lit(1), s["length"])),
     )
-    made = F.flatten(F.transform(
-        suffixes, lambda s: F.transform(sizes, lambda n: F.concat(s, F.substr(path, F.lit(1), n)))
-    ))
     return F.when(host != "", made)
 
 
@@ -51,7 +57,8 @@ def hashed_rules(rules: DataFrame) -> DataFrame:
     rule = F.concat("host", "path")
     return (
         rules.filter("host <> '' and path is not null")
-        .groupBy(rule.alias("rule"), F.length("host").alias("host_length"), F.length("path").alias("path_length"))
+        .groupBy(rule.alias("rule"), F.length("host").alias("host_length"), F.length("path").alias("path_length"),
+                 label_count(F.col("host")).alias("labels"))
         .agg(F.max("action").alias("action"))
         .withColumn("digest", F.sha2("rule", 256))
         .withColumn("short", F.substring("digest", 1, PREFIX_DIGITS))
@@ -62,8 +69,8 @@ def judge_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_
                default: str = "allow") -> DataFrame:
     """Per page: id, host, path, the rule that decides (or null) and the verdict."""
     by_digest = stored(hashed_rules(rules), "rules")
-    # at most as many lengths as the longest rule has characters
-    lengths = sorted(r[0] for r in by_digest.select("path_length").distinct().collect())
+    # at most as many as the longest rule has characters, times its labels
+    shapes = sorted((r.labels, r.path_length) for r in by_digest.select("labels", "path_length").distinct().collect())
     host, path = host_and_path(F.col(url_col))
     row, = fresh(pages, "_row")
     parsed = pages.select(
@@ -71,7 +78,7 @@ def judge_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_
         F.monotonically_increasing_id().alias(row),
     )
     expanded = parsed.withColumn(
-        "expression", F.explode_outer(expressions(F.col("host"), F.col("path"), lengths))
+        "expression", F.explode_outer(expressions(F.col("host"), F.col("path"), shapes))
     ).withColumn("full", F.sha2("expression", 256))
     met = expanded.withColumn("short", F.substring("full", 1, PREFIX_DIGITS)).join(
         small(by_digest), "short", "left"

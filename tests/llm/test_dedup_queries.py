@@ -204,3 +204,17 @@ def test_repeated_windows_of_given_documents(spark):
 ])
 def test_empty_tables(spark, make):
     assert make(frame(spark, [(1, "a")]).filter("doc_id = 2")).count() == 0
+
+
+def test_urls_with_many_labels_take_no_longer(spark):
+    import time
+
+    rules = spark.createDataFrame(queries.RULES + [("a.b.c.net", "/", "allow")], "host string, path string, action string")
+    rows = [(1, "http://" + "l." * 20_000 + "net/en/x"), (2, "http://x.a.b.c.net/"), (3, "http://" + "." * 20_000 + "example.com/de/"),
+            (4, "http://a.b.c.net." + "/" * 50_000), (5, "http://net/" + "e" * 100_000)]
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    url_filter.judge_urls(pages.limit(1), rules).collect()
+    start = time.perf_counter()
+    got = {r.page_id: (r.rule, r.verdict) for r in url_filter.judge_urls(pages, rules).collect()}
+    assert time.perf_counter() - start < 15
+    assert got == {1: ("net/", "block"), 2: ("a.b.c.net/", "allow"), 3: ("example.com/de/", "block"), 4: (None, "allow"), 5: ("net/", "block")}

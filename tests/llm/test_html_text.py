@@ -164,3 +164,37 @@ def test_no_page_to_train_on(spark):
     empty = spark.createDataFrame([(None,), ("<script>x</script>",)], "html string")
     page = f"<html><body>{AROUND[1]}<article><h1>A title</h1>{P}</article>{AROUND[-1]}"
     assert main(ht.train(empty), page) == " ".join(["A title", *PROSE])
+
+
+def test_open_elements_and_many_paths_take_linear_time_and_bounded_memory():
+    """Twenty thousand open elements; a hundred thousand blocks with a path each."""
+    import time
+    import tracemalloc
+
+    model = ht.Labeller()
+    deep = "".join(f'<div id="d{i}">t{i} ' for i in range(20_000)) + "</span>" * 20_000
+    start = time.perf_counter()
+    blocks = ht.blocks_of(deep)
+    assert len(blocks) == 20_000 and len(blocks[99].path) == 1 + 1 + 100
+    assert ht.weak_labels(blocks) is None and len(ht.sample_of(deep)[0]) == ht.SAMPLE_BLOCKS
+    assert time.perf_counter() - start < 6  # under two seconds on an idle core
+    wide = "".join(f'<div id="c{i}">t{i}</div>' for i in range(100_000))
+    tracemalloc.start()
+    pages = [ht.blocks_of(wide)]
+    assert len(model.labels(pages)[0]) == 100_000
+    assert tracemalloc.get_traced_memory()[1] < 500e6
+    tracemalloc.stop()
+
+
+def test_reading_by_elements_equals_reading_whole_paths(spark):
+    rows = spark.read.parquet(f"{SF}/pages.parquet").select("html").collect()
+    pages = [b for r in rows if (b := ht.blocks_of(r.html))] + [ht.blocks_of("x<p>a<div class='a b'><p>c")]
+    model = ht.Labeller()
+    model.p["W"] += np.random.default_rng(2).standard_normal(model.p["W"].shape).astype(np.float32) * 0.1
+    z, _ = model.forward(*ht.inputs(pages))
+    got = model.read(pages)
+    for i, page in enumerate(pages):
+        assert np.abs(got[i, : len(page)] - z[i, : len(page)]).max() < 1e-3
+        given = [ht.Block(b.text, b.path, b.linked) for b in page]
+        assert np.abs(model.read([given])[0] - got[i, : len(page)]).max() < 1e-3
+        assert [b.sides() for b in page] == [b.sides() for b in given]

@@ -1,11 +1,14 @@
 """Exact deduplication by two passes over a Bloom filter of repeated hashes.
 
-Pass one reads every text once and keeps its digest.  The hash of a digest
-addresses a slot: a 64-bit word of the filter and two bits in it.  Slots that
-occur more than once are counted with map-side combining, and only their bits
-enter the filter, so its size follows the repeated rows, not all rows.  Pass two
-probes every row.  Rows whose bits are not all set are unique and pass straight
-through; only the others are shuffled and compared by digest.
+Pass one reads every text once and keeps its digest.  Hashes of digests are counted
+with map-side combining (one record for each different hash of a task is shuffled), and
+those that occur more than once fill the filter: words of 64 bits, two bits for each
+hash.  Pass two probes every row.  Rows whose bits are not all set are unique and pass
+straight through; only the others are shuffled and compared by digest.
+
+The filter follows the repeated hashes and never has more than ``MAX_WORDS`` words, so
+it is always broadcast.  Beyond some eight million repeated hashes more unique rows pass
+it and are shuffled too, with their digests, never with their texts.
 
 Defined cases: null texts equal empty ones; rows with a null id are the smallest;
 of rows that repeat both id and text one stays; an empty table gives an empty
@@ -14,14 +17,13 @@ table; other columns of the input never matter.
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from flakelens.llm.common import ascii_lower, fresh, small, stored
+from flakelens.llm.common import ascii_lower, fresh, stored
 
-SLOT_BITS = 12
+MAX_WORDS = 1 << 21  # 32 MB as rows
+KEYS_PER_WORD = 4
 
 
 def digest(text: Column) -> Column:
@@ -29,40 +31,35 @@ def digest(text: Column) -> Column:
     return F.sha2(ascii_lower(F.coalesce(text, F.lit(""))), 256)
 
 
-def _mask(slot: str) -> Column:
-    return F.expr(
-        f"shiftleft(1L, cast({slot} & 63 as int)) | shiftleft(1L, cast((shiftright({slot}, 6)) & 63 as int))"
-    )
-
+class Filter:
+    """Bloom filter of a stored table's column ``hash``, as a table of words."""
 
-def filter_words(rows: int) -> int:
-    """Words of the filter for so many rows: a power of two, 32 bits a row at least."""
-    return 1 << max(10, math.ceil(math.log2(max(rows, 1) / 2 + 1)))
+    def __init__(self, keys: DataFrame, max_words: int = MAX_WORDS):
+        rows, self.words = keys.count(), 64
+        while self.words < max_words and self.words * KEYS_PER_WORD < rows:
+            self.words *= 2
+        word, mask = self._place(F.col("hash"))
+        self.table = stored(keys.groupBy(word.alias("word")).agg(F.bit_or(mask).alias("bits")), "bloom")
 
+    def _place(self, h: Column) -> tuple[Column, Column]:
+        one = F.lit(1).cast("long")
+        low = h.bitwiseAND(F.lit(63)).cast("int")
+        high = F.shiftright(h, 6).bitwiseAND(F.lit(63)).cast("int")
+        mask = F.call_function("shiftleft", one, low).bitwiseOR(F.call_function("shiftleft", one, high))
+        return F.shiftrightunsigned(h, 65 - self.words.bit_length()), mask
 
-def possibly_repeated(hashes: DataFrame, rows: int) -> DataFrame:
-    """Add ``maybe``: false only where no other row has the same ``hash``."""
-    slots = hashes.withColumn(
-        "slot", F.col("hash").bitwiseAND(F.lit(filter_words(rows) * (1 << SLOT_BITS) - 1))
-    )
-    bits = stored(
-        slots.groupBy("slot").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-        .groupBy(F.shiftright("slot", SLOT_BITS).alias("word"))
-        .agg(F.bit_or(_mask("slot")).alias("bits")),
-        "bloom",
-    )
-    probed = slots.withColumns(
-        {"word": F.shiftright("slot", SLOT_BITS), "mask": _mask("slot")}
-    ).join(small(bits), "word", "left")
-    maybe = F.coalesce(F.col("bits").bitwiseAND(F.col("mask")) == F.col("mask"), F.lit(False))
-    return probed.withColumn("maybe", maybe).drop("slot", "word", "mask", "bits")
+    def probe(self, rows: DataFrame, h: Column, maybe: str) -> DataFrame:
+        """Add ``maybe``: false only where no key has this hash.  Nothing is shuffled."""
+        word, mask = self._place(h)
+        w, m, t, b = fresh(rows, "_word", "_mask", "_at", "_bits")
+        table = F.broadcast(self.table.select(F.col("word").alias(t), F.col("bits").alias(b)))
+        met = rows.withColumns({w: word, m: mask}).join(table, F.col(w) == F.col(t), "left")
+        found = F.coalesce(F.col(b).bitwiseAND(F.col(m)) == F.col(m), F.lit(False))
+        return met.withColumn(maybe, found).drop(w, m, t, b)
 
 
-def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: id, keep_id, group_size, kept, text_sha256.
-
-    Of equal texts the row with the largest id is kept.
-    """
+def _judged(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """Rows that are surely unique, and the others with their groups."""
     digests = stored(
         docs.select(
             F.col(id_col).alias("id"), digest(F.col(text_col)).alias("text_sha256"),
@@ -70,45 +67,54 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         ).withColumn("hash", F.xxhash64("text_sha256")),
         "digests",
     )
-    probed = possibly_repeated(digests, digests.count())
-    candidates = probed.filter("maybe")
-    groups = stored(
+    repeated = stored(
+        digests.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("hash"), "repeated"
+    )
+    probed = Filter(repeated).probe(digests, F.col("hash"), "maybe")
+    candidates = stored(probed.filter("maybe").drop("maybe", "hash"), "candidates")
+    groups = (
         candidates.groupBy("text_sha256")
         .agg(F.count(F.lit(1)).alias("group_size"), F.max(F.struct("id", "row")).alias("last"))
-        .filter("group_size > 1"),
-        "copies",
     )
-    copies = candidates.join(small(groups), "text_sha256", "left").select(
-        "id",
-        F.when(F.col("last").isNull(), F.col("id")).otherwise(F.col("last.id")).alias("keep_id"),
-        F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
-        F.coalesce(F.col("last.row") == F.col("row"), F.lit(True)).alias("kept"),
-        "text_sha256",
+    copies = candidates.join(groups, "text_sha256").select(
+        "id", F.col("last.id").alias("keep_id"), "group_size", (F.col("last.row") == F.col("row")).alias("kept"), "text_sha256",
     )
     single = probed.filter("not maybe").select(
         "id", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"),
         F.lit(True).alias("kept"), "text_sha256",
     )
+    return single, copies
+
+
+def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per document: id, keep_id, group_size, kept, text_sha256.
+
+    Of equal texts the row with the largest id is kept.
+    """
+    single, copies = _judged(docs, id_col, text_col)
     return single.unionByName(copies).withColumnRenamed("id", id_col)
 
 
 def without_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents with all their columns, one row of each group of equal texts."""
+    """The documents with all their columns, one row of each group of equal texts.
+
+    Rows that go are marked by id and digest.  A second filter lets all others pass
+    where they are; only rows it holds meet the marks.
+    """
+    _, copies = _judged(docs, id_col, text_col)
     marks = stored(
-        exact_duplicates(docs, id_col, text_col)
-        .groupBy(F.col(id_col).alias("mark_id"), F.col("text_sha256").alias("mark_sha"))
+        copies.groupBy(F.col("id").alias("mark_id"), F.col("text_sha256").alias("mark_sha"))
         .agg(F.count_if("kept").alias("stay"), F.count(F.lit(1)).alias("rows"))
-        .filter("rows > stay"),
+        .filter("rows > stay").withColumn("hash", F.xxhash64("mark_sha", "mark_id")),
         "marks",
     )
-    sha, = fresh(docs, "_sha")
+    sha, maybe = fresh(docs, "_sha", "_maybe")
     hashed = docs.withColumn(sha, digest(F.col(text_col)))
-    condition = hashed[id_col].eqNullSafe(F.col("mark_id")) & (hashed[sha] == F.col("mark_sha"))
-    out = hashed.join(small(marks.select("mark_id", "mark_sha")), condition, "left_anti")
-    again = marks.filter("stay > 0")
+    probed = Filter(marks.select("hash")).probe(hashed, F.xxhash64(sha, id_col), maybe)
+    surely, unsure = probed.filter(~F.col(maybe)).drop(maybe), probed.filter(maybe).drop(maybe)
+    condition = unsure[id_col].eqNullSafe(F.col("mark_id")) & (unsure[sha] == F.col("mark_sha"))
+    out = surely.unionByName(unsure.join(marks.select("mark_id", "mark_sha"), condition, "left_anti"))
+    again = marks.filter("stay > 0").select("mark_id", "mark_sha")
     if not again.isEmpty():  # rows that repeat both id and text: one of each stays
-        out = out.unionByName(
-            hashed.join(small(again.select("mark_id", "mark_sha")), condition, "left_semi")
-            .dropDuplicates([id_col, sha])
-        )
+        out = out.unionByName(unsure.join(again, condition, "left_semi").dropDuplicates([id_col, sha]))
     return out.drop(sha)

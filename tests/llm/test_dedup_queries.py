@@ -79,9 +79,31 @@ def test_without_copies_keeps_columns_and_one_row_of_each_text(spark, rows):
 
 def test_filter_passes_unique_rows(spark):
     docs = spark.range(20_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("t"), (F.col("id") % 19_990).cast("string")).alias("text"))
-    hashes = docs.select(F.xxhash64("text").alias("hash"), "text")
-    maybe = exact_dedup.possibly_repeated(hashes, 20_000).filter("maybe").count()
-    assert 20 <= maybe <= 40
+    hashes = docs.select(F.xxhash64("text").alias("hash"), "text").cache()
+    repeated = hashes.groupBy("hash").count().filter("count > 1").select("hash")
+    found = exact_dedup.Filter(repeated).probe(hashes, F.col("hash"), "maybe")
+    assert 20 <= found.filter("maybe").count() <= 60
+    single, copies = exact_dedup._judged(docs, "doc_id", "text")
+    assert copies.count() <= 60 and single.count() + copies.count() == 20_000
+    # a row that the filter rules out is in no exchange: the plan of these rows has broadcasts only
+    plan = single._jdf.queryExecution().toString()
+    assert "Exchange hashpartitioning" not in plan and "BroadcastHashJoin" in plan
+    hashes.unpersist()
+
+
+def test_a_full_filter_loses_nothing(spark, rows, monkeypatch):
+    monkeypatch.setattr(exact_dedup.Filter, "__init__", _tiny)
+    got = exact_dedup.exact_duplicates(frame(spark, rows))
+    want = brute.exact([(-1 if i is None else i, t) for i, t in rows])
+    assert Counter((r.text_sha256, r.group_size) for r in got.collect()) == Counter((s, n) for _, _, n, _, s in want)
+    kept = exact_dedup.without_copies(frame(spark, rows))
+    assert kept.count() == len({s for *_, s in want})
+
+
+def _tiny(self, keys, max_words=64, made=exact_dedup.Filter.__init__):
+    """A filter of 64 words that holds many other keys too."""
+    noise = keys.sparkSession.range(5000).select(F.xxhash64("id").alias("hash"))
+    made(self, keys.unionByName(noise), 64)
 
 
 def test_sharding(spark, rows):

@@ -6,7 +6,7 @@ those that occur more than once fill the filter: words of 64 bits, two bits for
 hash.  Pass two probes every row.  Rows whose bits are not all set are unique and pass
 straight through; only the others are shuffled and compared by digest.
 
-The filter follows the repeated hashes and never has more than ``MAX_WORDS`` words, so
+The filter follows the repeated hashes and never has more than ``bits.MAX_WORDS`` words, so
 it is always broadcast.  Beyond some eight million repeated hashes more unique rows pass
 it and are shuffled too, with their digests, never with their texts.
 
@@ -20,44 +20,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from flakelens.llm.bits import Filter
 from flakelens.llm.common import ascii_lower, fresh, stored
 
-MAX_WORDS = 1 << 21  # 32 MB as rows
-KEYS_PER_WORD = 4
-
 
 def digest(text: Column) -> Column:
     """SHA-256 of the text in UTF-8 with A-Z lower-cased; null counts as empty."""
     return F.sha2(ascii_lower(F.coalesce(text, F.lit(""))), 256)
 
 
-class Filter:
-    """Bloom filter of a stored table's column ``hash``, as a table of words."""
-
-    def __init__(self, keys: DataFrame, max_words: int = MAX_WORDS):
-        rows, self.words = keys.count(), 64
-        while self.words < max_words and self.words * KEYS_PER_WORD < rows:
-            self.words *= 2
-        word, mask = self._place(F.col("hash"))
-        self.table = stored(keys.groupBy(word.alias("word")).agg(F.bit_or(mask).alias("bits")), "bloom")
-
-    def _place(self, h: Column) -> tuple[Column, Column]:
-        one = F.lit(1).cast("long")
-        low = h.bitwiseAND(F.lit(63)).cast("int")
-        high = F.shiftright(h, 6).bitwiseAND(F.lit(63)).cast("int")
-        mask = F.call_function("shiftleft", one, low).bitwiseOR(F.call_function("shiftleft", one, high))
-        return F.shiftrightunsigned(h, 65 - self.words.bit_length()), mask
-
-    def probe(self, rows: DataFrame, h: Column, maybe: str) -> DataFrame:
-        """Add ``maybe``: false only where no key has this hash.  Nothing is shuffled."""
-        word, mask = self._place(h)
-        w, m, t, b = fresh(rows, "_word", "_mask", "_at", "_bits")
-        table = F.broadcast(self.table.select(F.col("word").alias(t), F.col("bits").alias(b)))
-        met = rows.withColumns({w: word, m: mask}).join(table, F.col(w) == F.col(t), "left")
-        found = F.coalesce(F.col(b).bitwiseAND(F.col(m)) == F.col(m), F.lit(False))
-        return met.withColumn(maybe, found).drop(w, m, t, b)
-
-
 def _judged(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
     """Rows that are surely unique, and the others with their groups."""
     digests = stored(

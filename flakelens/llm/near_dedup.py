@@ -34,6 +34,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
+from flakelens.llm.bits import Filter, bit_table, maybe_in
 from flakelens.llm.common import fresh, small, small_batches, stored
 from flakelens.llm.words import SPACES, U, Words, inside, mix, sequence_hashes, slices
 
@@ -120,9 +121,12 @@ def _signatures(k: int):
     return run
 
 
-def _sets(k: int):
+def _sets(k: int, wanted):
+    """Sets of the rows whose id may be wanted, by the bit table ``wanted``."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            some = maybe_in(wanted.value, batch.column("hash").to_numpy(zero_copy_only=False).view(U))
+            batch = batch.filter(pa.array(some))
             for words in slices(batch.column("text"), SPACES, True):
                 one, two, sets = [], [], []
                 for s in shingle_sets(words, k):
@@ -194,9 +198,12 @@ class _Confirmer:
         if self.sets is not None:
             wanted = wanted.join(self.sets.select("cid"), "cid", "left_anti")
         wanted = stored(wanted.join(self.classes.select("cid", "doc", "one", "two"), "cid"), "wanted")
-        keys = small(wanted.select("doc").distinct())
-        rows = self.texts.join(keys, self.texts["id"].eqNullSafe(keys["doc"]), "left_semi")
-        made = rows.mapInArrow(_sets(self.k), "id long, one long, two long, hashes array<long>")
+        # texts stay where they are: a bit table tells which may be wanted, and only sets are joined
+        keys = stored(wanted.select(F.xxhash64("doc").alias("hash")).distinct(), "wanted_keys")
+        table = self.texts.sparkSession.sparkContext.broadcast(bit_table(keys, "hash"))
+        made = self.texts.withColumn("hash", F.xxhash64("id")).mapInArrow(
+            _sets(self.k, table), "id long, one long, two long, hashes array<long>"
+        )
         made = made.join(
             wanted.withColumnRenamed("one", "one_").withColumnRenamed("two", "two_"),
             F.col("id").eqNullSafe(F.col("doc")) & (F.col("one") == F.col("one_")) & (F.col("two") == F.col("two_")),
@@ -251,9 +258,15 @@ def distinct_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     again = rows.groupBy("id").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1 or id is null")
     one, two, drop = fresh(docs, "_one", "_two", "_drop")
     if again.isEmpty():
-        gone = rows.filter("id <> component_id").select(F.col("id").alias(drop))
-        gone = small(stored(gone, "gone"))
-        return docs.join(gone, docs[id_col] == gone[drop], "left_anti")
+        gone = stored(
+            rows.filter("id <> component_id").select(F.col("id").alias(drop), F.xxhash64("id").alias("hash")), "gone"
+        )
+        # most documents pass the filter where they are; the others meet the list of those that go
+        maybe, = fresh(docs, "_maybe")
+        probed = Filter(gone.select("hash")).probe(docs, F.xxhash64(F.col(id_col).cast("long")), maybe)
+        stays = probed.filter(~F.col(maybe)).drop(maybe)
+        unsure = probed.filter(maybe).drop(maybe)
+        return stays.unionByName(unsure.join(gone.select(drop), unsure[id_col] == gone[drop], "left_anti"))
     stays = stored(
         rows.filter("n > 0").groupBy("component")
         .agg(F.min(F.struct(F.col("id").isNull(), "id", "one", "two")).alias("s"))

@@ -36,8 +36,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flakelens.llm.bits import bit_table, maybe_in
-from flakelens.llm.common import BROADCAST_ROWS, small, small_batches, stored
+from flakelens.llm.bits import Filter, bit_table, maybe_in
+from flakelens.llm.common import small, small_batches, stored
 from flakelens.llm.words import _STEP, SPACES, U, Words, inside, rolling, sequence_hashes, slices, spans
 
 WINDOW = 20
@@ -241,20 +241,22 @@ def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     return _finish(texts.select("key", "id", "text"), cuts).withColumnRenamed("id", id_col)
 
 
+def _apart(texts: DataFrame, lists: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Texts that surely have no list, and the others; nothing is shuffled."""
+    keys = stored(lists.select(F.xxhash64("key").alias("hash")), "listed_keys")
+    probed = Filter(keys).probe(texts, F.xxhash64("key"), "listed")
+    return probed.filter("not listed").drop("listed"), probed.filter("listed").drop("listed")
+
+
 def _with_text(texts: DataFrame, lists: DataFrame) -> DataFrame:
     """Join lists with their texts; texts without a list stay where they are."""
-    if lists.count() <= BROADCAST_ROWS:
-        texts = texts.join(F.broadcast(lists.select("key")), "key", "left_semi")
-    first = texts.join(lists, "key")
-    return first
+    return _apart(texts, lists)[1].join(lists, "key")
 
 
 def _finish(texts: DataFrame, cuts: DataFrame) -> DataFrame:
     schema = "id long, n_words long, n_removed long, kept_sha256 string"
-    spans_type = cuts.schema["cuts"].dataType
-    if cuts.count() > BROADCAST_ROWS:
-        return texts.join(cuts, "key", "left").select("id", "text", "cuts").mapInArrow(_cut, schema)
-    marked = F.broadcast(cuts.select("key"))
-    whole = texts.join(marked, "key", "left_anti").select("id", "text", F.lit(None).cast(spans_type).alias("cuts"))
-    partly = _with_text(texts, cuts).select("id", "text", "cuts")
+    none = F.lit(None).cast(cuts.schema["cuts"].dataType)
+    whole, listed = _apart(texts, cuts)
+    whole = whole.select("id", "text", none.alias("cuts"))
+    partly = listed.join(cuts, "key", "left").select("id", "text", "cuts")
     return whole.mapInArrow(_cut, schema).unionByName(partly.mapInArrow(_cut, schema))

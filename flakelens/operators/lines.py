@@ -98,8 +98,21 @@ def build_results(df: DataFrame, keys: Sequence[str], content: str = "content",
     return df.select(*keys, result.alias("build_result"))
 
 
-def merge_update(base: DataFrame, update: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Left join where the update's non-null values win; new columns are added."""
+def merge_update(base: DataFrame, update: DataFrame, keys: Sequence[str],
+                 order: Sequence[str] | None = None) -> DataFrame:
+    """Left join where the update's non-null values win; new columns are added.
+
+    An update may hold several rows of a key if it has an ``order``: of each column the
+    last value that is not null wins, as if the rows were merged one after the other (a
+    mergeable aggregate, so a key with many rows is reduced before it is shuffled).
+    Without an order its keys must be distinct.
+    """
+    if order is not None:
+        values = [c for c in update.columns if c not in keys and c not in order]
+        at = F.struct(*order)
+        update = update.groupBy(*keys).agg(
+            *[F.max_by(c, F.when(F.col(c).isNotNull(), at)).alias(c) for c in values]
+        )
     shared = [c for c in update.columns if c in base.columns and c not in keys]
     renamed = update.select(
         *keys, *[F.col(c).alias(f"_new_{c}") for c in update.columns if c not in keys]

@@ -137,6 +137,19 @@ def merge_update(spark, sf):
     return lines.merge_update(base, labels, ["doc_id"])
 
 
+def merge_updates(spark, sf):
+    """Many updates of a customer, later ones over earlier ones, null values aside."""
+    base = d.table(spark, sf, "customer").select(
+        F.col("c_custkey").alias("user_id"), F.col("c_mktsegment").alias("event_type"), F.lit("none").alias("props")
+    )
+    kind = F.col("event_type")
+    updates = d.table(spark, sf, "events").select(
+        "user_id", "ts", "event_id", F.when(kind != "view", kind).alias("event_type"),
+        F.when(kind == "error", F.col("props")).alias("props"), F.when(F.col("value") > 20, F.col("value")).alias("value"),
+    )
+    return lines.merge_update(base, updates, ["user_id"], ["ts", "event_id"])
+
+
 def first_wins(spark, sf):
     return lines.first_wins(
         d.table(spark, sf, "events"), ["user_id", "event_type"], ["ts", "event_id"], "value", "props"
@@ -247,6 +260,15 @@ QUERIES = {
         """SELECT d.doc_id, d.source, coalesce(CASE WHEN toxic = 0 THEN quality END, -1) AS quality,
         CAST(n_chars % 2 AS INTEGER) AS odd, l.toxic FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id""",
     ),
+    "merge_updates": (
+        merge_updates,
+        """SELECT c_custkey AS user_id, coalesce(u.event_type, c_mktsegment) AS event_type, coalesce(u.props, 'none') AS props, u.value
+        FROM customer LEFT JOIN (SELECT user_id,
+          arg_max(event_type, (ts, event_id)) FILTER (WHERE event_type <> 'view') AS event_type,
+          arg_max(props, (ts, event_id)) FILTER (WHERE event_type = 'error' AND props IS NOT NULL) AS props,
+          arg_max(value, (ts, event_id)) FILTER (WHERE value > 20) AS value
+          FROM events GROUP BY user_id) u ON u.user_id = c_custkey""",
+    ),
     "first_wins": (
         first_wins,
         """SELECT user_id, event_type, value, props FROM events

@@ -383,3 +383,12 @@ def test_attempt_limit_reaches_the_map_side(spark):
 def test_test_ids_separate_keys(spark):
     df = spark.createDataFrame([("a", "bc"), ("ab", "c")], "x string, y string")
     assert df.select(fqn.test_id(F.col("x"), F.col("y"))).distinct().count() == 2
+
+
+def test_repeated_updates_of_a_key_are_merged_in_order(spark):
+    base = spark.createDataFrame([(1, "a", "x"), (2, "b", "y"), (3, None, "z")], "k int, v string, w string")
+    update = spark.createDataFrame(
+        [(1, 2, "late", None, 7), (1, 1, "early", "first", None), (1, 3, None, None, None), (3, 1, "new", None, 1), (9, 1, "none", "none", 1)],
+        "k int, n int, v string, w string, extra int")
+    got = {tuple(r) for r in lines.merge_update(base, update, ["k"], ["n"]).collect()}
+    assert got == {(1, "late", "first", 7), (2, "b", "y", None), (3, "new", "z", 1)}

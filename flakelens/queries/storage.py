@@ -228,6 +228,35 @@ def result_update(spark, sf):
     )
 
 
+def document_versions(spark, sf):
+    """Documents of two versions, read together without a schema.
+
+    The second version names the patch differently, counts attempts and logs them.
+    """
+    first = _results(spark, sf)
+    number = F.regexp_extract("test_fqn", r"\d+", 0).cast("int")
+    second = first.select(
+        "repo", "sha", "test_fqn", F.lit(2).alias("version"), F.col("final_patch.test_code").alias("patch"),
+        F.when(number % 3 == 0, F.array(
+            F.struct(F.lit(1).alias("iter"), F.concat(F.lit("p"), number).alias("prompt")),
+            F.struct(F.lit(2).alias("iter"), F.lit(None).cast("string").alias("prompt")),
+        )).alias("attempts"),
+        F.when(number % 2 == 0, number.cast("string")).alias("seconds"),
+    )
+    out = scratch_dir(spark, "versions")
+    sinks.write_results(first, out, "r1")
+    sinks.write_results(second, out, "r2")
+    doc = F.col("doc")
+    return sinks.read_documents(spark, out).select(
+        "run_id", "repo", sinks.field(doc, "$.test_fqn").alias("test_fqn"),
+        F.coalesce(sinks.field(doc, "$.version", as_type="int"), F.lit(1)).alias("version"),
+        sinks.field(doc, "$.patch", "$.final_patch.test_code").alias("patch"),
+        F.coalesce(F.size(sinks.field(doc, "$.attempts", as_type="array<variant>")), F.lit(0)).alias("n_attempts"),
+        sinks.field(doc, "$.attempts[0].prompt").alias("first_prompt"),
+        sinks.field(doc, "$.seconds", as_type="int").alias("seconds"),
+    )
+
+
 def patched_sink(spark, sf):
     docs = d.table(spark, sf, "documents").select(
         F.col("doc_id").alias("path"),
@@ -300,6 +329,14 @@ QUERIES = {
         SELECT 'r1' AS run_id, repo, sha, test_fqn, status AS test_code, 'NOD,' || module AS imports, took AS time,
           '2024-01-01 00:00:00' AS started, CAST(attempt AS INTEGER) AS attempt FROM rows""",
     ),
+    "document_versions": (
+        document_versions,
+        f"""WITH m AS (SELECT *, CAST(regexp_extract(test_fqn, '[0-9]+') AS INTEGER) AS number FROM ({_MANIFEST}))
+        SELECT 'r1' AS run_id, repo, test_fqn, 1 AS version, status AS patch, 0 AS n_attempts,
+          CAST(NULL AS VARCHAR) AS first_prompt, CAST(NULL AS INTEGER) AS seconds FROM m
+        UNION ALL SELECT 'r2', repo, test_fqn, 2, status, CASE WHEN number % 3 = 0 THEN 2 ELSE 0 END,
+          CASE WHEN number % 3 = 0 THEN 'p' || number END, CASE WHEN number % 2 = 0 THEN number END FROM m""",
+    ),
     "patched_sink": (
         patched_sink,
         """SELECT doc_id AS path, replace(text, 'License', chr(10) || 'Licence' || chr(10)) AS patched_content

@@ -106,6 +106,21 @@ def read_results(spark: SparkSession, out_dir: str, schema: T.StructType) -> Dat
     return spark.read.schema(full).json(out_dir)
 
 
+def read_documents(spark: SparkSession, out_dir: str) -> DataFrame:
+    """Result documents of any shape as ``(run_id, repo, sha, doc)``.
+
+    ``doc`` is a variant: documents that different versions wrote are read together, and
+    each field is asked for by its path (``field``).  A text that is no JSON gives null.
+    """
+    rows = spark.read.schema("value string, run_id string, repo string, sha string").text(out_dir)
+    return rows.select("run_id", "repo", "sha", F.try_parse_json("value").alias("doc"))
+
+
+def field(doc: Column, *paths: str, as_type: str = "string") -> Column:
+    """The first of the paths at which a document has a value of the type, else null."""
+    return F.coalesce(*[F.try_variant_get(doc, path, as_type) for path in paths])
+
+
 def write_patched(df: DataFrame, out_dir: str, columns: tuple[str, ...] = ("path", "patched_content")) -> None:
     """Patched sources or build files as a table keyed by path."""
     df.select(*columns).write.mode("overwrite").parquet(out_dir)

@@ -240,3 +240,16 @@ def test_report_cases_are_read_one_by_one(spark, tmp_path):
     # a report held whole is read up to the end of its root
     held = evidence.report_cases(readers.read_reports(spark, str(tmp_path)), ["path"]).filter("name <> 'y'")
     assert {(os.path.basename(r.path), r.name, r.failure_message) for r in held.collect()} == got
+
+
+def test_documents_of_any_shape_are_read_together(spark, tmp_path):
+    folder = tmp_path / "run_id=x" / "repo=r" / "sha=01"
+    folder.mkdir(parents=True)
+    (folder / "a.json").write_text('{"t":"one","p":{"c":"code"},"n":3}\n{"t":"two","p":"text","n":"four"}\nnot json\n{"t":null,"l":[1,{"c":2}]}\n')
+    rows = sinks.read_documents(spark, str(tmp_path))
+    doc = F.col("doc")
+    got = rows.select("run_id", "repo", "sha", sinks.field(doc, "$.t").alias("t"), sinks.field(doc, "$.p.c", "$.p").alias("p"),
+                      sinks.field(doc, "$.n", as_type="int").alias("n"), sinks.field(doc, "$.l[1].c", as_type="int").alias("l"))
+    assert {tuple(r) for r in got.collect()} == {
+        ("x", "r", "01", "one", "code", 3, None), ("x", "r", "01", "two", "text", None, None),
+        ("x", "r", "01", None, None, None, None), ("x", "r", "01", None, None, None, 2)}

@@ -39,14 +39,47 @@ def _stem_suffixes(files: DataFrame, suffix: str, only_path_parts: bool) -> Data
     )
 
 
+def _inner_paths(stems: DataFrame, depths: list[int]) -> DataFrame:
+    """Each file under the paths that a class of its name can have in it, one row each.
+
+    A path is the class name after its last ``depth`` directories, wherever the path has
+    the name; only depths that some test asks for are made.
+    """
+    short = F.col("_short")
+    parts = F.split(F.col("path"), F.concat(F.lit("/\\Q"), short, F.lit("\\E")), -1)
+    before = F.transform(
+        F.sequence(F.lit(1), F.size(parts) - 1), lambda j: F.call_function("array_join", F.slice(parts, F.lit(1), j), F.concat(F.lit("/"), short))
+    )
+
+    def under(prefix):
+        folders = F.split(prefix, "/", -1)
+        return F.array_compact(F.array(*[
+            F.when(F.size(folders) >= depth, F.array_join(F.concat(F.slice(folders, F.size(folders) - depth + 1, F.lit(depth)), F.array(short)), "/"))
+            if depth else short for depth in depths
+        ]))
+
+    return stems.withColumn(
+        "_inner", F.explode_outer(F.array_distinct(F.flatten(F.transform(before, under))))
+    ).filter(F.col("_inner").isNotNull())
+
+
+def _met(packaged: DataFrame, paths: DataFrame, suffix: str) -> DataFrame:
+    """Tests and files that share class path (but for its first directory) and class name."""
+    # at most as many as the deepest package has parts
+    depths = [r[0] for r in packaged.select(F.size(F.split("_inner", "/")) - 1).distinct().collect()]
+    listed = _inner_paths(_stem_suffixes(paths, suffix, True), sorted(depths) or [0]).drop("_short")
+    return packaged.join(listed, ["repo", "sha", "_inner"])
+
+
 def candidates(manifest: DataFrame, files: DataFrame, suffix: str = rules.SOURCE_SUFFIX,
                test_dir: str = rules.TEST_DIR) -> DataFrame:
     """All (test, file) pairs, inner.
 
     ``manifest`` needs ``test_id, repo, sha, module, test_fqn``; ``files`` needs
-    ``repo, sha, path``.  The class name is part of the join key, so a large
-    repository is not paired with all its tests; the path conditions are the
-    residual.  A test that the manifest lists more than once (in several
+    ``repo, sha, path``.  The join key is the class path without its first directory
+    (which may be the end of a longer name), so neither a large repository nor a class
+    name that all its modules share pairs a test with files of other packages; the path
+    conditions are the residual.  A test that the manifest lists more than once (in several
     categories, say) is looked for once.
     """
     tests = manifest.select(
@@ -60,14 +93,15 @@ def candidates(manifest: DataFrame, files: DataFrame, suffix: str = rules.SOURCE
     residual = is_candidate(
         F.col("path"), F.col("_class_path"), F.col("_short"), F.col("module"), suffix, test_dir
     )
-    key = ["repo", "sha", "_short"]
-    packaged = tests.filter(F.contains("_class_path", F.lit("/")))
+    packaged = tests.filter(F.contains("_class_path", F.lit("/"))).withColumn(
+        "_inner", F.regexp_replace("_class_path", "^[^/]*/", "")
+    )
     bare = tests.filter(~F.contains("_class_path", F.lit("/")))
-    found = packaged.join(_stem_suffixes(paths, suffix, True), key).filter(residual)
+    found = _met(packaged, paths, suffix).filter(residual)
     # classes without a package can match in the middle of a name: all suffixes,
     # but only of the repositories that have such a test
     bare_paths = paths.join(bare.select("repo", "sha").distinct(), ["repo", "sha"], "left_semi")
-    found_bare = bare.join(_stem_suffixes(bare_paths, suffix, False), key).filter(residual)
+    found_bare = bare.join(_stem_suffixes(bare_paths, suffix, False), ["repo", "sha", "_short"]).filter(residual)
     return found.select("test_id", "path").unionByName(found_bare.select("test_id", "path"))
 
 

@@ -70,6 +70,16 @@ def test_localize_equals_all_pairs(spark):
     assert set(pairs) == brute_candidates(tests, files) and pairs
 
 
+def test_a_class_name_that_all_modules_share_meets_its_own_package(spark, monkeypatch):
+    n = 120
+    tests = [(f"t{i}", "r", "s", f"m{i % 7}", f"org.p{i}.AllTest.t") for i in range(n)]
+    files = [("r", "s", f"k/m{i % 7}/src/test/java/org/p{i}/AllTest.java") for i in range(n)]
+    met, seen = localize._met, []
+    monkeypatch.setattr(localize, "_met", lambda *a: seen.append(met(*a)) or seen[-1])
+    found = localize.candidates(spark.createDataFrame(tests, MANIFEST), spark.createDataFrame(files, "repo string, sha string, path string"))
+    assert found.count() == n and seen[0].count() == n
+
+
 # ------------------------------------------------------------------- scans
 def skewed(rng, n=1500):
     """One key with more than a third of all rows, one null key, many small ones."""

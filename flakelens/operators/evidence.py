@@ -194,6 +194,21 @@ def _class_ends(path):
     return F.transform(cuts, lambda i: F.substring(stem, F.lit(1), i))
 
 
+def listed_reports(reports: DataFrame, *keep: str) -> DataFrame:
+    """Report paths under every directory above them and the classes their names hold."""
+    parts = F.split(F.col("path"), "/")
+    above = F.transform(
+        F.sequence(F.lit(1), F.size(parts) - 1),
+        lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"),
+    )
+    return (
+        reports.filter(F.endswith(F.col("path"), F.lit(rules.REPORT_SUFFIX)))
+        .filter((F.size(parts) > 1) & F.contains(text.last_segment(F.col("path")), F.lit(rules.REPORT_NAME_PREFIX)))
+        .select("path", *keep, F.explode_outer(_class_ends(F.col("path"))).alias("class_fqn"))
+        .select("path", *keep, "class_fqn", F.explode_outer(above).alias("report_dir"))
+    )
+
+
 def reports_of_runs(runs: DataFrame, reports: DataFrame) -> DataFrame:
     """Reports of a run's class in the directories its log refers to.
 
@@ -203,19 +218,8 @@ def reports_of_runs(runs: DataFrame, reports: DataFrame) -> DataFrame:
     tests of a module share pairs each of them with its own reports only.  Only
     paths are listed; the report text joins the matches by path and moves once.
     """
-    parts = F.split(F.col("path"), "/")
-    above = F.transform(
-        F.sequence(F.lit(1), F.size(parts) - 1),
-        lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"),
-    )
-    listed = (
-        reports.filter(F.endswith(F.col("path"), F.lit(rules.REPORT_SUFFIX)))
-        .filter((F.size(parts) > 1) & F.contains(text.last_segment(F.col("path")), F.lit(rules.REPORT_NAME_PREFIX)))
-        .select("path", F.explode_outer(_class_ends(F.col("path"))).alias("class_fqn"))
-        .select("path", "class_fqn", F.explode_outer(above).alias("report_dir"))
-    )
     wanted = runs.withColumn("report_dir", F.rtrim(F.col("report_dir"), F.lit("/")))
-    found = wanted.join(listed, ["report_dir", "class_fqn"])
+    found = wanted.join(listed_reports(reports), ["report_dir", "class_fqn"])
     return found.join(reports.hint("merge"), "path")
 
 

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import rules
-from ..operators import attempts, lines, scans
+from ..operators import attempts, evidence, lines, scans
 from ..session import scratch_dir
 from ..streaming import attempts as live
+from ..streaming import reports as live_runs
 from . import derived as d
 
 ORDER = ["ts", "event_id"]
@@ -160,6 +161,30 @@ def attempt_expiry(spark, sf):
     return live.latest_outcomes(stored).select("test_id", "is_fixed", "fixed_at", "attempts_used", "is_final")
 
 
+WITHIN, DELAY = 30, 5  # minutes
+
+
+def live_reports(spark, sf):
+    """Runs and reports as two streams; every third report comes too late for its run."""
+    logs_ = d.run_logs(spark, sf)
+    mined = evidence.mined_logs(logs_, "ts").filter(F.size("report_dirs") > 0)
+    runs = evidence.report_folders(mined).join(logs_.select("run_id", F.col("ts").cast("timestamp").alias("ended")), "run_id")
+    run = F.regexp_extract("path", r"/run(\d+)/", 1).cast("long")
+    times = _events(spark, sf).select(F.col("event_id").alias("run"), F.col("ts").cast("timestamp").alias("ts"))
+    reports = d.reports(spark, sf).withColumn("run", run).join(times, "run").select(
+        "path", (F.col("ts") + F.expr("make_dt_interval(0, 0, 20 * cast(run % 3 as int))")).alias("written"), "xml"
+    )
+    own = live.stateful_session(spark)
+    base = scratch_dir(spark, "live-reports")
+    streams = []
+    for name, table in (("runs", runs), ("reports", live_runs.report_messages(reports))):
+        table.write.parquet(f"{base}/{name}")
+        streams.append(own.readStream.schema(table.schema).parquet(f"{base}/{name}"))
+    found = live_runs.reports_in_time(*streams, f"{WITHIN} MINUTES", f"{DELAY} minutes")
+    stored = live.run_to_table(found, f"{base}/out", f"{base}/checkpoint")
+    return stored.select("run_id", "class_fqn", "name", "path", F.array_join("messages", "|").alias("messages"))
+
+
 _NUMBERED = """SELECT *, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS INTEGER) AS iter
 FROM events QUALIFY iter < 5"""
 _FIRST = "min(CASE WHEN {p} THEN iter END)"
@@ -252,3 +277,17 @@ QUERIES = {
     ),
 }
 QUERIES["attempt_hand_over"] = (attempt_hand_over, QUERIES["attempt_stream"][1])
+# a run without a report is emitted once the watermark has passed the last time one could come
+QUERIES["live_reports"] = (
+    live_reports,
+    f"""WITH e AS (SELECT *, event_id % 3 * 20 AS late FROM events),
+    mark AS (SELECT least(max(ts) FILTER (WHERE event_type = 'error'), max(ts + to_minutes(CAST(late AS INTEGER))))
+      - INTERVAL {DELAY} MINUTE AS w FROM e)
+    SELECT event_id AS run_id, 'org.shop.User' || user_id || 'Test' AS class_fqn, 'check' AS name,
+    CASE WHEN late <= {WITHIN} THEN '/work/User' || user_id || '/run' || event_id || '/reports/sub/TEST-org.shop.User'
+      || user_id || 'Test.xml' END AS path,
+    CASE WHEN late <= {WITHIN} THEN CASE event_id % 4 WHEN 0 THEN 'run ' || event_id || ' failed twice'
+      WHEN 1 THEN 'java.lang.Error ' || event_id WHEN 2 THEN ''
+      ELSE 'java.lang.Error ' || event_id || '|run ' || event_id || ' failed twice' END END AS messages
+    FROM e, mark WHERE event_type = 'error' AND (late <= {WITHIN} OR ts + INTERVAL {WITHIN} MINUTE < w)""",
+)

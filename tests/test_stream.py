@@ -142,3 +142,30 @@ def test_history_and_stream_equal_one_batch(spark, tmp_path):
 def test_one_way_of_dropping_a_test(spark, tmp_path):
     with pytest.raises(ValueError, match="by the clock or by event time"):
         live.track(spark.createDataFrame([], live.INPUT), ttl_ms=1, idle_ms=1)
+
+
+def test_live_reports_in_time_equal_the_batch_form(spark, tmp_path):
+    """Runs and reports arrive in several files each, in an order of their own."""
+    from flakelens.operators import evidence
+    from flakelens.queries import derived
+    from flakelens.streaming import reports as live_runs
+
+    sf = "/root/testdata/sf0.001"
+    logs = derived.run_logs(spark, sf)
+    folders = evidence.report_folders(evidence.mined_logs(logs))
+    want = evidence.messages_of_runs(evidence.reports_of_runs(folders, derived.reports(spark, sf)))
+    run = F.regexp_extract("path", r"/run(\d+)/", 1).cast("long")
+    times = logs.select(F.col("run_id").alias("run"), F.col("ts").cast("timestamp").alias("ts"))
+    runs = folders.join(times, folders["run_id"] == times["run"]).drop("run").withColumnRenamed("ts", "ended")
+    reports = live_runs.report_messages(
+        derived.reports(spark, sf).withColumn("run", run).join(times, "run").withColumn("written", F.col("ts") + F.expr("INTERVAL 1 MINUTE")))
+    own = live.stateful_session(spark)
+    streams = []
+    for name, table, order in (("runs", runs, "ended"), ("reports", reports, "written")):
+        table.repartitionByRange(3, order).sortWithinPartitions(order).write.parquet(str(tmp_path / name))
+        streams.append(own.readStream.schema(table.schema).option("maxFilesPerTrigger", 2).parquet(str(tmp_path / name)))
+    found = live_runs.reports_in_time(*streams, "30 MINUTES", "40 days")
+    stored = live.run_to_table(found, str(tmp_path / "out"), str(tmp_path / "cp"))
+    got = live_runs.messages_of_runs(stored)
+    key = lambda r: (r.run_id, tuple(r.messages))
+    assert sorted(map(key, got.collect())) == sorted(map(key, want.collect())) and want.count() > 50

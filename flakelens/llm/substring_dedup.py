@@ -1,5 +1,8 @@
 """Removal of word windows that occur earlier in the corpus.
 
+This is not done by automata of all repeated phrases, whose cost grows with the square of
+the corpus (figures in the README), but by joins:
+
 Every window of ``WINDOW`` words contains one chosen phrase (the leftmost of its
 six-word phrases with the least hash), and equal windows choose equal phrases.
 Consecutive windows with one phrase occurrence are a run of at most 15.

@@ -236,3 +236,16 @@ def posteriors(patterns, counts, belief, meant, labellers=9, low=0, good=2, roun
         if moved < 1e-9:
             break
     return chance
+
+
+def shard(key, weights):
+    """Weighted rendezvous over XXH64 of the key and each shard's number."""
+    def hashed(data, seed):
+        return xxhash.xxh64(data, seed=seed).intdigest()
+
+    own = hashed(key.to_bytes(8, "little", signed=True), 42)
+    scores = []
+    for i, w in enumerate(weights):
+        unit = (hashed(i.to_bytes(4, "little"), hashed(own.to_bytes(8, "little"), 42)) >> 11) + 0.5
+        scores.append((-w / math.log(unit / 2**53), i))
+    return max(scores)[1]

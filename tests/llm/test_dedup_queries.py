@@ -128,6 +128,14 @@ def test_sharding_is_even_weighted_and_stable(spark):
     got.unpersist()
 
 
+@pytest.mark.parametrize("weights", [[1.0] * 8, [1.0, 2.5, 0.5], [3.0]])
+def test_shards_equal_plain_rendezvous(spark, weights):
+    ids = [*range(-50, 600), 2**63 - 1, -(2**63)]
+    df = spark.createDataFrame([(i, "x") for i in ids], "doc_id long, text string")
+    got = {r.doc_id: (r.shard, r.grown_shard) for r in sharding.assign_shards(df, weights, added_weight=1.5).collect()}
+    assert got == {i: (brute.shard(i, weights), brute.shard(i, [*weights, 1.5])) for i in ids}
+
+
 NEAR = ("doc_id", "n_shingles", "component_id", "kept")
 
 

@@ -104,8 +104,8 @@ class Node:
 
     def __init__(self, parent: Node | None, tokens: tuple[str, ...], leaf: str):
         self.parent, self.tokens, self.leaf = parent, tokens, leaf
-        self.inside = bool(parent and parent.inside) or not _INSIDE.isdisjoint(tokens)
-        self.outside = bool(parent and parent.outside) or not _OUTSIDE.isdisjoint(tokens)
+        self.inside = (parent is not None and parent.inside) or not _INSIDE.isdisjoint(tokens)
+        self.outside = (parent is not None and parent.outside) or not _OUTSIDE.isdisjoint(tokens)
 
 
 class Block:
@@ -166,6 +166,7 @@ def blocks_of(page: str | None) -> list[Block]:
     root = Node(None, (), "")
     stack: list[tuple[str, Node]] = []
     places: dict[str, list[int]] = {}  # where in the stack each tag is open
+    closers: list[int] = []  # places of elements that a paragraph cannot hold, and of paragraphs
     held: set[str] = set()  # tokens of all open elements
     texts: list[str] = []
     links = [0, 0]
@@ -194,9 +195,13 @@ def blocks_of(page: str | None) -> list[Block]:
 
     def push(tag: str, attributes: str) -> None:
         around = stack[-1][1] if stack else root
-        new = tuple(t for t in _element(tag, attributes) if t not in held)
+        new = _element(tag, attributes)
+        if not held.isdisjoint(new):
+            new = tuple(t for t in new if t not in held)
         held.update(new)
         places.setdefault(tag, []).append(len(stack))
+        if tag in CLOSES_P:
+            closers.append(len(stack))
         stack.append((tag, Node(around, new, tag if tag in BLOCK else around.leaf)))
         opened[0] += tag == "a"
 
@@ -206,6 +211,8 @@ def blocks_of(page: str | None) -> list[Block]:
             held.difference_update(gone.tokens)
         for tag, _ in reversed(stack[i:]):
             places[tag].pop()
+        while closers and closers[-1] >= i:
+            closers.pop()
         del stack[i:]
 
     def nearest(tags: Iterable[str]) -> int | None:
@@ -248,9 +255,8 @@ def blocks_of(page: str | None) -> list[Block]:
         if tag == "head":  # holds no text but that of other elements, and ends where it likes
             continue
         if tag in CLOSES_P:
-            i = nearest(CLOSES_P)  # these include the paragraph itself
-            if i is not None and stack[i][0] == "p":
-                pop_to(i)
+            if closers and stack[closers[-1]][0] == "p":
+                pop_to(closers[-1])
         if tag in SIBLINGS:
             i = nearest(SIBLINGS[tag] | {"ul", "ol", "dl", "table", "select"})
             if i is not None and stack[i][0] in SIBLINGS[tag]:
@@ -367,34 +373,30 @@ class Labeller:
         adds, so paths are never laid out whole; words are laid out some blocks at a time.
         """
         w, g = self.p["W"], 4 * HIDDEN
-        shares: dict[int, np.ndarray] = {}
-
-        def added(tokens: Iterable[str]) -> np.ndarray:
-            return w[[path_bucket(t) for t in tokens]].sum(axis=0, dtype=np.float32) * np.float32(0.5)
-
-        def share_of(node: Node) -> np.ndarray:
-            chain = []
-            while node is not None and id(node) not in shares:
-                chain.append(node)
-                node = node.parent
-            for at in reversed(chain):
-                own = added(at.tokens)
-                shares[id(at)] = own if at.parent is None else shares[id(at.parent)] + own
-            return shares[id(chain[0])] if chain else shares[id(node)]
-
         t = max(len(p) for p in pages)
         z = np.zeros((len(pages), t, w.shape[1]), np.float32)
         mask = np.zeros((len(pages), t), np.float32)
         for i, page in enumerate(pages):
             mask[i, : len(page)] = 1
-            for a in range(0, len(page), CELLS):
-                some = page[a : a + CELLS]
-                z[i, a : a + len(some)] = others(some) @ w[PATHS:]
-            for j, block in enumerate(page):
-                if block.node is None:
-                    z[i, j] += added(block.path)
-                else:
-                    z[i, j] += share_of(block.node) + added((f"leaf:{block.node.leaf}",))
+        blocks = [block for page in pages for block in page]
+        rows = z.reshape(-1, w.shape[1])
+        at = np.flatnonzero(mask)
+        for a in range(0, len(blocks), CELLS):
+            some = blocks[a : a + CELLS]
+            rows[at[a : a + len(some)]] = others(some) @ w[PATHS:]
+        in_elements = [k for k, block in enumerate(blocks) if block.node is not None]
+        if in_elements:
+            share, place = _element_shares([blocks[k].node for k in in_elements], w)
+            leaves = sorted({blocks[k].node.leaf for k in in_elements})
+            leaf_of = {leaf: k for k, leaf in enumerate(leaves)}
+            leaf = w[[path_bucket(f"leaf:{x}") for x in leaves]] * np.float32(0.5)
+            which = np.array([leaf_of[blocks[k].node.leaf] for k in in_elements])
+            here = at[in_elements]
+            for a in range(0, len(here), CELLS):
+                rows[here[a : a + CELLS]] += share[place[a : a + CELLS]] + leaf[which[a : a + CELLS]]
+        for k, block in enumerate(blocks):
+            if block.node is None:
+                rows[at[k]] += w[[path_bucket(x) for x in block.path]].sum(axis=0, dtype=np.float32) * np.float32(0.5)
         f = self._pass(z[:, :, :g], self.p["Uf"], mask, keep=False)[0]
         r = self._pass(z[:, ::-1, g : 2 * g], self.p["Ub"], mask[:, ::-1], keep=False)[0]
         return np.concatenate([f, r[:, ::-1]], axis=2) @ self.p["V"] + z[:, :, 2 * g]
@@ -414,14 +416,48 @@ class Labeller:
         return out
 
 
+def _element_shares(nodes: list[Node], w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What the tokens of all elements down to each one add to the inputs, a row for each
+    different element, and the row of each given one."""
+    row: dict[int, int] = {}
+    around: list[int] = []
+    bucket: list[int] = []
+    first: list[int] = []
+    place = []
+    for node in nodes:
+        chain = []
+        while node is not None and id(node) not in row:
+            chain.append(node)
+            node = node.parent
+        for inner in reversed(chain):
+            around.append(-1 if inner.parent is None else row[id(inner.parent)])
+            row[id(inner)] = len(first)
+            first.append(len(bucket))
+            bucket += map(path_bucket, inner.tokens)
+        place.append(row[id(chain[0] if chain else node)])
+    share = np.zeros((len(first), w.shape[1]), np.float32)
+    bounds = np.array([*first, len(bucket)])
+    for a in range(0, len(first), CELLS):
+        b = min(a + CELLS, len(first))
+        some = a + np.flatnonzero(np.diff(bounds[a : b + 1]))
+        if len(some):
+            flat = w[bucket[bounds[a] : bounds[b]]]
+            share[some] = np.add.reduceat(flat, bounds[some] - bounds[a], axis=0) * np.float32(0.5)
+    for k, outer in enumerate(around):
+        if outer >= 0:
+            share[k] += share[outer]
+    return share, np.array(place)
+
+
 def others(blocks: list[Block]) -> np.ndarray:
     """Word shares and numbers of blocks, a row each: the inputs beside the path."""
-    x = np.zeros((len(blocks), WORDS + NUMBERS), np.float32)
-    for row, block in zip(x, blocks, strict=True):
-        words, numbers = block.features()
-        row[:WORDS] = np.minimum(np.bincount(words, minlength=WORDS) / np.sqrt(max(len(words), 1)), 3.0)
-        row[WORDS:] = numbers
-    return x
+    read = [block.features() for block in blocks]
+    size = np.array([len(words) for words, _ in read])
+    share = np.repeat(1 / np.sqrt(np.maximum(size, 1)), size)
+    bucket = np.array([w for words, _ in read for w in words], np.int64)
+    index = bucket + np.repeat(np.arange(len(blocks)) * WORDS, size)
+    x = np.bincount(index, share, len(blocks) * WORDS).reshape(len(blocks), WORDS)
+    return np.concatenate([np.minimum(x, 3.0), [numbers for _, numbers in read]], axis=1).astype(np.float32)
 
 
 def inputs(pages: list[list[Block]], drop: random.Random | None = None):
@@ -521,7 +557,7 @@ def lay_out(rnd: random.Random, paragraphs: list[str], shorts: list[str],
         tokens = {*path, f"<{leaf}", f"leaf:{leaf}", *(["<a"] if link else [])}
         if rnd.random() < 0.2:
             tokens |= {"<div", *_SPLIT.split(noise())}
-        page.append((Block(text, tuple(tokens), link), label))
+        page.append((Block(text, tuple(sorted(tokens)), link), label))
 
     def around(kind: str, outer: list[str], name: str | None = None) -> None:
         path = [*outer, *container(kind, name)]

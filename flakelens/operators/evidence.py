@@ -187,25 +187,37 @@ def _class_ends(path):
     stem = F.regexp_replace(
         F.substring_index(text.last_segment(path), rules.REPORT_NAME_PREFIX, -1), text.quote(rules.REPORT_SUFFIX) + "$", ""
     )
-    cuts = F.filter(
-        F.sequence(F.lit(1), F.greatest(F.length(stem), F.lit(1))),
-        lambda i: (i == F.length(stem)) | ~F.substring(stem, i + 1, F.lit(1)).rlike(r"\w"),
+    # each piece is any character and the rest of its word
+    pieces = F.regexp_extract_all(stem, F.lit(r"(?s).\w*"), F.lit(0))
+    return text.let(
+        pieces,
+        lambda p: F.when(F.size(p) == 0, F.array(F.lit(""))).otherwise(
+            F.transform(F.sequence(F.lit(1), F.greatest(F.size(p), F.lit(1))), lambda n: F.array_join(F.slice(p, F.lit(1), n), ""))
+        ),
     )
-    return F.transform(cuts, lambda i: F.substring(stem, F.lit(1), i))
 
 
-def listed_reports(reports: DataFrame, *keep: str) -> DataFrame:
-    """Report paths under every directory above them and the classes their names hold."""
+def listed_reports(reports: DataFrame, *keep: str, depths: Sequence[int] | None = None) -> DataFrame:
+    """Report paths under the directories above them and the classes their names hold.
+
+    All directories, or only those of so many parts as ``depths`` names.
+    """
     parts = F.split(F.col("path"), "/")
-    above = F.transform(
-        F.sequence(F.lit(1), F.size(parts) - 1),
-        lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"),
-    )
+    if depths is None:
+        above = F.transform(
+            F.sequence(F.lit(1), F.size(parts) - 1),
+            lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"),
+        )
+    else:
+        above = F.array_compact(F.array(*[
+            F.when(F.size(parts) > n, F.substring_index(F.col("path"), "/", n)) for n in depths
+        ]).cast("array<string>"))
     return (
         reports.filter(F.endswith(F.col("path"), F.lit(rules.REPORT_SUFFIX)))
         .filter((F.size(parts) > 1) & F.contains(text.last_segment(F.col("path")), F.lit(rules.REPORT_NAME_PREFIX)))
         .select("path", *keep, F.explode_outer(_class_ends(F.col("path"))).alias("class_fqn"))
         .select("path", *keep, "class_fqn", F.explode_outer(above).alias("report_dir"))
+        .filter("report_dir is not null")
     )
 
 
@@ -213,13 +225,17 @@ def reports_of_runs(runs: DataFrame, reports: DataFrame) -> DataFrame:
     """Reports of a run's class in the directories its log refers to.
 
     ``runs`` has ``run_id, class_fqn, report_dir``; ``reports`` has ``path``.
-    Each report is listed under all directories above it and the class its name
+    Each report is listed under the directories above it and the class its name
     holds, so the walk below a directory is an equi join, and a folder that all
     tests of a module share pairs each of them with its own reports only.  Only
-    paths are listed; the report text joins the matches by path and moves once.
+    paths are listed, and of the directories only those as deep as one that a log
+    names; the report text joins the matches by path and moves once.  The runs are
+    stored: they are mined once.
     """
-    wanted = runs.withColumn("report_dir", F.rtrim(F.col("report_dir"), F.lit("/")))
-    found = wanted.join(listed_reports(reports), ["report_dir", "class_fqn"])
+    wanted = stored(runs.withColumn("report_dir", F.rtrim(F.col("report_dir"), F.lit("/"))), "report_dirs")
+    # at most as many as the deepest folder has parts
+    depths = sorted(r[0] for r in wanted.filter("report_dir is not null").select(F.size(F.split("report_dir", "/"))).distinct().collect())
+    found = wanted.join(listed_reports(reports, depths=depths), ["report_dir", "class_fqn"])
     return found.join(reports.hint("merge"), "path")
 
 

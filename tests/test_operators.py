@@ -248,6 +248,24 @@ def test_reports_of_runs_walks_below_the_directory(spark):
     assert got == [("r1", "1"), ("r1", "2"), ("r2", "5")]
 
 
+def test_reports_are_listed_only_as_deep_as_logs_name_folders(spark):
+    reports = spark.createDataFrame(
+        [("/w/x/d/e/TEST-a.b.C.xml", "1"), ("/TEST-a.b.C.xml", "2"), ("rel/TEST-a.b.C$D--\U0001f600z.xml", "3"), ("/w/x/TEST-.xml", "4")],
+        "path string, xml string")
+    deep = evidence.listed_reports(reports, depths=[3])
+    assert sorted(tuple(r) for r in deep.collect()) == [
+        ("/w/x/TEST-.xml", "", "/w/x"), *[("/w/x/d/e/TEST-a.b.C.xml", c, "/w/x") for c in ("a", "a.b", "a.b.C")]]
+    every = {tuple(r) for r in evidence.listed_reports(reports).collect()}
+    assert every == {tuple(r) for r in evidence.listed_reports(reports, depths=range(1, 9)).collect()}
+    odd = {c for p, c, _ in every if p.startswith("rel/")}
+    assert odd == {"a", "a.b", "a.b.C", "a.b.C$D", "a.b.C$D-", "a.b.C$D--", "a.b.C$D--\U0001f600z"}
+    runs = spark.createDataFrame(
+        [("r1", "a.b.C", "/w/x/d/"), ("r2", "a.b.C", "/"), ("r3", "a.b.C", "/w"), ("r4", "a.b.C", None), ("r5", "a.b.C$D", "rel")],
+        "run_id string, class_fqn string, report_dir string")
+    got = sorted((r.run_id, r.xml) for r in evidence.reports_of_runs(runs, reports).collect())
+    assert got == [("r1", "1"), ("r2", "1"), ("r2", "2"), ("r3", "1"), ("r5", "3")]
+
+
 def test_evidence_bundle_joins_messages_and_code(spark):
     logs = spark.createDataFrame(
         [("1", "a.B.t", "p", "There are test failures\n\tat a.B.t(B.java:2)\n\tat a.B.u(B.java:9)"),

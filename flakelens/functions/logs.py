@@ -69,7 +69,11 @@ def line_number(line: Column, file_name: Column) -> Column:
 
 def line_numbers(content: Column, file_name: Column) -> Column:
     """Ordered distinct line numbers of the file over the whole log."""
-    hits = F.filter(lines(content), lambda x: F.contains(x, file_name))
+    return _line_numbers(lines(content), file_name)
+
+
+def _line_numbers(all_lines: Column, file_name: Column) -> Column:
+    hits = F.filter(all_lines, lambda x: F.contains(x, file_name))
     return ordered_distinct(F.transform(hits, lambda x: line_number(x, file_name)))
 
 
@@ -105,19 +109,23 @@ def frame_method(line: Column, class_fqn: Column, prefix: str = rules.FRAME_PREF
     )
 
 
-def _frames(content: Column, class_fqn: Column) -> Column:
-    return F.filter(lines(content), lambda x: is_frame(x, class_fqn))
+def _frames(all_lines: Column, class_fqn: Column) -> Column:
+    return F.filter(all_lines, lambda x: is_frame(x, class_fqn))
 
 
-def frame_methods(content: Column, class_fqn: Column) -> Column:
+def _frame_methods(all_lines: Column, class_fqn: Column) -> Column:
     return ordered_distinct(
-        F.transform(_frames(content, class_fqn), lambda x: frame_method(x, class_fqn))
+        F.transform(_frames(all_lines, class_fqn), lambda x: frame_method(x, class_fqn))
     )
 
 
+def frame_methods(content: Column, class_fqn: Column) -> Column:
+    return _frame_methods(lines(content), class_fqn)
+
+
 def frame_lines(content: Column, class_fqn: Column) -> Column:
     return ordered_distinct(
-        F.transform(_frames(content, class_fqn), lambda x: frame_line(x))
+        F.transform(_frames(lines(content), class_fqn), lambda x: frame_line(x))
     )
 
 
@@ -156,26 +164,32 @@ def report_dir(line: Column) -> Column:
 
 
 def report_dirs(content: Column) -> Column:
-    hits = F.filter(lines(content), lambda x: F.contains(x, F.lit(rules.REPORT_DIR_START)))
+    return _report_dirs(lines(content))
+
+
+def _report_dirs(all_lines: Column) -> Column:
+    hits = F.filter(all_lines, lambda x: F.contains(x, F.lit(rules.REPORT_DIR_START)))
     return ordered_distinct(F.transform(hits, lambda x: report_dir(x)))
 
 
 def log_evidence(content: Column, fqn: Column) -> Column:
     """All per-log evidence of one run in a struct; no shuffle."""
-    file_name = names.class_file(fqn)
-    class_fqn = names.class_fqn(fqn)
-    compiles = is_compile_failure(content)
-    return F.struct(
-        verdict(content).alias("summary"),
-        compiles.alias("is_compile_failure"),
-        F.when(compiles, compile_messages(content, file_name))
-        .otherwise(F.array().cast("array<string>"))
-        .alias("compile_messages"),
-        line_numbers(content, file_name).alias("line_numbers"),
-        frame_methods(content, class_fqn).alias("err_methods"),
-        F.when(compiles, F.array().cast("array<string>"))
-        .otherwise(report_dirs(content))
-        .alias("report_dirs"),
+    # bound once per log: lambdas over lines would cut the names out for every line
+    bound = F.struct(
+        lines(content).alias("lines"), names.class_file(fqn).alias("file"), names.class_fqn(fqn).alias("class"),
+        is_compile_failure(content).alias("compiles"),
+    )
+    none = F.array().cast("array<string>")
+    return let(
+        bound,
+        lambda b: F.struct(
+            verdict(content).alias("summary"),
+            b["compiles"].alias("is_compile_failure"),
+            F.when(b["compiles"], compile_messages(content, b["file"])).otherwise(none).alias("compile_messages"),
+            _line_numbers(b["lines"], b["file"]).alias("line_numbers"),
+            _frame_methods(b["lines"], b["class"]).alias("err_methods"),
+            F.when(b["compiles"], none).otherwise(_report_dirs(b["lines"])).alias("report_dirs"),
+        ),
     )
 
 

@@ -85,9 +85,13 @@ FOLDERS = 16
 
 
 def _written_in_order(rows, order, path):
-    """``(folder, value)`` rows as one text file for each folder, in the given order."""
+    """``(folder, value)`` rows as one text file for each folder, in the given order.
+
+    Folders go to tasks by their number: by a hash some tasks would sort several of them.
+    """
     (
-        rows.repartition(FOLDERS, "folder").sortWithinPartitions("folder", *order)
+        rows.repartitionById(FOLDERS, F.pmod(F.coalesce("folder", F.lit(0)), F.lit(FOLDERS)).cast("int"))
+        .sortWithinPartitions("folder", *order)
         .select("folder", "value").write.partitionBy("folder").text(path)
     )
 

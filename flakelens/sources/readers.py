@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import rules, schemas
 from ..functions import fqn as names
 from ..functions.text import plain_path
-from ..operators.scans import running_sums
 from ..session import stored
 
 # Every field follows a comma (one is put before the record).  The quantifiers are
@@ -123,8 +122,10 @@ def read_log_lines(spark: SparkSession, path: str, glob: str = "*.log") -> DataF
     """Lines of logs of any size as ``(path, line_no, line)``.
 
     Nothing is read whole: a large file is split over tasks.  Inside a split the
-    row order is the file order; the counts per split, summed over the splits
-    before it, give the line numbers.
+    row order is the file order, so a line's number in its split is its distance from
+    the split's first line; the counts per split, summed over the splits before it,
+    give the line numbers.  Lines are neither shuffled nor sorted: only one small row
+    for each split is, and is broadcast.
     """
     rows = (
         spark.read.option("recursiveFileLookup", True)
@@ -137,8 +138,11 @@ def read_log_lines(spark: SparkSession, path: str, glob: str = "*.log") -> DataF
             F.col("value").alias("line"),
         )
     )
-    numbered = running_sums(rows, ["path"], ["_row"], F.col("_block"), {"line_no": F.lit(1)})
-    return numbered.select("path", F.col("line_no").cast("int").alias("line_no"), "line")
+    splits = rows.groupBy("path", "_block").agg(F.min("_row").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy("path").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    starts = splits.select("path", "_block", (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first") + 1).alias("_shift"))
+    numbered = rows.join(F.broadcast(starts), ["path", "_block"])
+    return numbered.select("path", (F.col("_row") + F.col("_shift")).cast("int").alias("line_no"), "line")
 
 
 def read_build_files(spark: SparkSession, path: str, glob: str = rules.BUILD_FILE) -> DataFrame:

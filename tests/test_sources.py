@@ -2,6 +2,7 @@ import os
 
 from pyspark.sql import functions as F
 
+from flakelens.queries import storage
 from flakelens.sources import readers, sinks
 
 HEADER = "Project URL,SHA Detected,Module Path,Fully-Qualified Test Name(x),Category,Status,PR Link,Notes\n"
@@ -94,6 +95,26 @@ def test_log_lines_of_split_files(spark, tmp_path):
         spark.conf.set(key, old)
 
 
+def test_log_lines_are_neither_sorted_nor_shuffled(spark, tmp_path):
+    (tmp_path / "a.log").write_text("x\ny\n")
+    plan = readers.read_log_lines(spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+    # only the counts of the splits are
+    lines_side = plan.split("Aggregate")[0]
+    assert "broadcast" in plan and plan.count("Window") == 1 and "Window" in plan.split("Aggregate")[0]
+    assert "value#" in lines_side and "Sort" not in lines_side
+
+
+def test_every_folder_is_written_by_a_task_of_its_own(spark, tmp_path):
+    folders = storage.FOLDERS
+    rows = spark.range(folders * 3).select((F.col("id") % folders).cast("int").alias("folder"), "id", F.col("id").cast("string").alias("value"))
+    storage._written_in_order(rows, ["id"], str(tmp_path / "out"))
+    read = spark.read.text(str(tmp_path / "out")).select(F.col("_metadata.file_name").alias("name"), "value")
+    tasks = read.select(F.substring("name", 1, 10).alias("task")).distinct().count()
+    assert tasks == folders
+    for r in read.groupBy("name").agg(F.collect_list(F.col("value").cast("int")).alias("v")).collect():
+        assert r.v == sorted(r.v) and len(r.v) == 3
+
+
 def test_manifest_rows_do_not_depend_on_the_selection(spark, tmp_path):
     long = "x" * 100_000
     (tmp_path / "m.csv").write_text(

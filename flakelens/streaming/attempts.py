@@ -36,6 +36,8 @@ _STATE = (
     "stamps array<bigint>, numbers array<bigint>, passes array<boolean>, applied array<boolean>, "
     "patches array<string>, evidence array<string>, version bigint"
 )
+_COLUMNS = ("attempt_ts", "attempt_no", "is_pass", "applied", "patch", "evidence")
+_FEW = 100  # attempts a test that are cheaper as rows; more are handed over as a data frame
 _PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -58,27 +60,26 @@ def _reducer(limit: int):
 def _processor(limit: int, ttl_ms: int | None, idle_ms: int | None = None):
     # defined in a function so that workers get the class by value
     import pandas as pd
+    from pyspark.sql import Row
     from pyspark.sql.streaming import StatefulProcessor
 
-    COLUMNS = ("attempt_ts", "attempt_no", "is_pass", "applied", "patch", "evidence")
-
     class Tracker(StatefulProcessor):
         def init(self, handle):
             self.handle = handle
             self.state = handle.getValueState("attempts", _STATE, ttl_ms)
 
         def handleInitialState(self, key, initialState, timerValues):
-            seen, version = self._held(timerValues)
-            self._keep(sorted([*seen, *self._rows(initialState)], key=lambda a: a[:2])[:limit], version)
+            # one row for each test: the state is new
+            first = initialState if limit <= _FEW else initialState.iloc[0]
+            seen = list(zip(*[list(first[c]) for c in _COLUMNS], strict=True))
+            self._keep(seen, self._begun(timerValues), None)
 
         def handleInputRows(self, key, rows, timerValues):
             before, version = self._held(timerValues)
-            seen = list(before)
-            for pdf in rows:
-                seen = sorted([*seen, *self._rows(pdf)], key=lambda a: a[:2])[:limit]
+            seen = sorted([*before, *self._rows(rows)], key=lambda a: a[:2])[:limit]
             if seen == before:
                 return
-            self._keep(seen, version + 1)
+            self._keep(seen, version + 1, before[-1][0] if before else None)
             yield self._progress(key, seen, version + 1, False)
 
         def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
@@ -89,26 +90,35 @@ def _processor(limit: int, ttl_ms: int | None, idle_ms: int | None = None):
             if is_open:
                 yield row
 
-        def _rows(self, pdf):
-            return list(zip(*[pdf[c].tolist() for c in COLUMNS], strict=True))
+        def _rows(self, rows):
+            if limit <= _FEW:
+                return [tuple(r[c] for c in _COLUMNS) for r in rows]
+            return [a for pdf in rows for a in zip(*[pdf[c].tolist() for c in _COLUMNS], strict=True)]
+
+        def _begun(self, timerValues):
+            return max(int(timerValues.getCurrentWatermarkInMs()), 0) if idle_ms else 0
 
         def _held(self, timerValues):
-            if not self.state.exists():
-                begun = timerValues.getCurrentWatermarkInMs() if idle_ms else 0
-                return [], max(int(begun), 0)
-            *columns, version = self.state.get()
+            held = self.state.get()
+            if held is None:
+                return [], self._begun(timerValues)
+            *columns, version = held
             return list(zip(*columns, strict=True)), version
 
-        def _keep(self, seen, version):
+        def _keep(self, seen, version, last):
             self.state.update((
                 [int(a[0]) for a in seen], [int(a[1]) for a in seen],
                 [bool(a[2]) for a in seen], [bool(a[3]) for a in seen],
                 [a[4] for a in seen], [a[5] for a in seen], version,
             ))
-            if idle_ms:
-                for at in list(self.handle.listTimers()):
-                    self.handle.deleteTimer(at)
-                self.handle.registerTimer(int(seen[-1][0]) // 1000 + idle_ms)
+            if idle_ms and last != seen[-1][0]:
+                # the one timer of a test is that of its last attempt
+                if last is not None:
+                    self.handle.deleteTimer(self._until(last))
+                self.handle.registerTimer(self._until(seen[-1][0]))
+
+        def _until(self, stamp):
+            return int(stamp) // 1000 + idle_ms
 
         def _is_settled(self, seen):
             return len(seen) >= limit or any(a[2] and a[3] for a in seen)
@@ -118,17 +128,20 @@ def _processor(limit: int, ttl_ms: int | None, idle_ms: int | None = None):
             used = len(seen) if at is None else at + 1
             kept = seen[:used]
             stamps = [a[0] for a in kept]
-            return pd.DataFrame({
-                "test_id": [key[0]],
-                "is_fixed": [at is not None],
-                "fixed_at": pd.array([at], dtype="Int32"),
-                "attempts_used": pd.array([used], dtype="Int32"),
-                "final_patch": [None if at is None else kept[at][4]],
-                "last_evidence": [next((a[5] for a in reversed(kept) if a[3]), None)],
-                "elapsed_s": [round((stamps[-1] - min(stamps)) / 1e6, 2)],
-                "is_final": [is_given_up or self._is_settled(seen)],
-                "version": [version],
-            })
+            out = {
+                "test_id": key[0],
+                "is_fixed": at is not None,
+                "fixed_at": at,
+                "attempts_used": used,
+                "final_patch": None if at is None else kept[at][4],
+                "last_evidence": next((a[5] for a in reversed(kept) if a[3]), None),
+                "elapsed_s": round((stamps[-1] - min(stamps)) / 1e6, 2),
+                "is_final": is_given_up or self._is_settled(seen),
+                "version": version,
+            }
+            if limit <= _FEW:
+                return Row(**out)
+            return pd.DataFrame({c: pd.array([v], dtype="Int32") if c == "fixed_at" else [v] for c, v in out.items()})
 
         def close(self):
             pass
@@ -170,13 +183,31 @@ def track(attempts: DataFrame, limit: int = rules.MAX_ATTEMPTS, ttl_ms: int | No
     if idle_ms:
         mode = "EventTime"
         rows = rows.withColumn("event_time", F.timestamp_micros("attempt_ts")).withWatermark("event_time", delay)
-    before = None if history is None else history.mapInPandas(_reducer(limit), INPUT).groupBy("test_id")
-    return rows.groupBy("test_id").transformWithStateInPandas(
+    before = None if history is None else _first_states(history, limit).groupBy("test_id")
+    tests = rows.groupBy("test_id")
+    run = tests.transformWithState if limit <= _FEW else tests.transformWithStateInPandas
+    return run(
         statefulProcessor=_processor(limit, ttl_ms, idle_ms), outputStructType=OUTPUT,
         outputMode="Append", timeMode=mode, initialState=before,
     )
 
 
+def _first_states(history: DataFrame, limit: int) -> DataFrame:
+    """The earliest attempts of each test as one row of lists."""
+    entry = F.struct("attempt_ts", "attempt_no", *_COLUMNS[2:])
+    listed = history.mapInPandas(_reducer(limit), INPUT).groupBy("test_id").agg(
+        F.slice(
+            F.array_sort(
+                F.collect_list(entry),
+                lambda a, b: F.when(a["attempt_ts"] != b["attempt_ts"], F.signum(a["attempt_ts"] - b["attempt_ts"]))
+                .otherwise(F.signum(a["attempt_no"] - b["attempt_no"])).cast("int"),
+            ), 1, limit,
+        ).alias("_a")
+    )
+    # fields of an array of structs, as arrays
+    return listed.select("test_id", *[F.col("_a")[c].alias(c) for c in _COLUMNS])
+
+
 def track_attempts(stream: DataFrame, test_id: Column, ts: Column, number: Column,
                    is_pass: Column, patch: Column, limit: int = rules.MAX_ATTEMPTS,
                    ttl_ms: int | None = None, applied: Column | None = None,

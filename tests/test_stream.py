@@ -169,3 +169,22 @@ def test_live_reports_in_time_equal_the_batch_form(spark, tmp_path):
     got = live_runs.messages_of_runs(stored)
     key = lambda r: (r.run_id, tuple(r.messages))
     assert sorted(map(key, got.collect())) == sorted(map(key, want.collect())) and want.count() > 50
+
+
+@pytest.mark.parametrize("limit", [3, 200])
+def test_history_is_handed_over_as_one_row_of_a_test(spark, limit):
+    rows = [(u, i * 1_000_000, i, i % 7 == 6, True, None if i % 5 == 0 else f"p{i}", "e") for u in (1, 2) for i in range(9)]
+    history = spark.createDataFrame(rows + rows[:2], live.INPUT).repartition(4)
+    states = {r.test_id: r for r in live._first_states(history, limit).collect()}
+    assert sorted(states) == [1, 2]
+    want = sorted(rows[:9] + rows[:2], key=lambda r: r[1:3])[:limit]
+    got = list(zip(*[states[1][c] for c in live._COLUMNS], strict=True))
+    assert got == [r[1:] for r in want]
+
+
+def test_many_attempts_of_a_test_go_as_frames(spark):
+    rows = [(1, i * 1_000_000, i, i == 150, True, f"p{i}", None) for i in range(180)]
+    attempts_ = spark.createDataFrame(rows, live.INPUT)
+    few, many = (live.track(attempts_, limit).collect()[0] for limit in (live._FEW, live._FEW * 2))
+    assert (few.is_fixed, few.attempts_used, few.elapsed_s) == (False, live._FEW, live._FEW - 1.0)
+    assert (many.is_fixed, many.fixed_at, many.attempts_used, many.final_patch) == (True, 150, 151, "p150")

@@ -45,6 +45,7 @@ _TOKENS = (
 _TO_COMMENT_END = r"(?s)^.*?\*/"
 _TO_TEXT_END = "(?s)^" + _TEXT_BODY + '"""'
 _STATEMENTS = r"[^{};]*+[{};]|[^{};]++"
+_CALLED = r"[\w$]++(?=\s*+(?:\(|\z))"
 _EVENT = ("idx", "kind", "text", "line", "col", "text_col")
 
 
@@ -82,8 +83,14 @@ def _blanked(text: Column, entry: int) -> Column:
     return F.concat(F.regexp_replace(F.substring(text, F.lit(1), inside), r"[^\n]", " "), F.array_join(pieces, ""))
 
 
-def chunks(lines: DataFrame, keys: Sequence[str], chunk_lines: int = CHUNK_LINES) -> DataFrame:
-    """Blanked chunks of sources: ``(keys, chunk, text, names)`` with the class names of the source."""
+def chunks(lines: DataFrame, keys: Sequence[str], chunk_lines: int = CHUNK_LINES) -> tuple[DataFrame, DataFrame]:
+    """Blanked chunks of sources, ``(keys, chunk, is_open, text)``, and the class names that each can
+    use, ``(keys, chunk, names)``.
+
+    A source has as many class names as it has classes, so no chunk is given them all: it
+    gets those that stand in it where a constructor's name can, before a parenthesis or at
+    its end.
+    """
     keys = list(keys)
     text = F.array_join(
         F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda r: F.concat(r["line"], F.lit("\n"))), ""
@@ -94,26 +101,24 @@ def chunks(lines: DataFrame, keys: Sequence[str], chunk_lines: int = CHUNK_LINES
         "source_chunks",
     )
     order = Window.partitionBy(*keys).orderBy("chunk")
-    named = raw.select(
+    named = stored(raw.select(
         *keys, "chunk", F.regexp_extract_all("text", F.lit(java._CLASS_NAME), F.lit(1)).alias("_names"),
         F.rlike("text", F.lit(r"\b(?:class|enum|record)\s+$")).alias("_cut"),
         F.regexp_extract("text", r"^\s*([\w$]+)", 1).alias("_first"),
         F.array(*[_exit(F.col("text"), e) for e in (_CODE, _COMMENT, _TEXT)]).alias("_exits"),
     ).withColumn(
         "_names", F.when(F.col("_cut"), F.array_append("_names", F.lead("_first").over(order))).otherwise(F.col("_names"))
-    )
+    ).drop("_cut", "_first"), "class_names")
     # one row for each source, one small entry for each of its chunks
     listed = F.array_sort(F.collect_list(F.struct("chunk", "_exits")))
-    whole = named.groupBy(*keys).agg(
-        listed.alias("_chunks"), F.array_distinct(F.flatten(F.collect_list("_names"))).alias("names"),
-    )
+    whole = named.groupBy(*keys).agg(listed.alias("_chunks"))
     entries = F.aggregate(
         "_chunks", F.struct(F.lit(_CODE).alias("now"), F.array().cast("array<int>").alias("at")),
         lambda s, c: F.struct(c["_exits"][s["now"]].alias("now"), F.array_append(s["at"], s["now"]).alias("at")),
         lambda s: F.array_append(s["at"], s["now"]),
     )
     entered = whole.withColumn("_entries", entries).select(
-        *keys, "names", (F.element_at("_entries", -1) != _CODE).alias("is_open"),
+        *keys, (F.element_at("_entries", -1) != _CODE).alias("is_open"),
         F.inline(F.arrays_zip(F.transform("_chunks", lambda c: c["chunk"]).alias("chunk"), F.slice("_entries", F.lit(1), F.size("_chunks")).alias("entry"))),
     )
     blank = F.when(F.col("entry") == _CODE, _blanked(F.col("text"), _CODE))
@@ -121,7 +126,16 @@ def chunks(lines: DataFrame, keys: Sequence[str], chunk_lines: int = CHUNK_LINES
     last = F.max("chunk").over(Window.partitionBy(*keys)) == F.col("chunk")
     joined = raw.join(entered.withColumn("is_last", last), [*keys, "chunk"])
     # as in ``javacode``: an added delimiter ends a rest without one
-    return joined.select(*keys, "chunk", "names", "is_open", F.concat(blank, F.when(F.col("is_last"), ";").otherwise("")).alias("text"))
+    blanked = stored(
+        joined.select(*keys, "chunk", "is_open", F.concat(blank, F.when(F.col("is_last"), ";").otherwise("")).alias("text")),
+        "blanked",
+    )
+    words = blanked.select(
+        *keys, "chunk", F.explode_outer(F.array_distinct(F.regexp_extract_all("text", F.lit(_CALLED), F.lit(0)))).alias("name")
+    ).filter("name is not null")
+    of_source = named.select(*keys, F.explode_outer("_names").alias("name")).filter("name is not null").distinct()
+    names = words.join(of_source, [*keys, "name"]).groupBy(*keys, "chunk").agg(F.collect_list("name").alias("names"))
+    return blanked, names
 
 
 def statements(blanked: DataFrame, keys: Sequence[str], chunk_lines: int = CHUNK_LINES) -> DataFrame:
@@ -208,22 +222,29 @@ def _step(state: Column, event: Column, names: Column) -> Column:
 
 
 def _folded(streams: DataFrame) -> DataFrame:
-    """Streams with an ``entry`` state to their ``exit`` state, rows found apart from it."""
+    """Streams with an ``entry`` state to their ``exit`` state, rows found apart from it.
+
+    ``names`` holds the class names in a stream's own chunk and in the unfinished statement it
+    starts with; ``exit_names`` are those in the one that it leaves.
+    """
     done = F.aggregate("events", F.col("entry"), lambda s, e: _step(s, e, F.col("names")))
     out = streams.withColumn("_done", done)
+    carried = F.filter("names", lambda n: F.contains(F.col("_done.head"), n))
     return out.withColumns({
+        "exit_names": carried,
         "found_methods": F.col("_done.methods"), "found_fields": F.col("_done.fields"),
         "exit": java._next(F.col("_done"), methods=F.lit(""), fields=F.lit("")),
     }).drop("_done")
 
 
-def _all_folded(events: DataFrame, blanked: DataFrame, keys: list[str]) -> DataFrame:
+def _all_folded(events: DataFrame, names: DataFrame, keys: list[str]) -> DataFrame:
     """The streams of all blocks, for both kinds of the block around them."""
     of = [*keys, "level", "parent", "around"]
     streams = (
         events.groupBy(*keys, "level", "parent", "chunk")
         .agg(F.array_sort(F.collect_list(F.struct(*_EVENT))).alias("events"))
-        .join(blanked.select(*keys, "chunk", "names"), [*keys, "chunk"])
+        .join(names, [*keys, "chunk"], "left")
+        .withColumn("names", F.coalesce("names", F.array().cast("array<string>")))
         .withColumn("around", F.explode(F.when(F.col("parent").isNull(), F.array(F.lit(""))).otherwise(
             F.array(F.lit(java._CLASS_BLOCK), F.lit(java._PLAIN)))))
     )
@@ -231,16 +252,21 @@ def _all_folded(events: DataFrame, blanked: DataFrame, keys: list[str]) -> DataF
     folded = stored(_folded(streams.withColumn("entry", nothing)), "streams")
     order = Window.partitionBy(*of).orderBy("chunk")
     while True:
-        begun = folded.select(*of, "chunk", "entry", F.coalesce(F.lag("exit").over(order), "entry").alias("_entry"))
-        wrong = stored(begun.filter("entry <> _entry").select(*of, "chunk", "_entry"), "unfinished")
+        begun = folded.select(
+            *of, "chunk", "entry", F.coalesce(F.lag("exit").over(order), "entry").alias("_entry"),
+            F.lag("exit_names").over(order).alias("_more"),
+        )
+        wrong = stored(begun.filter("entry <> _entry").select(*of, "chunk", "_entry", "_more"), "unfinished")
         if wrong.isEmpty():
             return folded
         matches = F.lit(True)
         for c in (*of, "chunk"):
             matches &= F.col(f"s.{c}").eqNullSafe(F.col(f"w.{c}"))
-        again = folded.alias("s").join(wrong.alias("w"), matches, "left").select("s.*", "w._entry")
-        kept = again.filter("_entry is null").drop("_entry")
-        anew = again.filter("_entry is not null").withColumn("entry", F.col("_entry")).drop("_entry")
+        again = folded.alias("s").join(wrong.alias("w"), matches, "left").select("s.*", "w._entry", "w._more")
+        kept = again.filter("_entry is null").drop("_entry", "_more")
+        anew = again.filter("_entry is not null").withColumns(
+            {"entry": F.col("_entry"), "names": F.array_union("names", "_more")}
+        ).drop("_entry", "_more")
         columns = [*of, "chunk", "events", "names", "entry"]
         folded = stored(kept.unionByName(_folded(anew.select(*columns)).select(*kept.columns)), "streams")
 
@@ -285,9 +311,9 @@ def spans_of_lines(lines: DataFrame, keys: Sequence[str], chunk_lines: int = CHU
     is_constructor, is_unclosed``; fields: ``keys, name, start_line, end_line, is_unclosed``.
     """
     keys = list(keys)
-    blanked = stored(chunks(lines, keys, chunk_lines), "blanked")
+    blanked, names = chunks(lines, keys, chunk_lines)
     events = stored(statements(blanked, keys, chunk_lines), "events")
-    folded = _all_folded(events, blanked, keys)
+    folded = _all_folded(events, names, keys)
     true = _of_kind(folded.select(*keys, "parent", "around", "found_methods", "found_fields"), _kinds(folded, keys), keys)
     open_end = events.groupBy(*keys).agg((F.max_by("depth", F.struct("chunk", "idx")) > 0).alias("_deep"))
     state = blanked.select(*keys, "is_open").distinct().join(open_end, keys).select(*keys, (F.col("is_open") | F.col("_deep")).alias("is_unclosed"))

@@ -81,3 +81,18 @@ def test_spans_equal_the_scan(spark, chunk_lines, n):
 def test_given_sources(spark):
     sources = [r.content for r in derived.sources(spark, SF).select("content").collect()]
     check(spark, sources, 10)
+
+
+def test_a_chunk_gets_the_class_names_it_can_use(spark):
+    """Constructors whose name, arguments and body lie in different chunks are found; no chunk holds all names."""
+    cut = "class Odd {\n Odd\n/* x */\n(int a)\n{ }\n Odd() { }\n No() { }\n}\n"
+    code = "".join(f"class C{i} {{\n  C{i}() {{ }}\n}}\n" for i in range(40)) + cut
+    df = spark.createDataFrame([(0, code)], "id int, content string")
+    table = line_table(df, ["id"]).select("id", "line_no", "line")
+    _, names = bigsources.chunks(table, ["id"], 3)
+    assert max(len(r.names) for r in names.collect()) <= 2
+    for chunk_lines in (1, 2, 3):
+        found, _ = bigsources.spans_of_lines(table, ["id"], chunk_lines)
+        got = sorted((r.name, r.start_line) for r in found.filter("is_constructor").collect())
+        want = sorted((r.name, r.start_line) for r in methods.method_table(df, ["id"]).filter("is_constructor").collect())
+        assert got == want and [n for n, _ in got].count("Odd") == 2

@@ -182,7 +182,7 @@ def case_failures(tests: DataFrame, cases: DataFrame, keys: Sequence[str] = (),
     return tests.join(rows, on)
 
 
-def _class_ends(path):
+def class_ends(path):
     """Class names a report file can be for: its name after the prefix, up to each end of a word."""
     stem = F.regexp_replace(
         F.substring_index(text.last_segment(path), rules.REPORT_NAME_PREFIX, -1), text.quote(rules.REPORT_SUFFIX) + "$", ""
@@ -215,7 +215,7 @@ def listed_reports(reports: DataFrame, *keep: str, depths: Sequence[int] | None
     return (
         reports.filter(F.endswith(F.col("path"), F.lit(rules.REPORT_SUFFIX)))
         .filter((F.size(parts) > 1) & F.contains(text.last_segment(F.col("path")), F.lit(rules.REPORT_NAME_PREFIX)))
-        .select("path", *keep, F.explode_outer(_class_ends(F.col("path"))).alias("class_fqn"))
+        .select("path", *keep, F.explode_outer(class_ends(F.col("path"))).alias("class_fqn"))
         .select("path", *keep, "class_fqn", F.explode_outer(above).alias("report_dir"))
         .filter("report_dir is not null")
     )

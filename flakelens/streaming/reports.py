@@ -42,17 +42,31 @@ def reports_in_time(runs: DataFrame, reports: DataFrame, within: str, delay: str
     class_fqn, name, ended, path, messages``; path and messages are null where no report
     came.
     """
-    listed = evidence.listed_reports(reports, "written", "cases").withColumnsRenamed(
-        {"class_fqn": "_class", "report_dir": "_dir"}
+    def place(folder: str, class_fqn: str):
+        return F.xxhash64(folder, class_fqn)
+
+    def lengths(folder: str, class_fqn: str):
+        return F.shiftleft(F.length(folder).cast("long"), 32) + F.length(class_fqn)
+
+    # a report is held once for each folder above it and class its name holds: without their
+    # texts, which the path has, and with the messages of that class alone
+    own = F.filter("cases", lambda c: c["class_fqn"] == F.col("class_fqn"))
+    listed = evidence.listed_reports(reports, "written", "cases").select(
+        place("report_dir", "class_fqn").alias("_place"), lengths("report_dir", "class_fqn").alias("_lengths"),
+        "path", "written", F.transform(own, lambda c: F.struct(c["name"].alias("name"), c["messages"].alias("messages"))).alias("cases"),
     ).withWatermark("written", delay)
     waiting = runs.withColumn("report_dir", F.rtrim(F.col("report_dir"), F.lit("/"))).withWatermark("ended", delay)
     span = F.expr(f"INTERVAL {within}")
     near = F.col("written").between(F.col("ended") - span, F.col("ended") + span)
-    met = waiting.join(
-        listed, (F.col("report_dir") == F.col("_dir")) & (F.col("class_fqn") == F.col("_class")) & near, "leftOuter"
+    is_place = (
+        (F.col("_place") == place("report_dir", "class_fqn"))
+        & (F.col("_lengths") == lengths("report_dir", "class_fqn"))
+        & F.startswith("path", F.concat("report_dir", F.lit("/")))
+        & F.array_contains(evidence.class_ends(F.col("path")), F.col("class_fqn"))
     )
-    own = F.filter("cases", lambda c: (c["class_fqn"] == F.col("class_fqn")) & (c["name"] == F.col("name")))
-    messages = F.when(F.col("path").isNotNull(), F.flatten(F.transform(own, lambda c: c["messages"])))
+    met = waiting.join(listed, is_place & near, "leftOuter")
+    named = F.filter("cases", lambda c: c["name"] == F.col("name"))
+    messages = F.when(F.col("path").isNotNull(), F.flatten(F.transform(named, lambda c: c["messages"])))
     return met.select("run_id", "class_fqn", "name", "ended", "path", messages.alias("messages"))
 
 

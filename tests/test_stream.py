@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from flakelens.operators import attempts
 from flakelens.streaming import attempts as live
+from flakelens.streaming.reports import reports_in_time
 
 
 @pytest.mark.parametrize("backwards", [False, True])
@@ -188,3 +189,19 @@ def test_many_attempts_of_a_test_go_as_frames(spark):
     few, many = (live.track(attempts_, limit).collect()[0] for limit in (live._FEW, live._FEW * 2))
     assert (few.is_fixed, few.attempts_used, few.elapsed_s) == (False, live._FEW, live._FEW - 1.0)
     assert (many.is_fixed, many.fixed_at, many.attempts_used, many.final_patch) == (True, 150, 151, "p150")
+
+
+def test_a_waiting_report_is_held_without_the_names_of_its_folders(spark):
+    runs = spark.sql("""select * from values (1, 'a.B', 't', '/w/x/', timestamp'2024-01-01 00:00:00'),
+        (2, 'a.B', 't', '/w/xx', timestamp'2024-01-01 00:00:00'), (3, 'a', 't', '/', timestamp'2024-01-01 00:00:00'),
+        (4, 'a.B', 't', null, timestamp'2024-01-01 00:00:00') as r(run_id, class_fqn, name, report_dir, ended)""")
+    said = "array(named_struct('class_fqn', 'a.B', 'name', 't', 'messages', array('m')), named_struct('class_fqn', 'a.B', 'name', 'u', 'messages', array('n')))"
+    reports = spark.sql(f"""select path, timestamp'2024-01-01 00:00:00' as written, {said} as cases
+        from values ('/w/x/d/TEST-a.B.xml'), ('/w/TEST-a.B.xml'), ('/w/x/TEST-a.Bc.xml') as p(path)""")
+    found = reports_in_time(runs, reports, "30 MINUTES", "5 minutes")
+    got = sorted(((r.run_id, r.path, r.messages) for r in found.collect()), key=str)
+    assert got == [
+        (1, "/w/x/d/TEST-a.B.xml", ["m"]), (2, None, None), (3, "/w/TEST-a.B.xml", []), (3, "/w/x/TEST-a.Bc.xml", []),
+        (3, "/w/x/d/TEST-a.B.xml", []), (4, None, None)]
+    keys = found._jdf.queryExecution().analyzed().toString()
+    assert "_place" in keys and "_dir" not in keys.replace("report_dir", "")

@@ -40,9 +40,12 @@ def regions(text_lines: Column, skip: str = "public class ",
     marks = [f"@{name}" for name in lifecycle]
 
     def step(s: Column, line: Column) -> Column:
+        # bound once per line: most conditions below ask for the counts
+        braces = F.struct(count_of(line, "{").alias("opens"), count_of(line, "}").alias("closes"), trim_ws(line).alias("text"))
+        return let(braces, lambda b: after(s, line, b["text"], b["opens"], b["closes"]))
+
+    def after(s: Column, line: Column, text: Column, opens: Column, closes: Column) -> Column:
         number = s["line"] + 1
-        text = trim_ws(line)
-        opens, closes = count_of(line, "{"), count_of(line, "}")
         opened, closed = s["opened"] + opens, s["closed"] + closes
         inside = s["start"].isNotNull()
         # header: first line directly before a region, negative once it holds

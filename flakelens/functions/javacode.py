@@ -149,7 +149,7 @@ def _on_open(state: Column, class_names: Column) -> Column:
         )
         unfinished = (
             anonymous
-            | (count_of(head, "(") > count_of(head, ")"))
+            | (F.contains(head, F.lit("(")) & (count_of(head, "(") > count_of(head, ")")))
             | (
                 F.contains(head, F.lit("="))
                 & _in_class(state)
@@ -172,26 +172,31 @@ def _on_open(state: Column, class_names: Column) -> Column:
 def _on_close(state: Column) -> Column:
     column = state["column"]
 
-    def pop(block: Column) -> Column:
-        back = _part(block, 2) == "1"
-        # the braces as one unit that keeps its line breaks
-        resumed = F.concat(
-            _part(block, 5), F.lit("{"),
-            F.repeat(F.lit("\n"), state["line"] - _part(block, 4).try_cast("int")), F.lit("}"),
-        )
+    def popped(block: Column, **new: Column) -> Column:
         rest = F.length(state["open"]) - F.length(block) - 1
         return _next(
-            state,
-            column=column + 1,
-            head=F.when(back, resumed).otherwise(F.lit("")),
-            head_column=F.when(back, _part(block, 3).try_cast("int")).otherwise(column + 1),
-            open=F.substring(state["open"], F.lit(1), F.greatest(rest, F.lit(0))),
-            methods=F.when(
-                F.startswith(block, F.lit(_METHOD)),
-                _added(state["methods"], _pack(_part(block, 6), state["line"], column)),
-            ).otherwise(state["methods"]),
+            state, **{
+                "column": column + 1, "head": F.lit(""), "head_column": column + 1,
+                "open": F.substring(state["open"], F.lit(1), F.greatest(rest, F.lit(0))), **new,
+            }
+        )
+
+    def resumed(block: Column) -> Column:
+        # the braces as one unit that keeps its line breaks
+        breaks = F.repeat(F.lit("\n"), state["line"] - _part(block, 4).try_cast("int"))
+        return popped(
+            block, head=F.concat(_part(block, 5), F.lit("{"), breaks, F.lit("}")),
+            head_column=_part(block, 3).try_cast("int"),
         )
 
+    def pop(block: Column) -> Column:
+        is_method = F.startswith(block, F.lit(_METHOD))
+        unfinished = F.startswith(F.substring(block, 2, 2), F.lit(_PART_SEP + "1"))
+        row = _pack(_part(block, 6), state["line"], column)
+        return F.when(is_method, popped(block, methods=_added(state["methods"], row))).when(
+            unfinished, resumed(block)
+        ).otherwise(popped(block))
+
     return let(_top(state), pop)
 
 
@@ -225,16 +230,21 @@ def _masked(text: Column) -> Column:
     return F.when(F.rlike(text, F.lit("[\"'/]")), F.array_join(pieces, "")).otherwise(text)
 
 
-def _advance(state: Column, text: Column, delimiter: Column) -> Column:
-    """State at the delimiter, with the header text before it if it is needed."""
-    breaks = count_of(text, "\n")
-    needed = (delimiter == "{") | ((delimiter == ";") & _in_class(state))
+def _moved(state: Column, text: Column, breaks: Column) -> dict[str, Column]:
+    """Line and column behind a text."""
+    return {
+        "line": state["line"] + breaks,
+        "column": F.when(breaks > 0, F.length(F.substring_index(text, "\n", -1)) + 1)
+        .otherwise(state["column"] + F.length(text)),
+    }
+
+
+def _advance(state: Column, text: Column, breaks: Column) -> Column:
+    """State at a delimiter that needs the header text before it."""
     return _next(
         state,
-        line=state["line"] + breaks,
-        column=F.when(breaks > 0, F.length(F.substring_index(text, "\n", -1)) + 1)
-        .otherwise(state["column"] + F.length(text)),
-        head=F.when(needed, F.concat(state["head"], _masked(text))).otherwise(F.lit("")),
+        **_moved(state, text, breaks),
+        head=F.concat(state["head"], _masked(text)),
         head_column=F.when(state["head"] == "", state["column"])
         .otherwise(state["head_column"]),
     )
@@ -254,15 +264,23 @@ def scan(content: Column) -> Column:
 
 
 def _fold(content: Column, class_names: Column) -> Column:
-    def step(state: Column, statement: Column) -> Column:
-        delimiter = F.right(statement, F.lit(1))
-        text = F.left(statement, F.length(statement) - 1)
+    def event(statement: Column) -> Column:
         return let(
-            _advance(state, text, delimiter),
-            lambda s: F.when(delimiter == "{", _on_open(s, class_names))
-            .when(delimiter == "}", _on_close(s))
-            .when(_in_class(s), _on_statement_end(s, class_names))
-            .otherwise(_next(s, column=s["column"] + 1)),
+            F.left(statement, F.length(statement) - 1),
+            lambda text: F.struct(
+                F.right(statement, F.lit(1)).alias("kind"), text.alias("text"), count_of(text, "\n").alias("breaks")
+            ),
+        )
+
+    # every ``let`` here copies a state: what a statement says is bound before the fold
+    def step(state: Column, e: Column) -> Column:
+        moved = _moved(state, e["text"], e["breaks"])
+        headed = _advance(state, e["text"], e["breaks"])
+        return (
+            F.when(e["kind"] == "{", let(headed, lambda s: _on_open(s, class_names)))
+            .when(e["kind"] == "}", let(_next(state, **moved), _on_close))
+            .when(_in_class(state), let(headed, lambda s: _on_statement_end(s, class_names)))
+            .otherwise(_next(state, line=moved["line"], column=moved["column"] + 1, head=F.lit("")))
         )
 
     zero = F.struct(
@@ -271,11 +289,13 @@ def _fold(content: Column, class_names: Column) -> Column:
     )
     # the added delimiter ends a rest without one; searching for it again from
     # every position of that rest would take quadratic time
+    separators = _BLOCK_SEP + _PART_SEP + _FIELD_SEP
     clean = F.concat(
-        F.translate(content, _BLOCK_SEP + _PART_SEP + _FIELD_SEP, "   "), F.lit("\n;")
+        F.when(F.rlike(content, F.lit(f"[{separators}]")), F.translate(content, separators, "   ")).otherwise(content),
+        F.lit("\n;"),
     )
     return F.aggregate(
-        F.regexp_extract_all(clean, F.lit(_STATEMENTS), F.lit(0)), zero, step,
+        F.transform(F.regexp_extract_all(clean, F.lit(_STATEMENTS), F.lit(0)), event), zero, step,
         lambda s: F.struct(
             F.array_sort(
                 _rows(s["methods"], _method_row),

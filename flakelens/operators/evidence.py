@@ -197,10 +197,12 @@ def class_ends(path):
     )
 
 
-def listed_reports(reports: DataFrame, *keep: str, depths: Sequence[int] | None = None) -> DataFrame:
+def listed_reports(reports: DataFrame, *keep: str, depths: Sequence[int] | None = None,
+                   folders: DataFrame | None = None) -> DataFrame:
     """Report paths under the directories above them and the classes their names hold.
 
-    All directories, or only those of so many parts as ``depths`` names.
+    All directories, or only those of so many parts as ``depths`` names, or that
+    ``folders`` lists as ``report_dir``: names are cut only of reports that lie there.
     """
     parts = F.split(F.col("path"), "/")
     if depths is None:
@@ -212,13 +214,15 @@ def listed_reports(reports: DataFrame, *keep: str, depths: Sequence[int] | None
         above = F.array_compact(F.array(*[
             F.when(F.size(parts) > n, F.substring_index(F.col("path"), "/", n)) for n in depths
         ]).cast("array<string>"))
-    return (
+    placed = (
         reports.filter(F.endswith(F.col("path"), F.lit(rules.REPORT_SUFFIX)))
         .filter((F.size(parts) > 1) & F.contains(text.last_segment(F.col("path")), F.lit(rules.REPORT_NAME_PREFIX)))
-        .select("path", *keep, F.explode_outer(class_ends(F.col("path"))).alias("class_fqn"))
-        .select("path", *keep, "class_fqn", F.explode_outer(above).alias("report_dir"))
+        .select("path", *keep, F.explode_outer(above).alias("report_dir"))
         .filter("report_dir is not null")
     )
+    if folders is not None:
+        placed = placed.join(folders, "report_dir", "left_semi")
+    return placed.select("path", *keep, F.explode_outer(class_ends(F.col("path"))).alias("class_fqn"), "report_dir")
 
 
 def reports_of_runs(runs: DataFrame, reports: DataFrame) -> DataFrame:
@@ -228,15 +232,18 @@ def reports_of_runs(runs: DataFrame, reports: DataFrame) -> DataFrame:
     Each report is listed under the directories above it and the class its name
     holds, so the walk below a directory is an equi join, and a folder that all
     tests of a module share pairs each of them with its own reports only.  Only
-    paths are listed, and of the directories only those as deep as one that a log
-    names; the report text joins the matches by path and moves once.  The runs are
-    stored: they are mined once.
+    paths are listed, and of the directories only those that a log names; the
+    report text joins the matches by path and moves once, without the reports that no
+    run asks for.  The runs are stored: they are mined once.
     """
     wanted = stored(runs.withColumn("report_dir", F.rtrim(F.col("report_dir"), F.lit("/"))), "report_dirs")
     # at most as many as the deepest folder has parts
     depths = sorted(r[0] for r in wanted.filter("report_dir is not null").select(F.size(F.split("report_dir", "/"))).distinct().collect())
-    found = wanted.join(listed_reports(reports, depths=depths), ["report_dir", "class_fqn"])
-    return found.join(reports.hint("merge"), "path")
+    listed = listed_reports(reports, depths=depths, folders=wanted.select("report_dir").distinct())
+    found = stored(wanted.join(listed, ["report_dir", "class_fqn"]), "found_reports")
+    # both joins are by path: a text that is asked for is not dealt anew for the second
+    texts = reports.join(found.select("path"), "path", "left_semi")
+    return found.join(texts.hint("merge"), "path")
 
 
 def mined_logs(run_logs: DataFrame, *keep: str) -> DataFrame:

@@ -74,11 +74,16 @@ def first_run_evidence(run_logs: DataFrame, sources: DataFrame, reports: DataFra
                        order: tuple[str, ...] = ("ts", "run_id")) -> DataFrame:
     """Evidence of the first run of each test, with ``test_id`` and the order's columns.
 
-    Logs are reduced to their evidence before the first is chosen, so log text is
-    never shuffled.
+    The first runs are chosen by the order's columns alone, and only their logs are
+    mined.  Rows that the order does not tell apart are reduced to their evidence first.
     """
     keep = [c for c in order if c != "run_id"]
-    mined = evidence.mined_logs(run_logs, "test_id", *keep)
+    first = run_logs.groupBy(F.col("test_id").alias("_test")).agg(F.min(F.struct(*order)).alias("_first"))
+    first = first.select("_test", *[F.col(f"_first.{c}").alias(f"_{c}") for c in order])
+    same = F.col("test_id").eqNullSafe(F.col("_test"))
+    for c in order:
+        same &= F.col(c).eqNullSafe(F.col(f"_{c}"))
+    mined = evidence.mined_logs(run_logs.join(first, same, "left_semi"), "test_id", *keep)
     columns = [c for c in mined.columns if c != "test_id"]
     chosen = mined.groupBy("test_id").agg(F.min_by(F.struct(*columns), F.struct(*order)).alias("_r"))
     return _bundle(chosen.select("test_id", "_r.*"), sources, reports, "test_id", *keep)

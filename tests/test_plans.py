@@ -109,3 +109,34 @@ def test_prompts_of_later_attempts_show_the_last_applied_one(spark):
     (row,) = repair.attempt_prompts(tests, initial, same).collect()
     own = tests.filter("test_id = '1'").first()
     assert (row.related_code.method_code, row.related_code.global_vars) == (own.method_code, own.global_vars)
+
+
+def test_only_first_runs_are_mined(spark, monkeypatch):
+    """Of 50 runs of a test one log is mined; rows without a test or a time are a test's too."""
+    from flakelens.operators import evidence
+    from flakelens.plans import triage
+
+    rows = [(r, t, "o.A.t", "p", ts, f"Killed {r}") for t in (1, 2, None) for r, ts in
+            [(100 * (t or 0) + i, None if (t, i) == (2, 7) else 50 - i) for i in range(50)]]
+    logs = spark.createDataFrame(rows, "run_id int, test_id int, test_fqn string, path string, ts int, content string")
+    sources = spark.createDataFrame([], "path string, content string")
+    mine, seen = evidence.mined_logs, []
+
+    def counted(table, *keep):
+        seen.append(table.count())
+        return mine(table, *keep)
+
+    monkeypatch.setattr(evidence, "mined_logs", counted)
+    found = triage.first_run_evidence(logs, sources).collect()
+    assert sorted(((r.test_id, r.run_id, r.ts) for r in found), key=lambda r: r[1]) == [(None, 49, 1), (1, 149, 1), (2, 207, None)]
+    assert seen == [3]
+
+
+def test_names_are_cut_only_of_reports_in_named_folders(spark):
+    from flakelens.operators import evidence
+
+    reports = spark.createDataFrame([(f"/w/r{i}/TEST-o.CTest.xml",) for i in range(3)], "path string")
+    folders = spark.createDataFrame([("/w/r1",), ("/w/r9",)], "report_dir string")
+    rows = evidence.listed_reports(reports, depths=[3], folders=folders).collect()
+    assert {(r.path, r.report_dir) for r in rows} == {("/w/r1/TEST-o.CTest.xml", "/w/r1")}
+    assert "o.CTest" in {r.class_fqn for r in rows}

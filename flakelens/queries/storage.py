@@ -124,12 +124,15 @@ def report_files(spark, sf):
     cases = F.regexp_extract_all("xml", F.lit(r"(?s)(<testcase.*?</testcase>)"), F.lit(1))
     run = F.regexp_extract("path", r"/run(\d+)/", 1).cast("long")
     folder = (run % FOLDERS).cast("int")
+    def framed(found):
+        opening = lambda i: F.when(i == 0, "<testsuite><group>").otherwise("")
+        closing = lambda i: F.when(i == F.size(found) - 1, "</group></testsuite>").otherwise("")
+        return F.transform(found, lambda x, i: F.concat(opening(i), x, closing(i)))
+
+    # an outer generator: the cases are cut out once, not again in a size filter
     body = d.reports(spark, sf).select(
-        folder.alias("folder"), run.alias("run"), F.size(cases).alias("n"), F.posexplode(cases).alias("place", "value")
-    )
-    opening = F.when(F.col("place") == 0, "<testsuite><group>").otherwise("")
-    closing = F.when(F.col("place") == F.col("n") - 1, "</group></testsuite>").otherwise("")
-    body = body.withColumn("value", F.concat(opening, "value", closing)).drop("n")
+        folder.alias("folder"), run.alias("run"), F.posexplode_outer(text.let(cases, framed)).alias("place", "value")
+    ).filter("value is not null")
     ends = spark.range(FOLDERS).select(
         F.col("id").cast("int").alias("folder"),
         F.explode(F.array(

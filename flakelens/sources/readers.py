@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 from .. import rules, schemas
 from ..functions import fqn as names
-from ..functions.text import plain_path
+from ..functions.text import contains_any, plain_path
 from ..session import stored
 
 # Every field follows a comma (one is put before the record).  The quantifiers are
@@ -176,14 +176,18 @@ def read_report_cases(spark: SparkSession, path: str, glob: str = "*" + rules.RE
         .select(file, F.struct(*schemas.TESTCASE.names).alias("case"), F.col("_corrupt_record").isNotNull().alias("_broken")),
         "cases",
     )
-    ends = (
-        files().text(path).select(file, F.struct("_metadata.file_block_start", F.monotonically_increasing_id()).alias("_at"), "value")
-        .filter(F.trim("value") != "").groupBy("path").agg(F.max_by("value", "_at").alias("_last"))
-    )
-    faulty = rows.filter("_broken").select("path").unionByName(
-        ends.filter(~F.rlike("_last", F.lit(_REPORT_END))).select("path")
-    )
-    return rows.filter("not _broken").join(faulty.distinct(), "path", "left_anti").select("path", "case")
+    # flags and numbers only: an aggregate of texts would sort all lines
+    lines = files().text(path).select(
+        F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"),
+        F.monotonically_increasing_id().alias("_row"), "value",
+    ).filter(F.trim("value") != "")
+    # nearly all lines are told by their words, without the expression
+    is_end = contains_any(F.col("value"), ("testsuite", "-->")) & F.rlike("value", F.lit(_REPORT_END))
+    blocks = lines.groupBy("_file", "_block").agg(F.max_by(is_end, "_row").alias("_whole"))
+    ends = blocks.groupBy(plain_path(F.col("_file")).alias("path")).agg(F.max_by("_whole", "_block").alias("_whole"))
+    faulty = rows.filter("_broken").select("path").unionByName(ends.filter("not _whole").select("path")).distinct()
+    # at most one row for each file; by path a large report would be one task's work
+    return rows.filter("not _broken").join(F.broadcast(faulty), "path", "left_anti").select("path", "case")
 
 
 def split_clone_path(df: DataFrame, clone_dir: str, path: str = "path") -> DataFrame:

@@ -274,3 +274,16 @@ def test_documents_of_any_shape_are_read_together(spark, tmp_path):
     assert {tuple(r) for r in got.collect()} == {
         ("x", "r", "01", "one", "code", 3, None), ("x", "r", "01", "two", "text", None, None),
         ("x", "r", "01", None, None, None, None), ("x", "r", "01", None, None, None, 2)}
+
+
+def test_the_ends_of_reports_are_found_without_sorting_lines(spark, tmp_path):
+    """Flags and numbers are aggregated by hash; a text in the buffer would sort every line of a report."""
+    ends = {
+        "whole": "<testsuite>\n{}\n</testsuite>\n\n", "comment": "<testsuite>\n{}</testsuite>\n<!-- testcase -->\n",
+        "cut": "<testsuite>\n{}\n", "named": "<testsuite>\n{}\n<!-- testsuite\n",
+    }
+    for name, text in ends.items():
+        (tmp_path / f"{name}.xml").write_text(text.format('<testcase classname="C" name="t"/>'))
+    cases = readers.read_report_cases(spark, str(tmp_path))
+    assert sorted(r.path.rsplit("/", 1)[1] for r in cases.collect()) == ["comment.xml", "whole.xml"]
+    assert "SortAggregate" not in cases._jdf.queryExecution().executedPlan().toString()

@@ -133,7 +133,8 @@ def chunks(lines: DataFrame, keys: Sequence[str], chunk_lines: int = CHUNK_LINES
     words = blanked.select(
         *keys, "chunk", F.explode_outer(F.array_distinct(F.regexp_extract_all("text", F.lit(_CALLED), F.lit(0)))).alias("name")
     ).filter("name is not null")
-    of_source = named.select(*keys, F.explode_outer("_names").alias("name")).filter("name is not null").distinct()
+    # a row for each class of a source: never to be broadcast, however small its files are
+    of_source = named.select(*keys, F.explode_outer("_names").alias("name")).filter("name is not null").distinct().hint("merge")
     names = words.join(of_source, [*keys, "name"]).groupBy(*keys, "chunk").agg(F.collect_list("name").alias("names"))
     return blanked, names
 
@@ -238,44 +239,65 @@ def _folded(streams: DataFrame) -> DataFrame:
 
 
 def _all_folded(events: DataFrame, names: DataFrame, keys: list[str]) -> DataFrame:
-    """The streams of all blocks, for both kinds of the block around them."""
+    """The streams of all blocks, for both kinds of the block around them: ``found_methods`` and
+    ``found_fields`` of each of their chunks.
+
+    A block's stream begins in the chunk that opens the block, with nothing.  Only what goes on in
+    a later chunk can begin with something: its statements alone are kept and folded again.
+    """
     of = [*keys, "level", "parent", "around"]
-    streams = (
-        events.groupBy(*keys, "level", "parent", "chunk")
-        .agg(F.array_sort(F.collect_list(F.struct(*_EVENT))).alias("events"))
-        .join(names, [*keys, "chunk"], "left")
-        .withColumn("names", F.coalesce("names", F.array().cast("array<string>")))
-        .withColumn("around", F.explode(F.when(F.col("parent").isNull(), F.array(F.lit(""))).otherwise(
-            F.array(F.lit(java._CLASS_BLOCK), F.lit(java._PLAIN)))))
-    )
+    goes_on = F.coalesce(F.col("chunk") > F.col("parent.chunk"), F.lit(True))
     nothing = _state(F.when(F.col("around") == "", "").otherwise(F.concat(F.lit(java._BLOCK_SEP), F.col("around"))))
-    folded = stored(_folded(streams.withColumn("entry", nothing)), "streams")
+
+    def streams(rows: DataFrame) -> DataFrame:
+        # dealt by chunk, as the names are: one shuffle
+        return (
+            rows.repartition(*keys, "chunk").groupBy(*keys, "level", "parent", "chunk")
+            .agg(F.array_sort(F.collect_list(F.struct(*_EVENT))).alias("events"))
+            .join(names, [*keys, "chunk"], "left")
+            .withColumn("names", F.coalesce("names", F.array().cast("array<string>")))
+            .withColumn("around", F.explode(F.when(F.col("parent").isNull(), F.array(F.lit(""))).otherwise(
+                F.array(F.lit(java._CLASS_BLOCK), F.lit(java._PLAIN)))))
+        )
+
+    def same(columns: Sequence[str]) -> Column:
+        matches = F.lit(True)
+        for c in columns:
+            matches &= F.col(f"s.{c}").eqNullSafe(F.col(f"w.{c}"))
+        return matches
+
+    kept = [*of, "chunk", "entry", "names", "exit", "exit_names", "found_methods", "found_fields"]
+    folded = stored(
+        _folded(streams(events).withColumn("entry", nothing)).withColumn("names", F.when(goes_on, F.col("names"))).select(*kept),
+        "streams",
+    )
+    later = stored(streams(events.filter(goes_on)).select(*of, "chunk", "events"), "later_streams")
+    # files are far smaller than the rows in them: by their size these would be broadcast whole
+    going_on = later.select(*of).distinct().hint("merge")
+    chain = stored(folded.alias("s").join(going_on.alias("w"), same(of), "left_semi"), "chains")
     order = Window.partitionBy(*of).orderBy("chunk")
     while True:
-        begun = folded.select(
-            *of, "chunk", "entry", F.coalesce(F.lag("exit").over(order), "entry").alias("_entry"),
+        begun = chain.select(
+            *of, "chunk", "entry", "names", F.coalesce(F.lag("exit").over(order), "entry").alias("_entry"),
             F.lag("exit_names").over(order).alias("_more"),
         )
-        wrong = stored(begun.filter("entry <> _entry").select(*of, "chunk", "_entry", "_more"), "unfinished")
+        wrong = stored(begun.filter("entry <> _entry").select(
+            *of, "chunk", F.col("_entry").alias("entry"), F.array_union("names", "_more").alias("names")
+        ), "unfinished")
         if wrong.isEmpty():
-            return folded
-        matches = F.lit(True)
-        for c in (*of, "chunk"):
-            matches &= F.col(f"s.{c}").eqNullSafe(F.col(f"w.{c}"))
-        again = folded.alias("s").join(wrong.alias("w"), matches, "left").select("s.*", "w._entry", "w._more")
-        kept = again.filter("_entry is null").drop("_entry", "_more")
-        anew = again.filter("_entry is not null").withColumns(
-            {"entry": F.col("_entry"), "names": F.array_union("names", "_more")}
-        ).drop("_entry", "_more")
-        columns = [*of, "chunk", "events", "names", "entry"]
-        folded = stored(kept.unionByName(_folded(anew.select(*columns)).select(*kept.columns)), "streams")
+            return folded.filter(~goes_on).unionByName(chain.filter(goes_on)).drop("entry", "names", "exit", "exit_names")
+        other = wrong.hint("merge").alias("w")
+        here = same([*of, "chunk"])
+        anew = _folded(later.alias("s").join(other, here).select("s.*", "w.entry", "w.names")).select(*kept)
+        chain = stored(chain.alias("s").join(other, here, "left_anti").unionByName(anew), "chains")
 
 
 def _of_kind(rows: DataFrame, kinds: DataFrame, keys: list[str]) -> DataFrame:
     """Rows of streams that were folded for the true kind of their block."""
+    # a row for each block: never to be broadcast, however small its files are
     true_kind = kinds.select(
         *[F.col(c).alias(f"_{c}") for c in keys], F.col("block").alias("_block"), F.col("kind").alias("_kind")
-    )
+    ).hint("merge")
     match = F.col("parent") == F.col("_block")
     for c in keys:
         match &= F.col(c).eqNullSafe(F.col(f"_{c}"))
@@ -300,7 +322,7 @@ def _kinds(folded: DataFrame, keys: list[str]) -> DataFrame:
     while not left.isEmpty():
         settled = _of_kind(left, known, keys).select(*keys, "block", "kind")
         known = stored(known.unionByName(settled), "kinds")
-        left = stored(left.join(known.select(*keys, "block"), [*keys, "block"], "left_anti"), "doubtful")
+        left = stored(left.join(known.select(*keys, "block").hint("merge"), [*keys, "block"], "left_anti"), "doubtful")
     return known
 
 

@@ -64,12 +64,12 @@ _FIELDS = ", ".join(f"('{n}', {a}, {b})" for n, a, b in d.SOURCE_FIELDS)
 def _source_lines(spark, sf, file):
     """All sources of a group one after the other as the lines of one large file."""
     sources = d.sources(spark, sf).select("test_id", "content")
-    sizes = sources.select("test_id", F.size(F.split("content", "\n", -1)).alias("n")).join(
-        d.table(spark, sf, "customer").select(F.col("c_custkey").alias("test_id"), file.alias("file")), "test_id"
-    )
+    # a row for each source: not to be broadcast, however small the table's file is
+    files = d.table(spark, sf, "customer").select(F.col("c_custkey").alias("test_id"), file.alias("file")).hint("merge")
+    sizes = sources.select("test_id", F.size(F.split("content", "\n", -1)).alias("n")).join(files, "test_id")
     before = Window.partitionBy("file").orderBy("test_id").rowsBetween(Window.unboundedPreceding, -1)
     places = sizes.select("test_id", "file", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
-    rows = lines.line_table(sources, ["test_id"]).join(places, "test_id")
+    rows = lines.line_table(sources.join(places.hint("merge"), "test_id"), ["file", "before"])
     return rows.select("file", (F.col("line_no") + F.col("before")).alias("line_no"), "line")
 
 

@@ -96,3 +96,29 @@ def test_a_chunk_gets_the_class_names_it_can_use(spark):
         got = sorted((r.name, r.start_line) for r in found.filter("is_constructor").collect())
         want = sorted((r.name, r.start_line) for r in methods.method_table(df, ["id"]).filter("is_constructor").collect())
         assert got == want and [n for n, _ in got].count("Odd") == 2
+
+
+def test_only_what_goes_on_in_a_later_chunk_is_kept_and_nothing_that_grows_is_broadcast(spark, monkeypatch):
+    code = "class A {\n" + "  void m() {\n    a();\n  }\n" * 30 + "  A() {\n\n\n\n    b();\n  }\n}\n"
+    df = spark.createDataFrame([(0, code), (1, code)], "id int, content string")
+    table = line_table(df, ["id"]).select("id", "line_no", "line")
+    kept, store = {}, bigsources.stored
+
+    def seen(rows, name):
+        kept.setdefault(name, []).append(out := store(rows, name))
+        return out
+
+    monkeypatch.setattr(bigsources, "stored", seen)
+    found, _ = bigsources.spans_of_lines(table, ["id"], 10)
+    assert found.count() == 62
+    # all streams are written once, without statements; of those in class A each chunk but the first goes on
+    assert len(kept["streams"]) == 1 and "events" not in kept["streams"][0].columns
+    later = kept["later_streams"][0].filter("parent is not null")
+    assert 0 < later.count() < kept["streams"][0].filter("parent is not null").count() / 2
+    assert later.filter("chunk <= parent.chunk").isEmpty()
+    _, names = bigsources.chunks(table, ["id"], 10)
+    rows = kept["streams"][0].select("id", "parent", "around", "found_methods")
+    chosen = bigsources._of_kind(rows, kept["kinds"][0], ["id"])
+    for plan in (names, chosen):
+        joins = plan._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in joins and "Broadcast" not in joins

@@ -182,27 +182,53 @@ def case_failures(tests: DataFrame, cases: DataFrame, keys: Sequence[str] = (),
     return tests.join(rows, on)
 
 
-def class_ends(path):
-    """Class names a report file can be for: its name after the prefix, up to each end of a word."""
+_WORDS = r"(?s).\w*"  # of a class name: any character and the rest of its word
+
+
+def class_words(class_fqn):
+    """Number of words at which ``class_ends`` cuts the class name out of a file's."""
+    return F.size(F.regexp_extract_all(class_fqn, F.lit(_WORDS), F.lit(0)))
+
+
+def class_ends(path, words: Sequence[int] | None = None):
+    """Class names a report file can be for: its name after the prefix, up to each end of a word.
+
+    All of them, or only those of so many words as ``words`` names.
+    """
     stem = F.regexp_replace(
         F.substring_index(text.last_segment(path), rules.REPORT_NAME_PREFIX, -1), text.quote(rules.REPORT_SUFFIX) + "$", ""
     )
-    # each piece is any character and the rest of its word
-    pieces = F.regexp_extract_all(stem, F.lit(r"(?s).\w*"), F.lit(0))
+    pieces = F.regexp_extract_all(stem, F.lit(_WORDS), F.lit(0))
+
+    def first(p, n):
+        return F.array_join(F.slice(p, F.lit(1), n), "")
+
+    if words is not None:
+        return text.let(pieces, lambda p: F.array_compact(F.array(*[
+            F.when(F.size(p) >= n if n else F.size(p) == 0, first(p, F.lit(n))) for n in words
+        ]).cast("array<string>")))
     return text.let(
         pieces,
         lambda p: F.when(F.size(p) == 0, F.array(F.lit(""))).otherwise(
-            F.transform(F.sequence(F.lit(1), F.greatest(F.size(p), F.lit(1))), lambda n: F.array_join(F.slice(p, F.lit(1), n), ""))
+            F.transform(F.sequence(F.lit(1), F.greatest(F.size(p), F.lit(1))), lambda n: first(p, n))
         ),
     )
 
 
+def named_reports(reports: DataFrame) -> DataFrame:
+    """Files below a folder that are reports by their name."""
+    return reports.filter(F.endswith(F.col("path"), F.lit(rules.REPORT_SUFFIX))).filter(
+        (F.size(F.split(F.col("path"), "/")) > 1) & F.contains(text.last_segment(F.col("path")), F.lit(rules.REPORT_NAME_PREFIX))
+    )
+
+
 def listed_reports(reports: DataFrame, *keep: str, depths: Sequence[int] | None = None,
-                   folders: DataFrame | None = None) -> DataFrame:
+                   folders: DataFrame | None = None, words: Sequence[int] | None = None) -> DataFrame:
     """Report paths under the directories above them and the classes their names hold.
 
     All directories, or only those of so many parts as ``depths`` names, or that
     ``folders`` lists as ``report_dir``: names are cut only of reports that lie there.
+    All classes, or only those of so many words as ``words`` names.
     """
     parts = F.split(F.col("path"), "/")
     if depths is None:
@@ -215,14 +241,14 @@ def listed_reports(reports: DataFrame, *keep: str, depths: Sequence[int] | None
             F.when(F.size(parts) > n, F.substring_index(F.col("path"), "/", n)) for n in depths
         ]).cast("array<string>"))
     placed = (
-        reports.filter(F.endswith(F.col("path"), F.lit(rules.REPORT_SUFFIX)))
-        .filter((F.size(parts) > 1) & F.contains(text.last_segment(F.col("path")), F.lit(rules.REPORT_NAME_PREFIX)))
+        named_reports(reports)
         .select("path", *keep, F.explode_outer(above).alias("report_dir"))
         .filter("report_dir is not null")
     )
     if folders is not None:
         placed = placed.join(folders, "report_dir", "left_semi")
-    return placed.select("path", *keep, F.explode_outer(class_ends(F.col("path"))).alias("class_fqn"), "report_dir")
+    listed = placed.select("path", *keep, F.explode_outer(class_ends(F.col("path"), words)).alias("class_fqn"), "report_dir")
+    return listed if words is None else listed.filter("class_fqn is not null")
 
 
 def reports_of_runs(runs: DataFrame, reports: DataFrame) -> DataFrame:

@@ -167,8 +167,8 @@ WITHIN, DELAY = 30, 5  # minutes
 def live_reports(spark, sf):
     """Runs and reports as two streams; every third report comes too late for its run."""
     logs_ = d.run_logs(spark, sf)
-    mined = evidence.mined_logs(logs_, "ts").filter(F.size("report_dirs") > 0)
-    runs = evidence.report_folders(mined).join(logs_.select("run_id", F.col("ts").cast("timestamp").alias("ended")), "run_id")
+    # runs without folders go there: a filter here would mine every log before the rows are spread, and again after
+    runs = evidence.report_folders(evidence.mined_logs(logs_)).join(logs_.select("run_id", F.col("ts").cast("timestamp").alias("ended")), "run_id")
     run = F.regexp_extract("path", r"/run(\d+)/", 1).cast("long")
     times = _events(spark, sf).select(F.col("event_id").alias("run"), F.col("ts").cast("timestamp").alias("ts"))
     reports = d.reports(spark, sf).withColumn("run", run).join(times, "run").select(
@@ -180,7 +180,8 @@ def live_reports(spark, sf):
     for name, table in (("runs", runs), ("reports", live_runs.report_messages(reports))):
         table.write.parquet(f"{base}/{name}")
         streams.append(own.readStream.schema(table.schema).parquet(f"{base}/{name}"))
-    found = live_runs.reports_in_time(*streams, f"{WITHIN} MINUTES", f"{DELAY} minutes")
+    places = live_runs.asked_places(spark.read.schema(runs.schema).parquet(f"{base}/runs"))
+    found = live_runs.reports_in_time(*streams, f"{WITHIN} MINUTES", f"{DELAY} minutes", **places)
     stored = live.run_to_table(found, f"{base}/out", f"{base}/checkpoint")
     return stored.select("run_id", "class_fqn", "name", "path", F.array_join("messages", "|").alias("messages"))
 

@@ -9,6 +9,8 @@ cases before they enter the state; their text is never kept.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,7 +35,20 @@ def report_messages(reports: DataFrame) -> DataFrame:
     return reports.select("path", "written", failed.alias("cases"))
 
 
-def reports_in_time(runs: DataFrame, reports: DataFrame, within: str, delay: str) -> DataFrame:
+def asked_places(runs: DataFrame) -> dict[str, list[int]]:
+    """How deep the folders lie that runs name, and how many words their classes have: the
+    ``depths`` and ``words`` of ``reports_in_time`` for these runs."""
+    asked = runs.filter("report_dir is not null and class_fqn is not null").select(
+        F.size(F.split(F.rtrim(F.col("report_dir"), F.lit("/")), "/")).alias("depths"),
+        evidence.class_words(F.col("class_fqn")).alias("words"),
+    ).distinct()
+    # at most as many as the deepest folder has parts and the longest name has words
+    found = asked.collect()
+    return {c: sorted({r[c] for r in found}) for c in asked.columns}
+
+
+def reports_in_time(runs: DataFrame, reports: DataFrame, within: str, delay: str,
+                    depths: Sequence[int] | None = None, words: Sequence[int] | None = None) -> DataFrame:
     """Runs with each report of theirs, or with none.
 
     ``runs`` has ``run_id, class_fqn, name, report_dir, ended``; ``reports`` comes from
@@ -41,6 +56,10 @@ def reports_in_time(runs: DataFrame, reports: DataFrame, within: str, delay: str
     after the run ends; both streams may be ``delay`` out of order.  Rows: ``run_id,
     class_fqn, name, ended, path, messages``; path and messages are null where no report
     came.
+
+    A report waits once for each folder above it and each class its name can hold.  Where it is
+    known how deep the folders of all runs lie (``depths``) and how many words their classes
+    have (``words``), it waits in those places only; a run elsewhere would find none.
     """
     def place(folder: str, class_fqn: str):
         return F.xxhash64(folder, class_fqn)
@@ -51,10 +70,12 @@ def reports_in_time(runs: DataFrame, reports: DataFrame, within: str, delay: str
     # a report is held once for each folder above it and class its name holds: without their
     # texts, which the path has, and with the messages of that class alone
     own = F.filter("cases", lambda c: c["class_fqn"] == F.col("class_fqn"))
-    listed = evidence.listed_reports(reports, "written", "cases").select(
+    # event time goes on with every report, listed or not
+    timed = evidence.named_reports(reports).withWatermark("written", delay)
+    listed = evidence.listed_reports(timed, "written", "cases", depths=depths, words=words).select(
         place("report_dir", "class_fqn").alias("_place"), lengths("report_dir", "class_fqn").alias("_lengths"),
         "path", "written", F.transform(own, lambda c: F.struct(c["name"].alias("name"), c["messages"].alias("messages"))).alias("cases"),
-    ).withWatermark("written", delay)
+    )
     waiting = runs.withColumn("report_dir", F.rtrim(F.col("report_dir"), F.lit("/"))).withWatermark("ended", delay)
     span = F.expr(f"INTERVAL {within}")
     near = F.col("written").between(F.col("ended") - span, F.col("ended") + span)

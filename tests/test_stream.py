@@ -205,3 +205,31 @@ def test_a_waiting_report_is_held_without_the_names_of_its_folders(spark):
         (3, "/w/x/d/TEST-a.B.xml", []), (4, None, None)]
     keys = found._jdf.queryExecution().analyzed().toString()
     assert "_place" in keys and "_dir" not in keys.replace("report_dir", "")
+
+
+def test_reports_wait_only_in_places_that_runs_can_name(spark, tmp_path):
+    """Rows are those of all places, and reports that wait nowhere move event time on as before."""
+    from flakelens.streaming import reports as live_runs
+
+    runs = spark.sql("""select id, class_fqn, 't' as name, dir as report_dir, to_timestamp(at) as ended from values
+        (1, 'a.B', '/w/x/', '2024-01-01 00:00:00'), (2, 'a', '/w/y', '2024-01-01 00:00:00'), (3, 'a.B', '/w/z', '2024-01-01 09:00:00'),
+        (4, 'a.B', null, '2024-01-01 00:00:00'), (5, 'a.B', '/w/u', '2024-01-01 00:00:00') as r(id, class_fqn, dir, at)""").withColumnRenamed("id", "run_id")
+    reports = spark.sql("""select path, to_timestamp(at) as written, array(named_struct('class_fqn', 'a.B', 'name', 't', 'messages', array('m'))) as cases
+        from values ('/w/x/d/e/TEST-a.B-2.xml', '2024-01-01 00:10:00'), ('/w/y/TEST-a.B.xml', '2024-01-01 00:10:00'),
+        ('/w/TEST-a.B.xml', '2024-01-01 00:10:00'), ('/TEST-z.xml', '2024-01-01 09:00:00') as p(path, at)""")
+    places = live_runs.asked_places(runs)
+    assert places == {"depths": [3], "words": [1, 2]}
+    listed = live_runs.evidence.listed_reports(reports, **places)
+    assert listed.count() == 4 and live_runs.evidence.listed_reports(reports).count() == 26
+    own = live.stateful_session(spark)
+    streams = []
+    for name, table in (("runs", runs), ("reports", reports)):
+        table.coalesce(1).write.parquet(str(tmp_path / name))
+        streams.append(own.readStream.schema(table.schema).parquet(str(tmp_path / name)))
+    found = reports_in_time(*streams, "30 MINUTES", "5 minutes", **places)
+    got = live.run_to_table(found, str(tmp_path / "out"), str(tmp_path / "cp")).collect()
+    want = reports_in_time(runs, reports, "30 MINUTES", "5 minutes").collect()
+    key = lambda r: (r.run_id, r.path, r.messages)
+    # run 3 ends too late to be given up
+    assert sorted(map(key, got), key=str) == sorted((key(r) for r in want if r.run_id != 3), key=str)
+    assert [r.messages for r in want if r.run_id in (1, 2, 5)].count(["m"]) == 1 and len(want) == 5

@@ -175,6 +175,8 @@ def live_reports(spark, sf):
         "path", (F.col("ts") + F.expr("make_dt_interval(0, 0, 20 * cast(run % 3 as int))")).alias("written"), "xml"
     )
     own = live.stateful_session(spark)
+    # a new session does not take it over, and each partition has four state stores
+    own.conf.set("spark.sql.shuffle.partitions", spark.conf.get("spark.sql.shuffle.partitions"))
     base = scratch_dir(spark, "live-reports")
     streams = []
     for name, table in (("runs", runs), ("reports", live_runs.report_messages(reports))):

@@ -233,3 +233,17 @@ def test_reports_wait_only_in_places_that_runs_can_name(spark, tmp_path):
     # run 3 ends too late to be given up
     assert sorted(map(key, got), key=str) == sorted((key(r) for r in want if r.run_id != 3), key=str)
     assert [r.messages for r in want if r.run_id in (1, 2, 5)].count(["m"]) == 1 and len(want) == 5
+
+
+def test_the_stream_of_reports_takes_over_the_number_of_partitions(spark, tmp_path, monkeypatch):
+    from flakelens.queries import loop
+
+    monkeypatch.setattr(loop, "scratch_dir", lambda _, name: str(tmp_path / name))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "3")
+        loop.live_reports(spark, "/root/testdata/sf0.001")
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    states = tmp_path / "live-reports" / "checkpoint" / "state" / "0"
+    assert sorted(d.name for d in states.iterdir() if d.name.isdigit()) == ["0", "1", "2"]
